@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import functions as F
+
+from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
+from .token_counts import count_tokens
+
+#: Folder of the public vocabularies; the same on all machines.
+TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS", "/opt/tokenizers")
+#: Documents of more tokens than this are over the limit.
+TOKEN_LIMIT = 4096
 
 
 def _table(spark, sf_dir, name):
@@ -13,7 +24,21 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+def op1_bpe(spark, sf_dir):
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    encoded = bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, drop=True)
+    coded = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return bpe_decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_token_counts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    counted = count_tokens(sized, f"{TOKENIZERS}/piece_bpe_32k.model", drop=True)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op8_token_counts": op8_token_counts, "op6_exact_dedup": op6_exact_dedup}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """

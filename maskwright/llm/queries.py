@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
+from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 
 #: Folder of the public vocabularies; the same on all machines.
@@ -20,6 +21,11 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_substring_dedup(spark, sf_dir):
+    found = substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +44,7 @@ def op8_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_token_counts": op8_token_counts, "op6_exact_dedup": op6_exact_dedup}
+QUERIES = {"op5_substring_dedup": op5_substring_dedup, "op1_bpe": op1_bpe, "op8_token_counts": op8_token_counts, "op6_exact_dedup": op6_exact_dedup}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """

@@ -18,8 +18,6 @@ from .spark_util import ascii_lower, cut, small_side
 BLOCK_CHARS = 4096
 #: Names are sorted within this many order-preserving ranges, each a window of its own.
 RANGES = 1 << 16
-#: Levels of pairing between two cuts of the lineage.
-LEVELS_PER_CUT = 4
 
 
 def _named(keys: DataFrame, high: Column, order: list[str], weight: Column) -> DataFrame:
@@ -62,7 +60,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         base = cut(_with_ties(keyed, ties))
     blocks = base.select("rid", F.size("blocks").alias("n"), F.posexplode("blocks").alias("idx", "b"))
-    blocks = blocks.select("rid", "n", "idx", "b.h", "b.tie").join(names, "h").select("rid", "n", "idx", (F.col("name") + F.col("tie")).alias("name"))
+    blocks = blocks.select("rid", "n", "idx", "b.h", "b.tie").join(names, "h")
+    blocks = cut(blocks.select("rid", "n", "idx", (F.col("name") + F.col("tie")).alias("name")))
     longest = base.agg(F.max(F.size("blocks"))).first()[0] or 0
 
     level, done = 0, []
@@ -71,8 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if (1 << level) >= longest:
             break
         blocks, level = _pair_names(blocks.where("n > 1")), level + 1
-        if level % LEVELS_PER_CUT == 0:
-            blocks = cut(blocks)
+        blocks = cut(blocks)  # else each level's plan would hold all the plans before it
     identity = done[0]
     for more in done[1:]:
         identity = identity.unionByName(more)

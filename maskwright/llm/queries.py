@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 
@@ -44,7 +45,11 @@ def op8_token_counts(spark, sf_dir):
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {"op5_substring_dedup": op5_substring_dedup, "op1_bpe": op1_bpe, "op8_token_counts": op8_token_counts, "op6_exact_dedup": op6_exact_dedup}
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
+
+
+QUERIES = {"op9_jaccard_join": op9_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op1_bpe": op1_bpe, "op8_token_counts": op8_token_counts, "op6_exact_dedup": op6_exact_dedup}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,13 +16,22 @@ BROADCAST_ROWS = 500_000
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+    The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made. Size estimates are
+    cut as well: a checkpoint inherits those of its plan, which joins multiply round after round.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="maskwright-"))
-    return df.checkpoint()
+    kept = df.checkpoint()._jdf
+    fresh = kept.sparkSession().internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
+    return DataFrame(fresh, df.sparkSession)
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder for tables between stages, in the shared checkpoint folder (a local one where that is unset)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-")
+    return f"{shared.rstrip('/')}/stages-{uuid.uuid4().hex}"
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -151,13 +151,13 @@ def _candidates(rows: DataFrame, size: int, bands: Bands, n_buckets: int) -> Dat
             keys, nodes, edges = _chain(np.concatenate(keys), np.concatenate(nodes))
             bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
             found, first = np.unique(bucket, return_index=True)
-            ends = np.append(first[1:], len(keys)).tolist()
+            ends = np.append(first[1:], len(keys))[: len(first)].tolist()
             spans = list(zip(first.tolist(), ends, strict=True))
             columns = [[keys[a:b].tobytes() for a, b in spans], [nodes[a:b].tobytes() for a, b in spans], [b""] * len(spans)]
             to = (edges[:, 0].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             own, first = np.unique(to[order], return_index=True)
-            for a, b in zip(first.tolist(), np.append(first[1:], len(to)).tolist(), strict=True):
+            for a, b in zip(first.tolist(), np.append(first[1:], len(to))[: len(first)].tolist(), strict=True):
                 columns[0].append(b"")
                 columns[1].append(b"")
                 columns[2].append(edges[order[a:b]].tobytes())

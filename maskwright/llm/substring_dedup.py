@@ -64,7 +64,7 @@ def _cells(keys: np.ndarray, ranges: int) -> np.ndarray:
 def _by_range(block: int, codes: np.ndarray, ranges: np.ndarray, pack) -> pa.Table:
     """One row for each range, from ``codes`` that lie in ascending order of range."""
     found, first = np.unique(ranges, return_index=True)
-    ends = np.append(first[1:], len(codes))
+    ends = np.append(first[1:], len(codes))[: len(first)]
     rows = [pack(a, b) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
     return pa.Table.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.full(len(found), block)), pa.array(rows, pa.binary())], schema=_PACKED_ARROW)
 
@@ -139,7 +139,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys, more = np.concatenate(keys), np.concatenate(more)
         order = np.lexsort((more, keys))
         keys, more = keys[order], more[order]
-        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1]))[: len(keys)])
         several = (np.diff(np.append(first, len(keys))) > 1).astype(np.uint8)
         keys, more = keys[first], more[first]
         pack = lambda a, b: _pack(keys[a:b]) + more[a:b].tobytes() + several[a:b].tobytes()

@@ -6,22 +6,71 @@ import os
 
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .licenses import scan_licenses
+from .mixing import mix_sources
+from .quotes import link_quotes
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
+from .toxicity import score_toxicity, train_toxicity
 
 #: Folder of the public vocabularies; the same on all machines.
 TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS", "/opt/tokenizers")
 #: Documents of more tokens than this are over the limit.
 TOKEN_LIMIT = 4096
+#: Documents of this score or more are toxic.
+TOXIC = 0.7
+#: Domains, and target weights of the tree's nodes (level, name, weight); those not named weigh 1.
+DOMAINS = ("web", "books", "forum", "news")
+WEIGHTS = [(0, "web", 3.0), (0, "books", 2.0), (1, "en", 2.0)]
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark, sf_dir):
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    encoded = bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, drop=True)
+    coded = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return bpe_decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_nearest_neighbours(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def held_out(doc_id):
+    """Rows whose labels are not learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op3_toxicity(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = score_toxicity(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model, drop=True)
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
+def domain(source):
+    """The domain of a source: by the number in its name; sources without one are of the first."""
+    number = F.coalesce(F.expr("try_cast(regexp_extract(%s, '([0-9]{1,9})', 1) AS int)" % source), F.lit(0))
+    return F.element_at(F.array(*map(F.lit, DOMAINS)), number % len(DOMAINS) + 1)
+
+
+def mixing_weights(spark):
+    return spark.createDataFrame(WEIGHTS, "level int, name string, weight double")
+
+
+def op4_mixing(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("domain", domain("source"))
+    return mix_sources(docs, weights=mixing_weights(spark)).select("doc_id", "domain", "lang", "source", "copies")
+
+
 def op5_substring_dedup(spark, sf_dir):
     found = substring_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -31,11 +80,9 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-def op1_bpe(spark, sf_dir):
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    encoded = bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, drop=True)
-    coded = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return bpe_decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def op7_quotation_linking(spark, sf_dir):
+    linked = link_quotes(_table(spark, sf_dir, "conversations"))
+    return linked.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 
 def op8_token_counts(spark, sf_dir):
@@ -49,7 +96,12 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_join(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
 
 
-QUERIES = {"op9_jaccard_join": op9_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op1_bpe": op1_bpe, "op8_token_counts": op8_token_counts, "op6_exact_dedup": op6_exact_dedup}
+def op10_license_scan(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return scan_licenses(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_nearest_neighbours, op3_toxicity, op4_mixing, op5_substring_dedup, op6_exact_dedup, op7_quotation_linking, op8_token_counts, op9_jaccard_join, op10_license_scan)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """

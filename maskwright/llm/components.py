@@ -13,11 +13,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node's neighbours to the smallest of them, first the larger ones, then the others, until
     all edges point at the smallest node of their component. Rounds grow with the logarithm of the longest path.
-    Loops and repeated edges do no harm; no edges give no rows.
+    Loops are left out, so a node of nothing else has no row; repeated edges do no harm; no edges give no rows.
     """
     ends = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     now = cut(edges.where("a != b").select(*ends("a", "b")).distinct())
-    loops = edges.where("a = b").select(F.col("a").alias("node"))
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,9 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    found = stars.unionByName(roots)
-    alone = loops.distinct().join(found, "node", "left_anti").withColumn("component", F.col("node"))
-    return found.unionByName(alone)
+    return stars.unionByName(roots)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -3,8 +3,9 @@
 One minus the Jaccard similarity is a metric, but unrelated texts all lie at distance one from any pivot, where
 Voronoi regions cannot part them. So candidates come first, exactly: shingles are dealt into so many parts that two
 linked sets must agree in one of them, and sets that share a part are joined into clusters (no linked pair lies
-across clusters). Small clusters are compared within a task. Large ones go round by round: some of their sets become
-pivots, every set of the cluster measures its distance to them, sets within reach are linked, and where the
+across clusters). Large clusters, which chains of shared passages can glue together, are parted by their sets' rarest
+shingles, of which linked sets must share one. Small clusters are joined within a task, by pivots if they are not tiny.
+Those beyond a task go round by round: some of their sets become pivots, every set of the cluster measures its distance to them, sets within reach are linked, and where the
 triangle-inequality windows replicate few sets the cluster is divided into the pivots' Voronoi regions, which go on
 by themselves. Sets that are already connected need no comparison, so a group of thousands of near copies costs one
 or two rounds and never all its pairs.
@@ -28,7 +29,8 @@ from .words import Words, mix
 
 #: Words in a shingle; texts are linked when DEN * intersection >= NUM * union.
 SHINGLE, NUM, DEN = 5, 80, 100
-#: A region of at most so many sets and shingles is compared within one task.
+#: A region of at most so many sets and shingles is joined within one task, and compared pair by pair up to the second.
+LOCAL_SETS, LOCAL_SHINGLES = 1 << 14, 4 << 20
 REGION_SETS, REGION_SHINGLES = 1024, 4 << 20
 #: Pivots of a round in one region, and their shingles, at most.
 PIVOTS, PIVOT_SHINGLES = 40, 8 << 20
@@ -132,6 +134,19 @@ def _chain(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], nodes[first], edges
 
 
+def _numbered(nodes: np.ndarray) -> bytes:
+    """How many distinct nodes there are, these, and each place's number among them in as few bytes as they need."""
+    distinct, number = np.unique(nodes, return_inverse=True)
+    kind = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
+    return np.int64(len(distinct)).tobytes() + distinct.tobytes() + number.astype(kind).tobytes()
+
+
+def _named(packed: bytes) -> np.ndarray:
+    n = int(np.frombuffer(packed, np.int64, 1)[0])
+    number = np.frombuffer(packed, np.uint16 if n <= 1 << 16 else np.uint32, offset=8 * (n + 1))
+    return np.frombuffer(packed, np.int64, n, 8)[number]
+
+
 _PACKED = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("edges", pa.binary())])
 
 
@@ -153,7 +168,7 @@ def _candidates(rows: DataFrame, size: int, bands: Bands, n_buckets: int) -> Dat
             found, first = np.unique(bucket, return_index=True)
             ends = np.append(first[1:], len(keys))[: len(first)].tolist()
             spans = list(zip(first.tolist(), ends, strict=True))
-            columns = [[keys[a:b].tobytes() for a, b in spans], [nodes[a:b].tobytes() for a, b in spans], [b""] * len(spans)]
+            columns = [[keys[a:b].tobytes() for a, b in spans], [_numbered(nodes[a:b]) for a, b in spans], [b""] * len(spans)]
             to = (edges[:, 0].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             own, first = np.unique(to[order], return_index=True)
@@ -164,7 +179,8 @@ def _candidates(rows: DataFrame, size: int, bands: Bands, n_buckets: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(np.append(found, own)), *(pa.array(c, pa.binary()) for c in columns)], schema=_PACKED)
 
     def join(table: pa.Table) -> pa.Table:
-        keys, nodes, edges = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("edges", np.int64)))
+        keys, edges = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("edges", np.int64)))
+        nodes = np.concatenate([np.zeros(0, np.int64), *(_named(p) for p in table["nodes"].to_pylist() if p)])
         edges = np.concatenate([_chain(keys, nodes)[2], edges.reshape(-1, 2)])
         edges = np.unique(edges, axis=0) if len(edges) else edges
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
@@ -192,21 +208,79 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def _to_pivots(pivots: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set (rows) with each pivot."""
+    universe = np.unique(np.concatenate(pivots))
+    table = np.zeros((len(universe) + 1, len(pivots)), np.uint8)
+    for j, p in enumerate(pivots):
+        table[np.searchsorted(universe, p), j] = 1
+    out, start = np.zeros((len(sets), len(pivots)), np.int64), 0
+    while start < len(sets):
+        stop, held = start, 0
+        while stop < len(sets) and (stop == start or held + len(sets[stop]) <= 1 << 19):
+            held, stop = held + len(sets[stop]), stop + 1
+        flat = np.concatenate(sets[start:stop])
+        at = np.searchsorted(universe, flat)
+        at[universe[np.minimum(at, len(universe) - 1)] != flat] = len(universe)
+        first = np.cumsum([0, *(len(s) for s in sets[start : stop - 1])])
+        out[start:stop] = np.add.reduceat(table[at], first, axis=0, dtype=np.int64)
+        start = stop
+    return out
+
+
+def _merge(label: np.ndarray, members: np.ndarray) -> None:
+    """Gives all labels of ``members`` the least of them."""
+    labels = np.unique(label[members])
+    if len(labels) > 1:
+        label[np.isin(label, labels)] = labels[0]
+
+
+def _join_region(sets: list[np.ndarray], bands: Bands) -> np.ndarray:
+    """Label of each set's component, by the module's method: pivots, windows, and pairs where few sets are left."""
+    sizes, label = np.array([len(s) for s in sets], np.int64), np.arange(len(sets))
+    reach, dice = (bands.den - bands.num) / bands.den, np.random.default_rng(len(sets))
+    todo = [(np.arange(len(sets)), np.zeros(len(sets), bool))]
+    while todo:
+        region, done = todo.pop()
+        own = sizes[region]
+        if len(region) <= REGION_SETS and own.sum() <= REGION_SHINGLES:
+            both = _overlaps([sets[i] for i in region])
+            linked = bands.den * both >= bands.num * (own[:, None] + own[None, :] - both)
+            seen = np.zeros(len(region), bool)
+            for i in range(len(region)):
+                front = np.array([] if seen[i] else [i], np.int64)
+                group = front
+                while len(front):
+                    seen[front] = True
+                    front = np.flatnonzero(linked[front].any(0) & ~seen)
+                    group = np.append(group, front)
+                if len(group) > 1:
+                    _merge(label, region[group])
+            continue
+        names, times = np.unique(label[region], return_counts=True)
+        # sets of the largest component are connected already; those that were pivots have met all the others
+        left = np.flatnonzero((label[region] != names[np.argmax(times)]) & ~done)
+        if not len(left):
+            continue
+        some = dice.permutation(left)[:PIVOTS]
+        some = some[: max(1, int((np.cumsum(own[some]) <= PIVOT_SHINGLES).sum()))]
+        both = _to_pivots([sets[i] for i in region[some]], [sets[i] for i in region])
+        union = own[:, None] + own[some][None, :] - both
+        linked, distance = bands.den * both >= bands.num * union, 1 - both / union
+        for j in range(len(some)):
+            _merge(label, region[linked[:, j]])
+        done[some] = True
+        windows = distance <= distance.min(1, keepdims=True) + 2 * reach + 1e-9
+        if windows.sum() <= REPLICATION * len(region):
+            todo += [(region[w], done[w]) for w in windows.T]
+        else:
+            todo.append((region, done))
+    return label
+
+
 def _stars(nodes: list[int], sets: list[np.ndarray], bands: Bands) -> list[tuple[int, int]]:
     """Each set of a region with the root of its linked sets, if that is another one."""
-    both, sizes = _overlaps(sets), np.array([len(s) for s in sets])
-    linked = bands.den * both >= bands.num * (sizes[:, None] + sizes[None, :] - both)
-    root, out = np.full(len(sets), -1), []
-    for i in range(len(sets)):
-        if root[i] < 0:
-            front = np.array([i])
-            while len(front):
-                root[front] = i
-                front = np.flatnonzero(linked[front].any(0) & (root < 0))
-    for i, r in enumerate(root.tolist()):
-        if r != i:
-            out.append((nodes[i], nodes[r]))
-    return out
+    return [(nodes[i], nodes[r]) for i, r in enumerate(_join_region(sets, bands).tolist()) if r != i]
 
 
 def _compare_regions(members: DataFrame, bands: Bands) -> DataFrame:
@@ -271,6 +345,38 @@ def _measure(members: DataFrame, bands: Bands, reach: float) -> DataFrame:
     return in_arrow(members, run, f"{_MEMBER}, linked array<long>, windows array<long>")
 
 
+def _by_rarest(members: DataFrame, bands: Bands) -> DataFrame:
+    """``members`` with large regions parted: sets that share none of their rarest shingles are not linked.
+
+    A set of n shingles that is linked shares at least num / den of them, so one of its n - ceil(n num / den) + 1
+    rarest is among the other's rarest too, for any order that all sets keep. Shingles of one set alone come first.
+    """
+    sizes = members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("all_n"))
+    large = small_side(sizes.where((F.col("sets") > REGION_SETS) | (F.col("all_n") > REGION_SHINGLES // 4)).select("region"))
+    if large.isEmpty():
+        return members
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "shingles"):
+                node, n, packed = (part.column(i) for i in range(3))
+                count = n.to_numpy(zero_copy_only=False)
+                shingles = np.frombuffer(b"".join(packed.to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node.to_numpy(zero_copy_only=False), count)), pa.array(np.repeat(count, count).astype(np.int32)), pa.array(shingles)], names=["node", "n", "shingle"])
+
+    chosen = members.join(large, "region")
+    single = in_arrow(chosen.select("node", "n", "shingles"), flat, "node long, n int, shingle long")
+    often = single.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    shared = single.join(often, "shingle").groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("own"))
+    # the rarest of all, without those that are this set's alone
+    take = F.expr(f"n - ({bands.num} * n + {bands.den - 1}) div {bands.den} + 1 - (n - size(own))").cast("int")
+    keys = cut(shared.where(take > 0).select("node", F.explode(F.slice("own", 1, take)).alias("key")).select("node", "key.shingle"))
+    first = keys.groupBy("shingle").agg(F.min("node").alias("first"))
+    joined = connected_components(keys.join(first, "shingle").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    parted = chosen.drop("region").join(joined.withColumnRenamed("component", "region"), "node").select(members.columns)
+    return cut(members.join(large, "region", "left_anti").unionByName(parted))
+
+
 def _pivot_rounds(members: DataFrame, bands: Bands) -> list[DataFrame]:
     """Edges that join the linked sets of all regions; see the module's text."""
     found: list[DataFrame] = []
@@ -283,7 +389,7 @@ def _pivot_rounds(members: DataFrame, bands: Bands) -> list[DataFrame]:
         # sets outside the largest known component are compared to all; those inside are connected already
         stats = stats.select("region", "sets", "all_n", F.col("main.comp").alias("main"), (F.col("open") - F.col("main.open")).alias("open"))
         stats = small_side(stats.where("open > 0 or sets > 1"))
-        little = (F.col("sets") <= REGION_SETS) & (F.col("all_n") <= REGION_SHINGLES)
+        little = (F.col("sets") <= LOCAL_SETS) & (F.col("all_n") <= LOCAL_SHINGLES)
         joined = members.join(stats, "region")
         found.append(cut(_compare_regions(joined.where(little & (F.col("sets") > 1)), bands)))
         large = cut(joined.where(~little & (F.col("sets") > 1) & (F.col("open") > 0)))
@@ -355,7 +461,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     members = in_arrow(picked, sets_of, "region long, node long, n long, shingles binary").dropDuplicates(["region", "node"])
     members = cut(members.select("*", F.col("node").alias("comp"), F.lit(False).alias("was_pivot")))
-    edges = _pivot_rounds(members, bands)
+    edges = _pivot_rounds(_by_rarest(members, bands), bands)
     links = edges[0]
     for more in edges[1:]:
         links = links.unionByName(more)

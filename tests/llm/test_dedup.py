@@ -102,12 +102,14 @@ def test_jaccard_odd_rows(odd, empty):
     assert jaccard_join(empty).count() == 0
 
 
-def test_jaccard_many_near_copies(spark, monkeypatch):
-    """Regions beyond one task's bound go through pivots; every link counts."""
+@pytest.mark.parametrize("local", [1 << 14, 8])
+def test_jaccard_many_near_copies(spark, monkeypatch, local):
+    """Regions beyond the bounds go through pivots, within a task or over several; every link counts."""
     import random
 
     from maskwright.llm import jaccard_join as module
 
+    monkeypatch.setattr(module, "LOCAL_SETS", local)
     monkeypatch.setattr(module, "REGION_SETS", 8)
     monkeypatch.setattr(module, "PIVOTS", 5)
     r = random.Random(3)

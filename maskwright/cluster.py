@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +27,11 @@ def ship(spark: SparkSession) -> None:
                 z.write(path, os.path.relpath(path, root))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the folder of ``spark.checkpoint.dir`` (a local one where that is unset)."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-"))
+    return df.checkpoint()

@@ -1,6 +1,225 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the masking engine, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import functions as F
+
+from .. import vocab as V
+from ..functions import text as T
+from ..operators import edits
+from ..operators.decide import decide, mask_text, merge_runs
+from ..operators.spans import spread_units, with_spans
+from ..sources.pages import page_lines
+from ..sources.units import lines_of, units_of, word_blocks
+from ..vocab import Rules
+from .export import text_runs, wireframe
+
+#: Production parameters: phrases of the user, interface labels, patterns for masking text.
+TERMS = ("the and", "of the")
+LABEL_PHRASES = ("the", "and", "for the")
+MASK_EMAIL, MASK_DIGITS = "[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "[0-9][0-9-]*[0-9]"
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _units(spark, sf_dir):
+    units = units_of(lines_of(_table(spark, sf_dir, "documents"), "doc_id")).withColumnRenamed("id", "doc_id")
+    return units.withColumns({"line_reason": T.unit_reason(F.col("text")), "unit_metric": T.unit_is_metric(F.col("text"))})
+
+
+def normalize_fold(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("normal"), F.sha2(T.fold(F.col("text")), 256).alias("folded"))
+
+
+def phrase_normalize(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_phrase(F.col("text")), 256).alias("phrase"))
+
+
+def judge_words(spark, sf_dir):
+    words = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("([^ \\t\\r\\n\\x0B\\f]+)"), F.lit(1))).alias("word"))
+    return words.withColumn("v", T.judge(F.col("word"))).select("conv_id", "turn", "word", "v.mask", "v.reason")
+
+
+def judge_reason_counts(spark, sf_dir):
+    units = units_of(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
+    return units.select(T.judge(F.col("text"))["reason"].alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def mask_email_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(mask_text(F.col("text"), MASK_EMAIL, "█"), 256).alias("masked"))
+
+
+def mask_digit_run_text(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(mask_text(F.col("text"), MASK_DIGITS, "█"), 256).alias("masked"))
+
+
+def unit_metric(spark, sf_dir):
+    return _units(spark, sf_dir).where("unit_metric").select("doc_id", "block_id", "unit_idx", "text")
+
+
+def line_reason_units(spark, sf_dir):
+    return _units(spark, sf_dir).where("line_reason IS NOT NULL").select("doc_id", "block_id", "unit_idx", "text", "line_reason")
+
+
+def line_pattern_units(spark, sf_dir):
+    blocks = word_blocks(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
+    return spread_units(with_spans(blocks, Rules(labels=()))).where("line_reason IS NOT NULL").select(F.col("id").alias("doc_id"), "block_id", "unit_idx", "text", "line_reason")
+
+
+def decide_masks(spark, sf_dir):
+    return decide(_units(spark, sf_dir)).where("mask").select("doc_id", "block_id", "unit_idx", "text", "reason")
+
+
+def decide_kept(spark, sf_dir):
+    return decide(_units(spark, sf_dir)).where("NOT mask").select("doc_id", "block_id", "unit_idx", "text", "reason")
+
+
+def decision_summary(spark, sf_dir):
+    return decide(_units(spark, sf_dir)).groupBy("doc_id", "mask", "reason").agg(F.count("*").alias("n"))
+
+
+def _phrases(spark, sf_dir, flag, rules):
+    blocks = word_blocks(lines_of(_table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text"), "key"))
+    return spread_units(with_spans(blocks, rules)).where(flag).select("id.conv_id", "id.turn", "block_id", "unit_idx", "text")
+
+
+def user_phrase_protect(spark, sf_dir):
+    return _phrases(spark, sf_dir, "user_kept", Rules(terms=TERMS, labels=()))
+
+
+def label_phrase_protect(spark, sf_dir):
+    return _phrases(spark, sf_dir, "label_kept", Rules(labels=LABEL_PHRASES))
+
+
+def run_merge(spark, sf_dir):
+    blocks = word_blocks(lines_of(_table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text"), "key"))
+    runs = merge_runs(decide(spread_units(with_spans(blocks))), ["id", "block_id"])
+    return runs.select("id.conv_id", "id.turn", "block_id", "start", "end", "reason", "text")
+
+
+def html_lines(spark, sf_dir):
+    return page_lines(_table(spark, sf_dir, "pages"))
+
+
+def html_semantics(spark, sf_dir):
+    return html_lines(spark, sf_dir).groupBy("semantic", "kind").agg(F.count("*").alias("n"))
+
+
+def html_table_link(spark, sf_dir):
+    lines = html_lines(spark, sf_dir)
+    heads = lines.where(F.col("kind").isin("th", "columnheader")).groupBy("page_id", "table_id", "col").agg(F.min_by("text", "line_id").alias("header"))
+    return lines.where("semantic = 'data' AND table_id IS NOT NULL").join(heads, ["page_id", "table_id", "col"], "left").select("page_id", "line_id", "table_id", "col", "text", "header")
+
+
+def html_decide(spark, sf_dir):
+    units = html_lines(spark, sf_dir).withColumns({"line_reason": T.unit_reason(F.col("text")), "unit_metric": T.unit_is_metric(F.col("text"))})
+    return decide(units).select("page_id", "block_id", "line_id", "semantic", "kind", "table_id", "col", "mask", "reason")
+
+
+def props_mask(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", mask_text(F.col("props"), MASK_DIGITS, "█").alias("props"))
+
+
+def coverage_metrics(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").rlike(MASK_EMAIL), F.lit(False)).alias("hit"))
+    return docs.join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("toxic").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
+
+
+def reason_hue(spark, sf_dir):
+    return judge_reason_counts(spark, sf_dir).select("reason", T.reason_hue(F.col("reason")).alias("hue"))
+
+
+def phrase_merge(spark, sf_dir):
+    terms = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\\.")).alias("term")).select("item_id", F.regexp_replace("term", f"^[{V.JS_SPACE}]+|[{V.JS_SPACE}]+\\z", "").alias("term"))
+    return terms.where("term != ''").groupBy("term").agg(F.min("item_id").alias("first_id"))
+
+
+def _rects(spark, sf_dir):
+    """Synthetic rectangles, as no table holds any: 20 to a page, from the numbers of documents."""
+    n = F.col("doc_id")
+    return _table(spark, sf_dir, "documents").select(F.floor(n / 20).alias("page_id"), n.alias("mask_id"), (n * 37 % 400).cast("double").alias("x"), (n * 53 % 300).cast("double").alias("y"), (20 + n % 60).cast("double").alias("w"), F.lit(10.0).alias("h"), F.substring("text", 1, 12).alias("text"))
+
+
+def bulk_unmask(spark, sf_dir):
+    drags = _rects(spark, sf_dir).where("mask_id % 20 = 3").select("page_id", "x", "y", (F.col("w") * 2).alias("w"), (F.col("h") * 5).alias("h"))
+    return edits.bulk_unmask(_rects(spark, sf_dir), drags).select("page_id", "mask_id")
+
+
+def click_unmask(spark, sf_dir):
+    clicks = _rects(spark, sf_dir).where("mask_id % 20 = 7").select("page_id", F.col("mask_id").alias("click_id"), (F.col("x") + 5).alias("x"), (F.col("y") + 5).alias("y"))
+    return edits.click_unmask(_rects(spark, sf_dir), clicks).select("page_id", "mask_id")
+
+
+def column_unmask(spark, sf_dir):
+    masks = _rects(spark, sf_dir)
+    gone = edits.column_members(masks, masks.where("mask_id % 20 = 5"))
+    return masks.join(gone, ["page_id", "mask_id"], "left_anti").select("page_id", "mask_id")
+
+
+def text_run_merge(spark, sf_dir):
+    return text_runs(_rects(spark, sf_dir).where("mask_id % 2 = 0").withColumn("block_id", (F.col("mask_id") % 3).cast("int")))
+
+
+def wireframe_json(spark, sf_dir):
+    masks = _rects(spark, sf_dir).where("mask_id % 2 = 1").withColumn("reason", F.lit("digit-run"))
+    return wireframe(text_run_merge(spark, sf_dir), masks)
+
+
+QUERIES = {f.__name__: f for f in (
+    normalize_fold, phrase_normalize, judge_words, judge_reason_counts, mask_email_text, mask_digit_run_text, unit_metric, line_reason_units, line_pattern_units,
+    decide_masks, decide_kept, decision_summary, user_phrase_protect, label_phrase_protect, run_merge, html_lines, html_semantics, html_table_link, html_decide,
+    props_mask, coverage_metrics, reason_hue, phrase_merge, bulk_unmask, click_unmask, column_unmask, text_run_merge, wireframe_json,
+)}
+
+# -- SQL ------------------------------------------------------------------------------------------------------------
+_RE2 = lambda p: p.replace("\\z", "$").replace("'", "''")
+_FOLD = lambda c: f"lower(translate({c}, '{V.WIDE}', '{V.NARROW}'))"
+_TRIM = lambda c: f"regexp_replace({c}, '^[{V.JS_SPACE}]+|[{V.JS_SPACE}]+$', '', 'g')"
+_HAS = lambda c, p: f"regexp_matches({c}, '{_RE2(p)}')"
+_JUDGE = f"""CASE WHEN n = '' THEN 'empty' WHEN contains(n, '@') THEN 'at-mark' WHEN {_HAS('n', '[0-9]')} THEN 'digit'
+    WHEN length(n) + length(regexp_replace(n, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) >= {V.LONG_TEXT} THEN 'long-text'
+    WHEN n IN ({', '.join(f"'{x}'" for x in V.LABELS)}) THEN 'allowlist' WHEN {_HAS('r', V.NAME_LIKE)} THEN 'jp-name-like'
+    WHEN {_HAS('r', V.ASCII_WORD)} THEN 'ascii-word' ELSE 'unknown' END"""
+_LINE = f"""CASE WHEN {_HAS('f', V.DIGIT_RUN)} THEN 'digit-run' WHEN {_HAS('f', V.EMAIL)} THEN 'email'
+    WHEN {_HAS('f', V.EMAIL_HEAD)} OR {_HAS('f', V.EMAIL_TAIL)} THEN 'email-frag' END"""
+_UNITS = f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS block_id FROM documents),
+    words AS (SELECT doc_id, block_id, unnest(regexp_extract_all(line, '[^ \\t\\r\\x0B\\f]+')) AS text, unnest(range(len(regexp_extract_all(line, '[^ \\t\\r\\x0B\\f]+')))) AS k FROM lines),
+    units AS (SELECT doc_id, CAST(block_id AS INT) AS block_id, CAST(2 * k AS INT) AS unit_idx, text, {_FOLD('text')} AS f, {_TRIM('text')} AS r, {_FOLD(_TRIM('text'))} AS n FROM words),
+    said AS (SELECT *, {_LINE} AS line_reason, regexp_matches(f, '^{V.METRIC}$') AS metric, {_JUDGE} AS own FROM units),
+    decided AS (SELECT *, metric AND coalesce(line_reason, '') NOT LIKE 'email%' AS measure,
+        CASE WHEN metric AND coalesce(line_reason, '') NOT LIKE 'email%' THEN 'unit-metric' ELSE coalesce(line_reason, own) END AS reason,
+        NOT (metric AND coalesce(line_reason, '') NOT LIKE 'email%') AND (line_reason IS NOT NULL OR own NOT IN ('empty', 'allowlist')) AS mask FROM said)
+"""
+_RECTS = """WITH rects AS (SELECT doc_id // 20 AS page_id, doc_id AS mask_id, CAST(doc_id * 37 % 400 AS DOUBLE) AS x, CAST(doc_id * 53 % 300 AS DOUBLE) AS y,
+    CAST(20 + doc_id % 60 AS DOUBLE) AS w, 10.0::DOUBLE AS h FROM documents)
+"""
+_MASKED = lambda p: f"SELECT doc_id, sha256(regexp_replace(text, '{p}', '█', 'g')) AS masked FROM documents"
+
+ORACLE_SQL = {
+    "normalize_fold": f"SELECT doc_id, sha256({_FOLD(_TRIM('text'))}) AS normal, sha256({_FOLD('text')}) AS folded FROM documents",
+    "phrase_normalize": f"SELECT doc_id, sha256({_FOLD(f'''regexp_replace(text, '[{V.PHRASE_DROP}]+', '', 'g')''')}) AS phrase FROM documents",
+    "judge_words": f"""WITH words AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^ \\t\\r\\n\\x0B\\f]+')) AS word FROM conversations),
+        forms AS (SELECT *, {_TRIM('word')} AS r, {_FOLD(_TRIM('word'))} AS n FROM words), said AS (SELECT *, {_JUDGE} AS reason FROM forms)
+        SELECT conv_id, turn, word, reason NOT IN ('empty', 'allowlist') AS mask, reason FROM said""",
+    "judge_reason_counts": _UNITS + "SELECT own AS reason, count(*) AS n FROM said GROUP BY 1",
+    "mask_email_text": _MASKED(MASK_EMAIL),
+    "mask_digit_run_text": _MASKED(MASK_DIGITS),
+    "unit_metric": _UNITS + "SELECT doc_id, block_id, unit_idx, text FROM said WHERE metric",
+    "line_reason_units": _UNITS + "SELECT doc_id, block_id, unit_idx, text, line_reason FROM said WHERE line_reason IS NOT NULL",
+    "decide_masks": _UNITS + "SELECT doc_id, block_id, unit_idx, text, reason FROM decided WHERE mask",
+    "decide_kept": _UNITS + "SELECT doc_id, block_id, unit_idx, text, reason FROM decided WHERE NOT mask",
+    "decision_summary": _UNITS + "SELECT doc_id, mask, reason, count(*) AS n FROM decided GROUP BY ALL",
+    "props_mask": f"SELECT event_id, regexp_replace(props, '{MASK_DIGITS}', '█', 'g') AS props FROM events",
+    "coverage_metrics": f"SELECT toxic, count(*) FILTER (regexp_matches(text, '{MASK_EMAIL}')) AS hits, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY toxic",
+    "phrase_merge": f"SELECT term, min(item_id) AS first_id FROM (SELECT item_id, {_TRIM('term')} AS term FROM (SELECT item_id, unnest(string_split(text, '.')) AS term FROM benchmark)) WHERE term <> '' GROUP BY term",
+    "bulk_unmask": _RECTS + """SELECT page_id, mask_id FROM rects m WHERE NOT EXISTS (SELECT 1 FROM rects d WHERE d.mask_id % 20 = 3 AND d.page_id = m.page_id
+        AND m.x < d.x + 2 * d.w AND d.x < m.x + m.w AND m.y < d.y + 5 * d.h AND d.y < m.y + m.h)""",
+    "click_unmask": _RECTS + """, hit AS (SELECT c.mask_id AS click, max(m.mask_id) AS mask_id FROM rects c JOIN rects m ON m.page_id = c.page_id
+        AND c.x + 5 BETWEEN m.x AND m.x + m.w AND c.y + 5 BETWEEN m.y AND m.y + m.h WHERE c.mask_id % 20 = 7 GROUP BY 1)
+        SELECT page_id, mask_id FROM rects WHERE mask_id NOT IN (SELECT mask_id FROM hit)""",
+    "column_unmask": "WITH RECURSIVE" + _RECTS[4:] + """, closure AS (SELECT page_id, mask_id FROM rects WHERE mask_id % 20 = 5 UNION SELECT b.page_id, b.mask_id FROM closure c
+        JOIN rects a ON a.page_id = c.page_id AND a.mask_id = c.mask_id JOIN rects b ON b.page_id = a.page_id AND least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) >= 0.5 * least(a.w, b.w))
+        SELECT page_id, mask_id FROM rects WHERE mask_id NOT IN (SELECT mask_id FROM closure)""",
+}

@@ -44,7 +44,7 @@ def flat_bytes(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarr
     return flat, at - at[0]
 
 
-def with_column(df: DataFrame, source: str, name: str, kind: str, values: Callable[[list], list | pa.Array], strings: bool = True, drop: bool = False) -> DataFrame:
+def with_column(df: DataFrame, source: str, name: str, kind: str, values: Callable[[list], list | pa.Array], strings: bool = True, drop: bool = False, limit: int = SLICE_BYTES) -> DataFrame:
     """``df`` with ``name`` computed from ``source`` slice by slice, without ``source`` if ``drop``. ``values`` gets texts or bytes."""
     kept = [f for f in df.schema.fields if f.name != name and not (drop and f.name == source)]
     schema = StructType([*kept, StructField(name, _parse_datatype_string(kind))])
@@ -52,7 +52,7 @@ def with_column(df: DataFrame, source: str, name: str, kind: str, values: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
         for batch in batches:
-            for part in slices(batch, source):
+            for part in slices(batch, source, limit):
                 raw = part.column(part.schema.get_field_index(source)).to_pylist()
                 made = values([x or ("" if strings else b"") for x in raw])
                 made = made if isinstance(made, pa.Array) else pa.array(made, out.field(name).type)

@@ -12,13 +12,14 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .arrow_rows import with_column
 
 #: Distinct words whose ids a worker remembers; beyond this it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Symbols that are merged together in one flat array.
 ROUND_SYMBOLS = 1 << 20
 NO_RANK = np.iinfo(np.int64).max
@@ -179,3 +180,16 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of the packed ids. Null and empty ids give the empty text; other columns stay."""
     return with_column(df, ids_col, text_col, "string", lambda packed: [x.decode() for x in _model(path).decode(packed)], strings=False)
+
+
+def bpe_round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", drop: bool = False) -> DataFrame:
+    """``bpe_encode`` and ``bpe_decode`` in one pass, so that a task has one Python worker with one vocabulary."""
+
+    def both(texts: list[str]) -> pa.Array:
+        model = _model(path)
+        packed = model.encode(texts)
+        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(model.decode(packed), pa.binary()).cast(pa.string())], names=["ids", "decoded"])
+
+    kept = [c for c in df.columns if c not in (ids_col, decoded_col, "_coded") and not (drop and c == text_col)]
+    coded = with_column(df.select(*kept, *([text_col] if text_col not in kept else [])), text_col, "_coded", "struct<ids:binary,decoded:string>", both, drop=drop, limit=1 << 20)
+    return coded.select(*kept, coded["_coded.ids"].alias(ids_col), coded["_coded.decoded"].alias(decoded_col))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .licenses import scan_licenses
@@ -32,11 +32,15 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def digests(coded):
+    """Token counts and digests of ids and decoded texts."""
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op1_bpe(spark, sf_dir):
     path = f"{TOKENIZERS}/word_bpe_49k.json"
-    encoded = bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, drop=True)
-    coded = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return bpe_decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, drop=True)
+    return digests(coded)
 
 
 def op2_nearest_neighbours(spark, sf_dir):

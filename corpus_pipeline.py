@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import queries as Q
-from maskwright.llm.bpe import bpe_decode, bpe_encode
+from maskwright.llm.bpe import bpe_round_trip
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.jaccard_join import jaccard_join
 from maskwright.llm.mixing import mix_sources, repeated
@@ -58,9 +58,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and what they decode to, as digests."""
     path = f"{Q.TOKENIZERS}/word_bpe_49k.json"
-    coded = bpe_encode(docs.select("doc_id", "text"), path, drop=True)
-    coded = coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return bpe_decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return Q.digests(bpe_round_trip(docs.select("doc_id", "text"), path, drop=True))
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("encoding", encoding)]

@@ -1,23 +1,27 @@
 """Exact n-gram Jaccard join in metric space.
 
 One minus the Jaccard similarity is a metric, but unrelated texts all lie at distance one from any pivot, where
-Voronoi regions cannot part them. So candidates come first, exactly: shingles are dealt into so many parts that two
-linked sets must agree in one of them, and sets that share a part are joined into clusters (no linked pair lies
-across clusters). Large clusters, which chains of shared passages can glue together, are parted by their sets' rarest
-shingles, of which linked sets must share one. Small clusters are joined within a task, by pivots if they are not tiny.
-Those beyond a task go round by round: some of their sets become pivots, every set of the cluster measures its distance to them, sets within reach are linked, and where the
-triangle-inequality windows replicate few sets the cluster is divided into the pivots' Voronoi regions, which go on
-by themselves. Sets that are already connected need no comparison, so a group of thousands of near copies costs one
-or two rounds and never all its pairs.
+Voronoi regions cannot part them. So candidates come first, exactly: of two linked sets, the rarest common shingle is
+among the few rarest of both, in any order that all sets keep. The order is by estimated frequency: blocks of
+documents send the cells of their shingles to ranges of hashes, these merge the counts, and each block gets back the
+classes of its cells that hold more than one. Shingles of one set alone are rarest and cannot be common. Sets that
+share one of their rarest shingles are joined into clusters (no linked pair lies across clusters).
+
+Clusters that fit a task are joined within one, by pivots if they are not tiny. Those beyond a task go round by round:
+some of their sets become pivots, every set of the cluster measures its distance to them, sets within reach are linked,
+and where the triangle-inequality windows replicate few sets the cluster is divided into the pivots' Voronoi regions,
+which go on by themselves. Sets that are already connected need no comparison, so a group of thousands of near copies
+costs one or two rounds and never all its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +29,7 @@ from ..cluster import ship
 from .arrow_rows import flat_bytes, in_arrow, slices
 from .components import connected_components
 from .spark_util import cut, small_side
+from .substring_dedup import answer, by_range, pack, range_of, unpack
 from .words import Words, mix
 
 #: Words in a shingle; texts are linked when DEN * intersection >= NUM * union.
@@ -36,13 +41,18 @@ REGION_SETS, REGION_SHINGLES = 1024, 4 << 20
 PIVOTS, PIVOT_SHINGLES = 40, 8 << 20
 #: A region is divided when its windows hold each set at most so many times.
 REPLICATION = 2.0
-#: Size of a band of set sizes, as a ratio.
-BAND = 1.6
-#: Part signatures in one bucket, about.
-BUCKET_KEYS = 1 << 20
+#: Shingles in a block, in a range of hashes, and rarest shingles in a bucket, about; bits of a cell within its range.
+BLOCK_SHINGLES, RANGE_SHINGLES, BUCKET_KEYS, CELL_BITS = 1 << 20, 2 << 20, 1 << 20, 24
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Limit(NamedTuple):
+    """Sets are linked when ``den * intersection >= num * union``."""
+
+    num: int
+    den: int
+
+
 def shingle_sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of ``part``; a shorter text is one shingle as a whole."""
     flat, offsets = flat_bytes(part, "text")
@@ -64,65 +74,6 @@ def identity(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in mix(np.array(both, np.uint64)).view(np.int64))
 
 
-class Bands:
-    """Bands of set sizes; in each, the parts that make sure of a common one."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        edges = [1]
-        while edges[-1] < 1 << 40:
-            edges.append(max(edges[-1] + 1, int(edges[-1] * max(BAND, 1.01 * den / num))))
-        self.edges = np.array(edges, np.int64)
-        most = self.edges[1:] - 1
-        #: Elements in which a linked pair can differ whose smaller set lies in the band, and its parts.
-        self.differ = most * (den - num) // num
-        self.parts = self.differ + 1 + np.ceil(0.28 * self.differ + 1).astype(np.int64)
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, sizes, "right") - 1
-
-    def reaches_below(self, sizes: np.ndarray) -> np.ndarray:
-        """Whether a set of the band below can be the smaller of a linked pair."""
-        band = self.of(sizes)
-        return (band > 0) & (self.den * (self.edges[band] - 1) >= self.num * sizes)
-
-
-def part_keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the sets' parts, and the set of each. Linked sets have one in common.
-
-    A part that is empty in both sets would be no evidence: with D differing elements and more than D parts that are
-    not empty in one of them, an equal part that is not empty is left. Sets with fewer such parts give their D + 1
-    smallest elements as well, which is enough between two of their kind.
-    """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    place, value = mix(flat ^ np.uint64(7)) >> np.uint64(32), mix(flat)
-    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    own = bands.of(np.maximum(sizes, 1))
-    for band, use in ((own, sizes > 0), (own - 1, bands.reaches_below(np.maximum(sizes, 1)) & (sizes > 0))):
-        band = np.maximum(band, 0)
-        parts = np.where(use, bands.parts[band], 0)
-        base = np.append(0, np.cumsum(parts))
-        chosen = use[owner]
-        slot = base[owner[chosen]] + ((place[chosen] * parts[owner[chosen]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(base[-1], np.uint64)
-        np.add.at(sums, slot, value[chosen])
-        filled = np.zeros(base[-1], bool)
-        filled[slot] = True
-        of_set = np.repeat(np.arange(len(sets)), parts)
-        part = np.arange(base[-1]) - base[of_set]
-        label = part.astype(np.uint64) << np.uint64(8) | band[of_set].astype(np.uint64)
-        keys.append(mix(sums[filled] ^ mix(label[filled] + np.uint64(1))))
-        owners.append(of_set[filled])
-        few = use & (np.bincount(of_set[filled], minlength=len(sets)) <= bands.differ[band])
-        for i in np.flatnonzero(few).tolist():
-            least = sets[i][: int(bands.differ[band[i]]) + 1]
-            keys.append(mix(least ^ mix(np.array([~np.uint64(band[i])], np.uint64))))
-            owners.append(np.full(len(least), i))
-    return np.concatenate(keys), np.concatenate(owners)
-
-
 def _chain(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys with their least node, and distinct edges that join all nodes of each key."""
     order = np.lexsort((nodes, keys))
@@ -147,36 +98,109 @@ def _named(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.int64, n, 8)[number]
 
 
-_PACKED = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("edges", pa.binary())])
+_EDGES = "a long, b long"
+_SENT = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("edges", pa.binary())])
 
 
-def _candidates(rows: DataFrame, size: int, bands: Bands, n_buckets: int) -> DataFrame:
-    """Edges ``a, b`` between sets that share a part; every linked pair of sets is connected by them."""
+def _codes(shingles: np.ndarray, ranges: int) -> np.ndarray:
+    """Range and cell of each shingle in one integer."""
+    return (range_of(shingles, ranges) << np.uint64(CELL_BITS)) | (mix(shingles) >> np.uint64(64 - CELL_BITS))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for part in slices(batch, "text"):
-                sets = shingle_sets(part, size)
-                names = np.array([identity(s)[0] for s in sets], np.int64)
-                k, o = part_keys(sets, bands)
-                keys.append(k)
-                nodes.append(names[o])
-            # a key leaves a batch once: its nodes are joined here, so common parts do not pile up in a bucket
-            keys, nodes, edges = _chain(np.concatenate(keys), np.concatenate(nodes))
-            bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-            found, first = np.unique(bucket, return_index=True)
-            ends = np.append(first[1:], len(keys))[: len(first)].tolist()
-            spans = list(zip(first.tolist(), ends, strict=True))
-            columns = [[keys[a:b].tobytes() for a, b in spans], [_numbered(nodes[a:b]) for a, b in spans], [b""] * len(spans)]
-            to = (edges[:, 0].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            own, first = np.unique(to[order], return_index=True)
-            for a, b in zip(first.tolist(), np.append(first[1:], len(to))[: len(first)].tolist(), strict=True):
-                columns[0].append(b"")
-                columns[1].append(b"")
-                columns[2].append(edges[order[a:b]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(found, own)), *(pa.array(c, pa.binary()) for c in columns)], schema=_PACKED)
+
+def _named_sets(table: pa.Table, size: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Nodes and sets of ``table`` slice by slice; rows whose text is not the node's are left out, as ids may repeat."""
+    for batch in table.to_batches():
+        for part in slices(batch, "text"):
+            nodes = part.column(part.schema.get_field_index("node")).to_pylist()
+            sets = shingle_sets(part, size)
+            held = [i for i, s in enumerate(sets) if identity(s)[0] == nodes[i]]
+            yield [nodes[i] for i in held], [sets[i] for i in held]
+
+
+def _rarest(sets: list[np.ndarray], classes: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of which linked sets share one, and the set of each; ``classes`` are those of all shingles.
+
+    A set of n shingles that is linked shares at least n * num / den of them, so its rarest common shingle is among
+    its n - ceil(n * num / den) + 1 rarest. Those of class zero are in no other set.
+    """
+    keys, owners, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for i, s in enumerate(sets):
+        own = classes[start : start + len(s)]
+        start += len(s)
+        shared = np.flatnonzero(own)
+        take = len(s) + (-limit.num * len(s)) // limit.den + 1 - (len(s) - len(shared))
+        if take > 0 and len(shared):
+            first = np.lexsort((s[shared], own[shared]))[:take]
+            keys.append(s[shared[first]])
+            owners.append(np.full(len(first), i))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _to_buckets(keys: np.ndarray, nodes: np.ndarray, n_buckets: int) -> pa.Table:
+    """Rows for the buckets of ``keys``. A key is sent once: its nodes here are joined by edges, which go along."""
+    keys, nodes, edges = _chain(keys, nodes)
+    bucket = range_of(keys, n_buckets).astype(np.int64)
+    found, first = np.unique(bucket, return_index=True)
+    spans = list(zip(first.tolist(), np.append(first[1:], len(keys))[: len(first)].tolist(), strict=True))
+    columns = [[keys[a:b].tobytes() for a, b in spans], [_numbered(nodes[a:b]) for a, b in spans], [b""] * len(spans)]
+    to = (edges[:, 0].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    own, first = np.unique(to[order], return_index=True)
+    for a, b in zip(first.tolist(), np.append(first[1:], len(to))[: len(first)].tolist(), strict=True):
+        for column, value in zip(columns, (b"", b"", edges[order[a:b]].tobytes()), strict=True):
+            column.append(value)
+    return pa.Table.from_arrays([pa.array(np.append(found, own), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], schema=_SENT)
+
+
+def _candidates(texts: DataFrame, size: int, limit: Limit, total: int) -> DataFrame:
+    """Edges ``a, b`` between sets that share one of their rarest shingles; they connect every linked pair of sets.
+
+    ``texts`` holds ``doc_id, node, text``, each set once; ``total`` is the number of their shingles. The answers to
+    all blocks together have at most as many rows as there are shingles; at far larger inputs raise BLOCK_SHINGLES and
+    RANGE_SHINGLES, so that blocks x ranges stays well below that.
+    """
+    least = 4 * texts.sparkSession.sparkContext.defaultParallelism
+    n_blocks, n_ranges = max(least, -(-total // BLOCK_SHINGLES)), max(least, -(-total // RANGE_SHINGLES))
+    n_buckets = max(least, int(total * (limit.den - limit.num) / limit.den) // BUCKET_KEYS)
+    sent = "range long, block long, packed binary"
+
+    def touch(key: tuple, table: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.uint64), *(_codes(s, n_ranges) for _, sets in _named_sets(table, size) for s in sets)]
+        codes, times = np.unique(np.concatenate(found), return_counts=True)
+        cells, times = (codes & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32), np.minimum(times, 255).astype(np.uint8)
+        return by_range(key[0].as_py(), codes, codes >> np.uint64(CELL_BITS), lambda a, b: pack(cells[a:b]) + times[a:b].tobytes())
+
+    def classify(table: pa.Table) -> pa.Table:
+        counts, rows = np.zeros(1 << CELL_BITS, np.int32), []
+        for block, packed in zip(table["block"].to_pylist(), table["packed"].to_pylist(), strict=True):
+            n = len(packed) // 5
+            cells = unpack(packed[: 4 * n], np.uint32)
+            counts[cells] += np.frombuffer(packed, np.uint8, n, 4 * n)
+            rows.append((block, cells))
+        back = []
+        for block, cells in rows:
+            cells = cells[counts[cells] > 1]
+            if len(cells):
+                back.append((block, pack(cells) + np.floor(2 * np.log2(counts[cells])).astype(np.uint8).tobytes()))
+        return answer(table["range"][0].as_py(), back)
+
+    def rarest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        for r, packed in zip(right["range"].to_pylist(), right["packed"].to_pylist(), strict=True):
+            n = len(packed) // 5
+            codes.append(unpack(packed[: 4 * n], np.uint32).astype(np.uint64) | np.uint64(r << CELL_BITS))
+            kinds.append(np.frombuffer(packed, np.uint8, n, 4 * n))
+        codes, kinds = np.concatenate(codes), np.concatenate(kinds)
+        order = np.argsort(codes)
+        codes, kinds = codes[order], kinds[order]
+        keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for names, sets in _named_sets(left, size) if len(codes) else ():
+            own = _codes(np.concatenate([np.zeros(0, np.uint64), *sets]), n_ranges)
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            k, o = _rarest(sets, np.where(codes[at] == own, kinds[at], 0), limit)
+            keys.append(k)
+            nodes.append(np.array(names, np.int64)[o])
+        return _to_buckets(np.concatenate(keys), np.concatenate(nodes), n_buckets)
 
     def join(table: pa.Table) -> pa.Table:
         keys, edges = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("edges", np.int64)))
@@ -185,8 +209,10 @@ def _candidates(rows: DataFrame, size: int, bands: Bands, n_buckets: int) -> Dat
         edges = np.unique(edges, axis=0) if len(edges) else edges
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
-    sent = in_arrow(rows.select("text"), send, "bucket long, keys binary, nodes binary, edges binary")
-    return sent.groupBy("bucket").applyInArrow(join, "a long, b long")
+    blocks = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "node", "text").groupBy("block")
+    classes = blocks.applyInArrow(touch, sent).groupBy("range").applyInArrow(classify, sent)
+    keys = blocks.cogroup(classes.groupBy("block")).applyInArrow(rarest, "bucket long, keys binary, nodes binary, edges binary")
+    return keys.groupBy("bucket").applyInArrow(join, _EDGES)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -235,17 +261,17 @@ def _merge(label: np.ndarray, members: np.ndarray) -> None:
         label[np.isin(label, labels)] = labels[0]
 
 
-def _join_region(sets: list[np.ndarray], bands: Bands) -> np.ndarray:
+def _join_region(sets: list[np.ndarray], limit: Limit) -> np.ndarray:
     """Label of each set's component, by the module's method: pivots, windows, and pairs where few sets are left."""
     sizes, label = np.array([len(s) for s in sets], np.int64), np.arange(len(sets))
-    reach, dice = (bands.den - bands.num) / bands.den, np.random.default_rng(len(sets))
+    reach, dice = (limit.den - limit.num) / limit.den, np.random.default_rng(len(sets))
     todo = [(np.arange(len(sets)), np.zeros(len(sets), bool))]
     while todo:
         region, done = todo.pop()
         own = sizes[region]
         if len(region) <= REGION_SETS and own.sum() <= REGION_SHINGLES:
             both = _overlaps([sets[i] for i in region])
-            linked = bands.den * both >= bands.num * (own[:, None] + own[None, :] - both)
+            linked = limit.den * both >= limit.num * (own[:, None] + own[None, :] - both)
             seen = np.zeros(len(region), bool)
             for i in range(len(region)):
                 front = np.array([] if seen[i] else [i], np.int64)
@@ -266,7 +292,7 @@ def _join_region(sets: list[np.ndarray], bands: Bands) -> np.ndarray:
         some = some[: max(1, int((np.cumsum(own[some]) <= PIVOT_SHINGLES).sum()))]
         both = _to_pivots([sets[i] for i in region[some]], [sets[i] for i in region])
         union = own[:, None] + own[some][None, :] - both
-        linked, distance = bands.den * both >= bands.num * union, 1 - both / union
+        linked, distance = limit.den * both >= limit.num * union, 1 - both / union
         for j in range(len(some)):
             _merge(label, region[linked[:, j]])
         done[some] = True
@@ -278,30 +304,36 @@ def _join_region(sets: list[np.ndarray], bands: Bands) -> np.ndarray:
     return label
 
 
-def _stars(nodes: list[int], sets: list[np.ndarray], bands: Bands) -> list[tuple[int, int]]:
+def _stars(nodes: list[int], sets: list[np.ndarray], limit: Limit) -> list[tuple[int, int]]:
     """Each set of a region with the root of its linked sets, if that is another one."""
-    return [(nodes[i], nodes[r]) for i, r in enumerate(_join_region(sets, bands).tolist()) if r != i]
+    return [(nodes[i], nodes[r]) for i, r in enumerate(_join_region(sets, limit).tolist()) if r != i]
 
 
-def _compare_regions(members: DataFrame, bands: Bands) -> DataFrame:
-    """Linked sets within regions of bounded size, as edges ``a, b``."""
+def _compare_regions(members: DataFrame, limit: Limit, sets_of: Callable[[pa.Table], Iterator[tuple[list[int], list[np.ndarray]]]]) -> DataFrame:
+    """Linked sets within regions of bounded size, as edges ``a, b``; ``sets_of`` gives nodes and sets of some rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, held = None, {}
         for batch in batches:
+            regions = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, regions[1:] != regions[:-1])[: len(regions)]).tolist()
             out: list[tuple[int, int]] = []
-            for r, node, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if r != region:
+            for start, stop in zip(starts, [*starts[1:], len(regions)], strict=True):
+                if regions[start] != region:
                     if len(held) > 1:
-                        out += _stars(list(held), list(held.values()), bands)
-                    region, held = r, {}
-                held[node] = np.frombuffer(packed, np.uint64)
+                        out += _stars(list(held), list(held.values()), limit)
+                    region, held = regions[start], {}
+                for nodes, sets in sets_of(pa.Table.from_batches([batch.slice(start, stop - start)])):
+                    held.update(zip(nodes, sets, strict=True))
             yield _edge_batch(out)
         if len(held) > 1:
-            yield _edge_batch(_stars(list(held), list(held.values()), bands))
+            yield _edge_batch(_stars(list(held), list(held.values()), limit))
 
-    dealt = members.select("region", "node", "shingles").repartition("region").sortWithinPartitions("region")
-    return in_arrow(dealt, run, "a long, b long")
+    return in_arrow(members.repartition("region").sortWithinPartitions("region"), run, _EDGES)
+
+
+def _packed_sets(table: pa.Table) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    yield table["node"].to_pylist(), [np.frombuffer(p, np.uint64) for p in table["shingles"].to_pylist()]
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -311,7 +343,7 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 _MEMBER = "region long, node long, n long, shingles binary, comp long, was_pivot boolean"
 
 
-def _measure(members: DataFrame, bands: Bands, reach: float) -> DataFrame:
+def _measure(members: DataFrame, limit: Limit, reach: float) -> DataFrame:
     """Each member with the pivots it is linked to, and those whose window holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +368,7 @@ def _measure(members: DataFrame, bands: Bands, reach: float) -> DataFrame:
                 both = table[at].sum(0, dtype=np.int64)
                 union = len(mine) + sizes - both
                 distance = 1 - both / union
-                linked.append([n for n, yes in zip(nodes, bands.den * both >= bands.num * union, strict=True) if yes])
+                linked.append([n for n, yes in zip(nodes, limit.den * both >= limit.num * union, strict=True) if yes])
                 windows.append([n for n, d in zip(nodes, distance, strict=True) if d <= distance.min() + 2 * reach + 1e-9])
             kept = [batch.column(names.index(c.split()[0])) for c in _MEMBER.split(", ")]
             kinds = [pa.list_(pa.int64())] * 2
@@ -345,39 +377,12 @@ def _measure(members: DataFrame, bands: Bands, reach: float) -> DataFrame:
     return in_arrow(members, run, f"{_MEMBER}, linked array<long>, windows array<long>")
 
 
-def _by_rarest(members: DataFrame, bands: Bands) -> DataFrame:
-    """``members`` with large regions parted: sets that share none of their rarest shingles are not linked.
+def _fits() -> Column:
+    """Whether a region of ``sets`` sets and ``all_n`` shingles is joined within one task."""
+    return (F.col("sets") <= LOCAL_SETS) & (F.col("all_n") <= LOCAL_SHINGLES)
 
-    A set of n shingles that is linked shares at least num / den of them, so one of its n - ceil(n num / den) + 1
-    rarest is among the other's rarest too, for any order that all sets keep. Shingles of one set alone come first.
-    """
-    sizes = members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("all_n"))
-    large = small_side(sizes.where((F.col("sets") > REGION_SETS) | (F.col("all_n") > REGION_SHINGLES // 4)).select("region"))
-    if large.isEmpty():
-        return members
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "shingles"):
-                node, n, packed = (part.column(i) for i in range(3))
-                count = n.to_numpy(zero_copy_only=False)
-                shingles = np.frombuffer(b"".join(packed.to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node.to_numpy(zero_copy_only=False), count)), pa.array(np.repeat(count, count).astype(np.int32)), pa.array(shingles)], names=["node", "n", "shingle"])
-
-    chosen = members.join(large, "region")
-    single = in_arrow(chosen.select("node", "n", "shingles"), flat, "node long, n int, shingle long")
-    often = single.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
-    shared = single.join(often, "shingle").groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("own"))
-    # the rarest of all, without those that are this set's alone
-    take = F.expr(f"n - ({bands.num} * n + {bands.den - 1}) div {bands.den} + 1 - (n - size(own))").cast("int")
-    keys = cut(shared.where(take > 0).select("node", F.explode(F.slice("own", 1, take)).alias("key")).select("node", "key.shingle"))
-    first = keys.groupBy("shingle").agg(F.min("node").alias("first"))
-    joined = connected_components(keys.join(first, "shingle").select(F.col("node").alias("a"), F.col("first").alias("b")))
-    parted = chosen.drop("region").join(joined.withColumnRenamed("component", "region"), "node").select(members.columns)
-    return cut(members.join(large, "region", "left_anti").unionByName(parted))
-
-
-def _pivot_rounds(members: DataFrame, bands: Bands) -> list[DataFrame]:
+def _pivot_rounds(members: DataFrame, limit: Limit) -> list[DataFrame]:
     """Edges that join the linked sets of all regions; see the module's text."""
     found: list[DataFrame] = []
     turn = 0
@@ -389,9 +394,10 @@ def _pivot_rounds(members: DataFrame, bands: Bands) -> list[DataFrame]:
         # sets outside the largest known component are compared to all; those inside are connected already
         stats = stats.select("region", "sets", "all_n", F.col("main.comp").alias("main"), (F.col("open") - F.col("main.open")).alias("open"))
         stats = small_side(stats.where("open > 0 or sets > 1"))
-        little = (F.col("sets") <= LOCAL_SETS) & (F.col("all_n") <= LOCAL_SHINGLES)
+        little = _fits()
         joined = members.join(stats, "region")
-        found.append(cut(_compare_regions(joined.where(little & (F.col("sets") > 1)), bands)))
+        own = joined.where(little & (F.col("sets") > 1)).select("region", "node", "shingles")
+        found.append(cut(_compare_regions(own, limit, _packed_sets)))
         large = cut(joined.where(~little & (F.col("sets") > 1) & (F.col("open") > 0)))
         if large.isEmpty():
             return found
@@ -400,8 +406,8 @@ def _pivot_rounds(members: DataFrame, bands: Bands) -> list[DataFrame]:
         drawn = large.where((F.col("comp") != F.col("main")) & ~F.col("was_pivot") & (dice < 1.5 * want / F.col("open"))).withColumn("dice", dice).withColumn("want", want)
         drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("region").orderBy("dice", "node"))).where("place <= want")
         pivots = small_side(drawn.groupBy("region").agg(F.collect_list(F.struct("node", "shingles")).alias("pivots")), 64)
-        reach = (bands.den - bands.num) / bands.den
-        measured = cut(_measure(large.drop("sets", "all_n", "main", "open").join(pivots, "region"), bands, reach))
+        reach = (limit.den - limit.num) / limit.den
+        measured = cut(_measure(large.drop("sets", "all_n", "main", "open").join(pivots, "region"), limit, reach))
         links = measured.select(F.col("node").alias("a"), F.explode("linked").alias("b"))
         found.append(links)
         comps = measured.select("node", "comp").distinct()
@@ -428,10 +434,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no other. An empty table gives an empty result; other columns are ignored. Shingles and sets are told apart by
     64-bit hashes.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bands = Bands(num, den)
+    limit = Limit(num, den)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,31 +447,47 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node"])
 
     named = cut(in_arrow(rows, name, f"doc_id {kind}, n_shingles long, node long"))
-    total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    n_buckets = max(4 * spark.sparkContext.defaultParallelism, int(0.5 * total * (den - num) / num * 1.6) // BUCKET_KEYS)
-    clusters = connected_components(_candidates(rows, shingle, bands, n_buckets))
+    ids_repeat = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
 
-    # one document stands for all that have the same set
-    chosen = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(clusters, "node")
-    chosen = small_side(chosen.select(F.col("doc_id").alias("chosen_id"), "node", F.col("component").alias("region")))
-    picked = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id"))).select("text", "node", "region")
+    def texts(nodes: DataFrame, *more: str) -> DataFrame:
+        """The texts of ``chosen_id`` of ``nodes``, each once."""
+        own = rows.join(small_side(nodes), F.col("doc_id").eqNullSafe(F.col("chosen_id"))).select("doc_id", "node", *more, "text")
+        return own.dropDuplicates(["doc_id", "node", "text"]) if ids_repeat else own
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = shingle_sets(part, shingle)
-                region, node = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("region", "node"))
-                held = [i for i, s in enumerate(sets) if identity(s)[0] == node[i]]  # ids may repeat with other texts
-                yield pa.RecordBatch.from_pydict({"region": pa.array([region[i] for i in held], pa.int64()), "node": pa.array([node[i] for i in held], pa.int64()), "n": pa.array([len(sets[i]) for i in held], pa.int64()), "shingles": pa.array([sets[i].tobytes() for i in held], pa.binary())})
-
-    members = in_arrow(picked, sets_of, "region long, node long, n long, shingles binary").dropDuplicates(["region", "node"])
-    members = cut(members.select("*", F.col("node").alias("comp"), F.lit(False).alias("was_pivot")))
-    edges = _pivot_rounds(_by_rarest(members, bands), bands)
-    links = edges[0]
-    for more in edges[1:]:
-        links = links.unionByName(more)
+    # one document stands for all that have the same set
+    chosen = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("chosen_id"), F.max("n_shingles").alias("n"))
+    chosen = cut(chosen)
+    total = chosen.agg(F.sum("n")).first()[0] or 0
+    clusters = connected_components(_candidates(texts(chosen.select("chosen_id", "node")), shingle, limit, total))
+    placed = chosen.join(clusters.withColumnRenamed("component", "region"), "node")
+    sizes = placed.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("all_n"))
+    placed = cut(placed.join(sizes, "region").select("chosen_id", "node", "region", _fits().alias("fits")))
+
+    local = texts(placed.where("fits").drop("fits"), "region").select("region", "node", "text")
+    links = _compare_regions(local, limit, lambda table: _named_sets(table, shingle))
+    large = placed.where("not fits").drop("fits")
+    if not large.isEmpty():
+        members = cut(in_arrow(texts(large, "region"), _as_members(shingle), _MEMBER))
+        for more in _pivot_rounds(members, limit):
+            links = links.unionByName(more)
     joined = connected_components(links)
     placed = named.join(joined.withColumnRenamed("component", "linked_to"), "node", "left").withColumn("comp", F.coalesce("linked_to", "node"))
     least = placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     empty = placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.where("n_shingles > 0").join(least, "comp").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+
+
+def _as_members(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts with ``node`` and ``region`` as members of their regions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                region, node = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("region", "node"))
+                sets = shingle_sets(part, size)
+                held = [i for i, s in enumerate(sets) if identity(s)[0] == node[i]]
+                own = pa.array([node[i] for i in held], pa.int64())
+                columns = [pa.array([region[i] for i in held], pa.int64()), own, pa.array([len(sets[i]) for i in held], pa.int64()), pa.array([sets[i].tobytes() for i in held], pa.binary()), own, pa.array([False] * len(held), pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _MEMBER.split(", ")])
+
+    return run

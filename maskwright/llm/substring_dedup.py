@@ -11,7 +11,7 @@ block sends a cell or key once, however many copies it holds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -34,13 +34,13 @@ _PACKED = "range long, block long, packed binary"
 _PACKED_ARROW = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())])
 
 
-def _pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray) -> bytes:
     """Ascending unsigned integers as differences, byte planes apart, so that the shuffle's compression works."""
     steps = np.diff(values, prepend=values.dtype.type(0))
     return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
-def _unpack(packed: bytes, kind: type) -> np.ndarray:
+def unpack(packed: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(packed, np.uint8).reshape(size, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
@@ -51,21 +51,21 @@ def _parts(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slices(batch, "text")
 
 
-def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Which of ``ranges`` equal ranges holds each key; ascending keys give ascending ranges."""
     return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
 def _cells(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Range and cell of each key in one integer."""
-    return (_range_of(keys, ranges) << np.uint64(CELL_BITS)) | (mix(keys) >> np.uint64(64 - CELL_BITS))
+    return (range_of(keys, ranges) << np.uint64(CELL_BITS)) | (mix(keys) >> np.uint64(64 - CELL_BITS))
 
 
-def _by_range(block: int, codes: np.ndarray, ranges: np.ndarray, pack) -> pa.Table:
+def by_range(block: int, codes: np.ndarray, ranges: np.ndarray, packed: Callable[[int, int], bytes]) -> pa.Table:
     """One row for each range, from ``codes`` that lie in ascending order of range."""
     found, first = np.unique(ranges, return_index=True)
     ends = np.append(first[1:], len(codes))[: len(first)]
-    rows = [pack(a, b) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+    rows = [packed(a, b) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
     return pa.Table.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.full(len(found), block)), pa.array(rows, pa.binary())], schema=_PACKED_ARROW)
 
 
@@ -116,17 +116,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def touch(key: tuple, table: pa.Table) -> pa.Table:
         cells, times = np.unique(_cells(_block_keys(table.to_batches(), window), n_ranges), return_counts=True)
         codes = ((cells & np.uint64((1 << CELL_BITS) - 1)) << np.uint64(1) | (times > 1)).astype(np.uint32)
-        return _by_range(key[0].as_py(), codes, cells >> np.uint64(CELL_BITS), lambda a, b: _pack(codes[a:b]))
+        return by_range(key[0].as_py(), codes, cells >> np.uint64(CELL_BITS), lambda a, b: pack(codes[a:b]))
 
     def estimate(table: pa.Table) -> pa.Table:
-        sent = [(b, _unpack(p, np.uint32)) for b, p in zip(table["block"].to_pylist(), table["packed"].to_pylist(), strict=True)]
-        back = [(b, _pack(c)) for (b, _), c in zip(sent, _estimate(sent), strict=True) if len(c)]
-        return _answer(table["range"][0].as_py(), back)
+        sent = [(b, unpack(p, np.uint32)) for b, p in zip(table["block"].to_pylist(), table["packed"].to_pylist(), strict=True)]
+        back = [(b, pack(c)) for (b, _), c in zip(sent, _estimate(sent), strict=True) if len(c)]
+        return answer(table["range"][0].as_py(), back)
 
     def exact_keys(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         allowed = [np.zeros(0, np.uint64)]
         for r, p in zip(right["range"].to_pylist(), right["packed"].to_pylist(), strict=True):
-            allowed.append(_unpack(p, np.uint32).astype(np.uint64) | np.uint64(r << CELL_BITS))
+            allowed.append(unpack(p, np.uint32).astype(np.uint64) | np.uint64(r << CELL_BITS))
         allowed = np.sort(np.concatenate(allowed))
         keys, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
         for part in _parts(left.to_batches()):
@@ -142,15 +142,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1]))[: len(keys)])
         several = (np.diff(np.append(first, len(keys))) > 1).astype(np.uint8)
         keys, more = keys[first], more[first]
-        pack = lambda a, b: _pack(keys[a:b]) + more[a:b].tobytes() + several[a:b].tobytes()
-        return _by_range(key[0].as_py(), keys, _range_of(keys, n_ranges), pack)
+        both = lambda a, b: pack(keys[a:b]) + more[a:b].tobytes() + several[a:b].tobytes()
+        return by_range(key[0].as_py(), keys, range_of(keys, n_ranges), both)
 
     def repeated(table: pa.Table) -> pa.Table:
         keys, more, times, owner = [], [], [], []
         names = table["block"].to_pylist()
         for i, p in enumerate(table["packed"].to_pylist()):
             n = len(p) // 13
-            keys.append(_unpack(p[: 8 * n], np.uint64))
+            keys.append(unpack(p[: 8 * n], np.uint64))
             more.append(np.frombuffer(p, np.uint32, n, 8 * n))
             times.append(np.frombuffer(p, np.uint8, n, 12 * n).astype(np.int64) + 1)
             owner.append(np.full(n, i))
@@ -162,10 +162,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys, owner = keys[total > 1], owner[total > 1]
         order = np.argsort(owner, kind="stable")
         keys, cuts = keys[order], np.cumsum(np.bincount(owner, minlength=len(names)))[:-1]
-        return _answer(table["range"][0].as_py(), [(b, _pack(k)) for b, k in zip(names, np.split(keys, cuts), strict=True) if len(k)])
+        return answer(table["range"][0].as_py(), [(b, pack(k)) for b, k in zip(names, np.split(keys, cuts), strict=True) if len(k)])
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        gone = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(p, np.uint64) for p in right["packed"].to_pylist())]))
+        gone = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack(p, np.uint64) for p in right["packed"].to_pylist())]))
         made = []
         for part in _parts(left.to_batches()):
             flat, offsets = flat_bytes(part, "text")
@@ -195,7 +195,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
 
 
-def _answer(at: int, back: list[tuple[int, bytes]]) -> pa.Table:
+def answer(at: int, back: list[tuple[int, bytes]]) -> pa.Table:
     columns = [pa.array([at] * len(back), pa.int64()), pa.array([b for b, _ in back], pa.int64()), pa.array([p for _, p in back], pa.binary())]
     return pa.Table.from_arrays(columns, schema=_PACKED_ARROW)
 

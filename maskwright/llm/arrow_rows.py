@@ -58,6 +58,8 @@ def with_column(df: DataFrame, source: str, name: str, kind: str, values: Callab
                 made = made if isinstance(made, pa.Array) else pa.array(made, out.field(name).type)
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept] + [made]
                 yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, out, strict=True)], schema=out)
+                del raw, made, columns
+            pa.default_memory_pool().release_unused()
 
     return in_arrow(df, run, schema)
 

@@ -21,7 +21,7 @@ from .arrow_rows import with_column
 #: Distinct words whose ids a worker remembers; beyond this it starts afresh.
 CACHE_WORDS = 150_000
 #: Symbols that are merged together in one flat array.
-ROUND_SYMBOLS = 1 << 20
+ROUND_SYMBOLS = 1 << 18
 NO_RANK = np.iinfo(np.int64).max
 
 

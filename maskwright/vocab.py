@@ -25,8 +25,22 @@ KANJI_DETAILS, KANA_DETAILS = ("一般", "固有名詞", "サ変接続"), ("一
 #: In this order; of patterns that cover a unit the last one names the reason.
 LINE_PATTERNS = (("email-frag", EMAIL_TAIL), ("email-frag", EMAIL_HEAD), ("email", EMAIL), ("digit-run", DIGIT_RUN))
 
-#: A short default; a full dictionary of interface labels is a parameter (``Rules.labels``).
-LABELS = ("save", "search", "edit", "delete", "new", "cancel", "ok", "close", "open", "send", "login", "logout", "settings", "help", "menu", "home", "details", "name", "email", "date", "status", "保存", "検索", "編集", "削除", "新規", "設定", "ヘルプ", "メニュー", "ホーム", "詳細")
+#: The initial dictionary of interface labels, normalized; runs extend it by ``Rules.labels``.
+LABELS = (
+    "保存", "検索", "一覧", "編集", "削除", "新規", "登録", "更新", "追加", "戻る", "次へ", "前へ", "閉じる", "開く", "送信", "確認", "確定", "取消", "キャンセル", "ログイン", "ログアウト", "設定", "ヘルプ",
+    "メニュー", "ホーム", "詳細", "表示", "非表示", "選択", "解除", "絞り込み", "並び替え", "出力", "印刷", "複製", "承認", "却下", "申請", "完了", "未完了", "新規登録", "新規作成", "詳細表示", "一括操作", "絞り込む",
+    "氏名", "名前", "住所", "電話", "電話番号", "番号", "メール", "メールアドレス", "アドレス", "顧客", "顧客名", "会社", "会社名", "部署", "担当", "担当者", "状態", "日付", "金額", "備考", "操作", "件名", "内容",
+    "種別", "区分", "管理", "システム", "画面", "ログイン中", "契約", "save", "search", "edit", "delete", "new", "add", "back", "next", "close", "open", "submit", "cancel",
+    "login", "logout", "settings", "help", "menu", "home", "detail", "details", "list", "view", "select", "name", "email", "address", "phone", "status",
+    "date", "amount", "action", "actions", "filter", "sort", "export", "print", "note", "import", "refresh", "reload", "reset", "apply", "clear", "retry",
+    "continue", "skip", "finish", "start", "stop", "pause", "resume", "sync", "sync status", "bulk", "bulk actions", "overview", "summary",
+    "account overview", "dashboard", "report", "reports", "analytics", "last modified", "modified", "owner", "role", "owner role", "access",
+    "access level", "subscription", "subscription plan", "plan", "download", "upload", "archive", "draft", "published", "active", "inactive", "enabled",
+    "disabled", "pending", "preview", "duplicate", "copy", "paste", "undo", "redo", "loading", "error", "warning", "success", "info", "notification",
+    "notifications", "profile", "account", "accounts", "user", "users", "admin", "administrator", "history", "recent", "favorite", "favorites",
+    "bookmark", "bookmarks", "tag", "tags", "category", "categories", "group", "groups", "team", "teams", "csv", "pdf", "ok", "id", "no", "fax", "url",
+    "エクスポート", "インポート", "リフレッシュ", "ダッシュボード", "csvエクスポート", "csvインポート", "アクティブ",
+)
 
 
 @dataclass(frozen=True)

@@ -113,12 +113,16 @@ def name_runs(tokens: list[dict | None]) -> list[str | None]:
 
 
 def with_spans(blocks: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``blocks`` (with ``units array<string>``) with one value for each unit in each of ``FLAGS``."""
+    """``blocks`` (with ``units array<string>``) with one value for each unit in each of ``FLAGS``.
+
+    Where ``blocks`` has ``tokens``, an array of one morpheme (or null) for each unit, ``name_run`` is added as well.
+    """
     ship(blocks.sparkSession)
     terms = sorted({p for p in (fold(DROP.sub("", t)) for t in rules.terms) if p})
     labels = sorted({p for p in (fold(DROP.sub("", t)) for t in rules.labels) if p})
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields]
-    at = blocks.columns.index("units")
+    at, tokens_at = blocks.columns.index("units"), blocks.columns.index("tokens") if "tokens" in blocks.columns else None
+    flags = FLAGS if tokens_at is None else f"{FLAGS}, name_run array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,16 +131,23 @@ def with_spans(blocks: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 pa.array([line_reasons(u) for u in units], pa.list_(pa.string())),
                 *(pa.array(x, pa.list_(pa.bool_())) for x in ([metric_units(u) for u in units], [protected(u, terms, False) for u in units], [protected(u, labels, True) for u in units])),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(c.split()[0] for c in FLAGS.split(", "))])
+            if tokens_at is not None:
+                tokens = [[t if t and t["surface_form"] is not None else None for t in x or []] for x in batch.column(tokens_at).to_pylist()]
+                made.append(pa.array([name_runs((t + [None] * len(u))[: len(u)]) for t, u in zip(tokens, units, strict=True)], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(c.split()[0] for c in flags.split(", "))])
 
-    return blocks.mapInArrow(run, ", ".join(kept) + ", " + FLAGS)
+    return blocks.mapInArrow(run, ", ".join(kept) + ", " + flags)
 
 
-def spread_units(spanned: DataFrame) -> DataFrame:
-    """One row per unit: the block's other columns, ``unit_idx, text`` and the flags."""
+def spread_units(spanned: DataFrame, along: tuple[str, ...] = ()) -> DataFrame:
+    """One row per unit: the block's other columns, ``unit_idx, text``, the flags, ``token`` of ``tokens``, and each of
+    ``along`` (arrays with one value for each unit)."""
     from pyspark.sql import functions as F
 
-    names = [c.split()[0] for c in FLAGS.split(", ")]
-    others = [c for c in spanned.columns if c not in ("units", *names)]
-    zipped = F.posexplode(F.arrays_zip(F.col("units").alias("text"), *names)).alias("unit_idx", "u")
+    names = [*(c.split()[0] for c in FLAGS.split(", ")), *(c for c in ("name_run",) if c in spanned.columns), *along]
+    # a block without tokens keeps its units, and tokens beyond the units make no rows
+    own = lambda: F.slice(F.coalesce("tokens", F.array().cast(spanned.schema["tokens"].dataType)), F.lit(1), F.size("units"))
+    tokens = [own().alias("token")] if "tokens" in spanned.columns else []
+    others = [c for c in spanned.columns if c not in ("units", "tokens", *names)]
+    zipped = F.posexplode(F.arrays_zip(F.col("units").alias("text"), *tokens, *names)).alias("unit_idx", "u")
     return spanned.select(*others, zipped).select(*others, "unit_idx", "u.*")

@@ -9,8 +9,8 @@ from ..functions import text as T
 from ..operators import edits
 from ..operators.decide import decide, mask_text, merge_runs
 from ..operators.spans import spread_units, with_spans
-from ..sources.pages import page_lines
-from ..sources.units import lines_of, units_of, word_blocks
+from ..sources.pages import page_blocks, page_lines
+from ..sources.units import lines_of, spaced_blocks, units_of, word_blocks
 from ..vocab import Rules
 from .export import text_runs, wireframe
 
@@ -80,6 +80,17 @@ def decision_summary(spark, sf_dir):
     return decide(_units(spark, sf_dir)).groupBy("doc_id", "mask", "reason").agg(F.count("*").alias("n"))
 
 
+def cascade_units(spark, sf_dir):
+    """Every unit of the documents through the whole cascade: patterns, measures and labels over its line."""
+    blocks = spaced_blocks(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
+    units = spread_units(with_spans(blocks)).where("unit_idx % 2 = 0").withColumnRenamed("id", "doc_id")
+    return decide(units).select("doc_id", "block_id", "unit_idx", "text", "mask", "reason")
+
+
+def cascade_summary(spark, sf_dir):
+    return cascade_units(spark, sf_dir).groupBy("doc_id", "mask", "reason").agg(F.count("*").alias("n"))
+
+
 def _phrases(spark, sf_dir, flag, rules):
     blocks = word_blocks(lines_of(_table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text"), "key"))
     return spread_units(with_spans(blocks, rules)).where(flag).select("id.conv_id", "id.turn", "block_id", "unit_idx", "text")
@@ -114,7 +125,9 @@ def html_table_link(spark, sf_dir):
 
 
 def html_decide(spark, sf_dir):
-    units = html_lines(spark, sf_dir).withColumns({"line_reason": T.unit_reason(F.col("text")), "unit_metric": T.unit_is_metric(F.col("text"))})
+    units = spread_units(with_spans(page_blocks(_table(spark, sf_dir, "pages"))), along=("line",))
+    # patterns and labels reach over a block, measures over one line
+    units = units.select("*", "line.*").drop("line").withColumn("unit_metric", T.unit_is_metric(F.col("text")))
     return decide(units).select("page_id", "block_id", "line_id", "semantic", "kind", "table_id", "col", "mask", "reason")
 
 
@@ -169,7 +182,7 @@ def wireframe_json(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalize_fold, phrase_normalize, judge_words, judge_reason_counts, mask_email_text, mask_digit_run_text, unit_metric, line_reason_units, line_pattern_units,
-    decide_masks, decide_kept, decision_summary, user_phrase_protect, label_phrase_protect, run_merge, html_lines, html_semantics, html_table_link, html_decide,
+    decide_masks, decide_kept, decision_summary, cascade_units, cascade_summary, user_phrase_protect, label_phrase_protect, run_merge, html_lines, html_semantics, html_table_link, html_decide,
     props_mask, coverage_metrics, reason_hue, phrase_merge, bulk_unmask, click_unmask, column_unmask, text_run_merge, wireframe_json,
 )}
 

@@ -6,11 +6,15 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..cluster import ship
 
 LINE_SCHEMA = "page_id long, block_id int, line_id int, semantic string, kind string, table_id int, col int, text string"
+#: What a block holds of each of its lines, and the Arrow types.
+PLACE = {"line_id": pa.int32(), "semantic": pa.string(), "kind": pa.string(), "table_id": pa.int32(), "col": pa.int32()}
+BLOCK_SCHEMA = "page_id long, block_id int, units array<string>, line array<struct<line_id: int, semantic: string, kind: string, table_id: int, col: int>>"
 SKIP = {"script", "style", "noscript", "template", "head", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "font", "i", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "button"}
@@ -125,3 +129,25 @@ def page_lines(pages: DataFrame) -> DataFrame:
             yield out.astype({"block_id": "Int32", "line_id": "Int32", "table_id": "Int32", "col": "Int32"})
 
     return pages.select("page_id", "html").mapInPandas(run, LINE_SCHEMA)
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """The lines of ``page_lines`` by block: the texts in order as ``units``, and where each stands as ``line``."""
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages_of, blocks_of, units, lines = [], [], [], []
+            for page, html in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("page_id", "html")), strict=True):
+                held: dict[int, list[dict]] = {}
+                for r in parse_html(html) if html else []:
+                    held.setdefault(r["block_id"], []).append(r)
+                for block, rows in held.items():
+                    pages_of.append(page)
+                    blocks_of.append(block)
+                    units.append([r["text"] for r in rows])
+                    lines.append([{c: r[c] for c in PLACE} for r in rows])
+            columns = [pa.array(pages_of, pa.int64()), pa.array(blocks_of, pa.int32()), pa.array(units, pa.list_(pa.string())), pa.array(lines, pa.list_(pa.struct(list(PLACE.items()))))]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "block_id", "units", "line"])
+
+    return pages.select("page_id", "html").mapInArrow(run, BLOCK_SCHEMA)

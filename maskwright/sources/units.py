@@ -17,6 +17,12 @@ def units_of(lines: DataFrame) -> DataFrame:
     return words.select("id", "block_id", (2 * F.col("n")).alias("unit_idx"), "text")
 
 
+def spaced_blocks(lines: DataFrame) -> DataFrame:
+    """``id, block_id, units``: the words of a line with white space as a unit after each, so a word's place is its ``unit_idx``."""
+    words = F.regexp_extract_all("line", F.lit("([^ \\t\\r\\x0B\\f]+)"), F.lit(1))
+    return lines.select("id", "block_id", F.flatten(F.transform(words, lambda w: F.array(w, F.lit(" ")))).alias("units")).where(F.size("units") > 0)
+
+
 def word_blocks(lines: DataFrame) -> DataFrame:
     """``id, block_id, units``: the words of a line side by side, as labels read from a picture are."""
     return lines.select("id", "block_id", F.regexp_extract_all("line", F.lit("([^ \\t\\r\\x0B\\f]+)"), F.lit(1)).alias("units")).where(F.size("units") > 0)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,15 @@ FILES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.\-_].*)?$"
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-2.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
@@ -41,6 +47,15 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: A text near the first and near a notice of the second has the second: it is the first with a clause more.
+MORE = ("BSD-2-Clause", "BSD-3-Clause")
+
+
+def whole_texts() -> dict[str, list[str]]:
+    """Licence files by identifier. Read by the driver only: workers get what ``Templates`` makes of them."""
+    return {p.stem: [p.read_text("utf-8")] for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 #: Letters, digits and bytes of other scripts stay (A-Z lower-cased), ``-`` and ``.`` inside words too; the rest parts words.
 _CLEAN = np.full(256, 32, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256), 45]:
@@ -136,10 +151,14 @@ def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
     empty. No rows give no rows; other columns are ignored.
     """
     known = Templates(templates or TEMPLATES)
+    # with a vocabulary of their own, whole texts leave the measure of headers as it is
+    texts = None if templates else Templates(whole_texts())
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, held = _frequencies(rows, known)
     idf, rarest = np.log((n + 1) / (held + 1)) + 1, float(np.log(n + 1) + 1)
+    texts_idf = None if texts is None else np.log((n + 1) / (_frequencies(rows, texts)[1] + 1)) + 1
+    fewer, more = ([i for i, x in enumerate(known.names) if x == name] for name in MORE)
     schema = pa.schema([("doc_id", pa.null()), ("path", pa.string()), ("header", pa.string()), ("cosine", pa.float64()), ("whole", pa.string()), ("whole_cosine", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,21 +166,29 @@ def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
             for part in slices(batch, "text"):
                 words, line, paragraph = _words(part)
                 number, m = known.number(words.hash), part.num_rows
-                best, cosine = np.full(m, -1), np.full(m, -1.0)
+                best, cosine, further = np.full(m, -1), np.full(m, -1.0), np.zeros(m, bool)
                 for span in (line, paragraph):
                     hit, nearest, own = _nearest(number, span, known, idf, rarest)
                     first = np.searchsorted(span, hit) if len(hit) else hit
                     of = words.text[first] if len(hit) else hit
+                    further[of[np.isin(nearest, more) & (own >= least)]] = True
                     order = np.lexsort((nearest, -np.round(own, 9), of))
                     of, nearest, own = of[order], nearest[order], own[order]
                     lead = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
                     of, nearest, own = of[lead], nearest[lead], own[lead]
                     better = own > cosine[of] + 1e-9
                     best[of[better]], cosine[of[better]] = nearest[better], own[better]
-                hit, nearest, own = _nearest(number, words.text, known, idf, rarest)
+                if more:
+                    best[np.isin(best, fewer) & further] = more[0]
+                names = known.names + (texts.names if texts else [])
                 whole, measure = np.full(m, -1), np.full(m, -1.0)
+                hit, nearest, own = _nearest(number, words.text, known, idf, rarest)
                 whole[hit], measure[hit] = nearest, own
-                name = lambda at, c: pa.array([known.names[a] if x >= least else None for a, x in zip(at.tolist(), c.tolist(), strict=True)], pa.string())
+                if texts is not None:
+                    hit, nearest, own = _nearest(texts.number(words.hash), words.text, texts, texts_idf, rarest)
+                    better = own > measure[hit] + 1e-9
+                    whole[hit[better]], measure[hit[better]] = nearest[better] + len(known.names), own[better]
+                name = lambda at, c: pa.array([names[a] if x >= least else None for a, x in zip(at.tolist(), c.tolist(), strict=True)], pa.string())
                 columns = [part.column(0), part.column(1), name(best, cosine), pa.array(np.round(np.maximum(cosine, 0), 9)), name(whole, measure), pa.array(np.maximum(measure, 0))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -179,6 +206,7 @@ def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
     above = above.select("dir", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("at"))
     inherited = above.join(small_side(given_dirs.withColumnRenamed("dir", "at")), "at").groupBy("dir").agg(F.max_by(F.struct("given", "at"), "depth").alias("up"))
     out = found.join(small_side(inherited), "dir", "left")
-    license = F.coalesce("header", "up.given")
+    # a licence file is what its whole text is nearest to, whatever a paragraph of it resembles
+    license = F.when(F.col("whole").isNotNull() & (F.col("whole_cosine") > F.col("cosine")), F.col("whole")).otherwise(F.coalesce("header", "up.given"))
     origin = F.when(F.col("header").isNotNull(), "header").when(F.col("up").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", F.col("header").alias("header_license"), "cosine", license.alias("license"), origin.alias("origin"), F.when(origin == "inherited", F.col("up.at")).alias("from_dir"))

@@ -403,7 +403,10 @@ def _pivot_rounds(members: DataFrame, limit: Limit) -> list[DataFrame]:
             return found
         want = F.greatest(F.lit(1), F.least(F.lit(PIVOTS), (PIVOT_SHINGLES * F.col("sets") / F.col("all_n")).cast("int")))
         dice = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        drawn = large.where((F.col("comp") != F.col("main")) & ~F.col("was_pivot") & (dice < 1.5 * want / F.col("open"))).withColumn("dice", dice).withColumn("want", want)
+        able = large.where((F.col("comp") != F.col("main")) & ~F.col("was_pivot")).withColumn("dice", dice).withColumn("want", want)
+        # the smallest dice of a region is drawn in any case: a region without pivots would lose its links
+        sure = small_side(able.groupBy("region").agg(F.min(F.struct("dice", "node"))["node"].alias("sure")))
+        drawn = able.join(sure, "region").where((F.col("dice") < 1.5 * F.col("want") / F.col("open")) | (F.col("node") == F.col("sure"))).drop("sure")
         drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("region").orderBy("dice", "node"))).where("place <= want")
         pivots = small_side(drawn.groupBy("region").agg(F.collect_list(F.struct("node", "shingles")).alias("pivots")), 64)
         reach = (limit.den - limit.num) / limit.den

@@ -18,8 +18,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit; learned from labels of the rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~Q.held_out(F.col("doc_id")))
     model = train_toxicity(docs, labels)
-    packed = docs.select(F.struct("*").alias("row"), "text")
-    return score_toxicity(packed, model, drop=True).where(F.col("score") < Q.TOXIC).select("row.*")
+    score = "score"
+    while score in docs.columns:
+        score += "_"
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < Q.TOXIC).select(docs.columns)
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:

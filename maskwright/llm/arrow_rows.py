@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,34 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from ..cluster import ship
 
 #: Bytes of one column that are worked on at once; a longer value is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _c_library() -> ctypes.CDLL | None:
+    found = ctypes.CDLL(None)
+    return found if hasattr(found, "malloc_trim") else None
+
+
+def give_back() -> None:
+    """Returns unused memory to the system: idle workers are kept alive and count against their executor."""
+    pa.default_memory_pool().release_unused()
+    if _c_library() is not None:
+        _c_library().malloc_trim(0)
+
+
+def frugal(task: Callable) -> Callable:
+    """``task``, a function of ``applyInArrow``, that gives memory back when a group is done."""
+
+    def done(*args):
+        try:
+            return task(*args)
+        finally:
+            give_back()
+
+    # Spark reads the kind of a grouped function off its number of parameters
+    kinds = {1: lambda rows: done(rows), 2: lambda key, rows: done(key, rows), 3: lambda key, left, right: done(key, left, right)}
+    return kinds[len(signature(task).parameters)]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -59,7 +89,6 @@ def with_column(df: DataFrame, source: str, name: str, kind: str, values: Callab
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept] + [made]
                 yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, out, strict=True)], schema=out)
                 del raw, made, columns
-            pa.default_memory_pool().release_unused()
 
     return in_arrow(df, run, schema)
 
@@ -67,4 +96,9 @@ def with_column(df: DataFrame, source: str, name: str, kind: str, values: Callab
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with this package on the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..cluster import ship
-from .arrow_rows import flat_bytes, in_arrow, slices
+from .arrow_rows import flat_bytes, frugal, in_arrow, slices
 from .components import connected_components
 from .spark_util import cut, small_side
 from .substring_dedup import answer, by_range, pack, range_of, unpack
@@ -210,9 +210,9 @@ def _candidates(texts: DataFrame, size: int, limit: Limit, total: int) -> DataFr
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
     blocks = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "node", "text").groupBy("block")
-    classes = blocks.applyInArrow(touch, sent).groupBy("range").applyInArrow(classify, sent)
-    keys = blocks.cogroup(classes.groupBy("block")).applyInArrow(rarest, "bucket long, keys binary, nodes binary, edges binary")
-    return keys.groupBy("bucket").applyInArrow(join, _EDGES)
+    classes = blocks.applyInArrow(frugal(touch), sent).groupBy("range").applyInArrow(frugal(classify), sent)
+    keys = blocks.cogroup(classes.groupBy("block")).applyInArrow(frugal(rarest), "bucket long, keys binary, nodes binary, edges binary")
+    return keys.groupBy("bucket").applyInArrow(frugal(join), _EDGES)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from .arrow_rows import flat_bytes, slices
+from .arrow_rows import flat_bytes, frugal, slices
 from .words import Words, mix
 
 #: Words in a window.
@@ -188,11 +188,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.concat_tables(made) if made else pa.table({n: pa.array([], t) for n, t in zip(["doc_id", "n_words", "n_removed", "kept_text"], [left.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string()], strict=True)})
 
     by_block = blocks.groupBy("block")
-    touched = by_block.applyInArrow(touch, _PACKED).groupBy("range").applyInArrow(estimate, _PACKED)
-    keys = by_block.cogroup(touched.groupBy("block")).applyInArrow(exact_keys, _PACKED)
-    answers = keys.groupBy("range").applyInArrow(repeated, _PACKED)
+    touched = by_block.applyInArrow(frugal(touch), _PACKED).groupBy("range").applyInArrow(frugal(estimate), _PACKED)
+    keys = by_block.cogroup(touched.groupBy("block")).applyInArrow(frugal(exact_keys), _PACKED)
+    answers = keys.groupBy("range").applyInArrow(frugal(repeated), _PACKED)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(frugal(remove), f"doc_id {kind}, n_words long, n_removed long, kept_text string")
 
 
 def answer(at: int, back: list[tuple[int, bytes]]) -> pa.Table:

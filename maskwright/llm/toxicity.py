@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import in_arrow, slices, texts_of, with_column
+from .arrow_rows import frugal, in_arrow, slices, texts_of, with_column
 from .spark_util import cut
 
 #: Lengths of the n-grams, and bits of a bucket number.
@@ -28,7 +28,7 @@ FEATURES, RANGES = 1 << 13, 64
 #: Added to each count of a ratio; penalty on squared weights; weight of a toxic row in the loss; quasi-Newton steps.
 SMOOTH, PENALTY, BALANCE, STEPS = 1.0, 1.0, 2.0, 30
 #: Characters that are hashed at once; n-grams that reach over the seams are not lost.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 17
 _MULTIPLIER, _SPREAD = np.uint64(0x9DDFEA08EB382D69), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,7 +97,7 @@ def _count(rows: DataFrame, bits: int) -> DataFrame:
         held = np.flatnonzero(total.sum(0) >= 3)
         return pa.table({"bucket": held + table["range"][0].as_py() * width, "pos": total[1, held], "neg": total[0, held]})
 
-    return in_arrow(rows.select("text", "label"), partial, "range long, packed binary").groupBy("range").applyInArrow(add, "bucket long, pos long, neg long")
+    return in_arrow(rows.select("text", "label"), partial, "range long, packed binary").groupBy("range").applyInArrow(frugal(add), "bucket long, pos long, neg long")
 
 
 def _loss(features: DataFrame, weights: np.ndarray, balance: float) -> tuple[float, np.ndarray]:

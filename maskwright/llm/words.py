@@ -10,7 +10,7 @@ import numpy as np
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of one text that are hashed at once; cut between words.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 19
 _SEED = np.random.default_rng(20240229)
 _BYTE_VALUES = _SEED.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256)
@@ -19,17 +19,21 @@ _LOWER[65:91] += 32
 BASES = tuple(int(x) for x in _SEED.integers(1 << 40, 1 << 62, 3, np.uint64) * np.uint64(2) + np.uint64(1))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
+def _made_powers(base: int, size: int) -> np.ndarray:
     steps = np.full(size, base, np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
 
 
+#: Tables up to the size of a piece are kept, larger ones (a very long text's words) are made when needed.
+_powers = lru_cache(maxsize=8)(_made_powers)
+
+
 def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
     """base ** (0 .. n-1) modulo 2**64."""
     base = pow(base, -1, 1 << 64) if inverse else base
-    return _powers(base, 1 << max(10, (n - 1).bit_length()))[:n]
+    size = 1 << max(16, (n - 1).bit_length())
+    return (_powers if size <= PIECE_BYTES else _made_powers)(base, size)[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -13,9 +13,14 @@ def fold(text: Column) -> Column:
     return F.lower(F.translate(text, V.WIDE, V.NARROW))
 
 
+def trim(text: Column) -> Column:
+    """The text without Unicode white space at its ends."""
+    return F.btrim(text, F.lit(V.SPACES))
+
+
 def normalize(text: Column) -> Column:
-    """``fold`` of the text without Unicode white space at its ends."""
-    return fold(F.regexp_replace(text, f"^[{V.JS_SPACE}]+|[{V.JS_SPACE}]+\\z", ""))
+    """``fold`` of the trimmed text."""
+    return fold(trim(text))
 
 
 def normalize_phrase(text: Column) -> Column:
@@ -27,55 +32,106 @@ def utf16_length(text: Column) -> Column:
     return F.octet_length(F.encode(text, "UTF-16BE")) / 2
 
 
-def _verdict(mask: bool, reason: str | Column) -> Column:
-    return F.struct(F.lit(mask).alias("mask"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+def is_long(norm: Column) -> Column:
+    """Whether a text has ``LONG_TEXT`` UTF-16 units or more; most texts are decided by their characters alone."""
+    chars = F.length(norm)
+    return (chars >= V.LONG_TEXT) | ((2 * chars >= V.LONG_TEXT) & (utf16_length(norm) >= V.LONG_TEXT))
 
 
-def judge(text: Column, labels: tuple[str, ...] = V.LABELS) -> Column:
-    """Verdict on a raw word. All that is not known to be harmless is masked."""
-    norm, raw = normalize(text), F.regexp_replace(text, f"^[{V.JS_SPACE}]+|[{V.JS_SPACE}]+\\z", "")
+#: Reasons that keep a text; all others mask it. So do reasons that begin with one of the second.
+KEPT_REASONS = ("user", "unit-metric", "empty", "allowlist", "punct", "symbol", "dom-label", "label")
+KEPT_FAMILIES = ("pos:", "noise(")
+
+
+def masks(reason: Column) -> Column:
+    """Whether a reason masks: all that is not known to be harmless does."""
+    kept = reason.isin(*KEPT_REASONS)
+    for family in KEPT_FAMILIES:
+        kept = kept | reason.startswith(family)
+    return ~kept
+
+
+def word_reason(norm: Column, raw: Column, labels: tuple[str, ...] = V.LABELS) -> Column:
+    """The reason for a raw word, given in normal form and trimmed."""
     return (
-        F.when(norm == "", _verdict(False, "empty"))
-        .when(norm.contains("@"), _verdict(True, "at-mark"))
-        .when(norm.rlike("[0-9]"), _verdict(True, "digit"))
-        .when(utf16_length(norm) >= V.LONG_TEXT, _verdict(True, "long-text"))
-        .when(norm.isin(*labels), _verdict(False, "allowlist"))
-        .when(raw.rlike(V.NAME_LIKE.replace("$", "\\z")), _verdict(True, "jp-name-like"))
-        .when(raw.rlike(V.ASCII_WORD.replace("$", "\\z")), _verdict(True, "ascii-word"))
-        .otherwise(_verdict(True, "unknown"))
+        F.when(norm == "", "empty")
+        .when(norm.contains("@"), "at-mark")
+        .when(norm.rlike("[0-9]"), "digit")
+        .when(is_long(norm), "long-text")
+        .when(norm.isin(*labels), "allowlist")
+        .when(raw.rlike(V.NAME_LIKE.replace("$", "\\z")), "jp-name-like")
+        .when(raw.rlike(V.ASCII_WORD.replace("$", "\\z")), "ascii-word")
+        .otherwise("unknown")
     )
 
 
-def judge_token(token: Column, labels: tuple[str, ...] = V.LABELS) -> Column:
-    """Verdict on a morpheme (``surface_form, pos, pos_detail_1, word_type``)."""
-    surface = token["surface_form"]
-    norm = normalize(surface)
-    noun = token["pos"] == "名詞"
+def token_reason(norm: Column, token: Column, labels: tuple[str, ...] = V.LABELS) -> Column:
+    """The reason for a morpheme (``surface_form, pos, pos_detail_1, word_type``), given its normal form."""
+    noun, unknown = token["pos"] == "名詞", token["word_type"] == "UNKNOWN"
     return (
-        F.when(norm == "", _verdict(False, "empty"))
-        .when(norm.contains("@"), _verdict(True, "at-mark"))
-        .when(norm.rlike("[0-9]"), _verdict(True, "digit"))
-        .when(norm.rlike("^[^\\p{L}\\p{N}]+\\z"), _verdict(False, "punct"))
-        .when(utf16_length(norm) >= V.LONG_TEXT, _verdict(True, "long-text"))
-        .when(norm.isin(*labels), _verdict(False, "allowlist"))
-        .when(surface.isin(*V.ADDRESS_SUFFIX), _verdict(True, "address-suffix"))
-        .when(noun & (token["pos_detail_1"] == "固有名詞"), _verdict(True, "proper-noun"))
-        .when(noun & (token["pos_detail_1"] == "数"), _verdict(True, "number"))
-        .when((token["word_type"] == "UNKNOWN") & (token["pos"] == "記号"), _verdict(False, "symbol"))
-        .when(token["word_type"] == "UNKNOWN", _verdict(True, "unknown-token"))
-        .otherwise(_verdict(False, F.concat(F.lit("pos:"), F.coalesce(token["pos"], F.lit("")))))
+        F.when(norm == "", "empty")
+        .when(norm.contains("@"), "at-mark")
+        .when(norm.rlike("[0-9]"), "digit")
+        .when(norm.rlike("^[^\\p{L}\\p{N}]+\\z"), "punct")
+        .when(is_long(norm), "long-text")
+        .when(norm.isin(*labels), "allowlist")
+        .when(token["surface_form"].isin(*V.ADDRESS_SUFFIX), "address-suffix")
+        .when(noun & (token["pos_detail_1"] == "固有名詞"), "proper-noun")
+        .when(noun & (token["pos_detail_1"] == "数"), "number")
+        .when(unknown & (token["pos"] == "記号"), "symbol")
+        .when(unknown, "unknown-token")
+        .otherwise(F.concat(F.lit("pos:"), F.coalesce(token["pos"], F.lit(""))))
     )
 
 
+def _verdict(reason: Column) -> Column:
+    return F.struct(masks(reason).alias("mask"), reason.alias("reason"))
+
+
+def judge(text: Column, labels: tuple[str, ...] = V.LABELS) -> Column:
+    """Verdict ``mask, reason`` on a raw word."""
+    return _verdict(word_reason(normalize(text), trim(text), labels))
+
+
+def judge_token(token: Column, labels: tuple[str, ...] = V.LABELS) -> Column:
+    """Verdict ``mask, reason`` on a morpheme."""
+    return _verdict(token_reason(normalize(token["surface_form"]), token, labels))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once: projections are not merged over the generator between them."""
+    made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select(*(c for c in df.columns if c not in columns), made)
+
+
+def judged(df: DataFrame, text: str, labels: tuple[str, ...] = V.LABELS) -> DataFrame:
+    """``df`` with the ``reason`` of the raw word in ``text``."""
+    forms = once(df, _norm=normalize(F.col(text)), _raw=trim(F.col(text)))
+    return once(forms, reason=word_reason(F.col("_norm"), F.col("_raw"), labels)).drop("_norm", "_raw")
+
+
 def unit_reason(text: Column) -> Column:
     """The line-pattern reason of a unit that stands between white space: no pattern reaches over it."""
-    norm = fold(text)
-    return F.when(norm.rlike(V.DIGIT_RUN), "digit-run").when(norm.rlike(V.EMAIL), "email").when(norm.rlike(V.EMAIL_HEAD) | norm.rlike(V.EMAIL_TAIL), "email-frag")
+    return folded_reason(fold(text))
+
+
+def folded_reason(norm: Column) -> Column:
+    """``unit_reason`` of a text that is folded already; plain characters are looked for before patterns."""
+    at = norm.contains("@")
+    return (
+        F.when(norm.rlike(V.DIGIT_RUN), "digit-run")
+        .when(at & norm.rlike(V.EMAIL), "email")
+        .when(norm.rlike(V.EMAIL_HEAD) | (at & norm.rlike(V.EMAIL_TAIL)), "email-frag")
+    )
 
 
 def unit_is_metric(text: Column) -> Column:
     """Whether a unit between white space is a measure with its unit."""
-    return fold(text).rlike(f"^{V.METRIC}\\z")
+    return folded_is_metric(fold(text))
+
+
+def folded_is_metric(norm: Column) -> Column:
+    return norm.rlike(f"^{V.METRIC}\\z")
 
 
 def reason_hue(reason: Column) -> Column:
@@ -86,16 +142,7 @@ def reason_hue(reason: Column) -> Column:
     return F.abs(F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c))) % 360
 
 
-def round_half_up(value: Column) -> Column:
-    return F.floor(value * 100 + 0.5) / 100
-
-
-def css_hex(color: Column) -> Column:
-    """``rgb(r, g, b)``, ``#rgb`` and ``#rrggbb`` as ``#rrggbb``; other notations are null."""
-    parts = F.regexp_extract_all(color, F.lit("(\\d+)"), F.lit(1))
-    two = lambda i: F.lpad(F.lower(F.hex(parts[i].cast("int"))), 2, "0")
-    return (
-        F.when(color.rlike("^rgb\\(\\s*\\d+\\s*,\\s*\\d+\\s*,\\s*\\d+\\s*\\)$"), F.concat(F.lit("#"), two(0), two(1), two(2)))
-        .when(color.rlike("^#[0-9a-fA-F]{6}$"), F.lower(color))
-        .when(color.rlike("^#[0-9a-fA-F]{3}$"), F.lower(F.regexp_replace(color, "([0-9a-fA-F])", "$1$1")))
-    )
+def round_half_up(value: Column, places: int = 0) -> Column:
+    """Halves go up, also below zero."""
+    scale = 10**places
+    return F.floor(value * scale + 0.5) / scale

@@ -1,60 +1,126 @@
-"""The decision on each unit, and runs of masked units."""
+"""The decision on each unit, masks and kept texts, and runs of masked units."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import judge, judge_token
+from ..functions.geometry import BOX, around, on_one_line, to_rect
+from ..functions.text import fold, masks, once, token_reason, trim, word_reason
 from ..vocab import Rules
 
 DEFAULTS = {"line_reason": "string", "unit_metric": "boolean", "user_kept": "boolean", "label_kept": "boolean", "name_run": "string", "semantic": "string", "confidence": "double"}
+#: What masks and kept texts carry along from their unit.
+CARRIED = {"kind": "string", "table_id": "int", "col": "int"}
+
+
+def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with those of ``columns`` that it lacks, as nulls."""
+    lacking = {n: F.lit(None).cast(t) for n, t in columns.items() if n not in df.columns}
+    return df.withColumns(lacking) if lacking else df
 
 
 def decide(units: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``units`` (``text``, and any of ``DEFAULTS`` and ``token``) with ``mask`` and ``reason``.
 
     The user's terms win over every rule; then come measures, line patterns, the word's own verdict, and what its
-    place on the page says. What is unknown is masked. Columns that are missing or null count as no evidence.
+    place on the page says. What is unknown is masked. Columns that are missing or null count as no evidence. The
+    forms of a text, its own reason and the final one are each computed once, whatever is asked of the result.
     """
-    for name, kind in DEFAULTS.items():
-        if name not in units.columns:
-            units = units.withColumn(name, F.lit(None).cast(kind))
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    own = judge(F.coalesce("text", F.lit("")), rules.labels)
+    names = [c for c in units.columns if c not in ("mask", "reason")]
+    units = with_missing(units, DEFAULTS)
+    said = F.coalesce("text", F.lit(""))
+    forms = {"_raw": trim(said)}
     if "token" in units.columns:
-        own = F.when(F.col("token").isNotNull(), judge_token(F.col("token"), rules.labels)).otherwise(own)
-    units = units.withColumn("own", own)
-    line, data, label = F.col("line_reason").isNotNull(), F.coalesce(F.col("semantic") == "data", F.lit(False)), F.coalesce(F.col("semantic") == "label", F.lit(False))
-    reason = F.coalesce("line_reason", "own.reason")
-    masks = line | F.col("own.mask")
+        surface = F.coalesce(F.col("token")["surface_form"], said)
+        forms["_norm"] = fold(trim(F.when(F.col("token").isNotNull(), surface).otherwise(said)))
+    else:
+        forms["_norm"] = fold(forms["_raw"])
+    units = once(units, **forms)
+    own = word_reason(F.col("_norm"), F.col("_raw"), rules.labels)
+    if "token" in units.columns:
+        own = F.when(F.col("token").isNotNull(), token_reason(F.col("_norm"), F.col("token"), rules.labels)).otherwise(own)
+    units = once(units, _own=F.coalesce("line_reason", own))
+
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    place = lambda p: F.coalesce(F.col("semantic") == p, F.lit(False))
+    line, data, label = F.col("line_reason").isNotNull(), place("data"), place("label")
+    masked = line | masks(F.col("_own"))
     faint = F.coalesce(F.col("confidence") < rules.noise, F.lit(False))
-    data_like = reason.isin("digit", "at-mark") | line | data
-    verdict = lambda mask, why: F.struct(F.lit(mask).alias("mask"), (F.lit(why) if isinstance(why, str) else why).alias("reason"))
+    data_like = F.col("_own").isin("digit", "at-mark") | line | data
     metric = yes("unit_metric") & ~data & ~F.coalesce(F.col("line_reason").startswith("email"), F.lit(False))
-    out = (
-        F.when(yes("user_kept"), verdict(False, "user"))
-        .when(metric, verdict(False, "unit-metric"))
-        .when(~masks & data, verdict(True, "dom-data"))
-        .when(~masks & F.col("name_run").isNotNull() & ~label & ~yes("label_kept") & ~faint, verdict(True, F.col("name_run")))
-        .when(~masks, verdict(False, reason))
-        .when(~data_like & label, verdict(False, "dom-label"))
-        .when(~data_like & yes("label_kept"), verdict(False, "label"))
-        .when(faint & ~data_like, verdict(False, F.concat(F.lit("noise("), F.floor(F.col("confidence") + 0.5).cast("string"), F.lit(")"))))
-        .otherwise(verdict(True, reason))
+    reason = (
+        F.when(yes("user_kept"), "user")
+        .when(metric, "unit-metric")
+        .when(~masked & data, "dom-data")
+        .when(~masked & F.col("name_run").isNotNull() & ~label & ~yes("label_kept") & ~faint, F.col("name_run"))
+        .when(~masked, F.col("_own"))
+        .when(~data_like & label, "dom-label")
+        .when(~data_like & yes("label_kept"), "label")
+        .when(faint & ~data_like, F.concat(F.lit("noise("), F.floor(F.col("confidence") + 0.5).cast("string"), F.lit(")")))
+        .otherwise(F.col("_own"))
     )
-    return units.withColumn("v", out).select(*(c for c in units.columns if c != "own"), "v.mask", "v.reason")
+    decided = once(units, reason=reason)
+    extra = [c for c in DEFAULTS if c not in names]
+    return decided.select(*names, *extra, masks(F.col("reason")).alias("mask"), "reason")
+
+
+def _islands(decided: DataFrame, keys: list[str], idx: str) -> DataFrame:
+    """Masked units that merge, with the number of their ``island``: next to each other and of one reason."""
+    merges = F.col("line_reason").isNotNull() | F.col("reason").isin("kanji-run", "kana-name")
+    order = Window.partitionBy(*keys).orderBy(idx)
+    rows = decided.where("mask").withColumn("merges", merges)
+    follows = (F.lag(idx).over(order) == F.col(idx) - 1) & (F.lag("reason").over(order) == F.col("reason")) & F.lag("merges").over(order)
+    rows = rows.withColumn("new", (~(F.col("merges") & F.coalesce(follows, F.lit(False)))).cast("int"))
+    return rows.withColumn("island", F.sum("new").over(order)).drop("new")
 
 
 def merge_runs(decided: DataFrame, keys: list[str], idx: str = "unit_idx") -> DataFrame:
-    """Masked units next to each other for the same line-pattern or name reason as one: ``start, end, reason, text``."""
+    """Masked units next to each other for the same line-pattern or name reason as one: ``start, end, reason, text``.
+
+    With ``bbox``, a unit that shares no height with the box of the run so far starts a run of its own, and the run
+    has ``bbox`` and the ``kind, table_id, col`` of its first unit.
+    """
+    islands = _islands(decided, keys, idx)
+    texts = lambda members: F.array_join(F.transform(members, lambda s: F.coalesce(s["text"], F.lit(""))), "")
+    if "bbox" not in decided.columns:
+        members = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), "text")))
+        return islands.groupBy(*keys, "island").agg(F.min(idx).alias("start"), F.max(idx).alias("end"), F.first("reason").alias("reason"), texts(members).alias("text")).drop("island")
+    islands = with_missing(islands, CARRIED).withColumn("bbox", F.col("bbox").cast(BOX))
+    members = F.array_sort(F.collect_list(F.struct(F.col(idx).cast("int").alias("i"), "text", "bbox", "kind", "table_id", "col")))
+    grouped = islands.groupBy(*keys, "island").agg(F.first("reason").alias("reason"), members.alias("members"))
+    kind = f"array<struct<start: int, end: int, text: string, bbox: {BOX}, kind: string, table_id: int, col: int>>"
+
+    def step(runs: Column, m: Column) -> Column:
+        last = F.element_at(runs, -1)
+        alone = F.struct(m["i"].alias("start"), m["i"].alias("end"), F.coalesce(m["text"], F.lit("")).alias("text"), m["bbox"].alias("bbox"), *(m[c].alias(c) for c in CARRIED))
+        longer = F.struct(last["start"].alias("start"), m["i"].alias("end"), F.concat(last["text"], F.coalesce(m["text"], F.lit(""))).alias("text"), around(last["bbox"], m["bbox"]).alias("bbox"), *(last[c].alias(c) for c in CARRIED))
+        joins = (F.size(runs) > 0) & on_one_line(F.try_element_at(runs, F.lit(-1))["bbox"], m["bbox"])
+        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(alone))).cast(kind)
+
+    folded = F.aggregate("members", F.array().cast(kind), step)
+    return grouped.select(*keys, "reason", F.explode(folded).alias("r")).select(*keys, "r.start", "r.end", "reason", "r.text", "r.bbox", "r.kind", "r.table_id", "r.col")
+
+
+def masks_of(decided: DataFrame, keys: list[str], rules: Rules = Rules(), idx: str = "unit_idx") -> DataFrame:
+    """Masks as rectangles: ``keys, ord, x, y, w, h, source, reason, text, kind, table_id, col``.
+
+    Units masked on their own come in order, then the merged runs; ``ord`` counts within ``keys``.
+    """
     merged = F.col("line_reason").isNotNull() | F.col("reason").isin("kanji-run", "kana-name")
-    masks = decided.where("mask").withColumn("merges", merged)
-    order = Window.partitionBy(*keys).orderBy(idx)
-    new = ~F.col("merges") | F.coalesce((F.lag(idx).over(order) != F.col(idx) - 1) | (F.lag("reason").over(order) != F.col("reason")) | ~F.lag("merges").over(order), F.lit(True))
-    islands = masks.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(idx, "text"))), lambda s: s["text"]), "")
-    return islands.groupBy(*keys, "island").agg(F.min(idx).alias("start"), F.max(idx).alias("end"), F.first("reason").alias("reason"), texts.alias("text")).drop("island")
+    single = with_missing(decided.where(F.col("mask") & ~merged), CARRIED)
+    both = single.select(*keys, F.lit(0).alias("part"), F.col(idx).alias("start"), "bbox", "reason", "text", *CARRIED)
+    runs = merge_runs(decided.where(merged), keys, idx)
+    both = both.unionByName(runs.select(*keys, F.lit(1).alias("part"), "start", "bbox", "reason", "text", *CARRIED))
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("part", "start")) - 1
+    rect = [c.alias(n) for n, c in to_rect(F.col("bbox"), rules.padding, rules.scale).items()]
+    return both.select(*keys, order.alias("ord"), *rect, F.lit("auto").alias("source"), "reason", "text", *CARRIED)
+
+
+def kept_of(decided: DataFrame, keys: list[str], rules: Rules = Rules(), idx: str = "unit_idx") -> DataFrame:
+    """Texts that stay as rectangles without padding: ``keys, unit_idx, x, y, w, h, reason, text, kind, table_id, col``."""
+    rect = [c.alias(n) for n, c in to_rect(F.col("bbox"), 0.0, rules.scale).items()]
+    return with_missing(decided.where("NOT mask"), CARRIED).select(*keys, idx, *rect, "reason", "text", *CARRIED)
 
 
 def mask_text(text: Column, pattern: str, mark: str) -> Column:

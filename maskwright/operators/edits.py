@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import kept
+from ..cluster import kept, ship
+
+#: A pointer that moves no farther than this clicks; a drag adds a mask if it is larger than this on both sides.
+CLICK_REACH, DRAG_MIN = 4, 2
 
 
 def overlaps(a: str, b: str) -> Column:
@@ -31,10 +37,8 @@ def column_members(masks: DataFrame, seeds: DataFrame) -> DataFrame:
 
     The frontier grows round by round within each page; a page's masks are at most a few hundred.
     """
-    from functools import reduce
-
     shared = F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w")) - F.greatest("a.x", "b.x")
-    links = masks.alias("a").join(masks.alias("b"), F.col("a.page_id") == F.col("b.page_id")).where(shared >= 0.5 * F.least("a.w", "b.w"))
+    links = masks.alias("a").join(masks.alias("b"), F.col("a.page_id") == F.col("b.page_id")).where((shared > 0) & (shared >= 0.5 * F.least("a.w", "b.w")))
     links = links.select(F.col("a.page_id").alias("page_id"), F.col("a.mask_id").alias("mask_id"), F.col("b.mask_id").alias("to"))
     links = kept(links)
     known, front = seeds.select("page_id", "mask_id").distinct(), seeds.select("page_id", "mask_id").distinct()
@@ -45,3 +49,87 @@ def column_members(masks: DataFrame, seeds: DataFrame) -> DataFrame:
         if front.isEmpty():
             return seen
         rounds.append(front)
+
+
+REPLAYED = "page_id long, state string, ord long, x double, y double, w double, h double, source string, reason string, text string"
+
+
+def gestures(pointer: DataFrame) -> DataFrame:
+    """Pointer strokes (``page_id, seq, x0, y0, x1, y1, alt, shift``) as edits: ``page_id, seq, edit, x, y, w, h``.
+
+    ``edit`` is ``click`` or ``column`` (with alt) at the stroke's end where it hardly moved, else ``bulk`` (with
+    shift) or ``add`` over the stroke's rectangle; strokes too small to add anything are left out.
+    """
+    moved = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    small = moved <= CLICK_REACH
+    w, h = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
+    large = (w > DRAG_MIN) & (h > DRAG_MIN)
+    edit = F.when(small & F.col("alt"), "column").when(small, "click").when(F.col("shift"), "bulk").when(large, "add")
+    place = [F.when(small, F.col(f"{a}1")).otherwise(F.least(f"{a}0", f"{a}1")).alias(a) for a in "xy"]
+    sides = [F.when(small, 0.0).otherwise(v).alias(n) for v, n in ((w, "w"), (h, "h"))]
+    return pointer.select("page_id", "seq", edit.alias("edit"), *place, *sides).where("edit IS NOT NULL")
+
+
+def _column(masks: pd.DataFrame, seed: int) -> pd.Series:
+    """Masks that column overlap reaches from the one in row ``seed``."""
+    left, right = masks.x.to_numpy(), (masks.x + masks.w).to_numpy()
+    reached, front = pd.Series(False, index=masks.index).to_numpy(), [seed]
+    reached[seed] = True
+    while front:
+        i = front.pop()
+        shared = pd.Series(right).clip(upper=right[i]).to_numpy() - pd.Series(left).clip(lower=left[i]).to_numpy()
+        narrow = pd.Series(right - left).clip(upper=right[i] - left[i]).to_numpy()
+        fresh = (shared > 0) & (shared >= 0.5 * narrow) & ~reached
+        reached |= fresh
+        front += fresh.nonzero()[0].tolist()
+    return pd.Series(reached, index=masks.index)
+
+
+def replay(masks: DataFrame, edits: DataFrame) -> DataFrame:
+    """The masks of each page after its ``edits`` in the order of ``seq``: ``REPLAYED``.
+
+    ``state`` is ``mask`` for what is left and added, ``revealed`` for automatic masks with a text that an edit took
+    away, and ``offered`` for the text that the last such click proposes as a phrase. A click takes the topmost mask
+    (the greatest ``ord``) that holds its point; ``column`` also all that are in its column; ``bulk`` all that its
+    rectangle overlaps; ``add`` lays a mask of reason ``manual`` on top. Edits of pages without masks still add. A
+    page is one screen with a few hundred masks and strokes.
+    """
+    ship(masks.sparkSession)
+    names = [c.split()[0] for c in REPLAYED.split(", ")]
+
+    def run(key: tuple, own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        now = own.sort_values("ord").reset_index(drop=True)
+        revealed, offered = [], None
+        for e in log.sort_values("seq").itertuples():
+            if e.edit == "add":
+                top = 0 if now.empty else int(now["ord"].max()) + 1
+                fresh = {"page_id": key[0], "ord": top, "x": e.x, "y": e.y, "w": e.w, "h": e.h, "source": "manual", "reason": "manual", "text": None}
+                now = pd.concat([now, pd.DataFrame([fresh])], ignore_index=True) if len(now) else pd.DataFrame([fresh])
+                continue
+            if e.edit == "bulk":
+                gone = (now.x < e.x + e.w) & (e.x < now.x + now.w) & (now.y < e.y + e.h) & (e.y < now.y + now.h)
+            else:
+                holds = (e.x >= now.x) & (e.x <= now.x + now.w) & (e.y >= now.y) & (e.y <= now.y + now.h)
+                if not holds.any():
+                    continue
+                top = int(holds.to_numpy().nonzero()[0][-1])
+                gone = _column(now, top) if e.edit == "column" else pd.Series(now.index == top, index=now.index)
+            if not gone.any():
+                continue
+            shown = now[gone & (now.source == "auto") & now.text.fillna("").ne("")]
+            revealed.append(shown)
+            if e.edit != "click":
+                offered = None
+            elif len(shown):
+                offered = shown
+            now = now[~gone].reset_index(drop=True)
+        parts = [now.assign(state="mask"), *(r.assign(state="revealed") for r in revealed)]
+        if offered is not None:
+            parts.append(offered.assign(state="offered"))
+        out = pd.concat([p for p in parts if len(p)] or [pd.DataFrame(columns=names)], ignore_index=True)
+        return out[names]
+
+    columns = ["page_id", "ord", "x", "y", "w", "h", "source", "reason", "text"]
+    own = masks.select(*(F.col(c).cast("long") if c in ("page_id", "ord") else F.col(c).cast("double") if c in "xywh" else c for c in columns))
+    log = edits.select(F.col("page_id").cast("long"), "seq", "edit", *(F.col(c).cast("double") for c in "xywh"))
+    return own.groupBy("page_id").cogroup(log.groupBy("page_id")).applyInPandas(run, REPLAYED)

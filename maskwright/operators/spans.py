@@ -1,13 +1,21 @@
-"""Matches that reach over the units of a block: patterns, measures, names, phrases."""
+"""Matches that reach over the units of a block: patterns, measures, phrases.
+
+The units of a whole Arrow batch lie one after another in one text, with a mark between blocks that no pattern and no
+phrase can cross. Each pattern scans that text once; matches become unit numbers by binary search.
+"""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .. import vocab as V
 from ..cluster import ship
@@ -18,136 +26,125 @@ PATTERNS = [(reason, re.compile(p)) for reason, p in V.LINE_PATTERNS]
 METRIC = re.compile(V.METRIC_BEFORE + V.METRIC + r"(?![^\W_])")
 DROP = re.compile(f"[{_PY(V.PHRASE_DROP)}]+")
 WIDTH = str.maketrans(V.WIDE, V.NARROW)
-FLAGS = "line_reason array<string>, unit_metric array<boolean>, user_kept array<boolean>, label_kept array<boolean>"
+#: Stands between blocks; no pattern, phrase or measure holds it.
+MARK = "\0"
+FLAGS = {"line_reason": "array<string>", "unit_metric": "array<boolean>", "user_kept": "array<boolean>", "label_kept": "array<boolean>"}
 
 
 def fold(text: str) -> str:
     return text.translate(WIDTH).lower()
 
 
+def _each(units: list[str], change) -> list[str]:
+    """``change`` of every unit, made on all of them at once where no unit holds the mark."""
+    out = change(MARK.join(units)).split(MARK)
+    return out if len(out) == len(units) else [change(u).replace(MARK, " ") for u in units]
+
+
 class Joined:
-    """Units one after another without separator, and the owner of each place."""
+    """Units one after another, with a mark before each that ``breaks`` names."""
+
+    def __init__(self, parts: list[str], breaks: np.ndarray):
+        self.text = "".join([MARK + p if b else p for p, b in zip(parts, breaks.tolist(), strict=True)])
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.starts = np.cumsum(self.sizes + breaks) - self.sizes
+
+    def covered(self, spans: np.ndarray) -> np.ndarray:
+        """How many characters of each unit the ``spans`` (rows of start and end) cover; overlaps count once."""
+        depth = np.zeros(len(self.text) + 1, np.int32)
+        np.add.at(depth, spans[:, 0], 1)
+        np.add.at(depth, spans[:, 1], -1)
+        upto = np.append(0, np.cumsum(np.cumsum(depth)[:-1] > 0))
+        return upto[self.starts + self.sizes] - upto[self.starts]
 
-    def __init__(self, parts: list[str]):
-        self.text, self.starts, at = "".join(parts), [], 0
-        for p in parts:
-            self.starts.append(at)
-            at += len(p)
-        self.parts = parts
 
-    def owners(self, a: int, b: int) -> range:
-        """Units with a character in ``a .. b``."""
-        first, last = bisect_right(self.starts, a) - 1, bisect_right(self.starts, b - 1) - 1
-        return range(first, last + 1)
+def _spans(found: Iterator[re.Match]) -> np.ndarray:
+    return np.array([m.span() for m in found], np.int64).reshape(-1, 2)
 
 
-def line_reasons(units: list[str]) -> list[str | None]:
-    """The reason of the last pattern that covers each unit."""
-    joined, out = Joined([fold(u) for u in units]), [None] * len(units)
+def line_reasons(units: list[str], breaks: np.ndarray) -> np.ndarray:
+    """The reason of the last pattern that covers a part of each unit, or None."""
+    joined, out = Joined(_each(units, fold), breaks), np.full(len(units), None, object)
     for reason, pattern in PATTERNS:
-        for m in pattern.finditer(joined.text):
-            for i in joined.owners(*m.span()):
-                if joined.parts[i]:
-                    out[i] = reason
+        out[joined.covered(_spans(pattern.finditer(joined.text))) > 0] = reason
     return out
 
 
-def metric_units(units: list[str]) -> list[bool]:
-    """Units of which measures cover every character."""
-    joined = Joined([fold(u) for u in units])
-    covered = [0] * len(units)
-    for m in METRIC.finditer(joined.text):
-        for i in joined.owners(*m.span()):
-            covered[i] += min(m.end(), joined.starts[i] + len(joined.parts[i])) - max(m.start(), joined.starts[i])
-    return [bool(p) and c == len(p) for p, c in zip(joined.parts, covered, strict=True)]
+def metric_units(units: list[str], breaks: np.ndarray) -> np.ndarray:
+    """Units of which measures cover every character; ``breaks`` part visual lines."""
+    joined = Joined(_each(units, fold), breaks)
+    return (joined.covered(_spans(METRIC.finditer(joined.text))) == joined.sizes) & (joined.sizes > 0)
 
 
-def protected(units: list[str], phrases: list[str], full: bool) -> list[bool]:
+def protected(units: list[str], phrases: list[str], full: bool, breaks: np.ndarray) -> np.ndarray:
     """Units that phrases cover, in part or (``full``) wholly; occurrences may overlap."""
-    joined = Joined([fold(DROP.sub("", u)) for u in units])
-    hit = bytearray(len(joined.text))
+    if not phrases:
+        return np.zeros(len(units), bool)
+    joined = Joined(_each(units, lambda t: fold(DROP.sub("", t))), breaks)
+    found: list[tuple[int, int]] = []
     for phrase in phrases:
         at = joined.text.find(phrase)
         while at >= 0:
-            hit[at : at + len(phrase)] = b"\x01" * len(phrase)
+            found.append((at, at + len(phrase)))
             at = joined.text.find(phrase, at + 1)
-    ask = all if full else any
-    return [bool(p) and ask(hit[s : s + len(p)]) for p, s in zip(joined.parts, joined.starts, strict=True)]
-
-
-def name_runs(tokens: list[dict | None]) -> list[str | None]:
-    """Runs of short kanji nouns that may be a name, and a kana noun right after a family name."""
-    out: list[str | None] = [None] * len(tokens)
-    run: list[tuple[int, str, dict]] = []
-
-    def flush():
-        members = [r for r in run if r[1] != "space"]
-        kanji = [r for r in members if r[1] == "kanji"]
-        count = sum(len(r[2]["surface_form"]) for r in kanji)
-        anchored = any(len(r[2]["surface_form"]) == 1 or r[2]["pos_detail_1"] == "固有名詞" for r in kanji)
-        kana = any(r[1] == "kana" for r in members)
-        if members and (kana or (len(kanji) >= 2 and 2 <= count <= 4 and anchored)):
-            for i in range(members[0][0], members[-1][0] + 1):
-                out[i] = "kana-name" if kana else "kanji-run"
-        run.clear()
-
-    for i, t in enumerate(tokens):
-        if t is None:
-            flush()
-            continue
-        surface, last = t["surface_form"], next((r for r in reversed(run) if r[1] != "space"), None)
-        noun = t["pos"] == "名詞"
-        if not surface.strip():
-            if run:
-                run.append((i, "space", t))
-        elif re.match(V.KANJI, surface) and ((noun and t["pos_detail_1"] in V.KANJI_DETAILS) or (t["pos"] == "形容詞" and t["pos_detail_1"] == "自立")):
-            if last and last[1] == "kana":
-                flush()
-            run.append((i, "kanji", t))
-        elif noun and t["pos_detail_1"] in V.KANA_DETAILS and re.match(V.KANA_NAME, surface) and last and last[1] == "kanji" and last[2].get("pos_detail_2") == "人名":
-            run.append((i, "kana", t))
-        else:
-            flush()
-    flush()
-    return out
+    held = joined.covered(np.array(found, np.int64).reshape(-1, 2))
+    return (held == joined.sizes) & (held > 0) if full else held > 0
+
+
+def _phrases(terms: tuple[str, ...]) -> list[str]:
+    return sorted({p for p in (fold(DROP.sub("", t)) for t in terms) if p and MARK not in p})
 
 
-def with_spans(blocks: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``blocks`` (with ``units array<string>``) with one value for each unit in each of ``FLAGS``.
+def with_spans(blocks: DataFrame, rules: Rules = Rules(), flags: tuple[str, ...] = tuple(FLAGS)) -> DataFrame:
+    """``blocks`` (with ``units array<string>``) with one value for each unit in each of ``flags``.
 
-    Where ``blocks`` has ``tokens``, an array of one morpheme (or null) for each unit, ``name_run`` is added as well.
+    Where ``blocks`` has ``visual array<int>``, measures do not reach over units of different visual lines. Null units
+    are empty; a null block has null flags. Columns named like a flag are replaced.
     """
     ship(blocks.sparkSession)
-    terms = sorted({p for p in (fold(DROP.sub("", t)) for t in rules.terms) if p})
-    labels = sorted({p for p in (fold(DROP.sub("", t)) for t in rules.labels) if p})
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields]
-    at, tokens_at = blocks.columns.index("units"), blocks.columns.index("tokens") if "tokens" in blocks.columns else None
-    flags = FLAGS if tokens_at is None else f"{FLAGS}, name_run array<string>"
+    terms, labels = _phrases(rules.terms), _phrases(rules.labels)
+    kept = [f for f in blocks.schema.fields if f.name not in flags]
+    schema = StructType([*kept, *(StructField(n, _parse_datatype_string(FLAGS[n])) for n in flags)])
+    has_lines = "visual" in blocks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
         for batch in batches:
-            units = [[u or "" for u in x or []] for x in batch.column(at).to_pylist()]
-            made = [
-                pa.array([line_reasons(u) for u in units], pa.list_(pa.string())),
-                *(pa.array(x, pa.list_(pa.bool_())) for x in ([metric_units(u) for u in units], [protected(u, terms, False) for u in units], [protected(u, labels, True) for u in units])),
-            ]
-            if tokens_at is not None:
-                tokens = [[t if t and t["surface_form"] is not None else None for t in x or []] for x in batch.column(tokens_at).to_pylist()]
-                made.append(pa.array([name_runs((t + [None] * len(u))[: len(u)]) for t, u in zip(tokens, units, strict=True)], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(c.split()[0] for c in flags.split(", "))])
-
-    return blocks.mapInArrow(run, ", ".join(kept) + ", " + flags)
+            column = batch.column(batch.schema.get_field_index("units")).cast(pa.large_list(pa.string()))
+            units = [u or "" for u in column.flatten().to_pylist()]
+            sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = np.append(0, np.cumsum(sizes))
+            breaks = np.zeros(len(units) + 1, np.int64)
+            breaks[offsets] = 1
+            breaks = breaks[:-1]
+            lines = breaks
+            if has_lines:
+                number = np.array(batch.column(batch.schema.get_field_index("visual")).flatten().to_pylist(), np.int64)
+                lines = breaks | np.append(1, number[1:] != number[:-1])[: len(units)]
+            made = {
+                "line_reason": lambda: line_reasons(units, breaks),
+                "unit_metric": lambda: metric_units(units, lines),  # noqa: B023
+                "user_kept": lambda: protected(units, terms, False, breaks),
+                "label_kept": lambda: protected(units, labels, True, breaks),
+            }
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            columns = [batch.column(batch.schema.get_field_index(f.name)).cast(out.field(f.name).type) for f in kept]
+            for name in flags:
+                values = pa.array(made[name](), out.field(name).type.value_type)
+                at = pa.array(np.append(offsets[:-1], offsets[-1]), pa.int32(), mask=np.append(null, False))
+                columns.append(pa.ListArray.from_arrays(at, values).cast(out.field(name).type))
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return blocks.select(*(f.name for f in kept)).mapInArrow(run, schema)
 
 
 def spread_units(spanned: DataFrame, along: tuple[str, ...] = ()) -> DataFrame:
-    """One row per unit: the block's other columns, ``unit_idx, text``, the flags, ``token`` of ``tokens``, and each of
-    ``along`` (arrays with one value for each unit)."""
-    from pyspark.sql import functions as F
-
-    names = [*(c.split()[0] for c in FLAGS.split(", ")), *(c for c in ("name_run",) if c in spanned.columns), *along]
+    """One row per unit: the block's other columns, ``unit_idx, text``, the flags that there are, ``token`` of
+    ``tokens``, and each of ``along`` (arrays with one value for each unit)."""
+    names = [*(c for c in FLAGS if c in spanned.columns), *along]
     # a block without tokens keeps its units, and tokens beyond the units make no rows
     own = lambda: F.slice(F.coalesce("tokens", F.array().cast(spanned.schema["tokens"].dataType)), F.lit(1), F.size("units"))
     tokens = [own().alias("token")] if "tokens" in spanned.columns else []
-    others = [c for c in spanned.columns if c not in ("units", "tokens", *names)]
+    others = [c for c in spanned.columns if c not in ("units", "tokens", "visual", *names)]
     zipped = F.posexplode(F.arrays_zip(F.col("units").alias("text"), *tokens, *names)).alias("unit_idx", "u")
     return spanned.select(*others, zipped).select(*others, "unit_idx", "u.*")

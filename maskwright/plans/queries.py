@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import text as T
-from ..operators import edits
-from ..operators.decide import decide, mask_text, merge_runs
-from ..operators.spans import spread_units, with_spans
+from ..operators import edits, regions
+from ..operators.decide import decide, kept_of, mask_text, masks_of, merge_runs
+from ..operators.names import with_name_runs
+from ..operators.spans import FLAGS, spread_units, with_spans
+from ..sources import phrases
 from ..sources.pages import page_blocks, page_lines
-from ..sources.units import lines_of, spaced_blocks, units_of, word_blocks
+from ..sources.units import blocks_of, lines_of, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
-from .export import text_runs, wireframe
+from . import oracle, samples
+from .export import decision_log, elements, text_runs, wireframe
 
 #: Production parameters: phrases of the user, interface labels, patterns for masking text.
 TERMS = ("the and", "of the")
@@ -21,12 +24,12 @@ MASK_EMAIL, MASK_DIGITS = "[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\\.[A-Za
 
 
 def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _units(spark, sf_dir):
     units = units_of(lines_of(_table(spark, sf_dir, "documents"), "doc_id")).withColumnRenamed("id", "doc_id")
-    return units.withColumns({"line_reason": T.unit_reason(F.col("text")), "unit_metric": T.unit_is_metric(F.col("text"))})
+    return T.once(T.once(units, folded=T.fold(F.col("text"))), line_reason=T.folded_reason(F.col("folded")), unit_metric=T.folded_is_metric(F.col("folded"))).drop("folded")
 
 
 def normalize_fold(spark, sf_dir):
@@ -39,12 +42,15 @@ def phrase_normalize(spark, sf_dir):
 
 def judge_words(spark, sf_dir):
     words = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("([^ \\t\\r\\n\\x0B\\f]+)"), F.lit(1))).alias("word"))
-    return words.withColumn("v", T.judge(F.col("word"))).select("conv_id", "turn", "word", "v.mask", "v.reason")
+    said = T.judged(words, "word")
+    return said.select("conv_id", "turn", "word", T.masks(F.col("reason")).alias("mask"), "reason")
 
 
 def judge_reason_counts(spark, sf_dir):
-    units = units_of(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
-    return units.select(T.judge(F.col("text"))["reason"].alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    words = units_of(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
+    # each distinct word is judged once; sums before the shuffle keep a frequent word from one task
+    counted = words.groupBy("text").agg(F.count("*").alias("k"))
+    return T.judged(counted, "text").groupBy("reason").agg(F.sum("k").alias("n")).orderBy("reason")
 
 
 def mask_email_text(spark, sf_dir):
@@ -65,7 +71,7 @@ def line_reason_units(spark, sf_dir):
 
 def line_pattern_units(spark, sf_dir):
     blocks = word_blocks(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
-    return spread_units(with_spans(blocks, Rules(labels=()))).where("line_reason IS NOT NULL").select(F.col("id").alias("doc_id"), "block_id", "unit_idx", "text", "line_reason")
+    return spread_units(with_spans(blocks, flags=("line_reason",))).where("line_reason IS NOT NULL").select(F.col("id").alias("doc_id"), "block_id", "unit_idx", "text", "line_reason")
 
 
 def decide_masks(spark, sf_dir):
@@ -93,7 +99,7 @@ def cascade_summary(spark, sf_dir):
 
 def _phrases(spark, sf_dir, flag, rules):
     blocks = word_blocks(lines_of(_table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text"), "key"))
-    return spread_units(with_spans(blocks, rules)).where(flag).select("id.conv_id", "id.turn", "block_id", "unit_idx", "text")
+    return spread_units(with_spans(blocks, rules, flags=(flag,))).where(flag).select("id.conv_id", "id.turn", "block_id", "unit_idx", "text")
 
 
 def user_phrase_protect(spark, sf_dir):
@@ -105,9 +111,10 @@ def label_phrase_protect(spark, sf_dir):
 
 
 def run_merge(spark, sf_dir):
-    blocks = word_blocks(lines_of(_table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text"), "key"))
-    runs = merge_runs(decide(spread_units(with_spans(blocks))), ["id", "block_id"])
-    return runs.select("id.conv_id", "id.turn", "block_id", "start", "end", "reason", "text")
+    """Masked units of documents, read word by word without spaces, and their runs."""
+    blocks = word_blocks(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
+    units = spread_units(with_spans(blocks, flags=("line_reason", "unit_metric", "label_kept")))
+    return merge_runs(decide(units), ["id", "block_id"]).select(F.col("id").alias("doc_id"), "block_id", "start", "end", "reason", "text")
 
 
 def html_lines(spark, sf_dir):
@@ -118,19 +125,26 @@ def html_semantics(spark, sf_dir):
     return html_lines(spark, sf_dir).groupBy("semantic", "kind").agg(F.count("*").alias("n"))
 
 
-def html_table_link(spark, sf_dir):
-    lines = html_lines(spark, sf_dir)
+def _table_link(lines):
     heads = lines.where(F.col("kind").isin("th", "columnheader")).groupBy("page_id", "table_id", "col").agg(F.min_by("text", "line_id").alias("header"))
     return lines.where("semantic = 'data' AND table_id IS NOT NULL").join(heads, ["page_id", "table_id", "col"], "left").select("page_id", "line_id", "table_id", "col", "text", "header")
 
 
-def html_decide(spark, sf_dir):
-    units = spread_units(with_spans(page_blocks(_table(spark, sf_dir, "pages"))), along=("line",))
+def html_table_link(spark, sf_dir):
+    return _table_link(html_lines(spark, sf_dir))
+
+
+def _html_decide(pages):
+    units = spread_units(with_spans(page_blocks(pages), flags=("line_reason", "label_kept")), along=("line",))
     # patterns and labels reach over a block, measures over one line
     units = units.select("*", "line.*").drop("line").withColumn("unit_metric", T.unit_is_metric(F.col("text")))
     return decide(units).select("page_id", "block_id", "line_id", "semantic", "kind", "table_id", "col", "mask", "reason")
 
 
+def html_decide(spark, sf_dir):
+    return _html_decide(_table(spark, sf_dir, "pages"))
+
+
 def props_mask(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", mask_text(F.col("props"), MASK_DIGITS, "█").alias("props"))
 
@@ -150,9 +164,9 @@ def phrase_merge(spark, sf_dir):
 
 
 def _rects(spark, sf_dir):
-    """Synthetic rectangles, as no table holds any: 20 to a page, from the numbers of documents."""
+    """Rectangles by rule, as no table holds any: 20 to a page, from the numbers of documents."""
     n = F.col("doc_id")
-    return _table(spark, sf_dir, "documents").select(F.floor(n / 20).alias("page_id"), n.alias("mask_id"), (n * 37 % 400).cast("double").alias("x"), (n * 53 % 300).cast("double").alias("y"), (20 + n % 60).cast("double").alias("w"), F.lit(10.0).alias("h"), F.substring("text", 1, 12).alias("text"))
+    return _table(spark, sf_dir, "documents").select(F.floor(n / 20).alias("page_id"), n.alias("mask_id"), (n * 37 % 400).cast("double").alias("x"), (n * 53 % 300).cast("double").alias("y"), (20 + n % 60).cast("double").alias("w"), F.lit(10.0).alias("h"), "text")
 
 
 def bulk_unmask(spark, sf_dir):
@@ -171,30 +185,196 @@ def column_unmask(spark, sf_dir):
     return masks.join(gone, ["page_id", "mask_id"], "left_anti").select("page_id", "mask_id")
 
 
+#: What the screens of ``samples`` are decided by.
+SCREEN_RULES = Rules(terms=samples.SCREEN_TERMS)
+SCREEN_KEYS = ["conv_id", "turn"]
+
+
+def _screen(spark, sf_dir):
+    """Units of screens with their spans, which reach over units and not over visual lines where measures are concerned."""
+    blocks = blocks_of(samples.screen_units(_table(spark, sf_dir, "conversations")), SCREEN_KEYS)
+    return spread_units(with_spans(blocks, SCREEN_RULES), along=("row",)).select("*", "row.*").drop("row", "visual")
+
+
+def screen_flags(spark, sf_dir):
+    """Units that a pattern, measure or phrase touches."""
+    units = _screen(spark, sf_dir).where("line_reason IS NOT NULL OR unit_metric OR user_kept OR label_kept")
+    return units.select(*SCREEN_KEYS, "unit_idx", "text", *FLAGS)
+
+
+def _decided(spark, sf_dir):
+    return decide(_screen(spark, sf_dir), SCREEN_RULES)
+
+
+def screen_decide(spark, sf_dir):
+    """The whole cascade with places, confidence, patterns, measures, labels and the user's phrases."""
+    return _decided(spark, sf_dir).select(*SCREEN_KEYS, "unit_idx", "text", "mask", "reason")
+
+
+def _masks(decided):
+    return masks_of(decided, SCREEN_KEYS, SCREEN_RULES)
+
+
+def screen_masks(spark, sf_dir):
+    """Masks of screens as rectangles, runs on one visual line merged."""
+    return _masks(_decided(spark, sf_dir)).drop("source")
+
+
+def screen_summary(spark, sf_dir):
+    """Masks and kept texts by reason, in order."""
+    decided = _decided(spark, sf_dir)
+    both = _masks(decided).select("reason").unionByName(kept_of(decided, SCREEN_KEYS).select("reason"))
+    return both.groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason")
+
+
+def screen_coverage(spark, sf_dir):
+    """Over-masking and leaks against what each unit is known to be: numbers and addresses are to be masked, labels and
+    measures kept."""
+    expected = {"mask": ("090-1234-", "5678", "ann@", "mail.example.org"), "keep": ("Save", "検索", "99.95%", "+12", "件")}
+    check = F.when(F.col("text").isin(*expected["mask"]), "mask").when(F.col("text").isin(*expected["keep"]), "keep")
+    units = _decided(spark, sf_dir).withColumn("check", check).where("check IS NOT NULL")
+    wrong = (F.col("check") == "mask") != F.col("mask")
+    return units.groupBy("check").agg(F.count_if(wrong).alias("violations"), F.count("*").alias("n"))
+
+
+def _page(df):
+    """A message as a page of its own: masks and texts of one screen block."""
+    return df.withColumn("page_id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("block_id", F.col("turn").cast("int"))
+
+
 def text_run_merge(spark, sf_dir):
-    return text_runs(_rects(spark, sf_dir).where("mask_id % 2 = 0").withColumn("block_id", (F.col("mask_id") % 3).cast("int")))
+    """Kept texts of screens, neighbours on a line merged."""
+    return text_runs(_page(kept_of(_decided(spark, sf_dir), SCREEN_KEYS)).withColumn("ord", F.col("unit_idx").cast("long")))
+
+
+def _drawn(spark, sf_dir):
+    decided = _decided(spark, sf_dir)
+    screen = samples.screen_elements(_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")))
+    runs = text_runs(_page(kept_of(decided, SCREEN_KEYS)).withColumn("ord", F.col("unit_idx").cast("long")))
+    masks = _page(_masks(decided))
+    removed = masks.where("reason = 'dom-data'")
+    pictures = regions.icons(screen, ["page_id"]).withColumn("data_url", F.concat(F.lit("data:image/png;"), "ord"))
+    return elements(masks.where("reason != 'dom-data'"), runs, removed, regions.decor(screen, ["page_id"]), pictures), regions.page_ground(screen, ["page_id"])
+
+
+def wireframe_elements(spark, sf_dir):
+    """Elements of drawings: decoration, icons, merged and revealed texts, masks, numbered from the back."""
+    drawn, _ = _drawn(spark, sf_dir)
+    return drawn.select("page_id", "n", "id", "file_id", "layer", "role", "reason", "kind", "table_id", "col", "x", "y", "w", "h", "text", "font_size")
+
+
+def wireframe_layers(spark, sf_dir):
+    """How many elements of each role a drawing has, and their ids' first and last number."""
+    return wireframe_elements(spark, sf_dir).groupBy("page_id", "role").agg(F.count("*").alias("n"), F.min("n").alias("first"), F.max("n").alias("last"))
 
 
 def wireframe_json(spark, sf_dir):
-    masks = _rects(spark, sf_dir).where("mask_id % 2 = 1").withColumn("reason", F.lit("digit-run"))
-    return wireframe(text_run_merge(spark, sf_dir), masks)
+    return wireframe(*_drawn(spark, sf_dir))
+
+
+def decision_logs(spark, sf_dir):
+    """What was decided on each screen, for its reviewer."""
+    decided = _decided(spark, sf_dir)
+    return decision_log(decided, _masks(decided), kept_of(decided, SCREEN_KEYS), SCREEN_KEYS, ("unit_idx",))
+
+
+def screen_tokens(spark, sf_dir):
+    """Screen lines through a tokenizer: pieces with the boxes and the confidence of their characters."""
+    lines = with_tokens(samples.screen_lines(_table(spark, sf_dir, "conversations")), samples.halves)
+    return token_units(lines).select(*SCREEN_KEYS, "unit_idx", "text", *(F.round(f"bbox.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "confidence")
+
+
+def _morphemes(spark, sf_dir):
+    return with_name_runs(samples.morpheme_units(_table(spark, sf_dir, "documents")), ["doc_id"])
+
+
+def judge_tokens(spark, sf_dir):
+    """Verdicts on morphemes alone."""
+    return _morphemes(spark, sf_dir).select("doc_id", "unit_idx", T.judge_token(F.col("token"))["reason"].alias("reason"))
+
+
+def name_runs(spark, sf_dir):
+    """Morphemes that belong to a run which may be a name."""
+    return _morphemes(spark, sf_dir).where("name_run IS NOT NULL").select("doc_id", "unit_idx", "text", "name_run")
+
+
+def token_decide(spark, sf_dir):
+    """The cascade over morphemes with name runs, places and confidence."""
+    return decide(_morphemes(spark, sf_dir)).select("doc_id", "unit_idx", "text", "mask", "reason")
+
+
+def form_lines(spark, sf_dir):
+    """Lines of pages with menus, tables, forms and grids."""
+    return page_lines(samples.form_pages(_table(spark, sf_dir, "documents")))
+
+
+def form_table_link(spark, sf_dir):
+    """Data cells of those pages and the header of their column."""
+    return _table_link(form_lines(spark, sf_dir))
+
+
+def form_decide(spark, sf_dir):
+    return _html_decide(samples.form_pages(_table(spark, sf_dir, "documents")))
+
+
+def _elements(spark, sf_dir):
+    return samples.screen_elements(_table(spark, sf_dir, "documents"))
+
+
+def opaque_regions(spark, sf_dir):
+    """Masks over what cannot be read, in the picture's pixels (twice the page's)."""
+    return regions.opaque_masks(_elements(spark, sf_dir), ["page_id"], 2.0, 2.0).drop("source")
+
+
+def icon_regions(spark, sf_dir):
+    return regions.icons(_elements(spark, sf_dir), ["page_id"])
+
+
+def decor_regions(spark, sf_dir):
+    return regions.decor(_elements(spark, sf_dir), ["page_id"])
+
+
+def page_grounds(spark, sf_dir):
+    return regions.page_ground(_elements(spark, sf_dir), ["page_id"])
+
+
+def _strokes(spark, sf_dir):
+    """Four strokes on each page of ``_rects``: a click, a wide drag, a click with alt, a drag with shift."""
+    rects = _rects(spark, sf_dir).where("mask_id % 5 = 1")
+    x, y = F.col("x") + 5, F.col("y") + 5
+    kind = F.floor(F.col("mask_id") / 5) % 4
+    reach = F.when(kind.isin(1, 3), 60.0).otherwise(1.0)
+    return rects.select("page_id", F.col("mask_id").alias("seq"), x.alias("x0"), y.alias("y0"), (x + reach).alias("x1"), (y + reach).alias("y1"), (kind == 2).alias("alt"), (kind == 3).alias("shift"))
+
+
+def edit_gestures(spark, sf_dir):
+    return edits.gestures(_strokes(spark, sf_dir))
+
+
+def edit_replay(spark, sf_dir):
+    """Masks, revealed texts and the phrase that is offered after all strokes of each page, in order."""
+    masks = _rects(spark, sf_dir).select("page_id", F.col("mask_id").alias("ord"), "x", "y", "w", "h", F.when(F.col("mask_id") % 7 == 0, "manual").otherwise("auto").alias("source"), F.lit("digit").alias("reason"), "text")
+    return edits.replay(masks, edits.gestures(_strokes(spark, sf_dir)))
+
+
+def phrase_lists(spark, sf_dir):
+    """Two lists of phrases, one as JSON, merged in order without repeats."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit(" "), F.substring_index("text", " ", 2)).alias("term"))
+    read = phrases.parse_phrases(phrases.phrases_json(items))
+    more = items.select((F.col("ord") + 1).alias("ord"), F.substring_index(F.trim("term"), " ", 1).alias("term"))
+    return phrases.merge_phrases(read, more)
 
 
 QUERIES = {f.__name__: f for f in (
     normalize_fold, phrase_normalize, judge_words, judge_reason_counts, mask_email_text, mask_digit_run_text, unit_metric, line_reason_units, line_pattern_units,
     decide_masks, decide_kept, decision_summary, cascade_units, cascade_summary, user_phrase_protect, label_phrase_protect, run_merge, html_lines, html_semantics, html_table_link, html_decide,
     props_mask, coverage_metrics, reason_hue, phrase_merge, bulk_unmask, click_unmask, column_unmask, text_run_merge, wireframe_json,
+    screen_flags, screen_decide, screen_masks, screen_summary, screen_coverage, wireframe_elements, wireframe_layers, decision_logs, screen_tokens, judge_tokens, name_runs, token_decide,
+    form_lines, form_table_link, form_decide, opaque_regions, icon_regions, decor_regions, page_grounds, edit_gestures, edit_replay, phrase_lists,
 )}
 
 # -- SQL ------------------------------------------------------------------------------------------------------------
-_RE2 = lambda p: p.replace("\\z", "$").replace("'", "''")
-_FOLD = lambda c: f"lower(translate({c}, '{V.WIDE}', '{V.NARROW}'))"
-_TRIM = lambda c: f"regexp_replace({c}, '^[{V.JS_SPACE}]+|[{V.JS_SPACE}]+$', '', 'g')"
-_HAS = lambda c, p: f"regexp_matches({c}, '{_RE2(p)}')"
-_JUDGE = f"""CASE WHEN n = '' THEN 'empty' WHEN contains(n, '@') THEN 'at-mark' WHEN {_HAS('n', '[0-9]')} THEN 'digit'
-    WHEN length(n) + length(regexp_replace(n, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) >= {V.LONG_TEXT} THEN 'long-text'
-    WHEN n IN ({', '.join(f"'{x}'" for x in V.LABELS)}) THEN 'allowlist' WHEN {_HAS('r', V.NAME_LIKE)} THEN 'jp-name-like'
-    WHEN {_HAS('r', V.ASCII_WORD)} THEN 'ascii-word' ELSE 'unknown' END"""
+_RE2, _FOLD, _TRIM, _HAS, _JUDGE = oracle.RE2, oracle.FOLD, oracle.TRIM, oracle.HAS, oracle.JUDGE
 _LINE = f"""CASE WHEN {_HAS('f', V.DIGIT_RUN)} THEN 'digit-run' WHEN {_HAS('f', V.EMAIL)} THEN 'email'
     WHEN {_HAS('f', V.EMAIL_HEAD)} OR {_HAS('f', V.EMAIL_TAIL)} THEN 'email-frag' END"""
 _UNITS = f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS block_id FROM documents),
@@ -236,3 +416,4 @@ ORACLE_SQL = {
         JOIN rects a ON a.page_id = c.page_id AND a.mask_id = c.mask_id JOIN rects b ON b.page_id = a.page_id AND least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) >= 0.5 * least(a.w, b.w))
         SELECT page_id, mask_id FROM rects WHERE mask_id NOT IN (SELECT mask_id FROM closure)""",
 }
+ORACLE_SQL |= oracle.ORACLE_SQL

@@ -5,149 +5,225 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..cluster import ship
 
-LINE_SCHEMA = "page_id long, block_id int, line_id int, semantic string, kind string, table_id int, col int, text string"
-#: What a block holds of each of its lines, and the Arrow types.
 PLACE = {"line_id": pa.int32(), "semantic": pa.string(), "kind": pa.string(), "table_id": pa.int32(), "col": pa.int32()}
+LINE_SCHEMA = "page_id long, block_id int, line_id int, semantic string, kind string, table_id int, col int, text string"
 BLOCK_SCHEMA = "page_id long, block_id int, units array<string>, line array<struct<line_id: int, semantic: string, kind: string, table_id: int, col: int>>"
-SKIP = {"script", "style", "noscript", "template", "head", "title"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "font", "i", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "button"}
-LABEL_TAGS = {"th", "label", "button", "nav", "h1", "h2", "h3", "h4", "h5", "h6", "legend", "summary", "dt"}
-DATA_TAGS = {"td", "dd"}
-ROLES = {"columnheader": "label", "button": "label", "tab": "label", "heading": "label", "navigation": "label", "cell": "data", "gridcell": "data"}
-
+OPAQUE_SCHEMA = "page_id long, ord int, tag string, w double, h double"
+
+# Results depend on them.
+SKIP = {"script", "style", "noscript", "template", "head"}
+LABEL_TAGS = {"th", "label", "caption", "legend", "button", "summary", "nav", "h1", "h2", "h3", "h4", "h5", "h6"}
+DATA_TAGS = {"td", "output"}
+LABEL_ROLES = {"button", "columnheader", "rowheader", "heading", "tab", "navigation", "menu", "menubar", "menuitem"}
+DATA_ROLES = {"cell", "gridcell", "row"}
+UNREADABLE = {"img", "canvas", "svg", "video", "picture"}
+FRAMES = {"iframe", "frame", "object", "embed"}
+IGNORED_INPUTS = {"checkbox", "radio", "hidden", "range", "color", "file", "image"}
+BUTTON_INPUTS = {"button", "submit", "reset"}
+PASSWORD = "●●●"
+
+# HTML's own rules: elements without content, those laid out within a line, and what an element's start ends.
+VOID = {"area", "base", "br", "col", "embed", "frame", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "button", "cite", "code", "em", "font", "i", "img", "input", "kbd", "label", "mark", "meter", "output", "progress", "q", "s", "samp", "select", "small", "span", "strong", "sub", "sup", "svg", "textarea", "time", "u", "var", "wbr"}
+ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "tbody": {"td", "th", "tr", "thead", "tbody"}, "tfoot": {"td", "th", "tr", "tbody"}, "li": {"li"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+
+
+class Element:
+    """An open element: its meaning, its place among its siblings, and how many children it has."""
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
+        self.tag, self.role, self.attrs = tag, attrs.get("role", "").strip().lower(), attrs
+        self.hidden = tag in SKIP or tag in UNREADABLE or tag in FRAMES or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        self.inline = tag in INLINE or "display:contents" in attrs.get("style", "").replace(" ", "").lower()
+        self.children = self.cells = 0
+        if tag in LABEL_TAGS:
+            self.meaning = ("label", tag)
+        elif self.role in LABEL_ROLES:
+            self.meaning = ("label", self.role)
+        elif tag in DATA_TAGS:
+            self.meaning = ("data", tag)
+        else:
+            self.meaning = ("data", self.role) if self.role in DATA_ROLES else None
+        self.col = 0
+        if parent is not None:
+            self.col = parent.cells if tag in ("td", "th") else parent.children
+            span = attrs.get("colspan", "")
+            parent.children += 1
+            parent.cells += int(span) if span.isdigit() and 0 < int(span) <= 1000 else 1
+
+    @property
+    def is_row(self) -> bool:
+        return self.tag == "tr" or self.role == "row"
+
+
+class Lines(HTMLParser):
+    """The visible lines of a page, one for each text and form value, and its unreadable elements."""
 
-class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[dict] = []
+        self.open: list[Element] = []
         self.rows: list[dict] = []
-        self.held: list[str] = []
-        self.blocks, self.tables, self.skipped = 0, 0, 0
-        self.select: list[str] | None = None
-        self.chosen = False
-
-    def _flush(self):
-        text = "".join(self.held).strip()
-        self.held = []
-        if text:
-            self._emit(text)
-
-    def _emit(self, text: str, semantic: str | None = None, kind: str | None = None):
-        inner = [e for e in reversed(self.stack) if e["semantic"]]
-        cell = next((e for e in reversed(self.stack) if e["col"] is not None), None)
-        block = next((e for e in reversed(self.stack) if e["tag"] not in INLINE), None)
-        if block is not None and block["block"] is None:
-            block["block"] = self.blocks
-            self.blocks += 1
-        self.rows.append({"block_id": block["block"] if block else 0, "line_id": len(self.rows), "semantic": semantic or (inner[0]["semantic"] if inner else None), "kind": kind or (inner[0]["kind"] if inner else None), "table_id": cell["table"] if cell else None, "col": cell["col"] if cell else None, "text": text})
+        self.opaque: list[dict] = []
+        self.ids: dict[str, dict[Element | None, int]] = {"block": {}, "table": {}}
+        self.hidden = 0
+        self.fresh = True  # whether a space would stand at the start of a line
+        self.read: dict | None = None  # the text of this line that was read last
+        self.form: Element | None = None
+        self.typed: list[str] = []
+        self.options: list[dict] = []
+
+    def _number(self, what: str, owner: Element | None) -> int:
+        return self.ids[what].setdefault(owner, len(self.ids[what]))
+
+    def _cell(self) -> tuple[int | None, int | None]:
+        for row, cell in zip(reversed(self.open[:-1]), reversed(self.open[1:]), strict=True):
+            if row.is_row:
+                above = self.open[: self.open.index(row)]
+                table = next((e for e in reversed(above) if e.tag == "table"), None) if row.tag == "tr" else None
+                return self._number("table", table or (above[-1] if above else None)), cell.col
+        return None, None
+
+    def _emit(self, text: str, meaning: tuple[str | None, str | None]) -> None:
+        table, col = self._cell()
+        block = next((e for e in reversed(self.open) if not e.inline), None)
+        row = {"block_id": self._number("block", block), "line_id": len(self.rows), "semantic": meaning[0], "kind": meaning[1], "table_id": table, "col": col, "text": text}
+        self.rows.append(row)
+
+    def _new_line(self) -> None:
+        if self.read is not None:
+            self.read["text"] = self.read["text"].rstrip()
+        self.fresh, self.read = True, None
+
+    def _value(self, element: Element, text: str, kind: str, label: bool = False) -> None:
+        if text.strip():
+            self.open.append(element)
+            self._emit(text, ("label" if label else "data", kind))
+            self.open.pop()
+            self.fresh, self.read = False, None
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag == "br":
-            self._flush()
-        if tag == "input" and not self.skipped:
-            self._flush()
-            kind = a.get("type", "text").lower()
-            if kind in ("button", "submit", "reset"):
-                self._emit(a["value"], "label", "button") if a.get("value") else None
-            elif kind not in ("hidden", "checkbox", "radio", "file", "image", "range", "color") and a.get("value"):
-                self._emit("●●●" if kind == "password" else a["value"], "data", "input")
+        attrs = {k: v or "" for k, v in attrs}
+        while self.open and self.open[-1].tag in ENDS.get(tag, ()):
+            self._close()
+        element = Element(tag, attrs, self.open[-1] if self.open else None)
+        if not self.hidden and (tag == "br" or not element.inline):
+            self._new_line()
+        if not self.hidden and (tag in UNREADABLE or tag in FRAMES):
+            sides = [float(attrs[a]) if attrs.get(a, "").replace(".", "", 1).isdigit() else None for a in ("width", "height")]
+            self.opaque.append({"ord": len(self.opaque), "tag": "frame" if tag in FRAMES else tag, "w": sides[0], "h": sides[1]})
+        if tag == "input" and not self.hidden and not element.hidden:
+            kind = attrs.get("type", "").lower()
+            if kind not in IGNORED_INPUTS:
+                value = attrs.get("value", "")
+                self._value(element, PASSWORD if kind == "password" and value else value, f"input:{kind or 'text'}", kind in BUTTON_INPUTS)
         if tag in VOID:
             return
-        if tag not in INLINE or tag in LABEL_TAGS:
-            self._flush()
-        hidden = tag in SKIP or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "")
-        self.skipped += hidden
-        role = a.get("role", "").lower()
-        semantic = "label" if tag in LABEL_TAGS or ROLES.get(role) == "label" else "data" if tag in DATA_TAGS or ROLES.get(role) == "data" else None
-        entry = {"tag": tag, "hidden": hidden, "semantic": semantic, "kind": (role or tag) if semantic else None, "block": None, "table": None, "col": None, "cells": 0}
-        if tag == "table" or role in ("table", "grid"):
-            entry["number"] = self.tables
-            self.tables += 1
-        if tag in ("td", "th") or role in ("cell", "gridcell", "columnheader"):
-            row = next((e for e in reversed(self.stack) if e["tag"] == "tr" or e.get("role") == "row"), None)
-            table = next((e for e in reversed(self.stack) if "number" in e), None)
-            if row is not None and table is not None:
-                entry["table"], entry["col"] = table["number"], row["cells"]
-                row["cells"] += 1
-        entry["role"] = role
-        self.stack.append(entry)
-        if tag == "select":
-            self.select = []
-        elif tag == "option":
-            self.chosen = "selected" in a
+        self.hidden += element.hidden
+        self.open.append(element)
+        if tag in ("select", "textarea") and self.form is None:
+            self.form, self.typed, self.options = element, [], []
+        elif tag == "option" and self.form is not None:
+            self.options.append({"label": attrs.get("label"), "selected": "selected" in attrs, "disabled": "disabled" in attrs, "said": []})
+
+    def _close(self) -> None:
+        element = self.open.pop()
+        self.hidden -= element.hidden
+        if not self.hidden and not element.inline:
+            self._new_line()
+        if element is self.form:
+            self.form = None
+            if self.hidden or element.hidden:
+                return
+            text = "".join(self.typed) if element.tag == "textarea" else self._chosen(element)
+            self._value(element, text, element.tag)
+
+    def _chosen(self, select: Element) -> str:
+        """What a list shows: its marked options; a list of one choice has the last of these, or its first that can be chosen."""
+        marked = [o for o in self.options if o["selected"]]
+        if "multiple" not in select.attrs:
+            marked = marked[-1:] or [o for o in self.options if not o["disabled"]][:1]
+        return " ".join(o["label"] or " ".join("".join(o["said"]).split()) for o in marked)
 
     def handle_endtag(self, tag):
-        if not any(e["tag"] == tag for e in self.stack):
-            return
-        if tag not in INLINE or tag in LABEL_TAGS:
-            self._flush()
-        if tag == "select" and self.select is not None:
-            text, self.select = ", ".join(self.select), None
-            self._emit(text, "data", "select") if text else None
-        while self.stack:
-            e = self.stack.pop()
-            self.skipped -= e["hidden"]
-            if e["tag"] == tag:
-                break
+        if any(e.tag == tag for e in self.open):
+            while self.open[-1].tag != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data):
-        if self.skipped:
+        if self.form is not None:
+            if self.form.tag == "textarea":
+                self.typed.append(data)
+            elif self.options:
+                self.options[-1]["said"].append(data)
             return
-        if self.select is not None:
-            if self.chosen and data.strip():
-                self.select.append(data.strip())
+        if self.hidden or not data:
             return
-        self.held.append(" ".join(data.split()) + (" " if data[-1:].isspace() else ""))
+        text, before = " ".join(data.split()), "" if self.read is None else self.read["text"]
+        if text:
+            start = " " if data[0].isspace() and not self.fresh and not before.endswith(" ") else ""
+            meaning = next((e.meaning for e in reversed(self.open) if e.meaning), (None, None))
+            self._emit(start + text + (" " if data[-1].isspace() else ""), meaning)
+            self.fresh, self.read = False, self.rows[-1]
+        elif self.read is not None and not before.endswith(" "):
+            self.read["text"] += " "
 
 
 def parse_html(html: str) -> list[dict]:
     """Visible lines of static HTML. Passwords are replaced; hidden inputs, scripts and styles give nothing."""
-    p = _Lines()
-    p.feed(html)
-    p.close()
-    p._flush()
-    return p.rows
+    return parse_page(html).rows
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """``pages`` (``page_id, html``) as lines; null pages have none."""
+def parse_page(html: str) -> Lines:
+    page = Lines()
+    page.feed(html)
+    page.close()
+    while page.open:
+        page._close()
+    page._new_line()
+    return page
+
+
+def _from_pages(pages: DataFrame, schema: str, build) -> DataFrame:
+    """``build`` of each page's id and parsed HTML gives rows of ``schema``; null pages have none."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     ship(pages.sparkSession)
+    kind = StructType.fromDDL(schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
-        for frame in frames:
-            rows = [{"page_id": i} | r for i, html in zip(frame.page_id, frame.html, strict=True) if html for r in parse_html(html)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"block_id": "Int32", "line_id": "Int32", "table_id": "Int32", "col": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(kind)
+        for batch in batches:
+            ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
+            rows = [{"page_id": i} | r for i, html in zip(ids, texts, strict=True) if html for r in build(parse_page(html))]
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    return pages.select("page_id", "html").mapInArrow(run, kind)
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """``pages`` (``page_id, html``) as lines: ``LINE_SCHEMA``. Null pages have none, other columns are ignored."""
+    return _from_pages(pages, LINE_SCHEMA, lambda page: page.rows)
 
-    return pages.select("page_id", "html").mapInPandas(run, LINE_SCHEMA)
+
+def page_opaque(pages: DataFrame) -> DataFrame:
+    """Elements whose content cannot be read, in order, with the sizes that their attributes give: ``OPAQUE_SCHEMA``."""
+    return _from_pages(pages, OPAQUE_SCHEMA, lambda page: page.opaque)
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     """The lines of ``page_lines`` by block: the texts in order as ``units``, and where each stands as ``line``."""
-    ship(pages.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pages_of, blocks_of, units, lines = [], [], [], []
-            for page, html in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("page_id", "html")), strict=True):
-                held: dict[int, list[dict]] = {}
-                for r in parse_html(html) if html else []:
-                    held.setdefault(r["block_id"], []).append(r)
-                for block, rows in held.items():
-                    pages_of.append(page)
-                    blocks_of.append(block)
-                    units.append([r["text"] for r in rows])
-                    lines.append([{c: r[c] for c in PLACE} for r in rows])
-            columns = [pa.array(pages_of, pa.int64()), pa.array(blocks_of, pa.int32()), pa.array(units, pa.list_(pa.string())), pa.array(lines, pa.list_(pa.struct(list(PLACE.items()))))]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "block_id", "units", "line"])
-
-    return pages.select("page_id", "html").mapInArrow(run, BLOCK_SCHEMA)
+    def blocks(page: Lines) -> list[dict]:
+        held: dict[int, list[dict]] = {}
+        for r in page.rows:
+            held.setdefault(r["block_id"], []).append(r)
+        return [{"block_id": b, "units": [r["text"] for r in rows], "line": [{c: r[c] for c in PLACE} for r in rows]} for b, rows in held.items()]
+
+    return _from_pages(pages, BLOCK_SCHEMA, blocks)

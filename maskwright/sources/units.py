@@ -1,10 +1,23 @@
-"""Texts as ordered lines and units."""
+"""Texts and screen lines as ordered lines and units."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+from ..functions.geometry import BOX, on_one_line, shared_height, union
+
+_WORDS = lambda line: F.regexp_extract_all(line, F.lit("([^ \\t\\r\\x0B\\f]+)"), F.lit(1))
+
+#: A morpheme; ``word_position`` is its first character in the line, from 1.
+TOKEN = "struct<surface_form: string, pos: string, pos_detail_1: string, pos_detail_2: string, word_type: string, word_position: int>"
+SYMBOLS = f"array<struct<text: string, bbox: {BOX}>>"
+WORDS = f"array<struct<text: string, confidence: double, bbox: {BOX}, symbols: {SYMBOLS}>>"
+
 
 def lines_of(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """``id, block_id, line`` for each line; null texts have none."""
@@ -13,16 +26,126 @@ def lines_of(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 def units_of(lines: DataFrame) -> DataFrame:
     """``id, block_id, unit_idx, text``: runs of other than white space. White space counts in ``unit_idx``, so none are adjacent."""
-    words = lines.select("id", "block_id", F.posexplode(F.regexp_extract_all("line", F.lit("([^ \\t\\r\\x0B\\f]+)"), F.lit(1))).alias("n", "text"))
+    words = lines.select("id", "block_id", F.posexplode(_WORDS("line")).alias("n", "text"))
     return words.select("id", "block_id", (2 * F.col("n")).alias("unit_idx"), "text")
 
 
 def spaced_blocks(lines: DataFrame) -> DataFrame:
     """``id, block_id, units``: the words of a line with white space as a unit after each, so a word's place is its ``unit_idx``."""
-    words = F.regexp_extract_all("line", F.lit("([^ \\t\\r\\x0B\\f]+)"), F.lit(1))
-    return lines.select("id", "block_id", F.flatten(F.transform(words, lambda w: F.array(w, F.lit(" ")))).alias("units")).where(F.size("units") > 0)
+    return lines.select("id", "block_id", F.flatten(F.transform(_WORDS("line"), lambda w: F.array(w, F.lit(" ")))).alias("units")).where(F.size("units") > 0)
 
 
 def word_blocks(lines: DataFrame) -> DataFrame:
     """``id, block_id, units``: the words of a line side by side, as labels read from a picture are."""
-    return lines.select("id", "block_id", F.regexp_extract_all("line", F.lit("([^ \\t\\r\\x0B\\f]+)"), F.lit(1)).alias("units")).where(F.size("units") > 0)
+    return lines.select("id", "block_id", _WORDS("line").alias("units")).where(F.size("units") > 0)
+
+
+def line_units(lines: DataFrame) -> DataFrame:
+    """Screen lines (``words``) as units: each word is one; a line whose words are lines of text stays whole.
+
+    Adds ``unit_idx`` (from 0 in a line), ``text, bbox, confidence`` and a null ``token``; other columns but ``words``
+    stay. Lines without words give no units.
+    """
+    others = [c for c in lines.columns if c != "words"]
+    units = lines.select(*others, F.posexplode(F.col("words").cast(WORDS)).alias("unit_idx", "w"))
+    return units.select(*others, "unit_idx", "w.text", "w.bbox", "w.confidence", F.lit(None).cast(TOKEN).alias("token"))
+
+
+def token_units(lines: DataFrame) -> DataFrame:
+    """Screen lines (``words`` with ``symbols``, ``tokens``) as units of one token each.
+
+    A token owns the characters from its ``word_position`` on; its box is that around their symbols and its confidence
+    the least of their words'. Tokens that start behind the last character give no unit. Lines whose words have no
+    symbols are units of ``line_units``, without a token.
+    """
+    lines = lines.withColumn("words", F.col("words").cast(WORDS))
+    of_word = lambda w: F.transform(F.coalesce(w["symbols"], F.array().cast(SYMBOLS)), lambda s: F.struct(s["text"].alias("text"), s["bbox"].alias("bbox"), w["confidence"].alias("confidence")))
+    # one entry for each character, as a symbol may have several
+    spelled = lambda s: F.transform(F.filter(F.split(s["text"], ""), lambda c: c != ""), lambda c: F.struct(s["bbox"].alias("bbox"), s["confidence"].alias("confidence")))
+    rows = lines.withColumn("chars", F.flatten(F.transform(F.flatten(F.transform("words", of_word)), spelled)))
+    whole = line_units(rows.where(F.coalesce(F.size("chars"), F.lit(0)) <= 0).drop("chars", "tokens"))
+    others = [c for c in lines.columns if c not in ("words", "tokens")]
+    units = rows.where(F.size("chars") > 0).select(*others, "chars", F.posexplode(F.col("tokens").cast(f"array<{TOKEN}>")).alias("unit_idx", "token"))
+    first = F.col("token.word_position")
+    units = units.where((first >= 1) & (first <= F.size("chars")) & (F.length("token.surface_form") > 0))
+    own = F.slice("chars", first, F.length("token.surface_form"))
+    units = units.withColumn("own", own).select(
+        *others, "unit_idx", F.col("token.surface_form").alias("text"),
+        union(F.transform("own", lambda c: c["bbox"])).alias("bbox"), F.array_min(F.transform("own", lambda c: c["confidence"])).alias("confidence"), "token",
+    )
+    return units.unionByName(whole.select(*units.columns))
+
+
+def with_tokens(lines: DataFrame, tokenize: Callable[[str], list[dict]], text: Column | None = None) -> DataFrame:
+    """``lines`` with ``tokens`` from ``tokenize``, a function of a line's text that runs on the workers.
+
+    It returns morphemes as dictionaries with the fields of ``TOKEN``. ``text`` is the line's text unless its symbols
+    hold it. Lines without text have no tokens; errors of ``tokenize`` are not hidden.
+    """
+    ship(lines.sparkSession)
+    if text is None:
+        symbols = F.flatten(F.transform(F.col("words").cast(WORDS), lambda w: F.coalesce(w["symbols"], F.array().cast(SYMBOLS))))
+        text = F.array_join(F.transform(symbols, lambda s: s["text"]), "")
+
+    @F.pandas_udf(f"array<{TOKEN}>")
+    def tokens(texts):
+        return texts.map(lambda t: tokenize(t) if t else [])
+
+    return lines.withColumn("tokens", tokens(text))
+
+
+def split_visual_lines(chars: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """``chars`` (``ch, bbox``) with ``piece``: text that wraps starts a new piece where a character overlaps the one
+    before it by less than half of its own height."""
+    before = Window.partitionBy(*keys).orderBy(order)
+    last, own = F.lag("bbox").over(before), F.col("bbox")
+    wraps = F.coalesce(shared_height(last, own) < (own["y1"] - own["y0"]) * 0.5, F.lit(False))
+    return chars.withColumn("wraps", wraps.cast("int")).withColumn("piece", F.sum("wraps").over(before)).drop("wraps")
+
+
+def with_visual_lines(units: DataFrame, keys: list[str], idx: str = "unit_idx") -> DataFrame:
+    """``units`` with ``visual``: the number of a unit's visual line, which ends where a unit shares no height with the one before."""
+    order = Window.partitionBy(*keys).orderBy(idx)
+    new = (~on_one_line(F.lag("bbox").over(order), F.col("bbox"))).cast("int")
+    return units.withColumn("new", new).withColumn("visual", F.sum("new").over(order).cast("int")).drop("new")
+
+
+def blocks_of(units: DataFrame, keys: list[str], idx: str = "unit_idx") -> DataFrame:
+    """``units`` by block: texts in order as ``units``, ``visual`` where boxes tell lines apart, and the rows as ``rows``.
+
+    ``spread_units(.., along=("row",))`` gives the rows back. A block is one screen block, never a whole table.
+    """
+    if "bbox" in units.columns:
+        units = with_visual_lines(units, keys, idx)
+    row = F.struct(F.col(idx).alias("at"), "text", *(c for c in units.columns if c not in keys and c not in (idx, "text")))
+    grouped = units.groupBy(*keys).agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)).alias("row"))
+    more = [F.transform("row", lambda r: r["visual"]).alias("visual")] if "bbox" in units.columns else []
+    return grouped.select(*keys, F.transform("row", lambda r: r["text"]).alias("units"), *more, F.transform("row", lambda r: r.dropFields("at", "text")).alias("row"))
+
+
+def read_ocr(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Recognised text (JSON ``{blocks: [{paragraphs: [{lines: [{words}]}]}]}``) as lines: ``block_id, line_id, words``.
+
+    Lines of all paragraphs of a block are numbered through. Null or broken payloads give no lines.
+    """
+    kind = f"struct<blocks: array<struct<paragraphs: array<struct<lines: array<struct<words: {WORDS}>>>>>>>"
+    others = [c for c in df.columns if c != payload]
+    blocks = df.select(*others, F.posexplode(F.from_json(payload, kind)["blocks"]).alias("block_id", "b"))
+    lines = F.flatten(F.transform("b.paragraphs", lambda p: p["lines"]))
+    return blocks.select(*others, "block_id", F.posexplode(lines).alias("line_id", "l")).select(*others, "block_id", "line_id", "l.words")
+
+
+def choose_route(dom_lines: DataFrame, ocr_lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines of each page with ``route``: ``DOM`` where the page has lines of its own, else ``OCR`` (without meaning or kind)."""
+    own = dom_lines.select(*keys).distinct()
+    rest = ocr_lines.join(own, keys, "left_anti")
+    return dom_lines.withColumn("route", F.lit("DOM")).unionByName(rest.withColumn("route", F.lit("OCR")), allowMissingColumns=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, if it is read from fewer files than that.
+
+    A few files hold few row groups, and rules cost far more time than reading; tables of many files are left alone.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 # Results depend on them.
 JS_SPACE = "\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+#: The same characters as themselves.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WIDE = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９＠"
 NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@"
 EMAIL_TAIL = "@[a-z0-9-]+(?:\\.[a-z0-9-]+)+"
@@ -18,7 +20,7 @@ PHRASE_DROP = JS_SPACE + ":：;；,，.。、()（）\\[\\]「」【】"
 NAME_LIKE = "^[ぁ-ゖァ-ヺー一-鿿々]{1,4}$"
 ASCII_WORD = "^[A-Za-z][A-Za-z.'-]*$"
 ADDRESS_SUFFIX = ("都", "道", "府", "県", "市", "区", "町", "村", "郡")
-LONG_TEXT, NOISE_CONFIDENCE = 8, 35
+LONG_TEXT, NOISE_CONFIDENCE, MASK_PADDING = 8, 35, 3
 KANJI, KANA_NAME = "^[一-鿿々]+$", "^[ぁ-ゖー]{1,4}$"
 KANJI_DETAILS, KANA_DETAILS = ("一般", "固有名詞", "サ変接続"), ("一般", "固有名詞")
 
@@ -45,8 +47,11 @@ LABELS = (
 
 @dataclass(frozen=True)
 class Rules:
-    """``terms``: phrases that are never masked; ``labels``: interface labels; ``noise``: least confidence."""
+    """What a run may change: ``terms`` are phrases that are never masked, ``labels`` interface labels, ``noise`` the
+    least confidence, ``scale`` the enlargement at which boxes were read, ``padding`` what a mask adds on each side."""
 
     terms: tuple[str, ...] = ()
     labels: tuple[str, ...] = LABELS
     noise: int = NOISE_CONFIDENCE
+    scale: float = 1.0
+    padding: float = MASK_PADDING

@@ -1,47 +1,92 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
+from maskwright.operators import spans
 from maskwright.operators.decide import decide, merge_runs
 from maskwright.operators.edits import bulk_unmask, click_unmask, column_members
-from maskwright.operators.spans import line_reasons, metric_units, name_runs, protected, spread_units, with_spans
-from maskwright.plans.export import merge_line_texts, wireframe
+from maskwright.operators.names import with_name_runs
+from maskwright.operators.spans import spread_units, with_spans
+from maskwright.plans.export import elements, text_runs, wireframe
 from maskwright.sources.pages import parse_html
 from maskwright.vocab import Rules
 
 
+def _one(units):
+    """Breaks of a single block."""
+    return np.append(1, np.zeros(max(len(units) - 1, 0), np.int64))[: len(units)]
+
+
+def line_reasons(units):
+    return spans.line_reasons(units, _one(units)).tolist()
+
+
+def metric_units(units, breaks=None):
+    return spans.metric_units(units, _one(units) if breaks is None else np.array(breaks)).tolist()
+
+
+def protected(units, phrases, full):
+    return spans.protected(units, phrases, full, _one(units)).tolist()
+
+
 def test_line_reasons():
-    assert line_reasons(["foo", "@", "bar", ".", "com"]) == ["email"] * 5
-    assert line_reasons(["error_code"]) == [None] and line_reasons(["sync-status"]) == [None] and line_reasons(["co.jp"]) == [None]
-    assert line_reasons(["090", "-", "1234", "-", "5678"]) == ["digit-run"] * 5
-    assert line_reasons(["０９０", "−", "１２３４"]) == ["digit-run"] * 3
-    assert line_reasons(["a12@b.com"]) == ["digit-run"]  # the later pattern names the reason
-    assert line_reasons(["090", " ", "1234"]) == ["digit-run", None, "digit-run"]
+    assert line_reasons(["joe", "@", "shop", ".", "example"]) == ["email"] * 5
+    assert line_reasons(["user_name"]) == [None] and line_reasons(["read-only"]) == [None] and line_reasons(["ne.jp"]) == [None]
+    assert line_reasons(["03", "-", "5555", "-", "0199"]) == ["digit-run"] * 5
+    assert line_reasons(["０３", "−", "５５５５"]) == ["digit-run"] * 3
+    assert line_reasons(["k77@c.org"]) == ["digit-run"]  # the later pattern names the reason
+    assert line_reasons(["03", " ", "5555"]) == ["digit-run", None, "digit-run"]
+    assert line_reasons(["one.two.", "three", ""]) == ["email-frag", "email-frag", None]
     assert line_reasons([]) == []
 
 
 def test_metrics():
-    assert metric_units(["99.95%"]) == [True] and metric_units(["182ms"]) == [True] and metric_units(["+12件"]) == [True]
-    for text in ("1234件", "120,000円", "2024年", "14:30分"):
+    for text in ("7.5%", "40ms", "-3件", "1,200回", "＋5人"):
+        assert metric_units([text]) == [True]
+    for text in ("5000件", "9,900円", "1999年", "09:45分", "3msec"):
         assert metric_units([text]) == [False]
-    assert metric_units(["12", "%"]) == [True, True]
+    assert metric_units(["40", "ms"]) == [True, True] and metric_units(["x40", "ms"]) == [False, True]
+    assert metric_units(["40", "ms"], [1, 1]) == [False, False]  # not over visual lines
 
 
 def test_protected():
-    assert protected(["山田", "太郎", "様"], ["山田太郎"], False) == [True, True, False]
-    assert protected(["株式", "会社", "ABC"], ["会社"], True) == [False, True, False]
-    assert protected(["ab", ",", "c"], ["abc"], False) == [True, False, True]
+    assert protected(["鈴木", "花子", "殿"], ["鈴木花子"], False) == [True, True, False]
+    assert protected(["有限", "会社", "Foo"], ["会社"], True) == [False, True, False] and protected(["限会", "社"], ["会社"], True) == [False, True]
+    assert protected(["xy", ",", "z"], ["xyz"], False) == [True, False, True] and protected(["aaa"], ["aa"], True) == [True]
+    assert protected(["a"], [], True) == [False]
 
 
-def _token(surface, pos="名詞", d1="一般", d2="*"):
-    return {"surface_form": surface, "pos": pos, "pos_detail_1": d1, "pos_detail_2": d2}
+def test_spans_of_blocks(spark):
+    rows = [(1, ["12", "34"]), (2, None), (3, []), (4, [None, "joe@a", ".example", "\0"]), (5, ["56"])]
+    df = spark.createDataFrame(rows, "b int, units array<string>").coalesce(1)
+    got = {r.b: r.line_reason for r in with_spans(df, flags=("line_reason",)).collect()}
+    # nothing reaches over blocks
+    assert got == {1: ["digit-run"] * 2, 2: None, 3: [], 4: [None, "email", "email", None], 5: ["digit-run"]}
+    assert with_spans(df).columns == ["b", "units", *spans.FLAGS]
 
 
-def test_name_runs():
-    assert name_runs([_token("王"), _token("偉")]) == ["kanji-run"] * 2
-    assert name_runs([_token("陳", d1="固有名詞"), _token("建国")]) == ["kanji-run"] * 2
-    assert name_runs([_token("顧客"), _token("管理", d1="サ変接続")]) == [None, None]
-    assert name_runs([_token("岡本", d1="固有名詞", d2="人名"), _token("さくら"), _token("保育園")]) == ["kana-name", "kana-name", None]
-    assert name_runs([None, _token("王")]) == [None, None]
+def _token(surface, pos="名詞", d1="一般", d2="*"):
+    return (surface, pos, d1, d2)
+
+
+def test_name_runs(spark):
+    blank, family = _token("　", "記号", "空白"), _token("大野", d1="固有名詞", d2="人名")
+    cases = [
+        ([_token("林"), _token("明")], ["kanji-run"] * 2),
+        ([_token("林"), blank, _token("明"), blank], ["kanji-run"] * 3 + [None]),
+        ([_token("札幌", d1="固有名詞", d2="地域"), _token("資料")], ["kanji-run"] * 2),
+        ([_token("資料"), _token("検索", d1="サ変接続")], [None, None]),
+        ([family, _token("すみれ"), _token("病院")], ["kana-name", "kana-name", None]),
+        ([family, blank, _token("すみれ"), _token("すみれ")], ["kana-name"] * 3 + [None]),
+        ([_token("札幌", d1="固有名詞", d2="地域"), _token("すみれ")], [None, None]),
+        ([None, _token("林")], [None, None]),
+        ([_token("林"), _token(" ", "名詞"), _token("明")], [None, None, None]),
+        ([_token("林"), _token("明"), _token("広"), _token("資料")], [None] * 4),
+    ]
+    rows = [(b, i, t) for b, (tokens, _) in enumerate(cases) for i, t in enumerate(tokens)]
+    df = spark.createDataFrame(rows, "b int, unit_idx int, token struct<surface_form:string,pos:string,pos_detail_1:string,pos_detail_2:string>")
+    got = [r.name_run for r in with_name_runs(df, ["b"]).orderBy("b", "unit_idx").collect()]
+    assert got == [x for _, expected in cases for x in expected]
 
 
 def test_judge(spark):
@@ -52,7 +97,7 @@ def test_judge(spark):
 
 
 def test_judge_token(spark):
-    rows = [("都", "名詞", "接尾", "KNOWN"), ("東京", "名詞", "固有名詞", "KNOWN"), ("五", "名詞", "数", "KNOWN"), ("◆◆", "記号", "*", "UNKNOWN"), ("ほげ", "名詞", "一般", "UNKNOWN"), ("走る", "動詞", "自立", "KNOWN"), (":", "記号", "一般", "KNOWN")]
+    rows = [("県", "名詞", "接尾", "KNOWN"), ("札幌", "名詞", "固有名詞", "KNOWN"), ("八", "名詞", "数", "KNOWN"), ("☆☆", "記号", "*", "UNKNOWN"), ("ぴよ", "名詞", "一般", "UNKNOWN"), ("読む", "動詞", "自立", "KNOWN"), ("!", "記号", "一般", "KNOWN")]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t struct<surface_form:string,pos:string,pos_detail_1:string,word_type:string>")
     got = [r.reason for r in df.select("i", T.judge_token(F.col("t"))["reason"].alias("reason")).orderBy("i").collect()]
     assert got == ["address-suffix", "proper-noun", "number", "punct", "unknown-token", "pos:動詞", "punct"]
@@ -71,11 +116,11 @@ def test_cascade(spark):
 
 
 def test_runs_and_terms(spark):
-    blocks = spark.createDataFrame([(1, ["090", "-", "1234", "日本", "foo@", "bar.com"])], "block_id int, units array<string>")
+    blocks = spark.createDataFrame([(1, ["03", "-", "5555", "鈴木", "foo@", "bar.com"])], "block_id int, units array<string>")
     runs = merge_runs(decide(spread_units(with_spans(blocks))), ["block_id"]).orderBy("start").collect()
-    assert [(r.start, r.end, r.reason, r.text) for r in runs] == [(0, 2, "digit-run", "090-1234"), (3, 3, "jp-name-like", "日本"), (4, 5, "email", "foo@bar.com")]
-    kept = decide(spread_units(with_spans(blocks, Rules(terms=("日本",)))))
-    assert kept.where("text = '日本' AND mask").count() == 0 and kept.count() == 6
+    assert [(r.start, r.end, r.reason, r.text) for r in runs] == [(0, 2, "digit-run", "03-5555"), (3, 3, "jp-name-like", "鈴木"), (4, 5, "email", "foo@bar.com")]
+    kept = decide(spread_units(with_spans(blocks, Rules(terms=("鈴木",)))))
+    assert kept.where("text = '鈴木' AND mask").count() == 0 and kept.count() == 6
 
 
 def test_html():
@@ -83,7 +128,7 @@ def test_html():
     <input type=password value=secret><input value=shown><input type=hidden value=no><input type=submit value=Go><select><option>a<option selected>b</select><p hidden>no</p><script>no()</script>one<br>two"""
     rows = parse_html(page)
     assert [(r["text"], r["semantic"], r["table_id"], r["col"]) for r in rows] == [
-        ("Home", "label", None, None), ("Name", "label", 0, 0), ("Mail", "label", 0, 1), ("A B", "data", 0, 0), ("x@y.zz", "data", 0, 1),
+        ("Home", "label", None, None), ("Name", "label", 0, 0), ("Mail", "label", 0, 1), ("A ", "data", 0, 0), ("B", "data", 0, 0), ("x@y.zz", "data", 0, 1),
         ("●●●", "data", None, None), ("shown", "data", None, None), ("Go", "label", None, None), ("b", "data", None, None), ("one", None, None, None), ("two", None, None, None),
     ]
     assert "secret" not in str(rows)
@@ -101,11 +146,12 @@ def test_edits(spark):
 
 def test_export_has_no_masked_text(spark):
     row = lambda x, t, b=0: {"page_id": 1, "x": float(x), "y": 0.0, "w": 10.0, "h": 10.0, "text": t, "block_id": b}
-    assert [r["text"] for r in merge_line_texts([row(12, "b"), row(0, "a"), row(22.5, "c"), row(60, "d"), row(71, "e", 1)])] == ["a bc", "d", "e"]
+    texts = spark.createDataFrame([row(12, "b"), row(0, "a"), row(22.5, "c"), row(60, "d"), row(71, "e", 1)])
+    assert [r.text for r in text_runs(texts).orderBy("x").collect()] == ["a bc", "d", "e"]
     runs = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 20.0, "seen", 0)], "page_id long, x double, y double, w double, h double, text string, block_id int")
-    masks = spark.createDataFrame([(1, 1.0, 2.0, 3.0, 4.0, "digit-run", "090-1234")], "page_id long, x double, y double, w double, h double, reason string, text string")
-    one, two = (wireframe(runs, masks).first().json for _ in range(2))
-    assert one == two and "seen" in one and "digit-run" in one and "090" not in one
+    masks = spark.createDataFrame([(1, 1.0, 2.0, 3.0, 4.0, "digit-run", "03-5555")], "page_id long, x double, y double, w double, h double, reason string, text string")
+    one, two = (wireframe(elements(masks, runs)).first().json for _ in range(2))
+    assert one == two and "seen" in one and "digit-run" in one and "5555" not in one
 
 
 def test_queries_run(spark):

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from maskwright import vocab as V
 from maskwright.functions import text as T
 from maskwright.operators.decide import decide, merge_runs
+from maskwright.operators.names import with_name_runs
 from maskwright.operators.spans import spread_units, with_spans
 from maskwright.plans import queries as Q
 
@@ -31,11 +32,11 @@ def test_cascade_keeps_labels_on_documents_and_pages(spark, tmp_path):
 
 def test_name_runs_reach_the_decision(spark):
     token = lambda s, p="名詞", d1="一般", d2="*": (s, p, d1, d2, "KNOWN")
-    units = ["王", "偉", "は", "岡本", "さくら"]
-    tokens = [token("王"), token("偉", "形容詞", "自立"), token("は", "助詞", "係助詞"), token("岡本", d1="固有名詞", d2="人名"), token("さくら")]
+    units = ["林", "明", "は", "大野", "すみれ"]
+    tokens = [token("林"), token("明", "形容詞", "自立"), token("は", "助詞", "係助詞"), token("大野", d1="固有名詞", d2="人名"), token("すみれ")]
     kind = "array<struct<surface_form:string,pos:string,pos_detail_1:string,pos_detail_2:string,word_type:string>>"
     df = spark.createDataFrame([(1, units, tokens), (2, ["Bob"], None)], f"block_id int, units array<string>, tokens {kind}")
-    decided = decide(spread_units(with_spans(df)))
+    decided = decide(with_name_runs(spread_units(with_spans(df)), ["block_id"]))
     got = [(r.mask, r.reason) for r in decided.orderBy("block_id", "unit_idx").collect()]
     assert got == [(True, "kanji-run")] * 2 + [(False, "pos:助詞"), (True, "proper-noun"), (True, "kana-name"), (True, "ascii-word")]
-    assert [r.text for r in merge_runs(decided, ["block_id"]).where("reason = 'kanji-run'").collect()] == ["王偉"]
+    assert [r.text for r in merge_runs(decided, ["block_id"]).where("reason = 'kanji-run'").collect()] == ["林明"]

@@ -180,8 +180,10 @@ def test_quotation_linking(spark):
     assert [r.reply_to for r in one] == [None, 0, 1, 0, 3]
     assert [r.depth for r in one] == [0, 1, 2, 1, 2]
     assert [r.thread for r in one] == [0] * 5
-    assert [r.text for r in one] == ["Shall we meet on Monday morning?\nThe room is free then.", "Yes, Monday suits me very well.", "Then it is settled.", "I have booked the room.", "What is this?"]
+    assert [r.text for r in one] == ["Shall we meet on Monday morning?\nThe room is free then.", "Yes, Monday suits me very well.", "Then it is settled.", "I have booked the room.", "> never said by anyone here\nWhat is this?"]
     assert [r.n_quotes for r in one] == [0, 1, 2, 1, 1] and one[4].linked_quotes == 0
+    assert [r.position for r in one] == [0, 1, 2, 3, 4]
+    assert got[(2, 5)].text == "> Shall we meet on Monday morning?\nAnother conversation."
     assert got[(2, 5)].reply_to == 0 and got[(2, 5)].linked_quotes == 0
     assert got[(None, 0)].reply_to is None and got[(None, 0)].depth == 1 and got[(None, None)].depth == 0
     assert link_quotes(df).count() == 10 and link_quotes(df.where("false")).count() == 0

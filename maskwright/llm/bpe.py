@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,37 @@ CACHE_WORDS = 150_000
 #: Symbols that are merged together in one flat array.
 ROUND_SYMBOLS = 1 << 18
 NO_RANK = np.iinfo(np.int64).max
+#: Words of more bytes are merged one by one, with work in proportion to what changes in a round.
+LONG_WORD = 1024
+
+# The tokenizers library splits by the letters and numbers of Unicode 16 and lower-cases by Unicode 17.
+# Ranges that are letters or numbers since Unicode 17, and the capitals that Unicode 15.1 does not hold, with the
+# distance to their small letters.
+NEW_LETTERS = (
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD),
+    (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NEW_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+NEW_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+
+
+def _set(ranges: tuple[tuple[int, int], ...]) -> str:
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
+_LOWER = {c: c + step for a, b, step in NEW_CAPITALS for c in range(a, b + 1)}
+_CAPITALS = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
+_NEW = regex.compile("|".join(map(_set, (NEW_LETTERS, NEW_NUMBERS))))
+
+
+def _of_unicode_16(pattern: str) -> regex.Pattern:
+    """``pattern`` with the letters and numbers of Unicode 16, whatever version the package holds."""
+    for name, newer in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)):
+        pattern = pattern.replace(f"\\p{{{name}}}", f"[\\p{{{name}}}--{_set(newer)}]")
+    return regex.compile(pattern, regex.V1)
 
 
 def _byte_letters() -> list[str]:
@@ -48,6 +80,7 @@ class BytePairs:
         self.nfc, self.lower = '"NFC"' in steps, '"Lowercase"' in steps
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.words_16 = _of_unicode_16(split["pattern"]["Regex"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         letters = _byte_letters()
@@ -69,7 +102,7 @@ class BytePairs:
 
     def split(self, text: str) -> list[str | int]:
         """The words of ``text``; added tokens as their ids."""
-        if self.added_split is None or "<" not in text:
+        if not any(token in text for token in self.added):
             return self._split_plain(text)
         out: list[str | int] = []
         for part in self.added_split.split(text):
@@ -81,19 +114,85 @@ class BytePairs:
             text = unicodedata.normalize("NFC", text)
         if self.lower:
             text = text.replace("Σ", "σ").lower()  # letter by letter: the form of sigma does not depend on its place
-        return self.words.findall(text)
+            if not text.isascii() and _CAPITALS.search(text):
+                text = text.translate(_LOWER)
+        newer = not text.isascii() and _NEW.search(text)
+        return (self.words_16 if newer else self.words).findall(text)
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
-        out: list[bytes] = []
-        start, held = 0, 0
+        out: dict[int, bytes] = {i: self._merge_long(w) for i, w in enumerate(raw) if len(w) > LONG_WORD}
+        some: list[int] = []
+        held = 0
         for i, w in enumerate(raw):
+            if i in out:
+                continue
             if held and held + len(w) > ROUND_SYMBOLS:
-                out += self._merge_flat(raw[start:i])
-                start, held = i, 0
+                out.update(zip(some, self._merge_flat([raw[k] for k in some]), strict=True))
+                some, held = [], 0
+            some.append(i)
             held += len(w)
-        return out + self._merge_flat(raw[start:]) if raw else out
+        if some:
+            out.update(zip(some, self._merge_flat([raw[k] for k in some]), strict=True))
+        return [out[i] for i in range(len(raw))]
+
+    def _merge_long(self, word: bytes) -> bytes:
+        """The ids of one long word: symbols as a linked list in arrays, places filed by the rank of their pair.
+
+        A round takes the places of the lowest rank; only they and the places before them are ranked anew.
+        """
+        flat, n = np.frombuffer(word, np.uint8), len(word)
+        symbols = np.append(self.inner[flat[:-1]], self.last[flat[-1:]])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, made = np.full(n, NO_RANK), np.zeros(n, np.int64)
+        marked = np.zeros(n + 1, bool)
+        files: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def file(at: np.ndarray) -> None:
+            own = at[after[at] < n]
+            rank[at] = NO_RANK
+            key = symbols[own] << 32 | symbols[after[own]]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            is_pair = self.keys[found] == key
+            own, found = own[is_pair], found[is_pair]
+            rank[own], made[own] = self.rank_of[found], self.made_of[found]
+            own = own[np.argsort(rank[own], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[own])) + 1
+            for part in np.split(own, cuts) if len(own) else ():
+                r = int(rank[part[0]])
+                if r not in files:
+                    files[r] = []
+                    heappush(heap, r)
+                files[r].append(part)
+
+        file(np.arange(n))
+        while heap:
+            r = heappop(heap)
+            at = np.unique(np.concatenate(files.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if self.at_once:  # of overlapping places every other one, from the left
+                marked[at] = True
+                place = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(marked[before[at]], 0, place))
+                marked[at] = False
+                at = at[(place - run) % 2 == 0]
+            elif len(at) > 1:
+                files[r] = [at[1:]]
+                heappush(heap, r)
+                at = at[:1]
+            gone = after[at]
+            symbols[at], rank[gone] = made[at], NO_RANK
+            after[at] = after[gone]
+            linked = at[after[at] < n]
+            before[after[linked]] = linked
+            symbols[gone] = -1
+            earlier = before[at]
+            file(np.unique(np.append(at, earlier[earlier >= 0])))
+        return symbols[symbols >= 0].astype("<u4").tobytes()
 
     def _merge_flat(self, raw: list[bytes]) -> list[bytes]:
         flat = np.frombuffer(b"".join(raw), np.uint8)

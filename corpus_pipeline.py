@@ -10,12 +10,15 @@ from maskwright.llm.bpe import bpe_round_trip
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.jaccard_join import jaccard_join
 from maskwright.llm.mixing import mix_sources, repeated
-from maskwright.llm.spark_util import ascii_lower, small_side, stage_folder
+from maskwright.llm.spark_util import ascii_lower, cut, small_side, stage_folder
 from maskwright.llm.toxicity import score_toxicity, train_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the limit; learned from labels of the rows that are not held out."""
+    """Documents that score below the limit; learned from labels of the rows that are not held out.
+
+    Null texts are empty and score as such; repeated rows score alike; a table without labels rejects nothing.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~Q.held_out(F.col("doc_id")))
     model = train_toxicity(docs, labels)
     score = "score"
@@ -30,7 +33,8 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, that of the largest id."""
+    """One row of each group of equal texts, that of the largest id. Null texts are empty, null ids the least; of equal
+    rows one stays."""
     found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
     counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     several = small_side(counts.where("n > 1").select(F.col("doc_id").alias("several_id")))
@@ -46,21 +50,38 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that links connect (five words, 0.8 or more)."""
-    found = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _only(docs, found.select(F.col("doc_id").alias("keep_id")).distinct())
+    """The document of the smallest id of each group that links connect (five words, 0.8 or more).
+
+    Of rows with one id each stands for itself: null ids come last, equal ones in the order in which they are read.
+    Null and empty texts are linked with nothing and stay.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 OR doc_id IS NULL").isEmpty():
+        found = jaccard_join(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id"))
+        return _only(docs, found.select(F.col("doc_id").alias("keep_id")))
+    rows = cut(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")))
+    place = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("id"), "rid")
+    found = jaccard_join(rows.select(place.alias("doc_id"), F.col("row.text").alias("text"))).where(F.col("doc_id") == F.col("component_id"))
+    return rows.join(small_side(found.select("doc_id.rid")), "rid", "left_semi").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources; rows of later epochs repeat."""
-    mixed = mix_sources(docs.withColumn("domain", Q.domain("source")), weights=Q.mixing_weights(spark))
-    return repeated(mixed).select(docs.columns)
+    """The mixture of sources; rows of later epochs repeat. Null names are sources of their own; rows without words
+    cost nothing and enter as often as their source does."""
+    used = ("doc_id", "text", "lang", "source")
+    others = {c: f"other_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    mixed = mix_sources(docs.withColumnsRenamed(others).withColumn("domain", Q.domain("source")), weights=Q.mixing_weights(spark))
+    return repeated(mixed).withColumnsRenamed({v: k for k, v in others.items()}).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document and what they decode to, as digests."""
+    """Each document's row with its packed token ids, their number, and digests of the ids and of what they decode to.
+
+    Null texts are empty and have no ids.
+    """
     path = f"{Q.TOKENIZERS}/word_bpe_49k.json"
-    return Q.digests(bpe_round_trip(docs.select("doc_id", "text"), path, drop=True))
+    coded = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path, drop=True)
+    return Q.digests(coded, "lang", "source", "ids")
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("encoding", encoding)]

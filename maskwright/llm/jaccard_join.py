@@ -7,11 +7,12 @@ documents send the cells of their shingles to ranges of hashes, these merge the
 classes of its cells that hold more than one. Shingles of one set alone are rarest and cannot be common. Sets that
 share one of their rarest shingles are joined into clusters (no linked pair lies across clusters).
 
-Clusters that fit a task are joined within one, by pivots if they are not tiny. Those beyond a task go round by round:
-some of their sets become pivots, every set of the cluster measures its distance to them, sets within reach are linked,
-and where the triangle-inequality windows replicate few sets the cluster is divided into the pivots' Voronoi regions,
-which go on by themselves. Sets that are already connected need no comparison, so a group of thousands of near copies
-costs one or two rounds and never all its pairs.
+Clusters are the first regions. In each, some sets become pivots, every set of the region measures its distance to
+them, and sets within reach are linked. Pivots have met all of their region then and leave it. Where the
+triangle-inequality windows replicate few sets, the region is divided into the pivots' Voronoi regions, which go on by
+themselves in the same way. Regions that fit a task do so within one, larger ones round by round over many tasks. Sets
+that are already connected need no comparison, so a group of thousands of near copies costs one or two rounds and never
+all its pairs.
 """
 
 from __future__ import annotations
@@ -28,15 +29,14 @@ from pyspark.sql.window import Window
 from ..cluster import ship
 from .arrow_rows import flat_bytes, frugal, in_arrow, slices
 from .components import connected_components
-from .spark_util import cut, small_side
+from .spark_util import cut, small_side, with_value
 from .substring_dedup import answer, by_range, pack, range_of, unpack
 from .words import Words, mix
 
 #: Words in a shingle; texts are linked when DEN * intersection >= NUM * union.
 SHINGLE, NUM, DEN = 5, 80, 100
-#: A region of at most so many sets and shingles is joined within one task, and compared pair by pair up to the second.
-LOCAL_SETS, LOCAL_SHINGLES = 1 << 14, 4 << 20
-REGION_SETS, REGION_SHINGLES = 1024, 4 << 20
+#: A region of at most so many sets and shingles is joined within one task.
+LOCAL_SETS, LOCAL_SHINGLES = 1 << 13, 4 << 20
 #: Pivots of a round in one region, and their shingles, at most.
 PIVOTS, PIVOT_SHINGLES = 40, 8 << 20
 #: A region is divided when its windows hold each set at most so many times.
@@ -108,7 +108,7 @@ def _codes(shingles: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _named_sets(table: pa.Table, size: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Nodes and sets of ``table`` slice by slice; rows whose text is not the node's are left out, as ids may repeat."""
+    """Nodes and sets of ``table`` slice by slice; rows whose text is not the node's are left out, as hashes may collide."""
     for batch in table.to_batches():
         for part in slices(batch, "text"):
             nodes = part.column(part.schema.get_field_index("node")).to_pylist()
@@ -209,31 +209,12 @@ def _candidates(texts: DataFrame, size: int, limit: Limit, total: int) -> DataFr
         edges = np.unique(edges, axis=0) if len(edges) else edges
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
-    blocks = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "node", "text").groupBy("block")
+    blocks = texts.select(F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("block"), "node", "text").groupBy("block")
     classes = blocks.applyInArrow(frugal(touch), sent).groupBy("range").applyInArrow(frugal(classify), sent)
     keys = blocks.cogroup(classes.groupBy("block")).applyInArrow(frugal(rarest), "bucket long, keys binary, nodes binary, edges binary")
     return keys.groupBy("bucket").applyInArrow(frugal(join), _EDGES)
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of a bounded list of sets."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    feature = np.cumsum(np.append(0, flat[1:] != flat[:-1]))
-    shared = np.bincount(feature)[feature] > 1
-    feature, owner = feature[shared], owner[shared]
-    feature = np.cumsum(np.append(0, feature[1:] != feature[:-1])) if len(feature) else feature
-    total, step = np.zeros((len(sets), len(sets)), np.float64), max(1, (4 << 20) // len(sets))
-    for a in range(0, int(feature[-1]) + 1 if len(feature) else 0, step):
-        lo, hi = np.searchsorted(feature, [a, a + step])
-        block = np.zeros((min(step, int(feature[-1]) + 1 - a), len(sets)), np.float32)
-        block[feature[lo:hi] - a, owner[lo:hi]] = 1
-        total += block.T @ block
-    return total.astype(np.int64)
-
-
 def _to_pivots(pivots: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each set (rows) with each pivot."""
     universe = np.unique(np.concatenate(pivots))
@@ -262,45 +243,37 @@ def _merge(label: np.ndarray, members: np.ndarray) -> None:
 
 
 def _join_region(sets: list[np.ndarray], limit: Limit) -> np.ndarray:
-    """Label of each set's component, by the module's method: pivots, windows, and pairs where few sets are left."""
+    """Label of each set's component, by pivots and windows alone.
+
+    A region's pivots meet all of it and then leave it. Where the windows around them replicate few sets, the region
+    is divided into the pivots' own; a small region's sets are all pivots of one turn. Sets of the largest component
+    need not become pivots: those outside meet them as pivots themselves.
+    """
     sizes, label = np.array([len(s) for s in sets], np.int64), np.arange(len(sets))
     reach, dice = (limit.den - limit.num) / limit.den, np.random.default_rng(len(sets))
-    todo = [(np.arange(len(sets)), np.zeros(len(sets), bool))]
+    todo = [np.arange(len(sets))]
     while todo:
-        region, done = todo.pop()
-        own = sizes[region]
-        if len(region) <= REGION_SETS and own.sum() <= REGION_SHINGLES:
-            both = _overlaps([sets[i] for i in region])
-            linked = limit.den * both >= limit.num * (own[:, None] + own[None, :] - both)
-            seen = np.zeros(len(region), bool)
-            for i in range(len(region)):
-                front = np.array([] if seen[i] else [i], np.int64)
-                group = front
-                while len(front):
-                    seen[front] = True
-                    front = np.flatnonzero(linked[front].any(0) & ~seen)
-                    group = np.append(group, front)
-                if len(group) > 1:
-                    _merge(label, region[group])
-            continue
+        region = todo.pop()
         names, times = np.unique(label[region], return_counts=True)
-        # sets of the largest component are connected already; those that were pivots have met all the others
-        left = np.flatnonzero((label[region] != names[np.argmax(times)]) & ~done)
-        if not len(left):
+        outside = np.flatnonzero(label[region] != names[np.argmax(times)])
+        if not len(outside):
             continue
-        some = dice.permutation(left)[:PIVOTS]
+        own = sizes[region]
+        some = dice.permutation(outside)[:PIVOTS]
         some = some[: max(1, int((np.cumsum(own[some]) <= PIVOT_SHINGLES).sum()))]
         both = _to_pivots([sets[i] for i in region[some]], [sets[i] for i in region])
         union = own[:, None] + own[some][None, :] - both
         linked, distance = limit.den * both >= limit.num * union, 1 - both / union
         for j in range(len(some)):
             _merge(label, region[linked[:, j]])
-        done[some] = True
-        windows = distance <= distance.min(1, keepdims=True) + 2 * reach + 1e-9
-        if windows.sum() <= REPLICATION * len(region):
-            todo += [(region[w], done[w]) for w in windows.T]
-        else:
-            todo.append((region, done))
+        left = np.ones(len(region), bool)
+        left[some] = False
+        windows = (distance <= distance.min(1, keepdims=True) + 2 * reach + 1e-9)[left]
+        left = region[left]
+        if windows.sum() <= REPLICATION * len(left):
+            todo += [left[w] for w in windows.T if w.sum() > 1]
+        elif len(left) > 1:
+            todo.append(left)
     return label
 
 
@@ -340,7 +313,7 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
 
-_MEMBER = "region long, node long, n long, shingles binary, comp long, was_pivot boolean"
+_MEMBER = "region long, node long, n long, shingles binary, comp long"
 
 
 def _measure(members: DataFrame, limit: Limit, reach: float) -> DataFrame:
@@ -387,23 +360,21 @@ def _pivot_rounds(members: DataFrame, limit: Limit) -> list[DataFrame]:
     found: list[DataFrame] = []
     turn = 0
     while True:
-        per_comp = members.groupBy("region", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("n"), F.count_if(~F.col("was_pivot")).alias("open"))
-        stats = per_comp.groupBy("region").agg(
-            F.sum("sets").alias("sets"), F.sum("n").alias("all_n"), F.sum("open").alias("open"), F.max(F.struct("sets", "comp", "open")).alias("main")
-        )
+        per_comp = members.groupBy("region", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+        stats = per_comp.groupBy("region").agg(F.sum("sets").alias("sets"), F.sum("n").alias("all_n"), F.max(F.struct("sets", "comp")).alias("main"))
         # sets outside the largest known component are compared to all; those inside are connected already
-        stats = stats.select("region", "sets", "all_n", F.col("main.comp").alias("main"), (F.col("open") - F.col("main.open")).alias("open"))
-        stats = small_side(stats.where("open > 0 or sets > 1"))
+        stats = stats.select("region", "sets", "all_n", F.col("main.comp").alias("main"), (F.col("sets") - F.col("main.sets")).alias("open"))
+        stats = small_side(stats.where("open > 0"))
         little = _fits()
         joined = members.join(stats, "region")
-        own = joined.where(little & (F.col("sets") > 1)).select("region", "node", "shingles")
+        own = joined.where(little).select("region", "node", "shingles")
         found.append(cut(_compare_regions(own, limit, _packed_sets)))
-        large = cut(joined.where(~little & (F.col("sets") > 1) & (F.col("open") > 0)))
+        large = cut(joined.where(~little))
         if large.isEmpty():
             return found
         want = F.greatest(F.lit(1), F.least(F.lit(PIVOTS), (PIVOT_SHINGLES * F.col("sets") / F.col("all_n")).cast("int")))
         dice = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        able = large.where((F.col("comp") != F.col("main")) & ~F.col("was_pivot")).withColumn("dice", dice).withColumn("want", want)
+        able = large.where(F.col("comp") != F.col("main")).withColumn("dice", dice).withColumn("want", want)
         # the smallest dice of a region is drawn in any case: a region without pivots would lose its links
         sure = small_side(able.groupBy("region").agg(F.min(F.struct("dice", "node"))["node"].alias("sure")))
         drawn = able.join(sure, "region").where((F.col("dice") < 1.5 * F.col("want") / F.col("open")) | (F.col("node") == F.col("sure"))).drop("sure")
@@ -418,11 +389,11 @@ def _pivot_rounds(members: DataFrame, limit: Limit) -> list[DataFrame]:
         merged = connected_components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         is_pivot = F.array_contains("linked", F.col("node"))  # a pivot is at distance 0 from itself
         members = measured.join(merged.withColumnRenamed("node", "comp"), "comp", "left")
-        members = members.withColumn("comp", F.coalesce("component", "comp")).withColumn("was_pivot", F.col("was_pivot") | is_pivot)
-        spread = measured.groupBy("region").agg((F.sum(F.size("windows")) / F.count("*") <= REPLICATION).alias("divide"))
+        # pivots have met all of their region and leave it
+        members = members.withColumn("comp", F.coalesce("component", "comp")).where(~is_pivot)
+        spread = measured.where(~is_pivot).groupBy("region").agg((F.sum(F.size("windows")) / F.count("*") <= REPLICATION).alias("divide"))
         into = F.when(F.col("divide"), F.transform("windows", lambda p: F.xxhash64("region", F.lit(turn), p))).otherwise(F.array("region"))
         members = members.join(small_side(spread), "region").withColumn("region", F.explode(into))
-        # pivots of a divided region have met all of it and stay pivots; others start as they are
         members = cut(members.select(*(c.split()[0] for c in _MEMBER.split(", "))))
         turn += 1
 
@@ -438,7 +409,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     64-bit hashes.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # ids may be null or repeat: a row is told by its id and its text's hash
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("said"), text.alias("text"))
     limit = Limit(num, den)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -446,25 +419,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part, shingle)
-                columns = [part.column(part.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s)[0] for s in sets], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node"])
+                kept = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "said")]
+                columns = [*kept, pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s)[0] for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "said", "n_shingles", "node"])
 
-    named = cut(in_arrow(rows, name, f"doc_id {kind}, n_shingles long, node long"))
-    ids_repeat = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+    named = cut(in_arrow(rows, name, f"doc_id {kind}, said long, n_shingles long, node long"))
+    repeat = not named.groupBy("doc_id", "said").count().where("count > 1").isEmpty()
 
     def texts(nodes: DataFrame, *more: str) -> DataFrame:
-        """The texts of ``chosen_id`` of ``nodes``, each once."""
-        own = rows.join(small_side(nodes), F.col("doc_id").eqNullSafe(F.col("chosen_id"))).select("doc_id", "node", *more, "text")
-        return own.dropDuplicates(["doc_id", "node", "text"]) if ids_repeat else own
+        """The texts of the rows that stand for ``nodes``, each once."""
+        same = F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("said") == F.col("of.said"))
+        own = rows.join(small_side(nodes), same).select("node", *more, "text")
+        return own.dropDuplicates(["node"]) if repeat else own
 
     # one document stands for all that have the same set
-    chosen = named.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("chosen_id"), F.max("n_shingles").alias("n"))
-    chosen = cut(chosen)
+    least_row = F.min(F.struct("doc_id", "said"))
+    of_id = F.min("doc_id").alias("least_id")
+    chosen = cut(named.where("n_shingles > 0").groupBy("node").agg(least_row.alias("of"), of_id, F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
     total = chosen.agg(F.sum("n")).first()[0] or 0
-    clusters = connected_components(_candidates(texts(chosen.select("chosen_id", "node")), shingle, limit, total))
+    clusters = connected_components(_candidates(texts(chosen.select("of", "node")), shingle, limit, total))
     placed = chosen.join(clusters.withColumnRenamed("component", "region"), "node")
     sizes = placed.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("all_n"))
-    placed = cut(placed.join(sizes, "region").select("chosen_id", "node", "region", _fits().alias("fits")))
+    placed = cut(placed.join(sizes, "region").select("of", "node", "region", _fits().alias("fits")))
 
     local = texts(placed.where("fits").drop("fits"), "region").select("region", "node", "text")
     links = _compare_regions(local, limit, lambda table: _named_sets(table, shingle))
@@ -474,10 +450,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for more in _pivot_rounds(members, limit):
             links = links.unionByName(more)
     joined = connected_components(links)
-    placed = named.join(joined.withColumnRenamed("component", "linked_to"), "node", "left").withColumn("comp", F.coalesce("linked_to", "node"))
-    least = placed.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    empty = placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.where("n_shingles > 0").join(least, "comp").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    # the least id of a component is found among its sets; only then do the rows, of which many may share a set, get it
+    sets = cut(chosen.join(joined, "node", "left").select("node", "rows", "least_id", F.coalesce("component", "node").alias("comp")))
+    least = sets.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
+    found = cut(with_value(sets, least.withColumnRenamed("members", "times"), "comp").select("node", "rows", "component_id"))
+    full = with_value(named.where("n_shingles > 0"), found.withColumnRenamed("rows", "times"), "node")
+    empty = named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return full.select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
 def _as_members(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -490,7 +469,7 @@ def _as_members(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 sets = shingle_sets(part, size)
                 held = [i for i, s in enumerate(sets) if identity(s)[0] == node[i]]
                 own = pa.array([node[i] for i in held], pa.int64())
-                columns = [pa.array([region[i] for i in held], pa.int64()), own, pa.array([len(sets[i]) for i in held], pa.int64()), pa.array([sets[i].tobytes() for i in held], pa.binary()), own, pa.array([False] * len(held), pa.bool_())]
+                columns = [pa.array([region[i] for i in held], pa.int64()), own, pa.array([len(sets[i]) for i in held], pa.int64()), pa.array([sets[i].tobytes() for i in held], pa.binary()), own]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _MEMBER.split(", ")])
 
     return run

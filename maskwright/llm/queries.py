@@ -6,6 +6,11 @@ import os
 
 from pyspark.sql import functions as F
 
+try:
+    import public_tokenizers
+except ImportError:  # the vocabularies' folder is a parameter then
+    public_tokenizers = None
+
 from .ann import nearest_neighbours
 from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
@@ -17,8 +22,8 @@ from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 from .toxicity import score_toxicity, train_toxicity
 
-#: Folder of the public vocabularies; the same on all machines.
-TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS", "/opt/tokenizers")
+#: Folder of the public vocabularies, the same on all machines: that of the package unless it is set.
+TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or (os.path.dirname(public_tokenizers.path("x")) if public_tokenizers else "")
 #: Documents of more tokens than this are over the limit.
 TOKEN_LIMIT = 4096
 #: Documents of this score or more are toxic.
@@ -32,9 +37,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def digests(coded):
-    """Token counts and digests of ids and decoded texts."""
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(coded, *more):
+    """Token counts and digests of ids and decoded texts, and ``more`` columns."""
+    made = [(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return coded.select("doc_id", *made, *more)
 
 
 def op1_bpe(spark, sf_dir):

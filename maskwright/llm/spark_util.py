@@ -2,58 +2,53 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-#: Largest number of rows (of a few scalar columns each) that is broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+from ..cluster import kept, shared_folder
 
+#: Largest number of rows, and of bytes in their texts, that is broadcast; larger sides are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made. Size estimates are
-    cut as well: a checkpoint inherits those of its plan, which joins multiply round after round.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="maskwright-"))
-    kept = df.checkpoint()._jdf
-    fresh = kept.sparkSession().internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
-    return DataFrame(fresh, df.sparkSession)
+cut = kept
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """A new folder for tables between stages, in the shared checkpoint folder (a local one where that is unset)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-")
-    return f"{shared.rstrip('/')}/stages-{uuid.uuid4().hex}"
+    """A new folder for tables between stages, in the shared folder."""
+    return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` cut and, if its counted rows are few, marked for broadcast; else joined by a shuffle."""
+    """``df`` cut and, if its counted rows and the bytes of their texts are few, marked for broadcast; else joined by a
+    shuffle. Columns of other types are scalars, or bounded by their makers."""
     kept = cut(df)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    texts = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    rows, *sizes = kept.agg(F.count("*"), *texts).first()
+    return F.broadcast(kept) if rows <= max_rows and sum(sizes) <= BROADCAST_BYTES else kept
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only. ``lower`` sees runs of A-Z alone, so no other letter changes."""
-    runs = F.regexp_extract_all(text, F.lit("([A-Z]+|[^A-Z]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda p: F.when(F.ascii(p).between(65, 90), F.lower(p)).otherwise(p)), "")
+#: Keys that more than one in so many rows have are joined by broadcast; there are at most so many of them.
+HOT_SHARE = 1024
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` with at least as many partitions as the cluster has cores, for CPU-heavy Python stages over few files."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+def with_value(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has each ``key`` once and its number of ``times`` among ``rows``.
 
+    Keys of many rows are broadcast: there are at most ``HOT_SHARE``, whatever the table's size. The others are joined
+    by a shuffle, in which no key has more than a small share. Null keys join nothing.
+    """
+    total = values.agg(F.sum("times")).first()[0] or 0
+    hot = F.col("times") > total / HOT_SHARE
+    often = F.broadcast(cut(values.where(hot).drop("times")))
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(values.where(~hot).drop("times"), key)
+    return rows.join(often, key).unionByName(rest)
 
-def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+def ascii_lower(text: Column) -> Column:
+    """Lower-cases A-Z only. ``lower`` sees runs of A-Z alone, so no other letter changes."""
+    runs = F.regexp_extract_all(text, F.lit("([A-Z]+|[^A-Z]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda p: F.when(F.ascii(p).between(65, 90), F.lower(p)).otherwise(p)), "")

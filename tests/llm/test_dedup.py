@@ -110,7 +110,6 @@ def test_jaccard_many_near_copies(spark, monkeypatch, local):
     from maskwright.llm import jaccard_join as module
 
     monkeypatch.setattr(module, "LOCAL_SETS", local)
-    monkeypatch.setattr(module, "REGION_SETS", 8)
     monkeypatch.setattr(module, "PIVOTS", 5)
     r = random.Random(3)
     base = [f"w{r.randrange(500)}" for _ in range(60)]
@@ -122,3 +121,29 @@ def test_jaccard_many_near_copies(spark, monkeypatch, local):
         rows.append((i, " ".join(w)))
     got = Counter(tuple(x) for x in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, num=70).collect())
     assert got == _jaccard(rows, 2, 70, 100)
+
+
+def test_jaccard_rows_without_ids(spark):
+    """Thousands of different texts under one null id, and repeated rows."""
+    rows = [(None, f"text number {i} of many that share {i % 7} words") for i in range(3000)] + [(5, "one row twice over here")] * 2 + [(5, "one row twice over there")]
+    got = Counter(tuple(x) for x in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, num=95).collect())
+    assert got == Counter({(None, 8, None): 3000, (5, 4, 5): 3})
+
+
+@pytest.mark.parametrize("local", [1 << 13, 300])
+def test_jaccard_distant_sets_in_one_region(spark, monkeypatch, local):
+    """A chain of rare passages draws hundreds of unrelated texts into one region; few of them are linked."""
+    import random
+
+    from maskwright.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "LOCAL_SETS", local)
+    r = random.Random(8)
+    rows, n = [], 700
+    for i in range(n):
+        own = [f"w{r.randrange(10**6)}" for _ in range(12)]
+        rows.append((i, " ".join([f"link{i}", f"link{i}b", *own, f"link{(i + 1) % n}", f"link{(i + 1) % n}b"])))
+    rows += [(n + i, rows[37 * i][1] + " more") for i in range(15)]
+    got = Counter(tuple(x) for x in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, num=85).collect())
+    want = _jaccard(rows, 2, 85, 100)
+    assert got == want and sum(i != c for i, _, c in got) == 15

@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Vectors are dealt into shards of bounded size, queries into blocks; each pair of shard and block is one task. A shard
-keeps, for every projection of a random rotation, its vectors sorted by that projection. A query's window lies around
-its own projection in each sorted array and widens level by level (virtual rehashing: only the places that a wider
-window adds are read). A vector that falls into half of the windows is verified, by its exact inner product; a query
-stops when its k-th best lies well within the distance at which half of the windows collide. The last level's windows
-hold everything, so a shard of few vectors gives all of them.
+Vectors are dealt into shards of bounded size, each sent to one task once; every query visits every shard, in a stream
+behind the shard's vectors, so that a task holds one shard and a slice of queries. A shard keeps, for every projection
+of a random rotation, its vectors sorted by that projection. A query's window lies around its own projection in each
+sorted array and widens level by level (virtual rehashing: only the places that a wider window adds are read). A vector
+that falls into half of the windows is verified, by its exact inner product; a query stops when its k-th best lies well
+within the distance at which half of the windows collide. The last level's windows hold everything, so a shard of few
+vectors gives all of them.
 
 Largest inner products become least distances by one more component that gives all vectors the same length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from .arrow_rows import in_arrow
+from .spark_util import small_side
 
-
-#: Neighbours of a query; vectors of a shard and queries of a block, at most about.
-NEAREST, SHARD, BLOCK = 20, 1 << 15, 1 << 11
+#: Neighbours of a query; vectors of a shard at most about, and at least where more shards keep more cores busy.
+NEAREST, SHARD, LEAST_SHARD = 20, 1 << 15, 1 << 12
+#: Queries that are searched together.
+BLOCK = 1 << 10
 #: Projections; the first window's half width in standard deviations of a projection, and its growth per level.
 PROJECTIONS, FIRST, GROWTH = 48, 0.04, 1.35
 #: Share of windows that a vector must fall into. A window of half width w holds a vector at distance s with
@@ -31,7 +35,7 @@ PROJECTIONS, FIRST, GROWTH = 48, 0.04, 1.35
 SHARE, QUARTILE, MARGIN = 0.5, 0.6745, 1.3
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=64)
 def _rotation(dims: int, seed: int = 7) -> np.ndarray:
     """Orthonormal rows, as many as there are dimensions."""
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))[0]
@@ -44,14 +48,19 @@ class Shard:
         self.vectors = vectors
         norms = (vectors.astype(np.float64) ** 2).sum(1)
         full = np.hstack([vectors, np.sqrt(np.maximum(longest**2 - norms, 0))[:, None]]) / longest
-        self.axes = _rotation(full.shape[1])[:projections]
+        # as many rotations as give the projections
+        turns = -(-projections // full.shape[1])
+        self.axes = np.concatenate([_rotation(full.shape[1], 7 + i) for i in range(turns)])[:projections]
         values = self.axes @ full.T
         self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(values, self.order, 1)
         self.longest = longest
 
-    def search(self, queries: np.ndarray, k: int, selves: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query its nearest found places and their inner products; ``selves`` (-1: none) take no part."""
+    def search(self, queries: np.ndarray, k: int, names: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query its ``k`` nearest found places and their inner products, of ties those of the smaller name.
+
+        ``names`` has the vectors' ids and ``own`` the queries'; vectors of a query's own id take no part.
+        """
         n, dims = len(self.vectors), self.axes.shape[1]
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         at = np.hstack([unit, np.zeros((len(unit), 1))]) @ self.axes.T
@@ -70,8 +79,7 @@ class Shard:
             counts, lows, highs = np.zeros(n, np.int8), bounds[0, :, :, q], bounds[1, :, :, q]
             places, scores = np.zeros(0, np.int64), np.zeros(0)
             fresh = np.ones(n, bool)
-            if selves[q] >= 0:
-                fresh[selves[q]] = False
+            fresh[names == own[q]] = False
             last = [(0, 0)] * len(self.axes)
             for level, w in enumerate(widths):
                 low, high, now = lows[level].tolist(), highs[level].tolist(), []
@@ -87,70 +95,77 @@ class Shard:
                 if len(found):
                     fresh[found] = False
                     places = np.append(places, found)
-                    scores = np.append(scores, vectors[found] @ queries[q])
+                    scores = np.append(scores, (vectors[found] * queries[q]).sum(1))
                     if len(places) > 4 * k:
-                        best = np.argpartition(-scores, k)
-                        best = np.flatnonzero(scores >= scores[best[k]])  # ties stay
+                        best = np.lexsort((names[places], -scores))[:k]
                         places, scores = places[best], scores[best]
                 if len(places) >= k:
                     kth = np.partition(scores, len(scores) - k)[len(scores) - k]
                     distance = np.sqrt(max(0.0, 2 - 2 * kth / (np.linalg.norm(queries[q]) * self.longest)))
                     if distance * sigma * MARGIN * QUARTILE <= w:
                         break
-            out.append((places, scores))
+            best = np.lexsort((names[places], -scores))[:k]
+            out.append((places[best], scores[best]))
         return out
 
 
-def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    values = column.combine_chunks()
-    flat = values.flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(flat, kind).reshape(len(values), -1)
+def _matrix(values: pa.ListArray) -> np.ndarray:
+    return np.asarray(values.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(values), -1)
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest found by inner product, ties to the smaller id.
 
-    Vectors that are null, empty, all zero or hold null or non-finite components take no part on either side, nor do
-    those of another length than the most common one (of equally common lengths, the greater) or with null ids. A row
-    with a query's own id is no candidate of it; of repeated ids each row counts. No rows give no rows; other columns
-    are ignored.
+    Ids are whole numbers. Vectors that are null, empty, all zero or hold null or non-finite components take no part
+    on either side, nor do those with null ids. Vectors of one length are searched by queries of that length; others
+    have no inner product with them. A row with a query's own id is no candidate of it; of repeated ids each row
+    counts, as candidate and as query. No rows give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    ship(spark)
     value = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
-    clean = lambda df: df.where(sound).select(F.col(id_col).alias("vec_id"), value.alias("v"))
+    clean = lambda df: df.where(sound).select(F.col(id_col).alias("vec_id"), value.alias("v"), F.size(vector_col).alias("dims"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = clean(vectors).groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(norm).alias("longest"))
-    found = sizes.orderBy(F.desc("n"), F.desc("dims")).first()
     kind = vectors.schema[id_col].dataType.simpleString()
-    result = f"query_id {kind}, vec_id {kind}, score double"
-    if found is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    dims, n, longest = found
-    asked = clean(queries).where(F.size("v") == dims)
-    n_asked = asked.count()
-    n_shards = -(-n // shard)
-    n_blocks = max(1, -(-n_asked // block), -(-4 * spark.sparkContext.defaultParallelism // n_shards))
-    dealt = lambda df, parts, seed: df.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)))
-    base = dealt(clean(vectors).where(F.size("v") == dims), n_shards, 1).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), (F.col("part") * n_blocks + F.col("b")).alias("cell"))
-    asked = dealt(asked, n_blocks, 2).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("s"), (F.col("s") * n_blocks + F.col("part")).alias("cell"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[pa.Table] = []
-        if left.num_rows and right.num_rows:
-            ids = left["vec_id"].combine_chunks()
-            own = Shard(_matrix(left["v"], np.float64), float(longest))
-            place = {x: i for i, x in enumerate(ids.to_pylist())}
-            names = right["vec_id"].to_pylist()
-            selves = np.array([place.get(x, -1) for x in names], np.int64)
-            for name, (at, scores) in zip(names, own.search(_matrix(right["v"], np.float64), k, selves), strict=True):
-                chosen = ids.take(pa.array(at))
-                rows.append(pa.table({"query_id": pa.array([name] * len(at), ids.type), "vec_id": chosen, "score": pa.array(scores)}))
-        empty = pa.table({"query_id": pa.array([], left["vec_id"].type), "vec_id": pa.array([], left["vec_id"].type), "score": pa.array([], pa.float64())})
-        return pa.concat_tables([empty, *rows])
-
-    cells = base.select("cell", "vec_id", "v").groupBy("cell").cogroup(asked.select("cell", "vec_id", "v").groupBy("cell"))
-    near = cells.applyInArrow(search, result).where("query_id != vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # shards of each length of vectors: as many as their bound asks for, or as keep all cores busy
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    parts = F.greatest(F.ceil(F.col("n") / shard), F.least(F.lit(wanted), F.ceil(F.col("n") / min(shard, LEAST_SHARD))))
+    sizes = clean(vectors).groupBy("dims").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).select("dims", "longest", parts.cast("long").alias("parts"))
+    sizes = small_side(sizes)
+    place = F.monotonically_increasing_id()
+    cell = F.col("dims") * F.lit(1 << 32) + F.col("part")
+    # rows of one id or vector are dealt to many shards
+    base = clean(vectors).join(sizes, "dims").withColumn("part", F.pmod(F.xxhash64("vec_id", place), F.col("parts")))
+    base = base.select(cell.alias("cell"), F.lit(0).alias("asks"), "vec_id", F.lit(0).cast("long").alias("row"), "v", "longest")
+    asked = clean(queries).withColumn("row", place).join(sizes, "dims").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asked = asked.select(cell.alias("cell"), F.lit(1).alias("asks"), "vec_id", "row", "v", "longest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, ids, own = None, [], [], None
+        for batch in batches:
+            cells, asks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            key = 2 * cells + asks
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)]).tolist()
+            for start, stop in zip(starts, [*starts[1:], len(key)], strict=True):
+                part = batch.slice(start, stop - start)
+                names = part.column(2).to_numpy(zero_copy_only=False)
+                if cells[start] != at:
+                    at, held, ids, own = cells[start], [], [], None
+                if not asks[start]:
+                    held.append(_matrix(part.column(4)))
+                    ids.append(names)
+                    continue
+                if own is None and held:
+                    own, known = Shard(np.concatenate(held), float(part.column(5)[0].as_py())), np.concatenate(ids)
+                    held, ids = [], []
+                rows, asked_of = part.column(3).to_numpy(zero_copy_only=False), _matrix(part.column(4))
+                for a in range(0, len(names) if own is not None else 0, BLOCK):
+                    found = own.search(asked_of[a : a + BLOCK], k, known, names[a : a + BLOCK])
+                    counts = [len(places) for places, _ in found]
+                    columns = [np.repeat(names[a : a + BLOCK], counts), np.repeat(rows[a : a + BLOCK], counts), known[np.concatenate([p for p, _ in found]).astype(np.int64)], np.concatenate([s for _, s in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (part.schema.field(2).type, pa.int64(), part.schema.field(2).type, pa.float64()), strict=True)], names=["query_id", "row", "vec_id", "score"])
+
+    dealt = base.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "asks")
+    near = in_arrow(dealt, run, f"query_id {kind}, row long, vec_id {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -46,6 +46,30 @@ def test_op2_recall(spark):
     assert asked == 20 * (ids % 20 == 0).sum() and hits >= 0.9 * asked
 
 
+def test_nearest_over_shards_lengths_and_repeated_ids(spark):
+    """Several shards against brute force; a query's own id repeated more often than there are neighbours; two lengths."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 64))
+    rows = [(i, (centres[i % 30] + 0.5 * rng.standard_normal(64)).tolist()) for i in range(1500)]
+    rows += [(0, rows[0][1])] * 40 + [(2000 + i, rng.standard_normal(8).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in nearest_neighbours(df, df.where("vec_id % 20 = 0 AND vec_id > 0 OR vec_id = 0").dropDuplicates(["vec_id"]), shard=200).collect():
+        got[x.query_id].append((x.rank, x.vec_id))
+    hits = asked = 0
+    for dims in (64, 8):
+        own = [(i, np.array(v)) for i, v in rows if len(v) == dims]
+        ids, v = np.array([i for i, _ in own]), np.array([x for _, x in own])
+        for q in sorted({i for i in ids.tolist() if i % 20 == 0}):
+            scores = v @ v[ids == q][0]
+            others = np.flatnonzero(ids != q)
+            best = others[np.lexsort((ids[others], -scores[others]))][:20]
+            found = [i for _, i in sorted(got[q])]
+            assert len(found) == 20 and q not in found
+            hits, asked = hits + sum((Counter(found) & Counter(ids[best].tolist())).values()), asked + 20  # each row counts
+    assert len(got) == asked // 20 and hits >= 0.9 * asked
+
+
 def test_nearest_odd_vectors(spark):
     r = random.Random(5)
     rows = [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(40)]

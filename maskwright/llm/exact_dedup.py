@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark_util import ascii_lower, cut, small_side
+from .spark_util import ascii_lower, cut, small_side, with_value
 
 #: Characters in a block.
 BLOCK_CHARS = 4096
@@ -29,10 +29,10 @@ def _named(keys: DataFrame, high: Column, order: list[str], weight: Column) -> D
 
 def _block_names(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Names by block hash, and for hashes that several blocks share, the place of each block among them."""
-    distinct = texts.select(F.explode("blocks").alias("block")).select(F.xxhash64("block").alias("h"), "block").distinct()
-    counts = cut(distinct.groupBy("h").agg(F.count("*").alias("blocks")))
+    distinct = texts.select(F.explode("blocks").alias("block")).select(F.xxhash64("block").alias("h"), "block").groupBy("h", "block").agg(F.count("*").alias("times"))
+    counts = cut(distinct.groupBy("h").agg(F.count("*").alias("blocks"), F.sum("times").alias("times")))
     top = F.shiftrightunsigned("h", 48)
-    names = _named(counts, top, ["h"], F.col("blocks")).select("h", "name")
+    names = _named(counts, top, ["h"], F.col("blocks")).select("h", "name", "times")
     shared = counts.where("blocks > 1").select("h")
     if shared.isEmpty():
         return names, None
@@ -60,7 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         base = cut(_with_ties(keyed, ties))
     blocks = base.select("rid", F.size("blocks").alias("n"), F.posexplode("blocks").alias("idx", "b"))
-    blocks = blocks.select("rid", "n", "idx", "b.h", "b.tie").join(names, "h")
+    blocks = with_value(blocks.select("rid", "n", "idx", "b.h", "b.tie"), names, "h")
     blocks = cut(blocks.select("rid", "n", "idx", (F.col("name") + F.col("tie")).alias("name")))
     longest = base.agg(F.max(F.size("blocks"))).first()[0] or 0
 
@@ -74,10 +74,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identity = done[0]
     for more in done[1:]:
         identity = identity.unionByName(more)
-    identity = base.select("rid", "doc_id", "text_sha256").join(identity, "rid")
+    identity = cut(base.select("rid", "doc_id", "text_sha256").join(identity, "rid"))
 
     groups = identity.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", (-F.col("rid")).alias("rid"))).alias("keep"))
-    found = identity.join(groups, ["level", "name"])
+    found = with_value(identity, groups.withColumn("times", F.col("group_size")), "level", "name")
     return found.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == -F.col("keep.rid")).alias("kept"), "text_sha256")
 
 
@@ -87,8 +87,9 @@ def _pair_names(blocks: DataFrame) -> DataFrame:
     pairs = blocks.groupBy("rid", "n", F.floor(F.col("idx") / 2).cast("int").alias("half")).agg(
         F.max(F.when(~odd, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(odd, F.col("name"))), F.lit(-1).cast("long")).alias("b")
     )
-    names = _named(pairs.select("a", "b").distinct(), F.shiftrightunsigned(F.xxhash64("a", "b"), 48), ["a", "b"], F.lit(1).cast("long"))
-    return pairs.join(names, ["a", "b"]).select("rid", F.floor((F.col("n") + 1) / 2).cast("int").alias("n"), F.col("half").alias("idx"), "name")
+    pairs = cut(pairs)
+    names = _named(pairs.groupBy("a", "b").agg(F.count("*").alias("times")), F.shiftrightunsigned(F.xxhash64("a", "b"), 48), ["a", "b"], F.lit(1).cast("long"))
+    return with_value(pairs, names, "a", "b").select("rid", F.floor((F.col("n") + 1) / 2).cast("int").alias("n"), F.col("half").alias("idx"), "name")
 
 
 def _with_ties(keyed: DataFrame, ties: DataFrame) -> DataFrame:

@@ -35,17 +35,18 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 HOT_SHARE = 1024
 
 
-def with_value(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``values``, which has each ``key`` once and its number of ``times`` among ``rows``.
+def with_value(rows: DataFrame, values: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has each of ``keys`` once and its number of ``times`` among ``rows``.
 
     Keys of many rows are broadcast: there are at most ``HOT_SHARE``, whatever the table's size. The others are joined
     by a shuffle, in which no key has more than a small share. Null keys join nothing.
     """
+    values, on = cut(values), list(keys)
     total = values.agg(F.sum("times")).first()[0] or 0
     hot = F.col("times") > total / HOT_SHARE
-    often = F.broadcast(cut(values.where(hot).drop("times")))
-    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(values.where(~hot).drop("times"), key)
-    return rows.join(often, key).unionByName(rest)
+    often = F.broadcast(values.where(hot).drop("times"))
+    rest = rows.join(F.broadcast(values.where(hot).select(on)), on, "left_anti").join(values.where(~hot).drop("times"), on)
+    return rows.join(often, on).unionByName(rest)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -37,7 +37,7 @@ def _weighted(nodes: DataFrame, level: int, weights: DataFrame | None) -> DataFr
     if weights is None:
         return nodes.withColumn("weight", F.lit(1.0))
     own = weights.where(F.col("level") == level).select(F.col("name").alias(f"mix_{level}"), F.col("weight").cast("double")).dropDuplicates([f"mix_{level}"])
-    return nodes.join(F.broadcast(own), f"mix_{level}", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.0)))
+    return nodes.join(small_side(own), f"mix_{level}", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.0)))
 
 
 def budgets(leaves: DataFrame, depth: int, total: Column | float, weights: DataFrame | None = None, epochs: int = EPOCHS) -> DataFrame:
@@ -48,11 +48,12 @@ def budgets(leaves: DataFrame, depth: int, total: Column | float, weights: DataF
     """
     names = [f"mix_{i}" for i in range(depth)]
     above = leaves.select(F.lit(0).alias("root"), "tokens").groupBy("root").agg((F.sum("tokens") * epochs).cast("double").alias("cap"))
-    above = above.select(F.least("cap", F.lit(total).cast("double") if not isinstance(total, Column) else total.cast("double")).alias("share"))
+    whole = above.select(F.least("cap", F.lit(total).cast("double") if not isinstance(total, Column) else total.cast("double")).alias("share")).first()
+    root = F.lit(whole[0] if whole else 0.0).cast("double")
     for i in range(depth):
         nodes = leaves.groupBy(*names[: i + 1]).agg((F.sum("tokens") * epochs).cast("double").alias("cap"))
         nodes = _weighted(nodes, i, weights).where("weight > 0 AND cap > 0")
-        nodes = nodes.join(F.broadcast(above), names[:i]) if i else nodes.join(F.broadcast(above))
+        nodes = nodes.join(small_side(above), names[:i]) if i else nodes.withColumn("share", root)
         fill = Window.partitionBy(*(names[:i] or [F.lit(0)])).orderBy(F.col("cap") / F.col("weight"), names[i])
         before = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         left = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
@@ -60,9 +61,9 @@ def budgets(leaves: DataFrame, depth: int, total: Column | float, weights: DataF
         nodes = nodes.withColumn("rise", (F.col("share") - before) / left)
         nodes = nodes.withColumn("full", F.col("cap") <= F.col("weight") * F.col("rise"))
         stop = F.max(F.when(~F.col("full"), F.col("rise"))).over(Window.partitionBy(*(names[:i] or [F.lit(0)])))
-        above = cut(nodes.select(*names[: i + 1], F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.coalesce(stop, F.lit(0.0)))).alias("share")))
+        above = nodes.select(*names[: i + 1], F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.coalesce(stop, F.lit(0.0)))).alias("share"))
     # a millionth of a token, lest rounding takes a whole one
-    return leaves.join(F.broadcast(above), names, "left").select(*names, "tokens", F.floor(F.coalesce("share", F.lit(0.0)) + 1e-6).cast("long").alias("budget"))
+    return leaves.join(small_side(above), names, "left").select(*names, "tokens", F.floor(F.coalesce("share", F.lit(0.0)) + 1e-6).cast("long").alias("budget"))
 
 
 def _prefix_ends(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -111,7 +111,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     least = 4 * spark.sparkContext.defaultParallelism
     n_blocks, n_ranges = max(least, -(-total // block_bytes)), max(least, -(-total // range_bytes))
-    blocks = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "doc_id", "text")
+    # by place in the scan as well, so that repeated rows are dealt to many blocks; all steps read the same shuffle
+    place = F.monotonically_increasing_id()
+    blocks = rows.select(F.pmod(F.xxhash64("doc_id", "text", place), F.lit(n_blocks)).alias("block"), "doc_id", "text")
 
     def touch(key: tuple, table: pa.Table) -> pa.Table:
         cells, times = np.unique(_cells(_block_keys(table.to_batches(), window), n_ranges), return_counts=True)
@@ -159,19 +161,34 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keys, more, times, owner = keys[order], more[order], times[order], owner[order]
         first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])))
         total = np.repeat(np.add.reduceat(times, first), np.diff(np.append(first, len(keys))))
-        keys, owner = keys[total > 1], owner[total > 1]
+        keys, more, owner = keys[total > 1], more[total > 1], owner[total > 1]
         order = np.argsort(owner, kind="stable")
-        keys, cuts = keys[order], np.cumsum(np.bincount(owner, minlength=len(names)))[:-1]
-        return answer(table["range"][0].as_py(), [(b, pack(k)) for b, k in zip(names, np.split(keys, cuts), strict=True) if len(k)])
+        keys, more, cuts = keys[order], more[order], np.cumsum(np.bincount(owner, minlength=len(names)))[:-1]
+        parts = zip(names, np.split(keys, cuts), np.split(more, cuts), strict=True)
+        return answer(table["range"][0].as_py(), [(b, pack(k) + m.tobytes()) for b, k, m in parts if len(k)])
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        gone = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack(p, np.uint64) for p in right["packed"].to_pylist())]))
+        gone, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        for p in right["packed"].to_pylist():
+            n = len(p) // 12
+            gone.append(unpack(p[: 8 * n], np.uint64))
+            more.append(np.frombuffer(p, np.uint32, n, 8 * n))
+        gone, more = np.concatenate(gone), np.concatenate(more)
+        order = np.lexsort((more, gone))
+        gone, more = gone[order], more[order]
         made = []
         for part in _parts(left.to_batches()):
             flat, offsets = flat_bytes(part, "text")
             words = Words(flat, offsets)
             whole = words.whole(window)
-            starts = whole[_holds(gone, words.windows(window)[whole])]
+            own = words.windows(window)[whole]
+            held = np.flatnonzero(_holds(gone, own))
+            # both hashes of a window must be among those that repeat
+            second, first, last = words.windows(window, 1)[whole[held]].astype(np.uint32), np.searchsorted(gone, own[held]), np.searchsorted(gone, own[held], "right")
+            same = more[first] == second if len(held) else np.zeros(0, bool)
+            for i in np.flatnonzero(~same & (last - first > 1)):
+                same[i] = second[i] in more[first[i] : last[i]]
+            starts = whole[held[same]]
             steps = np.zeros(len(words) + 1, np.int64)
             np.add.at(steps, starts, 1)
             np.add.at(steps, starts + window, -1)
@@ -181,8 +198,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ends, kept = np.cumsum(n_words), []
             data = flat.tobytes()
             for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
-                own = data[a:b].split()
-                kept.append(b" ".join(compress(own, keep[ends[i] - n_words[i] : ends[i]].tolist()) if n_removed[i] else own))
+                said = data[a:b].split()
+                kept.append(b" ".join(compress(said, keep[ends[i] - n_words[i] : ends[i]].tolist()) if n_removed[i] else said))
             kept = pa.array(kept, pa.binary()).cast(pa.string())
             made.append(pa.Table.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(n_words), pa.array(n_removed), kept], names=["doc_id", "n_words", "n_removed", "kept_text"]))
         return pa.concat_tables(made) if made else pa.table({n: pa.array([], t) for n, t in zip(["doc_id", "n_words", "n_removed", "kept_text"], [left.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string()], strict=True)})

@@ -23,8 +23,8 @@ from .arrow_rows import in_arrow, slices, texts_of, with_column
 
 #: Pre-tokens in the broadcast table, at most this long: its size is bounded.
 TABLE_WORDS, WORD_CHARS = 1 << 16, 64
-#: Frequent pre-tokens that each task proposes for the table, and the counter it keeps to find them.
-TASK_WORDS, COUNTER_WORDS = 2048, 200_000
+#: Texts that are looked at for the table, tasks that do so, and the counter that each keeps.
+SAMPLE_ROWS, SAMPLE_TASKS, COUNTER_WORDS = 4096, 8, 200_000
 #: Misses that a worker remembers, at most CACHE_CHARS long; beyond this many it starts afresh.
 CACHE_WORDS, CACHE_CHARS = 400_000, 256
 
@@ -62,13 +62,16 @@ class Pieces:
 
     def count(self, texts: list[str], table: dict[str, int]) -> list[int]:
         split = [pre_tokens(t) for t in texts]
-        if self.table is not table:
-            self.table, self.cache = table, dict(table)
+        if self.table is not table:  # the first tier; misses are added to it as the second
+            self.table, self.cache, self.added = table, table, []
         missing = {w for words in split for w in set(words) if w not in self.cache}
-        if len(self.cache) + len(missing) > len(table) + CACHE_WORDS:
-            self.cache = dict(table)
-            missing = {w for words in split for w in set(words) if w not in table}
+        if len(self.added) + len(missing) > CACHE_WORDS:
+            for w in self.added:
+                self.cache.pop(w, None)
+            self.added = []
+            missing = {w for words in split for w in set(words) if w not in self.cache}
         new = list(missing)
+        self.added += new
         self.cache.update(zip(new, self.lengths(new), strict=True))
         look = self.cache.__getitem__
         counts = [sum(map(look, words)) for words in split]
@@ -95,8 +98,9 @@ def _table(shared: Broadcast) -> dict[str, int]:
     return _TABLES[shared.value["key"]]
 
 
-def frequent_pre_tokens(df: DataFrame, text_col: str = "text", size: int = TABLE_WORDS) -> list[str]:
-    """The most frequent pre-tokens over all texts, as far as tasks that each propose a bounded list can tell."""
+def frequent_pre_tokens(df: DataFrame, text_col: str = "text", size: int = TABLE_WORDS, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """The most frequent pre-tokens of a random sample of about ``sample_rows`` texts. They only save time: whatever is
+    not among them is encoded where it occurs. The sample's tasks each give a bounded list, which the driver merges."""
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -107,12 +111,14 @@ def frequent_pre_tokens(df: DataFrame, text_col: str = "text", size: int = TABLE
                 if len(seen) > COUNTER_WORDS:  # lossy counting: rare words go, frequent ones stay
                     low = int(np.median(np.fromiter(seen.values(), np.int64, len(seen))))
                     seen = Counter({w: n - low for w, n in seen.items() if n > low})
-        top = [(w, n) for w, n in seen.most_common(TASK_WORDS) if len(w) <= WORD_CHARS and " " not in w]
+        top = [(w, n) for w, n in seen.most_common(size) if len(w) <= WORD_CHARS and " " not in w]
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    proposed = in_arrow(df.select(text_col), propose, "word string, n long")
-    best = proposed.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in best.collect()]
+    sample = df.select(text_col).where(F.rand(11) < min(1.0, sample_rows / max(df.count(), 1))).repartition(SAMPLE_TASKS)
+    total: Counter = Counter()
+    for r in in_arrow(sample, propose, "word string, n long").toLocalIterator():
+        total[r.word] += r.n
+    return [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]]
 
 
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", count_col: str = "n_tokens", drop: bool = False) -> DataFrame:

@@ -170,6 +170,9 @@ ORACLE_SQL = {
         placed AS (SELECT *, row_number() OVER (PARTITION BY k1, k2 ORDER BY unit_idx, i) - 1 AS pos FROM chars)
         SELECT k1 AS conv_id, k2 AS turn, CAST(pos // 4 AS INT) AS unit_idx, string_agg(c, '' ORDER BY pos) AS text, round(min(x0 + cw * i), 6) AS x0, round(min(y0), 6) AS y0, round(max(x0 + cw * (i + 1)), 6) AS x1, round(max(y0 + {S.UNIT_H}), 6) AS y1,
         min(confidence) AS confidence FROM placed GROUP BY k1, k2, pos // 4""",
+    "ocr_units": f"""SELECT k1 AS conv_id, CAST(dense_rank() OVER (PARTITION BY k1 ORDER BY k2) - 1 AS INT) AS block_id, 0 AS line_id, unit_idx, text, confidence, x0 / 2 AS x, y0 / 2 AS y,
+        {S.UNIT_W} / 2.0::DOUBLE AS w, {S.UNIT_H} / 2.0::DOUBLE AS h FROM ({SCREEN})""",
+    "route_lines": f"SELECT k1 AS conv_id, CASE WHEN k1 % 2 = 0 THEN 'DOM' ELSE 'OCR' END AS route, count(DISTINCT k2) AS lines, count(*) AS words FROM ({SCREEN}) GROUP BY k1",
     "judge_tokens": f"WITH tokens AS ({_TOKENS}), formed AS (SELECT *, {FOLD(TRIM('text'))} AS n FROM tokens) SELECT k1 AS doc_id, unit_idx, {_JUDGE_TOKEN} AS reason FROM formed",
     "name_runs": f"WITH tokens AS ({_TOKENS}), {_NAMED} SELECT k1 AS doc_id, unit_idx, surface AS text, name_run FROM named JOIN tokens USING (k1, unit_idx) WHERE name_run IS NOT NULL",
     "token_decide": f"""WITH tokens AS ({_TOKENS}), {_NAMED}, flagged AS (SELECT t.*, name_run, NULL::VARCHAR AS line_reason, false AS unit_metric, false AS user_kept, false AS label_kept FROM tokens t LEFT JOIN named USING (k1, unit_idx))

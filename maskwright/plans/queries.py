@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import text as T
+from ..functions.geometry import to_rect
 from ..operators import edits, regions
 from ..operators.decide import decide, kept_of, mask_text, masks_of, merge_runs
 from ..operators.names import with_name_runs
 from ..operators.spans import FLAGS, spread_units, with_spans
 from ..sources import phrases
 from ..sources.pages import page_blocks, page_lines
-from ..sources.units import blocks_of, lines_of, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
+from ..sources.units import blocks_of, choose_route, line_units, lines_of, read_ocr, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
 from . import oracle, samples
 from .export import decision_log, elements, text_runs, wireframe
@@ -284,6 +285,27 @@ def screen_tokens(spark, sf_dir):
     return token_units(lines).select(*SCREEN_KEYS, "unit_idx", "text", *(F.round(f"bbox.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "confidence")
 
 
+def ocr_units(spark, sf_dir):
+    """Recognised text, read at twice the size, as units with rectangles of the picture."""
+    units = line_units(read_ocr(samples.ocr_pages(_table(spark, sf_dir, "conversations"))))
+    rect = [c.alias(n) for n, c in to_rect(F.col("bbox"), 0.0, 2.0).items()]
+    return units.select("conv_id", "block_id", "line_id", "unit_idx", "text", "confidence", *rect)
+
+
+def route_lines(spark, sf_dir):
+    """Lines of each page by the route they came: its own where it has any (here: every other), else recognised ones."""
+    talks = _table(spark, sf_dir, "conversations")
+    own = samples.screen_lines(talks.where("conv_id % 2 = 0")).withColumn("block_id", F.col("turn").cast("int"))
+    lines = choose_route(own, read_ocr(samples.ocr_pages(talks)), ["conv_id"])
+    return lines.groupBy("conv_id", "route").agg(F.count("*").alias("lines"), F.sum(F.size("words")).alias("words"))
+
+
+def phrase_register(spark, sf_dir):
+    """Phrases that reviewers' clicks offered, behind a list of their own, with their reading as rules."""
+    own = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.substring_index("text", " ", 1).alias("term"))
+    return phrases.register_offered(own, edit_replay(spark, sf_dir))
+
+
 def _morphemes(spark, sf_dir):
     return with_name_runs(samples.morpheme_units(_table(spark, sf_dir, "documents")), ["doc_id"])
 
@@ -369,7 +391,7 @@ QUERIES = {f.__name__: f for f in (
     normalize_fold, phrase_normalize, judge_words, judge_reason_counts, mask_email_text, mask_digit_run_text, unit_metric, line_reason_units, line_pattern_units,
     decide_masks, decide_kept, decision_summary, cascade_units, cascade_summary, user_phrase_protect, label_phrase_protect, run_merge, html_lines, html_semantics, html_table_link, html_decide,
     props_mask, coverage_metrics, reason_hue, phrase_merge, bulk_unmask, click_unmask, column_unmask, text_run_merge, wireframe_json,
-    screen_flags, screen_decide, screen_masks, screen_summary, screen_coverage, wireframe_elements, wireframe_layers, decision_logs, screen_tokens, judge_tokens, name_runs, token_decide,
+    screen_flags, screen_decide, screen_masks, screen_summary, screen_coverage, wireframe_elements, wireframe_layers, decision_logs, screen_tokens, ocr_units, route_lines, phrase_register, judge_tokens, name_runs, token_decide,
     form_lines, form_table_link, form_decide, opaque_regions, icon_regions, decor_regions, page_grounds, edit_gestures, edit_replay, phrase_lists,
 )}
 

@@ -61,6 +61,16 @@ def screen_lines(conversations: DataFrame) -> DataFrame:
     return lines.select("conv_id", "turn", F.transform("ws", lambda w: w["w"]).alias("words"))
 
 
+def ocr_pages(conversations: DataFrame) -> DataFrame:
+    """``conv_id, payload``: each conversation's screens as recognised text in JSON, a block for each message."""
+    words = screen_lines(conversations).select("conv_id", "turn", F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), w["bbox"].alias("bbox"))).alias("words"))
+    line = F.struct(F.array(F.struct("words")).alias("lines"))
+    block = F.struct("turn", F.struct(F.array(line).alias("paragraphs")).alias("b"))
+    pages = words.groupBy("conv_id").agg(F.collect_list(block).alias("bs"))
+    ordered = F.array_sort("bs", lambda a, b: F.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).otherwise(0))
+    return pages.select("conv_id", F.to_json(F.struct(F.transform(ordered, lambda x: x["b"]).alias("blocks"))).alias("payload"))
+
+
 def halves(text: str) -> list[dict]:
     """A stand-in for a tokenizer: pieces of at most four characters, all unknown nouns."""
     cuts = range(0, len(text), 4)

@@ -53,6 +53,20 @@ def merge_phrases(*lists: DataFrame) -> DataFrame:
     return first.select((F.row_number().over(Window.orderBy("at", "term")) - 1).alias("ord"), "term")
 
 
+def register_offered(phrases: DataFrame, replayed: DataFrame) -> DataFrame:
+    """``phrases`` with the texts that edits offered (``state`` offered in ``edits.replay``) behind them, page by page."""
+    offered = replayed.where("state = 'offered'").select(F.col("page_id").alias("ord"), F.col("text").alias("term"))
+    return merge_phrases(phrases, offered)
+
+
+def terms_of(phrases: DataFrame, limit: int = 10_000) -> tuple[str, ...]:
+    """The phrases in order, for ``Rules.terms``. A list of more than ``limit`` is an error: rules travel to every task."""
+    rows = phrases.orderBy("ord").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} phrases")
+    return tuple(r.term for r in rows)
+
+
 def phrases_json(phrases: DataFrame) -> DataFrame:
     """One row ``value``: the list as JSON with its version, in order."""
     terms = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda t: t["term"])

@@ -107,6 +107,10 @@ def test_phrase_lists(spark, tmp_path):
     own = spark.createDataFrame([(0, "a"), (1, None), (2, "　d　")], "ord int, term string")
     assert [r.term for r in phrases.merge_phrases(own, found.where("term != 'c'"), found.where("term = 'c'")).orderBy("ord").collect()] == ["a", "d", "b", "c"]
     assert json.loads(phrases.phrases_json(own.where("ord < 1")).first().value) == {"version": 1, "terms": ["a"]}
+    replayed = spark.createDataFrame([(2, "offered", "e"), (1, "offered", "a"), (1, "revealed", "x")], "page_id long, state string, text string")
+    assert phrases.terms_of(phrases.register_offered(own, replayed)) == ("a", "d", "e")
+    with pytest.raises(ValueError):
+        phrases.terms_of(own, 1)
     for bad in ('{"terms": "x"}', "[1]", '"x"', "no json", '{"a": []}', '["a", 1]'):
         with pytest.raises(Exception, match="list of phrases"):
             phrases.parse_phrases(spark.createDataFrame([(bad,)], "value string")).collect()

@@ -22,7 +22,11 @@ from ..cluster import ship
 from ..vocab import Rules
 
 _PY = lambda p: re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", p)
-PATTERNS = [(reason, re.compile(p)) for reason, p in V.LINE_PATTERNS]
+# Words side by side make runs of thousands of letters, in which a search that may start anywhere takes quadratic time.
+# Local parts can only start where letters and digits do, as what starts within them starts there as well.
+HEAD, TAIL, DIGIT_RUN = re.compile(f"(?<![a-z0-9]){V.EMAIL_HEAD}"), re.compile(V.EMAIL_TAIL), re.compile(V.DIGIT_RUN)
+ALNUM = set("abcdefghijklmnopqrstuvwxyz0123456789")
+LOCAL = ALNUM | set("._%+-")
 METRIC = re.compile(V.METRIC_BEFORE + V.METRIC + r"(?![^\W_])")
 DROP = re.compile(f"[{_PY(V.PHRASE_DROP)}]+")
 WIDTH = str.maketrans(V.WIDE, V.NARROW)
@@ -62,11 +66,28 @@ def _spans(found: Iterator[re.Match]) -> np.ndarray:
     return np.array([m.span() for m in found], np.int64).reshape(-1, 2)
 
 
+def _emails(text: str) -> np.ndarray:
+    """Whole addresses: from each sign with a domain behind it back to where its local part starts."""
+    found, last = [], 0
+    for m in TAIL.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        while start < m.start() and text[start] not in ALNUM:
+            start += 1
+        if start < m.start():
+            found.append((start, m.end()))
+            last = m.end()
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
 def line_reasons(units: list[str], breaks: np.ndarray) -> np.ndarray:
     """The reason of the last pattern that covers a part of each unit, or None."""
     joined, out = Joined(_each(units, fold), breaks), np.full(len(units), None, object)
-    for reason, pattern in PATTERNS:
-        out[joined.covered(_spans(pattern.finditer(joined.text))) > 0] = reason
+    text = joined.text
+    # in the order of LINE_PATTERNS
+    for reason, found in (("email-frag", _spans(TAIL.finditer(text))), ("email-frag", _spans(HEAD.finditer(text))), ("email", _emails(text)), ("digit-run", _spans(DIGIT_RUN.finditer(text)))):
+        out[joined.covered(found) > 0] = reason
     return out
 
 

@@ -1,6 +1,11 @@
+import re
+
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from maskwright import vocab as V
 from maskwright.functions import text as T
 from maskwright.operators import spans
 from maskwright.operators.decide import decide, merge_runs
@@ -40,6 +45,19 @@ def test_line_reasons():
     assert line_reasons([]) == []
 
 
+@given(st.text("ab1.@-_+% ０Ａ", max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_patterns_as_stated(text):
+    """The fast search finds what the plain patterns find."""
+    assert [m.span() for m in re.finditer(V.EMAIL, text)] == [tuple(x) for x in spans._emails(text).tolist()]
+    assert [m.span() for m in re.finditer(V.EMAIL_HEAD, text)] == [m.span() for m in spans.HEAD.finditer(text)]
+    want = [None] * len(text)
+    for reason, pattern in V.LINE_PATTERNS:
+        for m in re.finditer(pattern, spans.fold(text)):
+            want[m.start() : m.end()] = [reason] * (m.end() - m.start())
+    assert line_reasons(list(text)) == want
+
+
 def test_metrics():
     for text in ("7.5%", "40ms", "-3件", "1,200回", "＋5人"):
         assert metric_units([text]) == [True]

@@ -17,6 +17,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .prefix_trie import forked, number_turns, prefix_trie
 from .quotes import link_quotes
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
@@ -111,7 +112,12 @@ def op10_license_scan(spark, sf_dir):
     return scan_licenses(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_nearest_neighbours, op3_toxicity, op4_mixing, op5_substring_dedup, op6_exact_dedup, op7_quotation_linking, op8_token_counts, op9_jaccard_join, op10_license_scan)}
+def op11_prefix_trie(spark, sf_dir):
+    turns, sizes = forked(number_turns(_table(spark, sf_dir, "conversations")))
+    return prefix_trie(turns, sizes).drop("turn_key").withColumnRenamed("saved_bytes", "saved_tokens")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_nearest_neighbours, op3_toxicity, op4_mixing, op5_substring_dedup, op6_exact_dedup, op7_quotation_linking, op8_token_counts, op9_jaccard_join, op10_license_scan, op11_prefix_trie)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
@@ -121,4 +127,37 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    # crc32 of the decimal id: eight steps a byte; a sequence of turns is named by its digests so far
+    "op11_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                   sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key,
+                   strlen(coalesce(text, '')) AS n_bytes
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (
+            SELECT conv_id, xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ord(d)::BIGINT),
+                lambda a, b: list_reduce([xor(a, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM turns)),
+        built AS (
+            SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY t.pos) AS pos, turn_key, n_bytes
+            FROM convs c JOIN turns t ON (t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos <= h) OR (t.conv_id = c.conv_id AND t.pos > h)),
+        path AS (
+            SELECT conv_id, pos AS depth, n_bytes, string_agg(turn_key, ',' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM built
+            UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+        deepest AS (SELECT conv_id, max(depth) AS n FROM path GROUP BY conv_id),
+        node AS (
+            SELECT depth, prefix, min(conv_id) AS top, count(*) AS n_convs, (count(*) - 1) * max(n_bytes) AS saved,
+                   sha256(coalesce(string_agg(CASE WHEN n = depth THEN conv_id END, ',' ORDER BY conv_id), '')) AS ends_sha256
+            FROM path JOIN deepest USING (conv_id) GROUP BY depth, prefix),
+        named AS (SELECT path.conv_id AS member, path.depth, top FROM path JOIN node USING (depth, prefix)),
+        edge AS (
+            SELECT n.depth, n.top, up.top AS parent FROM node n JOIN named up ON up.member = n.top AND up.depth = n.depth - 1),
+        kids AS (SELECT depth - 1 AS depth, parent AS top, count(*) AS n_children FROM edge GROUP BY ALL),
+        sums AS (
+            SELECT up.depth, up.top, sum(n.saved) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+            FROM node n LEFT JOIN kids USING (depth, top) JOIN named up ON up.member = n.top AND up.depth <= n.depth GROUP BY ALL)
+        SELECT top AS conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+               saved_tokens::BIGINT AS saved_tokens, ends_sha256
+        FROM node LEFT JOIN edge USING (depth, top) LEFT JOIN kids USING (depth, top) JOIN sums USING (depth, top)""",
 }

@@ -18,10 +18,12 @@ from .jaccard_join import jaccard_join
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .prefix_trie import forked, number_turns, prefix_trie
+from .quality import score_quality, train_quality
 from .quotes import link_quotes
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 from .toxicity import score_toxicity, train_toxicity
+from .vector_codes import label_errors, vector_codes
 
 #: Folder of the public vocabularies, the same on all machines: that of the package unless it is set.
 TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or (os.path.dirname(public_tokenizers.path("x")) if public_tokenizers else "")
@@ -29,6 +31,8 @@ TOKENIZERS = os.environ.get("MASKWRIGHT_TOKENIZERS") or (os.path.dirname(public_
 TOKEN_LIMIT = 4096
 #: Documents of this score or more are toxic.
 TOXIC = 0.7
+#: Documents of less than this score are of low quality.
+GOOD = 0.3
 #: Domains, and target weights of the tree's nodes (level, name, weight); those not named weigh 1.
 DOMAINS = ("web", "books", "forum", "news")
 WEIGHTS = [(0, "web", 3.0), (0, "books", 2.0), (1, "en", 2.0)]
@@ -55,9 +59,9 @@ def op2_nearest_neighbours(spark, sf_dir):
     return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-def held_out(doc_id):
+def held_out(doc_id, folds=3, fold=1):
     """Rows whose labels are not learned from."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def op3_toxicity(spark, sf_dir):
@@ -117,7 +121,52 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie(turns, sizes).drop("turn_key").withColumnRenamed("saved_bytes", "saved_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_nearest_neighbours, op3_toxicity, op4_mixing, op5_substring_dedup, op6_exact_dedup, op7_quotation_linking, op8_token_counts, op9_jaccard_join, op10_license_scan, op11_prefix_trie)}
+def op12_vector_codes(spark, sf_dir):
+    coded, books = vector_codes(_table(spark, sf_dir, "embeddings"))
+    code = F.concat_ws("", F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")))
+    return label_errors(coded).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds=4):
+    """Rounds of assignment and movement, one after another."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+        near{i} AS (
+            SELECT vec_id, part, min(d) AS d, arg_min(entry, (d, entry)) AS entry FROM (
+                SELECT vec_id, p.part, entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+                FROM parts p JOIN book{i} b USING (part)) GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""
+        book{i + 1} AS (
+            SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN (
+                SELECT part, entry, list(mean ORDER BY nth) AS x FROM (
+                    SELECT part, entry, nth, floor(sum(x[nth]) / count(*))::BIGINT AS mean
+                    FROM near{i} JOIN parts USING (vec_id, part), unnest(range(1, len(x) + 1)) u(nth) GROUP BY ALL) GROUP BY ALL) m USING (part, entry))""")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+        parts AS (
+            SELECT vec_id, part, v[(part * len(v)) // 4 + 1 : ((part + 1) * len(v)) // 4] AS x FROM kept, range(4) r(part)),
+        book0 AS (
+            SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM parts
+            QUALIFY entry < 256),{",".join(steps)},
+        coded AS (
+            SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)"""
+
+
+def op13_quality(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = train_quality(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)))
+    scored = score_quality(docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text"), model, drop=True)
+    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_nearest_neighbours, op3_toxicity, op4_mixing, op5_substring_dedup, op6_exact_dedup, op7_quotation_linking, op8_token_counts, op9_jaccard_join, op10_license_scan, op11_prefix_trie, op12_vector_codes, op13_quality)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
@@ -160,4 +209,5 @@ ORACLE_SQL = {
         SELECT top AS conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
                saved_tokens::BIGINT AS saved_tokens, ends_sha256
         FROM node LEFT JOIN edge USING (depth, top) LEFT JOIN kids USING (depth, top) JOIN sums USING (depth, top)""",
+    "op12_vector_codes": _codes_sql(),
 }

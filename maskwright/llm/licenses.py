@@ -2,14 +2,16 @@
 
 Words of the templates are counted over all texts for their inverse document frequency. Every line and every paragraph
 of a text (a header) and the whole text (of a licence file) is a sparse vector; words that no template holds
-lengthen it as if they were the rarest. The nearest template counts from a cosine of ``LEAST`` on. A licence file
-gives its licence to its directory; a file without a header has the licence of the nearest directory above it, found
-by joining the distinct directories' ancestors to the directories that have one.
+lengthen it as if they were the rarest. The nearest template counts from a cosine of ``LEAST`` on. A licence file is
+one by its name, or one whose whole text is near a whole licence; it gives its licence to its directory. A notice in any
+other text is that text's own affair. A file without a header has the licence of the nearest directory above it, found by
+joining the distinct directories' ancestors to the directories that have one.
+
+Texts are read twice: once for the frequencies of all templates' words, once for the measures.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,6 +26,8 @@ from .words import Words
 
 #: Least cosine of a header and of a licence file to a template.
 LEAST = 0.6
+#: Fewest words of a whole licence in a file whose name does not say so.
+LEAST_WORDS = 60
 #: Names of licence files.
 FILES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.\-_].*)?$"
 #: Identifiers and customary notices of public licences.
@@ -117,22 +121,26 @@ def _nearest(number: np.ndarray, span: np.ndarray, templates: Templates, idf: np
     return hit, best, cosine
 
 
-def _frequencies(rows: DataFrame, templates: Templates) -> tuple[int, np.ndarray]:
-    """How many texts there are, and how many hold each template word."""
+def _frequencies(rows: DataFrame, *kinds: Templates) -> tuple[int, list[np.ndarray]]:
+    """How many texts there are, and how many hold each template word, for each kind of templates."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(templates.vocabulary), np.int64), 0
+        totals, n = [np.zeros(len(k.vocabulary), np.int64) for k in kinds], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 words, _, _ = _words(part)
-                number = templates.number(words.hash)
-                cells = np.unique(words.text[number >= 0] * len(total) + number[number >= 0])
-                total += np.bincount(cells % len(total), minlength=len(total))
+                for k, total in zip(kinds, totals, strict=True):
+                    number = k.number(words.hash)
+                    cells = np.unique(words.text[number >= 0] * len(total) + number[number >= 0])
+                    total += np.bincount(cells % len(total), minlength=len(total))
                 n += part.num_rows
-        yield pa.RecordBatch.from_pydict({"word": pa.array([-1, *range(len(total))], pa.int64()), "n": pa.array([n, *total.tolist()], pa.int64())})
+        flat = np.concatenate(totals)
+        yield pa.RecordBatch.from_pydict({"word": pa.array([-1, *range(len(flat))], pa.int64()), "n": pa.array([n, *flat.tolist()], pa.int64())})
 
     found = {r.word: r.n for r in in_arrow(rows.select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(templates.vocabulary))])
+    ends = np.cumsum([len(k.vocabulary) for k in kinds])
+    flat = np.array([found.get(i, 0) for i in range(int(ends[-1]))])
+    return found.get(-1, 0), np.split(flat, ends[:-1])
 
 
 def directory(path: Column) -> Column:
@@ -140,73 +148,100 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
 
-def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
-    """One row per input row: ``doc_id, path, header_license, cosine, license, origin, from_dir``.
-
-    ``header_license`` is the template nearest to a line or paragraph, ``cosine`` its measure (rounded to 9 places; of
-    ties the first in the table of templates). ``license`` is that of the header (``origin`` header), else of the
-    nearest directory at or above the file that has a licence file (``inherited``, ``from_dir`` names it), else null
-    (``none``). Files are licence files by their name, or by a whole text that is near a template. Of several in a
-    directory the nearest to a template counts, then the first by name. Null paths are the empty path, null texts
-    empty. No rows give no rows; other columns are ignored.
-    """
+def _headers(words: Words, spans: tuple[np.ndarray, ...], n: int, known: Templates, idf: np.ndarray, rarest: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` texts, the template nearest to one of the spans, and its cosine (of ties the first template)."""
+    number = known.number(words.hash)
+    fewer, more = ([i for i, x in enumerate(known.names) if x == name] for name in MORE)
+    best, cosine, further = np.full(n, -1), np.full(n, -1.0), np.zeros(n, bool)
+    for span in spans:
+        hit, nearest, own = _nearest(number, span, known, idf, rarest)
+        if not len(hit):
+            continue
+        of = words.text[np.searchsorted(span, hit)]
+        further[of[np.isin(nearest, more) & (own >= least)]] = True
+        order = np.lexsort((nearest, -np.round(own, 9), of))
+        of, nearest, own = of[order], nearest[order], own[order]
+        lead = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        of, nearest, own = of[lead], nearest[lead], own[lead]
+        better = own > cosine[of] + 1e-9
+        best[of[better]], cosine[of[better]] = nearest[better], own[better]
+    if more:
+        best[np.isin(best, fewer) & further] = more[0]
+    return best, cosine
+
+
+def _measures(rows: DataFrame, kind: str, templates: dict[str, list[str]] | None, least: float) -> DataFrame:
+    """``doc_id, path`` with the nearest template and its cosine: of a line or paragraph (``header``), of the whole text
+    among notices (``notice``) and among whole licences (``whole``, with ``n_words``)."""
     known = Templates(templates or TEMPLATES)
-    # with a vocabulary of their own, whole texts leave the measure of headers as it is
+    # with a vocabulary of their own, whole licences leave the measure of headers as it is
     texts = None if templates else Templates(whole_texts())
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n, held = _frequencies(rows, known)
-    idf, rarest = np.log((n + 1) / (held + 1)) + 1, float(np.log(n + 1) + 1)
-    texts_idf = None if texts is None else np.log((n + 1) / (_frequencies(rows, texts)[1] + 1)) + 1
-    fewer, more = ([i for i, x in enumerate(known.names) if x == name] for name in MORE)
-    schema = pa.schema([("doc_id", pa.null()), ("path", pa.string()), ("header", pa.string()), ("cosine", pa.float64()), ("whole", pa.string()), ("whole_cosine", pa.float64())])
+    kinds = (known,) if texts is None else (known, texts)
+    n, held = _frequencies(rows, *kinds)
+    idfs, rarest = [np.log((n + 1) / (h + 1)) + 1 for h in held], float(np.log(n + 1) + 1)
+    columns = ["header", "cosine", "notice", "notice_cosine", "whole", "whole_cosine"]
+
+    def named(names: list[str], at: np.ndarray, cosine: np.ndarray) -> list[pa.Array]:
+        found = [names[a] if c >= least else None for a, c in zip(at.tolist(), cosine.tolist(), strict=True)]
+        return [pa.array(found, pa.string()), pa.array(np.round(np.maximum(cosine, 0), 9))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words, line, paragraph = _words(part)
-                number, m = known.number(words.hash), part.num_rows
-                best, cosine, further = np.full(m, -1), np.full(m, -1.0), np.zeros(m, bool)
-                for span in (line, paragraph):
-                    hit, nearest, own = _nearest(number, span, known, idf, rarest)
-                    first = np.searchsorted(span, hit) if len(hit) else hit
-                    of = words.text[first] if len(hit) else hit
-                    further[of[np.isin(nearest, more) & (own >= least)]] = True
-                    order = np.lexsort((nearest, -np.round(own, 9), of))
-                    of, nearest, own = of[order], nearest[order], own[order]
-                    lead = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
-                    of, nearest, own = of[lead], nearest[lead], own[lead]
-                    better = own > cosine[of] + 1e-9
-                    best[of[better]], cosine[of[better]] = nearest[better], own[better]
-                if more:
-                    best[np.isin(best, fewer) & further] = more[0]
-                names = known.names + (texts.names if texts else [])
-                whole, measure = np.full(m, -1), np.full(m, -1.0)
-                hit, nearest, own = _nearest(number, words.text, known, idf, rarest)
-                whole[hit], measure[hit] = nearest, own
-                if texts is not None:
-                    hit, nearest, own = _nearest(texts.number(words.hash), words.text, texts, texts_idf, rarest)
-                    better = own > measure[hit] + 1e-9
-                    whole[hit[better]], measure[hit[better]] = nearest[better] + len(known.names), own[better]
-                name = lambda at, c: pa.array([names[a] if x >= least else None for a, x in zip(at.tolist(), c.tolist(), strict=True)], pa.string())
-                columns = [part.column(0), part.column(1), name(best, cosine), pa.array(np.round(np.maximum(cosine, 0), 9)), name(whole, measure), pa.array(np.maximum(measure, 0))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    found = cut(in_arrow(rows, scan, f"doc_id {kind}, path string, header string, cosine double, whole string, whole_cosine double").withColumn("dir", directory(F.col("path"))))
+                m = part.num_rows
+                found = named(known.names, *_headers(words, (line, paragraph), m, known, idfs[0], rarest, least))
+                for k, idf in zip(kinds, idfs, strict=True):
+                    at, measure = np.full(m, -1), np.full(m, -1.0)
+                    hit, nearest, own = _nearest(k.number(words.hash), words.text, k, idf, rarest)
+                    at[hit], measure[hit] = nearest, own
+                    found += named(k.names, at, measure)
+                if texts is None:
+                    found += named([], np.full(m, -1), np.full(m, -1.0))
+                size = pa.array(np.bincount(words.text, minlength=m).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found, size], names=["doc_id", "path", *columns, "n_words"])
+
+    shape = f"doc_id {kind}, path string, header string, cosine double, notice string, notice_cosine double, whole string, whole_cosine double, n_words long"
+    return in_arrow(rows, scan, shape)
+
+
+def _inherited(found: DataFrame) -> DataFrame:
+    """``dir, up`` (``given, at``): of each directory, the licence of the nearest one at or above it that has a file."""
     base = F.regexp_extract("path", r"(?s)([^/]*)$", 1)
-    files = found.where(F.col("whole").isNotNull() | (base.rlike(FILES) & F.col("header").isNotNull()))
-    given = F.coalesce("whole", "header")
-    nearness = F.struct(F.col("whole").isNull(), -F.greatest("whole_cosine", "cosine"), base, given)
-    given_dirs = files.groupBy("dir").agg(F.min_by(given, nearness).alias("given"))
-    dirs = found.select("dir").distinct()
+    nearness = F.struct(F.col("own").isNull(), -F.greatest("own_cosine", "cosine"), base, F.coalesce("own", "header"))
+    files = found.where("is_file AND dir IS NOT NULL").groupBy("dir").agg(F.min_by(F.coalesce("own", "header"), nearness).alias("given"))
     # a directory's ancestors: itself, then with one part less each time, down to the root
     parts = F.split("dir", "/")
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(parts))
-    above = dirs.select("dir", F.explode(F.sequence(F.lit(0), depth)).alias("depth"), parts.alias("parts"))
+    above = found.where("dir IS NOT NULL").select("dir").distinct().select("dir", F.explode(F.sequence(F.lit(0), depth)).alias("depth"), parts.alias("parts"))
     above = above.select("dir", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("at"))
-    inherited = above.join(small_side(given_dirs.withColumnRenamed("dir", "at")), "at").groupBy("dir").agg(F.max_by(F.struct("given", "at"), "depth").alias("up"))
-    out = found.join(small_side(inherited), "dir", "left")
-    # a licence file is what its whole text is nearest to, whatever a paragraph of it resembles
-    license = F.when(F.col("whole").isNotNull() & (F.col("whole_cosine") > F.col("cosine")), F.col("whole")).otherwise(F.coalesce("header", "up.given"))
-    origin = F.when(F.col("header").isNotNull(), "header").when(F.col("up").isNotNull(), "inherited").otherwise("none")
+    return above.join(small_side(files.withColumnRenamed("dir", "at")), "at").groupBy("dir").agg(F.max_by(F.struct("given", "at"), "depth").alias("up"))
+
+
+def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
+    """One row per input row: ``doc_id, path, header_license, cosine, license, origin, from_dir``.
+
+    ``header_license`` is the template nearest to a line or paragraph, ``cosine`` its measure (rounded to 9 places; of
+    ties the first in the table of templates). ``license`` is what a licence file's whole text is nearest to (``origin``
+    file) where that is nearer than its header, else that of the header (``header``), else of the nearest directory at
+    or above the file that has a licence file (``inherited``, ``from_dir`` names it), else null (``none``).
+
+    Files are licence files by their name, with a header or a whole text near a template, or by a whole text of
+    ``LEAST_WORDS`` words or more that is near a whole licence. Of several in a directory whole texts come before
+    headers, then the nearest, then the first by name. The root is the empty directory; rows without a path are in no
+    directory, so they neither give nor inherit. Null texts are empty. No rows give no rows; other columns are ignored.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = F.regexp_extract("path", r"(?s)([^/]*)$", 1)
+    # of notices and whole licences the nearer, of equals the notice
+    nearer = F.when(F.col("whole").isNotNull() & (F.col("whole_cosine") > F.col("notice_cosine")), F.col("whole")).otherwise(F.coalesce("notice", "whole"))
+    by_name = F.coalesce(base.rlike(FILES), F.lit(False)) & F.coalesce("whole", "notice", "header").isNotNull()
+    by_text = F.col("whole").isNotNull() & (F.col("n_words") >= LEAST_WORDS)
+    found = _measures(rows, kind, templates, least).withColumn("dir", directory(F.col("path"))).withColumn("is_file", by_name | by_text)
+    found = cut(found.withColumn("own", F.when(F.col("is_file"), nearer)).withColumn("own_cosine", F.greatest("whole_cosine", "notice_cosine")))
+    out = found.join(small_side(_inherited(found)), "dir", "left")
+    as_file = F.col("own").isNotNull() & (F.col("own_cosine") > F.col("cosine"))
+    license = F.when(as_file, F.col("own")).otherwise(F.coalesce("header", "up.given"))
+    origin = F.when(as_file, "file").when(F.col("header").isNotNull(), "header").when(F.col("up").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", F.col("header").alias("header_license"), "cosine", license.alias("license"), origin.alias("origin"), F.when(origin == "inherited", F.col("up.at")).alias("from_dir"))

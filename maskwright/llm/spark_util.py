@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from ..cluster import kept, shared_folder
 
-#: Largest number of rows, and of bytes in their texts, that is broadcast; larger sides are joined by a shuffle.
+#: Largest number of rows, and of bytes in them, that is broadcast; larger sides are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
@@ -22,13 +22,26 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
 
 
+def _held_bytes(df: DataFrame) -> Column:
+    """Bytes of all rows: of texts as they are, of nested values as JSON, 16 for any other value."""
+    sizes = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            own = F.octet_length(f.name)
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            own = F.octet_length(F.to_json(F.struct(f.name)))
+        else:
+            own = F.lit(16)
+        sizes = sizes + F.coalesce(own, F.lit(0)).cast("long")
+    return F.coalesce(F.sum(sizes), F.lit(0))
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` cut and, if its counted rows and the bytes of their texts are few, marked for broadcast; else joined by a
-    shuffle. Columns of other types are scalars, or bounded by their makers."""
+    """``df`` cut and, if its counted rows and the bytes of all its values are few, marked for broadcast; else joined by
+    a shuffle."""
     kept = cut(df)
-    texts = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
-    rows, *sizes = kept.agg(F.count("*"), *texts).first()
-    return F.broadcast(kept) if rows <= max_rows and sum(sizes) <= BROADCAST_BYTES else kept
+    rows, size = kept.agg(F.count("*"), _held_bytes(kept)).first()
+    return F.broadcast(kept) if rows <= max_rows and size <= BROADCAST_BYTES else kept
 
 
 #: Keys that more than one in so many rows have are joined by broadcast; there are at most so many of them.

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .arrow_rows import in_arrow, with_column
 from .spark_util import cut
@@ -113,10 +115,11 @@ class Model:
     spread: np.ndarray
     classes: tuple[tuple[np.ndarray, np.ndarray, float], ...]
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, counted: np.ndarray) -> np.ndarray:
+        """Of rows of ``FIELDS``."""
         if not self.classes:
-            return np.full(len(texts), self.share)
-        z = standard(transformed(statistics(texts), self.typical), self.centre, self.spread)
+            return np.full(len(counted), self.share)
+        z = standard(transformed(counted, self.typical), self.centre, self.spread)
         low, high = (constant - ((z - mean) @ factor.T) ** 2 @ np.ones(z.shape[1]) / 2 for mean, factor, constant in self.classes)
         return 1 / (1 + np.exp(np.clip(low - high, -700, 700)))
 
@@ -162,16 +165,25 @@ def _moments(rows: DataFrame, by: list[str]) -> dict[tuple, tuple[int, np.ndarra
     return out
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrink: float = SHRINK) -> Model:
-    """A model fitted to all texts that ``labels`` marks 0 or 1.
+def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``statistics`` (``FIELDS`` in order) in place of the text; null counts as the empty text.
 
-    Other labels and null ids are left out; of several labels of a document the largest holds; null counts as the
-    empty text. With rows of one label alone, or none, the model gives every text their share (0.5 without any).
+    Other columns stay; one named ``statistics`` is replaced. Texts are read here alone: fitting and scoring take what
+    is counted, and a join of labels moves no text.
+    """
+    kind = pa.list_(pa.float64())
+    return with_column(docs, text_col, "statistics", "array<double>", lambda texts: pa.array(list(statistics(texts)), kind), drop=True)
+
+
+def train_quality(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", shrink: float = SHRINK) -> Model:
+    """A model fitted to all documents of ``measured`` that ``labels`` marks 0 or 1.
+
+    Other labels and null ids are left out; of several labels of a document the largest holds. With rows of one label
+    alone, or none, the model gives every document their share (0.5 without any).
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
-    known = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).join(marks, F.col("row_id") == F.col("label_id")).select("text", "label")
-    counted = with_column(known, "text", "counted", "array<double>", lambda texts: pa.array(list(statistics(texts)), pa.list_(pa.float64())), drop=True)
-    counted = cut(counted.select("label", *(F.col("counted")[i].alias(f) for i, f in enumerate(FIELDS))))
+    known = measured.select(F.col(id_col).alias("row_id"), "statistics").join(marks, F.col("row_id") == F.col("label_id"))
+    counted = cut(known.select("label", *(F.col("statistics")[i].alias(f) for i, f in enumerate(FIELDS))))
     found = {r.label: r.n for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_low, n_high = found.get(0, 0), found.get(1, 0)
     share, none = (n_high / (n_low + n_high) if found else 0.5), np.zeros(0)
@@ -192,11 +204,22 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return Model(share, typical, centre, spread, tuple(classes))
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", drop: bool = False) -> DataFrame:
-    """``docs`` (without its text if ``drop``) with ``score_col``: from 0 to 1, higher where label 1 is likelier.
+def score_quality(measured: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
+    """``measured`` with ``score_col`` in place of its statistics: from 0 to 1, higher where label 1 is likelier.
 
-    Null counts as the empty text, which scores as a typical one. Other columns stay; one named ``score_col`` is
-    replaced. An empty table gives an empty table.
+    An empty text scores as a typical one. Other columns stay; one named ``score_col`` is replaced. An empty table
+    gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return with_column(docs, text_col, score_col, "double", lambda texts: shared.value.scores(texts).tolist(), drop=drop)
+    shared = measured.sparkSession.sparkContext.broadcast(model)
+    others = [f for f in measured.schema.fields if f.name not in ("statistics", score_col)]
+    schema = StructType([*others, StructField(score_col, DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            counted = column("statistics").flatten().to_numpy().reshape(-1, len(FIELDS))
+            columns = [column(f.name) for f in others] + [pa.array(shared.value.scores(counted))]
+            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, out, strict=True)], schema=out)
+
+    return in_arrow(measured, run, schema)

@@ -18,8 +18,9 @@ from .jaccard_join import jaccard_join
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .prefix_trie import forked, number_turns, prefix_trie
-from .quality import score_quality, train_quality
+from .quality import measure, score_quality, train_quality
 from .quotes import link_quotes
+from .spark_util import cut
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 from .toxicity import score_toxicity, train_toxicity
@@ -160,10 +161,10 @@ def _codes_sql(rounds=4):
 
 
 def op13_quality(spark, sf_dir):
-    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
-    model = train_quality(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)))
-    scored = score_quality(docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text"), model, drop=True)
-    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text")
+    measured = cut(measure(docs))
+    model = train_quality(measured, _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0)))
+    return score_quality(measured, model).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_nearest_neighbours, op3_toxicity, op4_mixing, op5_substring_dedup, op6_exact_dedup, op7_quotation_linking, op8_token_counts, op9_jaccard_join, op10_license_scan, op11_prefix_trie, op12_vector_codes, op13_quality)}

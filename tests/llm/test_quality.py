@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.llm import queries as Q
-from maskwright.llm.quality import FIELDS, REACH, SPAN, STOPS, score_quality, statistics, train_quality, transformed
+from maskwright.llm.quality import FIELDS, REACH, SPAN, STOPS, measure, score_quality, statistics, train_quality, transformed
 
 from .conftest import ROWS
 
@@ -36,7 +36,7 @@ def test_scores_by_formula(spark):
     """Means, covariances and densities written out once more, over all labelled texts."""
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = train_quality(docs, labels)
+    model = train_quality(measure(docs), labels)
     rows = docs.join(labels, "doc_id").select("text", "quality").collect()
     y = np.array([r.quality for r in rows])
     x = transformed(statistics([r.text or "" for r in rows]), model.typical)
@@ -49,7 +49,7 @@ def test_scores_by_formula(spark):
         d = z - own.mean(axis=0)
         logs.append(math.log(len(own) / len(z)) - np.linalg.slogdet(s)[1] / 2 - np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) / 2)
     want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
-    assert model.scores([r.text or "" for r in rows]) == pytest.approx(want, abs=1e-6)
+    assert model.scores(statistics([r.text or "" for r in rows])) == pytest.approx(want, abs=1e-6)
 
 
 def test_held_out_accuracy(spark):
@@ -66,9 +66,10 @@ def test_held_out_accuracy(spark):
 
 def test_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 1), (4, 0), (5, 0), (6, 2), (6, None), (None, 1), (3, 0), (3, 1), (99, 1)], "doc_id long, quality int")
+    odd, empty = measure(odd.withColumn("statistics", F.lit("clash"))), measure(empty)
     model = train_quality(odd, labels)
     scored = score_quality(odd.drop("score"), model)
-    assert scored.columns == [*odd.drop("score").columns, "score"] and scored.count() == odd.count()
+    assert scored.columns == [*odd.drop("score", "statistics").columns, "score"] and scored.count() == odd.count()
     assert all(0 <= r.score <= 1 for r in scored.collect())
     assert score_quality(odd, model).count() == odd.count() and score_quality(empty, model).count() == 0
     # labels of one kind, or none, give their share
@@ -76,5 +77,5 @@ def test_odd_tables(spark, odd, empty):
         assert {r.score for r in score_quality(odd, train_quality(odd, marks)).collect()} == {share}
     assert {r.score for r in score_quality(odd, train_quality(empty, labels)).collect()} == {0.5}
     # equal texts everywhere: no statistic varies
-    same = odd.withColumn("text", F.lit("all alike"))
+    same = measure(odd.withColumn("text", F.lit("all alike")))
     assert len({round(r.score, 9) for r in score_quality(same, train_quality(same, labels)).collect()}) == 1

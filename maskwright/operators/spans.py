@@ -32,6 +32,10 @@ DROP = re.compile(f"[{_PY(V.PHRASE_DROP)}]+")
 WIDTH = str.maketrans(V.WIDE, V.NARROW)
 #: Stands between blocks; no pattern, phrase or measure holds it.
 MARK = "\0"
+#: Bytes of units that are joined at once; a longer block is a slice of its own.
+SLICE_BYTES = 1 << 20
+#: Phrases that are looked for one by one; more of them form an automaton.
+FEW = 512
 FLAGS = {"line_reason": "array<string>", "unit_metric": "array<boolean>", "user_kept": "array<boolean>", "label_kept": "array<boolean>"}
 
 
@@ -45,6 +49,45 @@ def _each(units: list[str], change) -> list[str]:
     return out if len(out) == len(units) else [change(u).replace(MARK, " ") for u in units]
 
 
+def phrase_forms(units: list[str]) -> list[str]:
+    """Units folded, without white space and punctuation."""
+    return _each(units, lambda t: fold(DROP.sub("", t)))
+
+
+def units_of_batch(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, pa.Array]:
+    """The units of all blocks of a batch, where each block's begin (and the end of the last), and the column itself."""
+    column = batch.column(batch.schema.get_field_index("units")).cast(pa.large_list(pa.string()))
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return [u or "" for u in column.flatten().to_pylist()], np.append(0, np.cumsum(sizes)), column
+
+
+def block_breaks(offsets: np.ndarray) -> np.ndarray:
+    """1 for each unit that begins a block."""
+    breaks = np.zeros(offsets[-1] + 1, np.int64)
+    breaks[offsets] = 1
+    return breaks[:-1]
+
+
+def slices_of(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in order, cut between blocks where the bytes of their units would exceed ``limit``."""
+    column = batch.column(batch.schema.get_field_index("units")).cast(pa.large_list(pa.string()))
+    count = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.append(0, np.cumsum(pc.binary_length(column.flatten()).fill_null(0).to_numpy(zero_copy_only=False)))
+    upto = size[np.cumsum(count)]
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def per_unit(values: np.ndarray, offsets: np.ndarray, null: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Values of units as one list for each block; null blocks have a null list."""
+    at = pa.array(offsets, pa.int32(), mask=np.append(null, False))
+    return pa.ListArray.from_arrays(at, pa.array(values, kind.value_type)).cast(kind)
+
+
 class Joined:
     """Units one after another, with a mark before each that ``breaks`` names."""
 
@@ -53,6 +96,10 @@ class Joined:
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.starts = np.cumsum(self.sizes + breaks) - self.sizes
 
+    def block_starts(self, offsets: np.ndarray) -> np.ndarray:
+        """Where each block's text begins; a block without units begins where the next one does."""
+        return np.append(self.starts, len(self.text) + 1)[offsets[:-1]]
+
     def covered(self, spans: np.ndarray) -> np.ndarray:
         """How many characters of each unit the ``spans`` (rows of start and end) cover; overlaps count once."""
         depth = np.zeros(len(self.text) + 1, np.int32)
@@ -97,18 +144,24 @@ def metric_units(units: list[str], breaks: np.ndarray) -> np.ndarray:
     return (joined.covered(_spans(METRIC.finditer(joined.text))) == joined.sizes) & (joined.sizes > 0)
 
 
-def protected(units: list[str], phrases: list[str], full: bool, breaks: np.ndarray) -> np.ndarray:
-    """Units that phrases cover, in part or (``full``) wholly; occurrences may overlap."""
-    if not phrases:
-        return np.zeros(len(units), bool)
-    joined = Joined(_each(units, lambda t: fold(DROP.sub("", t))), breaks)
+def one_by_one(text: str, phrases: list[str]) -> np.ndarray:
+    """Rows of start and end of all occurrences, phrase by phrase."""
     found: list[tuple[int, int]] = []
     for phrase in phrases:
-        at = joined.text.find(phrase)
+        at = text.find(phrase)
         while at >= 0:
             found.append((at, at + len(phrase)))
-            at = joined.text.find(phrase, at + 1)
-    held = joined.covered(np.array(found, np.int64).reshape(-1, 2))
+            at = text.find(phrase, at + 1)
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def protected(units: list[str], phrases: list[str], full: bool, breaks: np.ndarray, automaton=None) -> np.ndarray:
+    """Units that phrases cover, in part or (``full``) wholly; occurrences may overlap. ``automaton`` of the same phrases
+    finds them all at once."""
+    if not phrases:
+        return np.zeros(len(units), bool)
+    joined = Joined(phrase_forms(units), breaks)
+    held = joined.covered(one_by_one(joined.text, phrases) if automaton is None else automaton.spans(joined.text))
     return (held == joined.sizes) & (held > 0) if full else held > 0
 
 
@@ -123,37 +176,33 @@ def with_spans(blocks: DataFrame, rules: Rules = Rules(), flags: tuple[str, ...]
     are empty; a null block has null flags. Columns named like a flag are replaced.
     """
     ship(blocks.sparkSession)
+    from .phrase_search import Automaton
+
     terms, labels = _phrases(rules.terms), _phrases(rules.labels)
+    found = {n: blocks.sparkSession.sparkContext.broadcast(Automaton(p)) if n in flags and len(p) > FEW else None for n, p in (("user_kept", terms), ("label_kept", labels))}
     kept = [f for f in blocks.schema.fields if f.name not in flags]
     schema = StructType([*kept, *(StructField(n, _parse_datatype_string(FLAGS[n])) for n in flags)])
     has_lines = "visual" in blocks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("units")).cast(pa.large_list(pa.string()))
-            units = [u or "" for u in column.flatten().to_pylist()]
-            sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets = np.append(0, np.cumsum(sizes))
-            breaks = np.zeros(len(units) + 1, np.int64)
-            breaks[offsets] = 1
-            breaks = breaks[:-1]
+        automata = {n: b and b.value for n, b in found.items()}
+        for batch in (part for whole in batches for part in slices_of(whole)):
+            units, offsets, column = units_of_batch(batch)
+            breaks = block_breaks(offsets)
             lines = breaks
             if has_lines:
                 number = np.array(batch.column(batch.schema.get_field_index("visual")).flatten().to_pylist(), np.int64)
                 lines = breaks | np.append(1, number[1:] != number[:-1])[: len(units)]
             made = {
-                "line_reason": lambda: line_reasons(units, breaks),
+                "line_reason": lambda: line_reasons(units, breaks),  # noqa: B023
                 "unit_metric": lambda: metric_units(units, lines),  # noqa: B023
-                "user_kept": lambda: protected(units, terms, False, breaks),
-                "label_kept": lambda: protected(units, labels, True, breaks),
+                "user_kept": lambda: protected(units, terms, False, breaks, automata["user_kept"]),  # noqa: B023
+                "label_kept": lambda: protected(units, labels, True, breaks, automata["label_kept"]),  # noqa: B023
             }
             null = column.is_null().to_numpy(zero_copy_only=False)
             columns = [batch.column(batch.schema.get_field_index(f.name)).cast(out.field(f.name).type) for f in kept]
-            for name in flags:
-                values = pa.array(made[name](), out.field(name).type.value_type)
-                at = pa.array(np.append(offsets[:-1], offsets[-1]), pa.int32(), mask=np.append(null, False))
-                columns.append(pa.ListArray.from_arrays(at, values).cast(out.field(name).type))
+            columns += [per_unit(made[name](), offsets, null, out.field(name).type) for name in flags]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return blocks.select(*(f.name for f in kept)).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from ..sources import phrases
 from ..sources.pages import page_blocks, page_lines
 from ..sources.units import blocks_of, choose_route, line_units, lines_of, read_ocr, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
-from . import oracle, samples
+from . import oracle, phrase_queries, samples
 from .export import decision_log, elements, text_runs, wireframe
 
 #: Production parameters: phrases of the user, interface labels, patterns for masking text.
@@ -439,3 +439,6 @@ ORACLE_SQL = {
         SELECT page_id, mask_id FROM rects WHERE mask_id NOT IN (SELECT mask_id FROM closure)""",
 }
 ORACLE_SQL |= oracle.ORACLE_SQL
+for _more in (phrase_queries,):
+    QUERIES |= _more.QUERIES
+    ORACLE_SQL |= _more.ORACLE_SQL

@@ -12,10 +12,11 @@ from ..operators.decide import decide, kept_of, mask_text, masks_of, merge_runs
 from ..operators.names import with_name_runs
 from ..operators.spans import FLAGS, spread_units, with_spans
 from ..sources import phrases
-from ..sources.pages import page_blocks, page_lines
+from ..sources.pages import page_lines
 from ..sources.units import blocks_of, choose_route, line_units, lines_of, read_ocr, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
-from . import oracle, phrase_queries, samples
+from . import oracle, page_queries, phrase_queries, samples
+from .page_queries import decide_pages, table_link
 from .export import decision_log, elements, text_runs, wireframe
 
 #: Production parameters: phrases of the user, interface labels, patterns for masking text.
@@ -126,24 +127,12 @@ def html_semantics(spark, sf_dir):
     return html_lines(spark, sf_dir).groupBy("semantic", "kind").agg(F.count("*").alias("n"))
 
 
-def _table_link(lines):
-    heads = lines.where(F.col("kind").isin("th", "columnheader")).groupBy("page_id", "table_id", "col").agg(F.min_by("text", "line_id").alias("header"))
-    return lines.where("semantic = 'data' AND table_id IS NOT NULL").join(heads, ["page_id", "table_id", "col"], "left").select("page_id", "line_id", "table_id", "col", "text", "header")
-
-
 def html_table_link(spark, sf_dir):
-    return _table_link(html_lines(spark, sf_dir))
-
-
-def _html_decide(pages):
-    units = spread_units(with_spans(page_blocks(pages), flags=("line_reason", "label_kept")), along=("line",))
-    # patterns and labels reach over a block, measures over one line
-    units = units.select("*", "line.*").drop("line").withColumn("unit_metric", T.unit_is_metric(F.col("text")))
-    return decide(units).select("page_id", "block_id", "line_id", "semantic", "kind", "table_id", "col", "mask", "reason")
+    return table_link(html_lines(spark, sf_dir))
 
 
 def html_decide(spark, sf_dir):
-    return _html_decide(_table(spark, sf_dir, "pages"))
+    return decide_pages(_table(spark, sf_dir, "pages"))
 
 
 def props_mask(spark, sf_dir):
@@ -332,11 +321,11 @@ def form_lines(spark, sf_dir):
 
 def form_table_link(spark, sf_dir):
     """Data cells of those pages and the header of their column."""
-    return _table_link(form_lines(spark, sf_dir))
+    return table_link(form_lines(spark, sf_dir))
 
 
 def form_decide(spark, sf_dir):
-    return _html_decide(samples.form_pages(_table(spark, sf_dir, "documents")))
+    return decide_pages(samples.form_pages(_table(spark, sf_dir, "documents")))
 
 
 def _elements(spark, sf_dir):
@@ -439,6 +428,6 @@ ORACLE_SQL = {
         SELECT page_id, mask_id FROM rects WHERE mask_id NOT IN (SELECT mask_id FROM closure)""",
 }
 ORACLE_SQL |= oracle.ORACLE_SQL
-for _more in (phrase_queries,):
+for _more in (phrase_queries, page_queries):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL

@@ -107,6 +107,26 @@ def form_pages(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("page_id"), F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("html"))
 
 
+#: Sheets of ``composed_pages``: of ancestors, children, ids against classes, media, boxes that are not there.
+COMPOSED_STYLE = ".gone .deep{display:none}.card>b{display:block}.off{visibility:hidden}#k .way{display:none}i.way{display:inline}@media print{p{display:none}}.row{display:contents}"
+
+
+def composed_pages(documents: DataFrame) -> DataFrame:
+    """``page_id, html``: a page of each document with shadow trees, slots, a frame's own document, and style sheets that hide."""
+    words = F.regexp_extract_all("text", F.lit("([^ \\t\\r\\n\\x0B\\f]+)"), F.lit(1))
+    word = lambda i: _escaped(F.coalesce(F.try_element_at(words, F.lit(i)), F.lit("none")))
+    parts = [
+        f"<html><head><style>{COMPOSED_STYLE}</style></head><body><nav data-check=keep>", word(1), "</nav>",
+        "<div class=card id=k><template shadowrootmode=open><style>i{display:none}</style><h2><slot name=head>none</slot></h2><table><tr><td><slot></slot></td></tr></table><i>never</i></template><span slot=head>",
+        word(2), "</span>", word(3), "<i>", word(4), "</i><i class=way>no</i></div>",
+        "<table><tr><th data-check=keep>Name</th><th>", word(5), "</th></tr><tr><td data-check=mask>", word(6), "</td><td><x-sum><template shadowrootmode=closed><b>", word(7), "</b></template>lost</x-sum></td></tr></table>",
+        "<div class=gone>", word(8), "<p class=deep>", word(9), "</p></div><div class=card>", word(10), "<b>", word(11), "</b></div><p class=off>", word(9), '<span style="visibility:visible">x</span></p><p>', word(12), "<span class=way>",
+        word(13), "</span></p><div role=row class=row><div role=columnheader>Total</div><div data-check=mask>", word(14), '</div></div><table><tr><td><iframe srcdoc="<nav>', _escaped(word(15)), "</nav><p>", _escaped(word(16)),
+        '</p>"></iframe></td></tr></table></body></html>',
+    ]
+    return documents.select(F.col("doc_id").alias("page_id"), F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("html"))
+
+
 def screen_elements(documents: DataFrame) -> DataFrame:
     """Elements of a screen of 1000 by 800 for each document, with places, tags and colours."""
     d, i = F.col("doc_id"), F.col("ord")

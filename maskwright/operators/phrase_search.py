@@ -1,9 +1,8 @@
 """Searches for many phrases at once, in time linear in the text.
 
-The phrases form an automaton after Aho and Corasick in flat arrays: nodes are numbered level by level, so the edges,
-sorted by (node, character), are numbered as the nodes that they lead to. A text is cut into lanes that all move one
-character at a time; a lane starts as many characters early as the longest phrase has, and so is never in another
-state than one reader of the whole text would be.
+The phrases form an automaton after Aho and Corasick in flat arrays. A text is cut into lanes that all move one character
+at a time; a lane starts as many characters early as the longest phrase has, and so is never in another state than one
+reader of the whole text would be.
 """
 
 from __future__ import annotations
@@ -19,47 +18,26 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, Str
 
 from ..cluster import kept, ship
 from . import spans as S
+from .trie import Trie
 
 #: Characters of phrases in one automaton (each is a node of about 24 bytes at most), and of a lane, at least.
 AUTOMATON_CHARS, LANE_CHARS = 1 << 21, 256
 
 
-class Automaton:
-    """``edges`` (node * width + character, sorted; the n-th leads to node n + 1), ``fail`` (the node of the longest other
-    suffix), ``longest`` (length of the longest phrase that ends at a node), ``opens`` (the root's edges by character)."""
+class Automaton(Trie):
+    """Phrases with, for each node, ``fail`` (the node of its longest other suffix), ``longest`` (length of the longest
+    phrase that ends there), and ``opens`` (the root's edges by character)."""
 
     def __init__(self, phrases: list[str]):
-        phrases = sorted({p for p in phrases if p})
-        sizes = np.array([len(p) for p in phrases], np.int64)
-        codes = np.frombuffer("".join(phrases).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        alphabet = np.unique(codes)
-        self.depth, self.width = int(sizes.max(initial=0)), len(alphabet) + 1
-        #: Characters by code point; those of no phrase are 0.
-        self.number = np.zeros(int(alphabet.max(initial=0)) + 2, np.int32)
-        self.number[alphabet] = np.arange(1, self.width)
-        chars = self.number[codes].astype(np.int64)
-        node, edges, levels, own, n = np.zeros(len(phrases), np.int64), [], [], [np.zeros(1, np.int32)], 1
-        for depth in range(self.depth):
-            alive = np.flatnonzero(sizes > depth)
-            made, at = np.unique(node[alive] * self.width + chars[starts[alive] + depth], return_inverse=True)
-            node[alive] = n + at
-            ends = np.zeros(len(made), np.int32)
-            ends[at[sizes[alive] == depth + 1]] = depth + 1
-            edges.append(made)
-            own.append(ends)
-            levels.append((n, n + len(made)))
-            n += len(made)
-        self.edges = np.concatenate(edges) if edges else np.zeros(0, np.int64)
-        self.fail, self.longest = np.zeros(n, np.int32), np.concatenate(own)
-        self.opens = np.zeros(self.width, np.int32)
-        if levels:
-            first = self.edges[: levels[0][1] - 1]
-            self.opens[first] = np.arange(1, levels[0][1])
-        for a, b in levels[1:]:
+        super().__init__(sorted({p for p in phrases if p}))
+        self.fail, self.longest, self.opens = np.zeros(self.size, np.int32), np.zeros(self.size, np.int32), np.zeros(self.width, np.int32)
+        for depth, (a, b) in enumerate(self.levels):
             parent, char = np.divmod(self.edges[a - 1 : b - 1], self.width)
-            self.fail[a:b] = self._step(self.fail[parent], char)
-            self.longest[a:b] = np.where(self.longest[a:b] > 0, self.longest[a:b], self.longest[self.fail[a:b]])
+            if depth == 0:
+                self.opens[char] = np.arange(a, b)
+            else:
+                self.fail[a:b] = self._step(self.fail[parent], char)
+            self.longest[a:b] = np.where(self.word[a:b] >= 0, depth + 1, self.longest[self.fail[a:b]])
 
     def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Where each lane goes from its node with its character."""
@@ -67,10 +45,9 @@ class Automaton:
         lane = np.flatnonzero((node > 0) & (char > 0))
         at, char = node[lane], char[lane].astype(np.int64)
         while len(lane):
-            key = at.astype(np.int64) * self.width + char
-            edge = np.searchsorted(self.edges, key)
-            hit = self.edges[np.minimum(edge, len(self.edges) - 1)] == key
-            out[lane[hit]] = edge[hit] + 1
+            child = self.children(at, char)
+            hit = child > 0
+            out[lane[hit]] = child[hit]
             at = self.fail[at]
             on = ~hit & (at > 0)
             lane, at, char = lane[on], at[on], char[on]
@@ -80,18 +57,18 @@ class Automaton:
         """For each character, the length of the longest phrase that ends with it (0: none)."""
         if not text or not self.depth:
             return np.zeros(len(text), np.int32)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = self.numbers(text)
         size, early = max(LANE_CHARS, self.depth), self.depth - 1
-        lanes = -(-len(codes) // size)
+        lanes = -(-len(own) // size)
         chars = np.zeros(early + lanes * size, np.int32)
-        chars[early : early + len(codes)] = self.number[np.minimum(codes, len(self.number) - 1)]
+        chars[early : early + len(own)] = own
         rows = np.lib.stride_tricks.as_strided(chars, (early + size, lanes), (chars.itemsize, chars.itemsize * size))
         node, out = np.zeros(lanes, np.int32), np.zeros((lanes, size), np.int32)
         for i in range(early + size):
             node = self._step(node, rows[i])
             if i >= early:
                 out[:, i - early] = self.longest[node]
-        return out.ravel()[: len(codes)]
+        return out.ravel()[: len(own)]
 
     def spans(self, text: str) -> np.ndarray:
         """Rows of start and end whose union is that of all occurrences: at each end that of the longest phrase."""

@@ -15,7 +15,7 @@ from ..sources import phrases
 from ..sources.pages import page_lines
 from ..sources.units import blocks_of, choose_route, line_units, lines_of, read_ocr, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
-from . import oracle, page_queries, phrase_queries, samples, token_queries
+from . import oracle, page_queries, phrase_queries, picture_queries, samples, token_queries
 from .page_queries import decide_pages, table_link
 from .export import decision_log, elements, text_runs, wireframe
 
@@ -428,6 +428,6 @@ ORACLE_SQL = {
         SELECT page_id, mask_id FROM rects WHERE mask_id NOT IN (SELECT mask_id FROM closure)""",
 }
 ORACLE_SQL |= oracle.ORACLE_SQL
-for _more in (phrase_queries, page_queries, token_queries):
+for _more in (phrase_queries, page_queries, token_queries, picture_queries):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL

@@ -186,9 +186,6 @@ ORACLE_SQL = {
         CASE WHEN tag IN ('img', 'svg', 'frame') AND (w < 24 OR h < 24) THEN tag WHEN glyph THEN 'glyph' END], lambda k: k IS NOT NULL)) AS kind FROM seen WHERE w BETWEEN 8 AND 64 AND h BETWEEN 8 AND 64)""",
     "decor_regions": _ELEMENTS + """ SELECT page_id, ord, x, y, w, h, bg_color, border_color FROM seen WHERE (bg_color IS NOT NULL OR border_color IS NOT NULL) AND w >= 6 AND h >= 6
         AND NOT (bg_color IS NOT NULL AND border_color IS NULL AND NOT framed AND tag = 'body')""",
-    "edit_gestures": """WITH rects AS (SELECT doc_id // 20 AS page_id, doc_id AS seq, CAST(doc_id * 37 % 400 + 5 AS DOUBLE) AS x, CAST(doc_id * 53 % 300 + 5 AS DOUBLE) AS y, doc_id // 5 % 4 AS kind FROM documents WHERE doc_id % 5 = 1)
-        SELECT page_id, seq, CASE kind WHEN 0 THEN 'click' WHEN 1 THEN 'add' WHEN 2 THEN 'column' ELSE 'bulk' END AS edit, CASE WHEN kind IN (0, 2) THEN x + 1 ELSE x END AS x, CASE WHEN kind IN (0, 2) THEN y + 1 ELSE y END AS y,
-        CASE WHEN kind IN (0, 2) THEN 0.0 ELSE 60.0 END::DOUBLE AS w, CASE WHEN kind IN (0, 2) THEN 0.0 ELSE 60.0 END::DOUBLE AS h FROM rects""",
     "phrase_lists": """WITH items AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), listed AS (SELECT 0 AS list, item_id AS ord, trim(w[1] || CASE WHEN len(w) > 1 THEN ' ' || w[2] ELSE '' END) AS term FROM items UNION ALL SELECT 1, item_id + 1, trim(w[1]) FROM items),
         firsts AS (SELECT term, min(list * 1000000000 + ord) AS place FROM listed WHERE term <> '' GROUP BY term) SELECT row_number() OVER (ORDER BY place, term) - 1 AS ord, term FROM firsts""",
 }

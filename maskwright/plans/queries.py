@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions import text as T
 from ..functions.geometry import to_rect
-from ..operators import edits, regions
+from ..operators import regions
 from ..operators.decide import decide, kept_of, mask_text, masks_of, merge_runs
 from ..operators.names import with_name_runs
 from ..operators.spans import FLAGS, spread_units, with_spans
@@ -15,7 +15,7 @@ from ..sources import phrases
 from ..sources.pages import page_lines
 from ..sources.units import blocks_of, choose_route, line_units, lines_of, read_ocr, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
-from . import oracle, page_queries, phrase_queries, picture_queries, samples, token_queries
+from . import edit_queries, oracle, page_queries, phrase_queries, picture_queries, samples, token_queries
 from .page_queries import decide_pages, table_link
 from .export import decision_log, elements, text_runs, wireframe
 
@@ -153,28 +153,6 @@ def phrase_merge(spark, sf_dir):
     return terms.where("term != ''").groupBy("term").agg(F.min("item_id").alias("first_id"))
 
 
-def _rects(spark, sf_dir):
-    """Rectangles by rule, as no table holds any: 20 to a page, from the numbers of documents."""
-    n = F.col("doc_id")
-    return _table(spark, sf_dir, "documents").select(F.floor(n / 20).alias("page_id"), n.alias("mask_id"), (n * 37 % 400).cast("double").alias("x"), (n * 53 % 300).cast("double").alias("y"), (20 + n % 60).cast("double").alias("w"), F.lit(10.0).alias("h"), "text")
-
-
-def bulk_unmask(spark, sf_dir):
-    drags = _rects(spark, sf_dir).where("mask_id % 20 = 3").select("page_id", "x", "y", (F.col("w") * 2).alias("w"), (F.col("h") * 5).alias("h"))
-    return edits.bulk_unmask(_rects(spark, sf_dir), drags).select("page_id", "mask_id")
-
-
-def click_unmask(spark, sf_dir):
-    clicks = _rects(spark, sf_dir).where("mask_id % 20 = 7").select("page_id", F.col("mask_id").alias("click_id"), (F.col("x") + 5).alias("x"), (F.col("y") + 5).alias("y"))
-    return edits.click_unmask(_rects(spark, sf_dir), clicks).select("page_id", "mask_id")
-
-
-def column_unmask(spark, sf_dir):
-    masks = _rects(spark, sf_dir)
-    gone = edits.column_members(masks, masks.where("mask_id % 20 = 5"))
-    return masks.join(gone, ["page_id", "mask_id"], "left_anti").select("page_id", "mask_id")
-
-
 #: What the screens of ``samples`` are decided by.
 SCREEN_RULES = Rules(terms=samples.SCREEN_TERMS)
 SCREEN_KEYS = ["conv_id", "turn"]
@@ -289,12 +267,6 @@ def route_lines(spark, sf_dir):
     return lines.groupBy("conv_id", "route").agg(F.count("*").alias("lines"), F.sum(F.size("words")).alias("words"))
 
 
-def phrase_register(spark, sf_dir):
-    """Phrases that reviewers' clicks offered, behind a list of their own, with their reading as rules."""
-    own = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.substring_index("text", " ", 1).alias("term"))
-    return phrases.register_offered(own, edit_replay(spark, sf_dir))
-
-
 def _morphemes(spark, sf_dir):
     return with_name_runs(samples.morpheme_units(_table(spark, sf_dir, "documents")), ["doc_id"])
 
@@ -349,25 +321,6 @@ def page_grounds(spark, sf_dir):
     return regions.page_ground(_elements(spark, sf_dir), ["page_id"])
 
 
-def _strokes(spark, sf_dir):
-    """Four strokes on each page of ``_rects``: a click, a wide drag, a click with alt, a drag with shift."""
-    rects = _rects(spark, sf_dir).where("mask_id % 5 = 1")
-    x, y = F.col("x") + 5, F.col("y") + 5
-    kind = F.floor(F.col("mask_id") / 5) % 4
-    reach = F.when(kind.isin(1, 3), 60.0).otherwise(1.0)
-    return rects.select("page_id", F.col("mask_id").alias("seq"), x.alias("x0"), y.alias("y0"), (x + reach).alias("x1"), (y + reach).alias("y1"), (kind == 2).alias("alt"), (kind == 3).alias("shift"))
-
-
-def edit_gestures(spark, sf_dir):
-    return edits.gestures(_strokes(spark, sf_dir))
-
-
-def edit_replay(spark, sf_dir):
-    """Masks, revealed texts and the phrase that is offered after all strokes of each page, in order."""
-    masks = _rects(spark, sf_dir).select("page_id", F.col("mask_id").alias("ord"), "x", "y", "w", "h", F.when(F.col("mask_id") % 7 == 0, "manual").otherwise("auto").alias("source"), F.lit("digit").alias("reason"), "text")
-    return edits.replay(masks, edits.gestures(_strokes(spark, sf_dir)))
-
-
 def phrase_lists(spark, sf_dir):
     """Two lists of phrases, one as JSON, merged in order without repeats."""
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit(" "), F.substring_index("text", " ", 2)).alias("term"))
@@ -379,9 +332,9 @@ def phrase_lists(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     normalize_fold, phrase_normalize, judge_words, judge_reason_counts, mask_email_text, mask_digit_run_text, unit_metric, line_reason_units, line_pattern_units,
     decide_masks, decide_kept, decision_summary, cascade_units, cascade_summary, user_phrase_protect, label_phrase_protect, run_merge, html_lines, html_semantics, html_table_link, html_decide,
-    props_mask, coverage_metrics, reason_hue, phrase_merge, bulk_unmask, click_unmask, column_unmask, text_run_merge, wireframe_json,
-    screen_flags, screen_decide, screen_masks, screen_summary, screen_coverage, wireframe_elements, wireframe_layers, decision_logs, screen_tokens, ocr_units, route_lines, phrase_register, judge_tokens, name_runs, token_decide,
-    form_lines, form_table_link, form_decide, opaque_regions, icon_regions, decor_regions, page_grounds, edit_gestures, edit_replay, phrase_lists,
+    props_mask, coverage_metrics, reason_hue, phrase_merge, text_run_merge, wireframe_json,
+    screen_flags, screen_decide, screen_masks, screen_summary, screen_coverage, wireframe_elements, wireframe_layers, decision_logs, screen_tokens, ocr_units, route_lines, judge_tokens, name_runs, token_decide,
+    form_lines, form_table_link, form_decide, opaque_regions, icon_regions, decor_regions, page_grounds, phrase_lists,
 )}
 
 # -- SQL ------------------------------------------------------------------------------------------------------------
@@ -396,9 +349,6 @@ _UNITS = f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) A
         CASE WHEN metric AND coalesce(line_reason, '') NOT LIKE 'email%' THEN 'unit-metric' ELSE coalesce(line_reason, own) END AS reason,
         NOT (metric AND coalesce(line_reason, '') NOT LIKE 'email%') AND (line_reason IS NOT NULL OR own NOT IN ('empty', 'allowlist')) AS mask FROM said)
 """
-_RECTS = """WITH rects AS (SELECT doc_id // 20 AS page_id, doc_id AS mask_id, CAST(doc_id * 37 % 400 AS DOUBLE) AS x, CAST(doc_id * 53 % 300 AS DOUBLE) AS y,
-    CAST(20 + doc_id % 60 AS DOUBLE) AS w, 10.0::DOUBLE AS h FROM documents)
-"""
 _MASKED = lambda p: f"SELECT doc_id, sha256(regexp_replace(text, '{p}', '█', 'g')) AS masked FROM documents"
 
 ORACLE_SQL = {
@@ -418,16 +368,8 @@ ORACLE_SQL = {
     "props_mask": f"SELECT event_id, regexp_replace(props, '{MASK_DIGITS}', '█', 'g') AS props FROM events",
     "coverage_metrics": f"SELECT toxic, count(*) FILTER (regexp_matches(text, '{MASK_EMAIL}')) AS hits, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY toxic",
     "phrase_merge": f"SELECT term, min(item_id) AS first_id FROM (SELECT item_id, {_TRIM('term')} AS term FROM (SELECT item_id, unnest(string_split(text, '.')) AS term FROM benchmark)) WHERE term <> '' GROUP BY term",
-    "bulk_unmask": _RECTS + """SELECT page_id, mask_id FROM rects m WHERE NOT EXISTS (SELECT 1 FROM rects d WHERE d.mask_id % 20 = 3 AND d.page_id = m.page_id
-        AND m.x < d.x + 2 * d.w AND d.x < m.x + m.w AND m.y < d.y + 5 * d.h AND d.y < m.y + m.h)""",
-    "click_unmask": _RECTS + """, hit AS (SELECT c.mask_id AS click, max(m.mask_id) AS mask_id FROM rects c JOIN rects m ON m.page_id = c.page_id
-        AND c.x + 5 BETWEEN m.x AND m.x + m.w AND c.y + 5 BETWEEN m.y AND m.y + m.h WHERE c.mask_id % 20 = 7 GROUP BY 1)
-        SELECT page_id, mask_id FROM rects WHERE mask_id NOT IN (SELECT mask_id FROM hit)""",
-    "column_unmask": "WITH RECURSIVE" + _RECTS[4:] + """, closure AS (SELECT page_id, mask_id FROM rects WHERE mask_id % 20 = 5 UNION SELECT b.page_id, b.mask_id FROM closure c
-        JOIN rects a ON a.page_id = c.page_id AND a.mask_id = c.mask_id JOIN rects b ON b.page_id = a.page_id AND least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) >= 0.5 * least(a.w, b.w))
-        SELECT page_id, mask_id FROM rects WHERE mask_id NOT IN (SELECT mask_id FROM closure)""",
 }
 ORACLE_SQL |= oracle.ORACLE_SQL
-for _more in (phrase_queries, page_queries, token_queries, picture_queries):
+for _more in (edit_queries, phrase_queries, page_queries, token_queries, picture_queries):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..cluster import kept
 from ..functions.text import trim
 
 VERSION = 1
@@ -38,19 +41,26 @@ def read_phrases(spark: SparkSession, path: str) -> DataFrame:
     return parse_phrases(files).select("file", "ord", "term")
 
 
+def _numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with their place in the order, from 0. Rows are sorted over ranges; only how many each range has is added up
+    in one place."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = kept(parts.withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    both = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return both.withColumn(name, (F.col("_before") + inside).cast("int")).drop("_at", "_part", "_before")
+
+
 def merge_phrases(*lists: DataFrame) -> DataFrame:
     """Phrases (``ord, term``) of several lists, trimmed, without empty ones, each once: ``ord`` (from 0) and ``term``.
 
-    The order is that of first appearance: earlier lists first, then by ``ord``. Lists are a user's, so numbering
-    them in one place is bounded; null terms are left out.
+    The order is that of first appearance: earlier lists first, then by ``ord``; null terms are left out.
     """
-    from functools import reduce
-
-    from pyspark.sql import Window
-
     all_of = reduce(DataFrame.unionByName, (df.select(F.lit(i).alias("list"), F.col("ord").cast("long").alias("ord"), trim(F.col("term")).alias("term")) for i, df in enumerate(lists)))
     first = all_of.where("term != ''").groupBy("term").agg(F.min(F.struct("list", "ord")).alias("at"))
-    return first.select((F.row_number().over(Window.orderBy("at", "term")) - 1).alias("ord"), "term")
+    return _numbered(first, "ord", "at", "term").select("ord", "term")
 
 
 def register_offered(phrases: DataFrame, replayed: DataFrame) -> DataFrame:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
+from ..cluster import ship
 from ..functions.geometry import BOX, around, on_one_line, to_rect
 from ..functions.text import fold, masks, once, token_reason, trim, word_reason
 from ..vocab import Rules
@@ -102,6 +110,66 @@ def merge_runs(decided: DataFrame, keys: list[str], idx: str = "unit_idx") -> Da
     return grouped.select(*keys, "reason", F.explode(folded).alias("r")).select(*keys, "r.start", "r.end", "reason", "r.text", "r.bbox", "r.kind", "r.table_id", "r.col")
 
 
+def merge_ordered_runs(decided: DataFrame, keys: list[str], idx: str = "unit_idx") -> DataFrame:
+    """``merge_runs`` without boxes, for units that come as ``spread_units`` gives them: a block's rows one after another
+    in order, in one partition. Nothing is shuffled or sorted; a block whose units are out of order is an error."""
+    columns = [*keys, idx, "reason", "text", "merges"]
+    merges = F.col("line_reason").isNotNull() | F.col("reason").isin("kanji-run", "kana-name")
+    rows = decided.where("mask").withColumn("merges", merges).select(*columns)
+    fields = {f.name: f for f in rows.schema.fields}
+    ship(decided.sparkSession)
+    schema = StructType([*(fields[k] for k in keys), StructField("start", fields[idx].dataType), StructField("end", fields[idx].dataType), fields["reason"], fields["text"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, open_ = to_arrow_schema(schema), None  # the last run of a batch may go on in the next
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if open_ is None else pa.concat_tables([open_, table])
+            new = _run_starts(table, keys, idx)
+            if not len(new):
+                continue
+            starts = np.flatnonzero(new)
+            yield from _runs_between(table.slice(0, starts[-1]), starts[:-1], keys, idx, out)
+            open_ = table.slice(starts[-1])
+        if open_ is not None:
+            yield from _runs_between(open_, np.zeros(1, np.int64), keys, idx, out)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _run_starts(table: pa.Table, keys: list[str], idx: str) -> np.ndarray:
+    """Rows that begin a run: those that do not follow the one before them in their block, for the same reason."""
+    n = table.num_rows
+    if n == 0:
+        return np.zeros(0, bool)
+    same = np.ones(n - 1, bool)
+    for k in keys:
+        column = table.column(k).combine_chunks()
+        before, after = column.slice(0, n - 1), column.slice(1)
+        equal = pc.or_kleene(pc.equal(before, after), pc.and_(before.is_null(), after.is_null())) if not pa.types.is_nested(column.type) else pa.array([a == b for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True)])
+        same &= equal.fill_null(False).to_numpy(zero_copy_only=False)
+    at, merges = table.column(idx).to_numpy(), table.column("merges").to_numpy()
+    if (same & (at[1:] <= at[:-1])).any():
+        raise ValueError("units of a block must come in order")
+    reason = table.column("reason").combine_chunks()
+    alike = pc.equal(reason.slice(0, n - 1), reason.slice(1)).fill_null(False).to_numpy(zero_copy_only=False)
+    return np.append(True, ~(same & (at[1:] == at[:-1] + 1) & alike & merges[1:].astype(bool) & merges[:-1].astype(bool)))
+
+
+def _runs_between(table: pa.Table, starts: np.ndarray, keys: list[str], idx: str, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of a table as runs that begin at ``starts``."""
+    if not len(starts):
+        return
+    ends = np.append(starts[1:], table.num_rows)
+    first, last = pa.array(starts), pa.array(ends - 1)
+    text = table.column("text").combine_chunks().fill_null("")
+    joined = text.take(first).to_pylist()
+    for k in np.flatnonzero(ends - starts > 1).tolist():
+        joined[k] = "".join(text.slice(starts[k], ends[k] - starts[k]).to_pylist())
+    columns = [*(table.column(k).take(first) for k in keys), table.column(idx).take(first), table.column(idx).take(last), table.column("reason").take(first), pa.chunked_array([joined], pa.string())]
+    yield from pa.table([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out).to_batches()
+
+
 def masks_of(decided: DataFrame, keys: list[str], rules: Rules = Rules(), idx: str = "unit_idx") -> DataFrame:
     """Masks as rectangles: ``keys, ord, x, y, w, h, source, reason, text, kind, table_id, col``.
 

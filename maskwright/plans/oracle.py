@@ -77,6 +77,8 @@ _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(ran
 DOC_WORDS = f"""SELECT doc_id AS k1, CAST(b AS INT) AS k2, 0 AS k3, CAST(k AS INT) AS unit_idx, text, 0 AS vis, NULL::VARCHAR AS semantic, NULL::DOUBLE AS confidence FROM (
     SELECT doc_id, b, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS k FROM (SELECT doc_id, b, regexp_extract_all(line, '{WORD}') AS w FROM ({_LINES})))"""
 DOC_SPACED = f"""SELECT k1, k2, k3, 2 * unit_idx AS unit_idx, text, vis, semantic, confidence FROM ({DOC_WORDS}) UNION ALL SELECT k1, k2, k3, 2 * unit_idx + 1, ' ', vis, semantic, confidence FROM ({DOC_WORDS})"""
+WHOLE_SPACED = f"""SELECT doc_id AS k1, 0 AS k2, 0 AS k3, CAST(2 * (k - 1) + s AS INT) AS unit_idx, CASE s WHEN 0 THEN w[k] ELSE ' ' END AS text, 0 AS vis FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(10), ' '), '{WORD}') AS w FROM documents)), range(2) r(s)"""
 TURN_WORDS = f"""SELECT conv_id AS k1, turn AS k2, CAST(b AS INT) AS k3, CAST(k AS INT) AS unit_idx, text, 0 AS vis FROM (
     SELECT conv_id, turn, b, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS k FROM (SELECT conv_id, turn, b, regexp_extract_all(line, '{WORD}') AS w FROM (
         SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS b FROM conversations)))"""
@@ -139,6 +141,15 @@ ORACLE_SQL = {
     "line_pattern_units": spans(DOC_WORDS) + " SELECT k1 AS doc_id, k2 AS block_id, unit_idx, text, line_reason FROM flagged WHERE line_reason IS NOT NULL",
     "user_phrase_protect": spans(TURN_WORDS, terms=("the and", "of the"), line=False) + " SELECT k1 AS conv_id, k2 AS turn, k3 AS block_id, unit_idx, text FROM flagged WHERE user_kept",
     "label_phrase_protect": spans(TURN_WORDS, labels=("the", "and", "for the"), line=False) + " SELECT k1 AS conv_id, k2 AS turn, k3 AS block_id, unit_idx, text FROM flagged WHERE label_kept",
+    "long_line_units": spans(WHOLE_SPACED, terms=("the and", "of the", "in the on"), metric=True) + """ SELECT k1 AS doc_id, unit_idx, text, line_reason, unit_metric, user_kept FROM flagged
+        WHERE line_reason IS NOT NULL OR unit_metric OR user_kept""",
+    "wrapped_lines": f"""WITH chars AS (SELECT conv_id, turn, i, substr(text, i::INT + 1, 1) AS ch, (i % {S.GLYPHS} * {S.GLYPH_W})::DOUBLE AS x0, (i // {S.GLYPHS} * {S.PITCH} + i % 3)::DOUBLE AS y0,
+            CASE WHEN i % 13 = 0 THEN 0 ELSE {S.GLYPH_W} END AS w, 12 + i % 2 * 2 AS h FROM (SELECT *, unnest(range(length(text))) AS i FROM conversations)),
+        seen AS (SELECT * FROM chars WHERE w > 0 AND x0 <= {S.GLYPH_SCREEN[0]} AND y0 <= {S.GLYPH_SCREEN[1]}),
+        told AS (SELECT *, least(lag(y0 + h) OVER o, y0 + h) - greatest(lag(y0) OVER o, y0) < 0.5 * h AS wraps FROM seen WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)),
+        parted AS (SELECT *, sum(coalesce(wraps, false)::INT) OVER (PARTITION BY conv_id, turn ORDER BY i) AS part FROM told),
+        lines AS (SELECT conv_id, turn, part, string_agg(ch, '' ORDER BY i) AS text, CAST(count(*) AS INT) AS symbols, min(x0) AS x0, min(y0) AS y0, max(x0 + w) AS x1, max(y0 + h) AS y1 FROM parted GROUP BY ALL)
+        SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY part) - 1 AS INT) AS piece, text, symbols, x0, y0, x1, y1 FROM lines WHERE {TRIM('text')} <> ''""",
     "run_merge": spans(DOC_WORDS, labels=V.LABELS, metric=True) + cascade() + """, masks AS (SELECT *, CASE WHEN line_reason IS NOT NULL AND lag(line_reason) OVER w IS NOT NULL AND lag(unit_idx) OVER w = unit_idx - 1
         AND lag(reason) OVER w = reason THEN 0 ELSE 1 END AS new FROM decided WHERE mask WINDOW w AS (PARTITION BY k1, k2 ORDER BY unit_idx)),
         islands AS (SELECT *, sum(new) OVER (PARTITION BY k1, k2 ORDER BY unit_idx) AS island FROM masks)

@@ -8,12 +8,12 @@ from .. import vocab as V
 from ..functions import text as T
 from ..functions.geometry import to_rect
 from ..operators import regions
-from ..operators.decide import decide, kept_of, mask_text, masks_of, merge_runs
+from ..operators.decide import decide, kept_of, mask_text, masks_of, merge_ordered_runs
 from ..operators.names import with_name_runs
 from ..operators.spans import FLAGS, spread_units, with_spans
 from ..sources import phrases
 from ..sources.pages import page_lines
-from ..sources.units import blocks_of, choose_route, line_units, lines_of, read_ocr, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
+from ..sources.units import blocks_of, choose_route, glyph_lines, line_units, lines_of, long_blocks, own_units, read_ocr, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
 from . import edit_queries, oracle, page_queries, phrase_queries, picture_queries, samples, token_queries
 from .page_queries import decide_pages, table_link
@@ -116,7 +116,29 @@ def run_merge(spark, sf_dir):
     """Masked units of documents, read word by word without spaces, and their runs."""
     blocks = word_blocks(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
     units = spread_units(with_spans(blocks, flags=("line_reason", "unit_metric", "label_kept")))
-    return merge_runs(decide(units), ["id", "block_id"]).select(F.col("id").alias("doc_id"), "block_id", "start", "end", "reason", "text")
+    return merge_ordered_runs(decide(units), ["id", "block_id"]).select(F.col("id").alias("doc_id"), "block_id", "start", "end", "reason", "text")
+
+
+#: Phrases of ``long_line_units``, and where its lines are cut: far below what a task can hold, so that many are.
+LONG_TERMS, LONG_LINE = ("the and", "of the", "in the on"), 700
+
+
+def long_line_units(spark, sf_dir):
+    """Every unit of the documents, each document one line: patterns, measures and phrases over lines that are cut in pieces."""
+    whole = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("block_id"), F.translate("text", "\n", " ").alias("line"))
+    rules = Rules(terms=LONG_TERMS)
+    blocks = long_blocks(whole, max(map(len, LONG_TERMS)), LONG_LINE)
+    units = own_units(spread_units(with_spans(blocks, rules, ("line_reason", "unit_metric", "user_kept"))))
+    flagged = units.where("line_reason IS NOT NULL OR unit_metric OR user_kept")
+    return flagged.select(F.col("id").alias("doc_id"), "unit_idx", "text", "line_reason", "unit_metric", "user_kept")
+
+
+def wrapped_lines(spark, sf_dir):
+    """Lines of texts that wrap, from the boxes of their characters."""
+    width, height = map(F.lit, samples.GLYPH_SCREEN)
+    lines = glyph_lines(samples.set_texts(_table(spark, sf_dir, "conversations")), SCREEN_KEYS, width=width, height=height)
+    word = F.col("words")[0]
+    return lines.select(*SCREEN_KEYS, "piece", word["text"].alias("text"), F.size(word["symbols"]).alias("symbols"), *(word["bbox"][c].alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 def html_lines(spark, sf_dir):
@@ -331,7 +353,7 @@ def phrase_lists(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalize_fold, phrase_normalize, judge_words, judge_reason_counts, mask_email_text, mask_digit_run_text, unit_metric, line_reason_units, line_pattern_units,
-    decide_masks, decide_kept, decision_summary, cascade_units, cascade_summary, user_phrase_protect, label_phrase_protect, run_merge, html_lines, html_semantics, html_table_link, html_decide,
+    decide_masks, decide_kept, decision_summary, cascade_units, cascade_summary, user_phrase_protect, label_phrase_protect, run_merge, long_line_units, wrapped_lines, html_lines, html_semantics, html_table_link, html_decide,
     props_mask, coverage_metrics, reason_hue, phrase_merge, text_run_merge, wireframe_json,
     screen_flags, screen_decide, screen_masks, screen_summary, screen_coverage, wireframe_elements, wireframe_layers, decision_logs, screen_tokens, ocr_units, route_lines, judge_tokens, name_runs, token_decide,
     form_lines, form_table_link, form_decide, opaque_regions, icon_regions, decor_regions, page_grounds, phrase_lists,

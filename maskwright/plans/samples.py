@@ -61,6 +61,21 @@ def screen_lines(conversations: DataFrame) -> DataFrame:
     return lines.select("conv_id", "turn", F.transform("ws", lambda w: w["w"]).alias("words"))
 
 
+#: Glyphs of a row, its distance, and the screen's size.
+GLYPHS, GLYPH_W, PITCH, GLYPH_SCREEN = 40, 8, 10, (300, 120)
+
+
+def set_texts(conversations: DataFrame) -> DataFrame:
+    """``conv_id, turn, glyphs``: each message set in rows of ``GLYPHS``, every thirteenth glyph without width; rows overlap a little."""
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+
+    def glyph(c: Column, i: Column) -> Column:
+        x, y = (i % GLYPHS) * GLYPH_W, F.floor(i / GLYPHS) * PITCH + i % 3
+        return F.struct(c.alias("ch"), box(x, y, x + F.when(i % 13 == 0, 0).otherwise(GLYPH_W), y + 12 + i % 2 * 2).alias("bbox"))
+
+    return conversations.select("conv_id", "turn", F.transform(chars, glyph).alias("glyphs"))
+
+
 def ocr_pages(conversations: DataFrame) -> DataFrame:
     """``conv_id, payload``: each conversation's screens as recognised text in JSON, a block for each message."""
     words = screen_lines(conversations).select("conv_id", "turn", F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), w["bbox"].alias("bbox"))).alias("words"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from .. import vocab as V
 from ..cluster import ship
-from ..functions.geometry import BOX, on_one_line, shared_height, union
+from ..functions.geometry import BOX, on_one_line, outside, shared_height, union
 
+#: Characters that phrases do not have.
+_DROPPED = frozenset(V.SPACES + ":：;；,，.。、()（）[]「」【】")
 _WORDS = lambda line: F.regexp_extract_all(line, F.lit("([^ \\t\\r\\x0B\\f]+)"), F.lit(1))
 
 #: A morpheme; ``word_position`` is its first character in the line, from 1.
@@ -40,6 +46,82 @@ def word_blocks(lines: DataFrame) -> DataFrame:
     return lines.select("id", "block_id", _WORDS("line").alias("units")).where(F.size("units") > 0)
 
 
+#: Characters of a line that stay together; longer lines are cut.
+PIECE_CHARS = 1 << 18
+_CUT = re.compile("[ \\t\\r\\x0b\\f]+")
+
+
+def _beyond(line: str, at: int, step: int, reach: int) -> int:
+    """The place from which ``reach`` characters that phrases are made of lie between it and ``at``, going by ``step``."""
+    while reach > 0 and 0 <= (at if step > 0 else at - 1) < len(line):
+        reach -= line[at if step > 0 else at - 1] not in _DROPPED
+        at += step
+    return at
+
+
+def pieces_of(line: str, limit: int = PIECE_CHARS, reach: int = 0) -> Iterator[tuple[str, int, int, int]]:
+    """A line in pieces of about ``limit`` characters: text, words at its beginning and at its end that are those of the
+    neighbours, and words of the line before its own.
+
+    Lines are cut at white space, which no pattern crosses. Phrases do: so a piece is given with as much of its
+    neighbours as has ``reach`` characters of phrases, up to the next white space.
+    """
+    start, before = 0, 0
+    while True:
+        cut = _CUT.search(line, start + limit)
+        end = cut.start() if cut else len(line)
+        low, high = _beyond(line, start, -1, reach), _beyond(line, end, 1, reach)
+        while low > 0 and not _CUT.match(line, low - 1):
+            low -= 1
+        more = _CUT.search(line, high)
+        high = (more.start() if more else len(line)) if high > end else end
+        own = len(_words_in(line[start:end]))
+        yield line[low:high], len(_words_in(line[low:start])), len(_words_in(line[end:high])), before
+        before += own
+        if cut is None:
+            return
+        start = end
+
+
+def _words_in(text: str) -> list[str]:
+    return [w for w in _CUT.split(text) if w]
+
+
+def long_blocks(lines: DataFrame, reach: int = 0, limit: int = PIECE_CHARS) -> DataFrame:
+    """``spaced_blocks`` of lines of any length: ``id, block_id, skip, size, first, units``.
+
+    A long line becomes several rows, dealt to all tasks. Of a row's units those from ``skip`` on, ``size`` of them, are its
+    own; the others are neighbours' and only let phrases reach over the cut. ``first`` is the ``unit_idx`` of the first own
+    one. ``reach`` is the length of the longest phrase. Lines without words give no rows; a word is never cut.
+    """
+    ship(lines.sparkSession)
+    own = lines.select("id", "block_id", "line")
+    short = spaced_blocks(own.where(F.length("line") <= limit))
+    short = short.select("id", "block_id", F.lit(0).alias("skip"), F.size("units").alias("size"), F.lit(0).alias("first"), "units")
+    long = own.where(F.length("line") > limit)
+    kind = StructType([*long.select("id", "block_id").schema.fields, *StructType.fromDDL("skip int, tail int, first int, line string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(kind)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for text, skip, tail, first in pieces_of(batch.column(2)[i].as_py(), limit, reach):
+                    columns = [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *(pa.array([v]) for v in (skip, tail, first, text))]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    pieces = long.mapInArrow(run, kind).repartition(lines.sparkSession.sparkContext.defaultParallelism * 4)
+    cut = F.flatten(F.transform(_WORDS("line"), lambda w: F.array(w, F.lit(" "))))
+    pieces = pieces.withColumn("units", cut).where(F.size("units") > 2 * (F.col("skip") + F.col("tail")))
+    pieces = pieces.select("id", "block_id", (2 * F.col("skip")).alias("skip"), (F.size("units") - 2 * (F.col("skip") + F.col("tail"))).alias("size"), (2 * F.col("first")).alias("first"), "units")
+    return short.unionByName(pieces)
+
+
+def own_units(spread: DataFrame) -> DataFrame:
+    """The units of ``long_blocks`` that are a row's own, numbered as in the uncut line."""
+    inside = (F.col("unit_idx") >= F.col("skip")) & (F.col("unit_idx") < F.col("skip") + F.col("size"))
+    return spread.where(inside).withColumn("unit_idx", F.col("unit_idx") - F.col("skip") + F.col("first")).drop("skip", "size", "first")
+
+
 def line_units(lines: DataFrame) -> DataFrame:
     """Screen lines (``words``) as units: each word is one; a line whose words are lines of text stays whole.
 
@@ -103,6 +185,28 @@ def split_visual_lines(chars: DataFrame, keys: list[str], order: str = "ord") ->
     return chars.withColumn("wraps", wraps.cast("int")).withColumn("piece", F.sum("wraps").over(before)).drop("wraps")
 
 
+def glyph_lines(texts: DataFrame, keys: list[str], glyphs: str = "glyphs", width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """Texts as they are set (``keys``, ``glyphs``: each character ``ch`` with its ``bbox``) as screen lines: ``keys, piece``
+    (from 0), ``words`` of one word with its symbols.
+
+    Glyphs without width or height, or beyond a screen of ``width`` by ``height``, are dropped; a text that wraps is a line
+    for each piece; pieces of nothing but white space give none, and are not counted. Null boxes are not set anywhere.
+    """
+    chars = texts.select(*keys, F.posexplode(F.col(glyphs).cast(f"array<struct<ch: string, bbox: {BOX}>>")).alias("ord", "g")).select(*keys, "ord", "g.ch", "g.bbox")
+    b = F.col("bbox")
+    chars = chars.where((b["x1"] > b["x0"]) & (b["y1"] > b["y0"]))
+    if width is not None and height is not None:
+        chars = chars.where(~outside(b, width, height))
+    rows = split_visual_lines(chars, keys)
+    symbols = F.array_sort(F.collect_list(F.struct("ord", "ch", "bbox")), lambda a, c: F.when(a["ord"] < c["ord"], -1).when(a["ord"] > c["ord"], 1).otherwise(0))
+    grouped = rows.groupBy(*keys, "piece").agg(symbols.alias("s"))
+    text = F.array_join(F.transform("s", lambda s: s["ch"]), "")
+    grouped = grouped.withColumn("text", text).where(F.btrim("text", F.lit(V.SPACES)) != "")
+    word = F.struct(F.col("text"), F.lit(100.0).alias("confidence"), union(F.transform("s", lambda s: s["bbox"])).alias("bbox"), F.transform("s", lambda s: F.struct(s["ch"].alias("text"), s["bbox"].alias("bbox"))).alias("symbols"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("piece")) - 1
+    return grouped.select(*keys, place.alias("piece"), F.array(word).alias("words"))
+
+
 def with_visual_lines(units: DataFrame, keys: list[str], idx: str = "unit_idx") -> DataFrame:
     """``units`` with ``visual``: the number of a unit's visual line, which ends where a unit shares no height with the one before."""
     order = Window.partitionBy(*keys).orderBy(idx)

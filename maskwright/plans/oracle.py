@@ -200,3 +200,33 @@ ORACLE_SQL = {
     "phrase_lists": """WITH items AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), listed AS (SELECT 0 AS list, item_id AS ord, trim(w[1] || CASE WHEN len(w) > 1 THEN ' ' || w[2] ELSE '' END) AS term FROM items UNION ALL SELECT 1, item_id + 1, trim(w[1]) FROM items),
         firsts AS (SELECT term, min(list * 1000000000 + ord) AS place FROM listed WHERE term <> '' GROUP BY term) SELECT row_number() OVER (ORDER BY place, term) - 1 AS ord, term FROM firsts""",
 }
+
+# -- drawings -------------------------------------------------------------------------------------------------------
+_DECOR = "(bg_color IS NOT NULL OR border_color IS NOT NULL) AND w >= 6 AND h >= 6 AND NOT (bg_color IS NOT NULL AND border_color IS NULL AND NOT framed AND tag = 'body')"
+_OF_SCREENS = _ELEMENTS.replace("FROM documents", "FROM (SELECT conv_id * 1000 + turn AS doc_id FROM conversations)")
+_DRAWN = f"""SELECT page_id, 0 AS layer, 0 AS part, ord, x, y, w, h, NULL::VARCHAR AS text, 'decor' AS role, NULL::VARCHAR AS reason, NULL::VARCHAR AS kind, NULL::INT AS table_id, NULL::INT AS col
+        FROM ({ORACLE_SQL["decor_regions"].replace(_ELEMENTS, _OF_SCREENS)})
+    UNION ALL SELECT page_id, 1, 0, ord, x, y, w, h, NULL, 'icon', NULL, kind, NULL, NULL FROM ({ORACLE_SQL["icon_regions"].replace(_ELEMENTS, _OF_SCREENS)})
+    UNION ALL SELECT page_id, 2, 0, NULL, x, y, w, h, text, 'text', NULL, kind, table_id, col FROM ({ORACLE_SQL["text_run_merge"]})
+    UNION ALL SELECT conv_id * 1000 + turn, 2, 1, ord, x, y, w, h, text, 'revealed', reason, kind, table_id, col FROM ({ORACLE_SQL["screen_masks"]}) WHERE reason = 'dom-data' AND text <> ''
+    UNION ALL SELECT conv_id * 1000 + turn, 3, 0, ord, x, y, w, h, NULL, 'masked', reason, kind, table_id, col FROM ({ORACLE_SQL["screen_masks"]}) WHERE reason <> 'dom-data'"""
+_NAMED_ID = lambda prefix, n: f"'m2g-' || {prefix} || '-' || lpad(lower(to_base({n}, 36)), 4, '0')"
+ORACLE_SQL["wireframe_elements"] = f"""WITH drawn AS ({_DRAWN}), numbered AS (SELECT *, CAST(sum(CASE layer WHEN 1 THEN 2 ELSE 1 END) OVER (PARTITION BY page_id
+        ORDER BY layer, part, ord NULLS LAST, y, x, w, h, kind <> 'bg-image' NULLS FIRST, kind NULLS FIRST, text NULLS FIRST, reason NULLS FIRST ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS n FROM drawn)
+    SELECT page_id, n, {_NAMED_ID("['d', 'i', 't', 'm'][layer + 1]", "n")} AS id, CASE WHEN layer = 1 THEN {_NAMED_ID("'f'", "n - 1")} END AS file_id, layer, role, reason, nullif(kind, '') AS kind,
+        CASE WHEN col IS NOT NULL THEN table_id END AS table_id, CASE WHEN table_id IS NOT NULL THEN col END AS col, x, y, w, h, text, CASE WHEN layer = 2 THEN greatest(9, CAST(floor(h / 1.25 + 0.5) AS INT)) END AS font_size FROM numbered"""
+ORACLE_SQL["wireframe_layers"] = f"""SELECT page_id, role, count(*) AS n, min(n) AS "first", max(n) AS "last" FROM ({ORACLE_SQL["wireframe_elements"]}) GROUP BY ALL"""
+_CROWDED = _ELEMENTS.replace("WITH e AS (", "WITH own AS (").replace("seen AS (SELECT * FROM e", f"e AS (SELECT page_id // {S.CROWD} AS page_id, CAST(page_id % {S.CROWD} * 30 + ord AS BIGINT) AS ord, * EXCLUDE (page_id, ord) FROM own),\n    seen AS (SELECT * FROM e")
+ORACLE_SQL["crowded_decor"] = _CROWDED + f" SELECT page_id, ord, x, y, w, h, bg_color, border_color FROM seen WHERE {_DECOR} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ord) <= 600"
+ORACLE_SQL["crowded_icons"] = _CROWDED + f""", counted AS (SELECT e.*, coalesce(sum(CASE WHEN {_DECOR} AND NOT (x + w < 0 OR y + h < 0 OR x > 1000 OR y > 800) THEN 1 ELSE 0 END)
+            OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+        kinds AS (SELECT *, list_filter([CASE WHEN picture AND before < 600 THEN 'bg-image' END, CASE WHEN tag IN ('img', 'svg', 'frame') AND (w < 24 OR h < 24) THEN tag WHEN glyph THEN 'glyph' END], lambda k: k IS NOT NULL) AS ks
+            FROM counted WHERE w BETWEEN 8 AND 64 AND h BETWEEN 8 AND 64 AND NOT (x + w < 0 OR y + h < 0 OR x > 1000 OR y > 800)),
+        icons AS (SELECT page_id, ord, x, y, w, h, unnest(ks) AS kind, generate_subscripts(ks, 1) AS part FROM kinds)
+        SELECT page_id, ord, x, y, w, h, kind FROM icons QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ord, part) <= 200"""
+_PAINTS = "[{r: 10.0::DOUBLE, g: 20.0::DOUBLE, b: 30.0::DOUBLE, a: 1.0::DOUBLE}, {r: 200.0, g: 100.0, b: 0.0, a: 0.5}, NULL, {r: 170.0, g: 187.0, b: 204.0, a: 1.0}, {r: 17.0, g: 34.0, b: 51.0, a: 68 / 255.0::DOUBLE}, NULL]"
+_HEX2 = lambda v: f"format('{{:02x}}', CAST(floor({v} + 0.5) AS INT))"
+ORACLE_SQL["page_grounds"] = _ELEMENTS + f""", paints AS (SELECT page_id, ord, {_PAINTS}[(page_id + ord) % 6 + 1] AS c FROM e WHERE (ord % 4 = 0 OR tag = 'body') AND NOT framed AND w >= 6 AND h >= 6),
+        layers AS (SELECT page_id, list(c ORDER BY ord) AS cs FROM paints WHERE c IS NOT NULL GROUP BY page_id),
+        mixed AS (SELECT page_id, list_reduce([{{r: 255.0::DOUBLE, g: 255.0::DOUBLE, b: 255.0::DOUBLE, a: 1.0::DOUBLE}}] || cs, lambda u, f: {{r: f.r * f.a + u.r * (1 - f.a), g: f.g * f.a + u.g * (1 - f.a), b: f.b * f.a + u.b * (1 - f.a), a: 1.0::DOUBLE}}) AS m FROM layers)
+        SELECT p.page_id, CASE WHEN m IS NULL THEN '#ffffff' ELSE '#' || {_HEX2('m.r')} || {_HEX2('m.g')} || {_HEX2('m.b')} END AS page_background FROM (SELECT DISTINCT page_id FROM e) p LEFT JOIN mixed USING (page_id)"""

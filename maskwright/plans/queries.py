@@ -340,7 +340,25 @@ def decor_regions(spark, sf_dir):
 
 
 def page_grounds(spark, sf_dir):
-    return regions.page_ground(_elements(spark, sf_dir), ["page_id"])
+    """The colour under each page: every fourth element is a body with a ground of its own, laid over those before it."""
+    body = F.when(F.col("ord") % 4 == 0, "body").otherwise(F.col("tag"))
+    return regions.page_ground(_elements(spark, sf_dir).withColumn("tag", body), ["page_id"])
+
+
+def _crowded(spark, sf_dir):
+    """Screens of fifty documents' elements each: more than a page may give."""
+    rows = _elements(spark, sf_dir).withColumn("ord", F.col("page_id") % samples.CROWD * 30 + F.col("ord"))
+    return rows.withColumn("page_id", F.floor(F.col("page_id") / samples.CROWD))
+
+
+def crowded_decor(spark, sf_dir):
+    """Decoration of crowded pages, the first boxes of each."""
+    return regions.decor(_crowded(spark, sf_dir), ["page_id"])
+
+
+def crowded_icons(spark, sf_dir):
+    """Icons of crowded pages, the first of each; pictures behind elements only while there is room for decoration."""
+    return regions.icons(_crowded(spark, sf_dir), ["page_id"])
 
 
 def phrase_lists(spark, sf_dir):
@@ -356,7 +374,7 @@ QUERIES = {f.__name__: f for f in (
     decide_masks, decide_kept, decision_summary, cascade_units, cascade_summary, user_phrase_protect, label_phrase_protect, run_merge, long_line_units, wrapped_lines, html_lines, html_semantics, html_table_link, html_decide,
     props_mask, coverage_metrics, reason_hue, phrase_merge, text_run_merge, wireframe_json,
     screen_flags, screen_decide, screen_masks, screen_summary, screen_coverage, wireframe_elements, wireframe_layers, decision_logs, screen_tokens, ocr_units, route_lines, judge_tokens, name_runs, token_decide,
-    form_lines, form_table_link, form_decide, opaque_regions, icon_regions, decor_regions, page_grounds, phrase_lists,
+    form_lines, form_table_link, form_decide, opaque_regions, icon_regions, decor_regions, page_grounds, crowded_decor, crowded_icons, phrase_lists,
 )}
 
 # -- SQL ------------------------------------------------------------------------------------------------------------

@@ -142,6 +142,10 @@ def composed_pages(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("page_id"), F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("html"))
 
 
+#: Documents whose elements make one crowded page.
+CROWD = 50
+
+
 def screen_elements(documents: DataFrame) -> DataFrame:
     """Elements of a screen of 1000 by 800 for each document, with places, tags and colours."""
     d, i = F.col("doc_id"), F.col("ord")

@@ -230,3 +230,10 @@ ORACLE_SQL["page_grounds"] = _ELEMENTS + f""", paints AS (SELECT page_id, ord, {
         layers AS (SELECT page_id, list(c ORDER BY ord) AS cs FROM paints WHERE c IS NOT NULL GROUP BY page_id),
         mixed AS (SELECT page_id, list_reduce([{{r: 255.0::DOUBLE, g: 255.0::DOUBLE, b: 255.0::DOUBLE, a: 1.0::DOUBLE}}] || cs, lambda u, f: {{r: f.r * f.a + u.r * (1 - f.a), g: f.g * f.a + u.g * (1 - f.a), b: f.b * f.a + u.b * (1 - f.a), a: 1.0::DOUBLE}}) AS m FROM layers)
         SELECT p.page_id, CASE WHEN m IS NULL THEN '#ffffff' ELSE '#' || {_HEX2('m.r')} || {_HEX2('m.g')} || {_HEX2('m.b')} END AS page_background FROM (SELECT DISTINCT page_id FROM e) p LEFT JOIN mixed USING (page_id)"""
+_RECT_LOG = f"""{_MASKS}, logged AS (SELECT k1, k2, list(text || '=' || CASE WHEN mask THEN '塗:' ELSE '残:' END || reason ORDER BY unit_idx) AS decisions FROM decided GROUP BY ALL),
+        counted AS (SELECT k1, k2, v, count(*) AS n FROM (SELECT k1, k2, '塗:' || reason AS v FROM parts UNION ALL SELECT k1, k2, '残:' || reason FROM decided WHERE NOT mask) GROUP BY ALL),
+        summed AS (SELECT k1, k2, map(list(v ORDER BY v), list(n ORDER BY v)) AS summary FROM counted GROUP BY ALL),
+        painted AS (SELECT k1, k2, list({{text: text, reason: reason, source: 'auto'}} ORDER BY part, start) AS masks FROM parts GROUP BY ALL),
+        stay AS (SELECT k1, k2, list({{text: text, reason: reason}} ORDER BY unit_idx) AS kept FROM decided WHERE NOT mask GROUP BY ALL)"""
+ORACLE_SQL["decision_logs"] = _RECT_LOG + """ SELECT k1 AS conv_id, k2 AS turn, to_json({route: 'DOM', summary: summary, masks: coalesce(masks, []), kept: coalesce(kept, []), decisions: decisions})::VARCHAR AS json
+        FROM logged LEFT JOIN summed USING (k1, k2) LEFT JOIN painted USING (k1, k2) LEFT JOIN stay USING (k1, k2)"""

@@ -9,7 +9,7 @@ from .. import vocab as V
 from ..functions import text as T
 from ..operators.decide import decide
 from ..operators.spans import spread_units, with_spans
-from ..sources.pages import page_blocks, page_lines
+from ..sources.pages import page_blocks, page_lines, page_opaque
 from ..sources.units import spread
 from . import oracle, samples
 
@@ -46,6 +46,11 @@ def composed_decide(spark, sf_dir):
     return decide_pages(_pages(spark, sf_dir))
 
 
+def opaque_elements(spark, sf_dir):
+    """What cannot be read of pages: pictures, drawings and frames, in order; none that is hidden."""
+    return page_opaque(samples.opaque_pages(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
 def page_coverage(spark, sf_dir):
     """Leaks and over-masking against what the pages themselves expect of their texts."""
     pages = _pages(spark, sf_dir)
@@ -69,7 +74,7 @@ _UNITS = f"""SELECT page_id AS k1, block_id AS k2, 0 AS k3, CAST(row_number() OV
     line_id, kind, table_id, col, "check" FROM ({_LINES})"""
 _DECIDED = oracle.spans(_UNITS, labels=V.LABELS, metric=True) + oracle.cascade()
 
-QUERIES = {f.__name__: f for f in (composed_lines, composed_table_link, composed_decide, page_coverage)}
+QUERIES = {f.__name__: f for f in (composed_lines, composed_table_link, composed_decide, page_coverage, opaque_elements)}
 ORACLE_SQL = {
     "composed_lines": _LINES,
     "composed_table_link": f"""WITH l AS ({_LINES}) SELECT c.page_id, c.line_id, c.table_id, c.col, c.text, h.text AS header FROM l c
@@ -77,3 +82,8 @@ ORACLE_SQL = {
     "composed_decide": _DECIDED + " SELECT k1 AS page_id, k2 AS block_id, line_id, semantic, kind, table_id, col, mask, reason FROM decided",
     "page_coverage": _DECIDED + """ SELECT "check", count(*) FILTER (("check" = 'mask') <> mask) AS violations, count(*) AS n FROM decided WHERE "check" IS NOT NULL GROUP BY 1""",
 }
+_SIDE = lambda k: f"(doc_id * {k} % 97)::DOUBLE"
+ORACLE_SQL["opaque_elements"] = f"""WITH listed AS (SELECT doc_id AS page_id, unnest(['img', 'svg', 'video', 'frame', 'img', 'frame', 'frame'] || CASE WHEN doc_id % 3 = 0 THEN ['frame'] ELSE [] END) AS tag,
+        unnest([{_SIDE(3)}, {_SIDE(7)}, NULL, {_SIDE(11)}, {_SIDE(13)}, NULL, {_SIDE(17)}] || CASE WHEN doc_id % 3 = 0 THEN [1.0::DOUBLE] ELSE [] END) AS w,
+        unnest([{_SIDE(5)}, NULL, 2.5::DOUBLE, 10.0::DOUBLE, NULL, NULL, NULL] || CASE WHEN doc_id % 3 = 0 THEN [1.0::DOUBLE] ELSE [] END) AS h, unnest(range(7 + (doc_id % 3 = 0)::INT)) AS ord FROM documents)
+    SELECT page_id, CAST(ord AS INT) AS ord, tag, w, h FROM listed"""

@@ -142,6 +142,18 @@ def composed_pages(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("page_id"), F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("html"))
 
 
+def opaque_pages(documents: DataFrame) -> DataFrame:
+    """``page_id, html``: a page of each document with elements that cannot be read, of sizes by its number, some of them hidden."""
+    n = F.col("doc_id")
+    side = lambda k: (n * k % 97).cast("string")
+    parts = [
+        "<style>.off{display:none}.ghost{opacity:0}</style><p>a<img width=", side(3), " height=", side(5), "></p><div class=off><canvas width=9></canvas></div><svg width=", side(7), "><text>no</text></svg><video height=2.5></video>",
+        "<iframe src=x width=", side(11), ' height=10></iframe><iframe srcdoc="<img width=', side(13), '><embed>"></iframe><picture class=ghost></picture><x-a><template shadowrootmode=open><object width=', side(17),
+        "></object></template><img></x-a>", F.when(n % 3 == 0, "<frame width=1 height=1>").otherwise(""),
+    ]
+    return documents.select(n.alias("page_id"), F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("html"))
+
+
 #: Documents whose elements make one crowded page.
 CROWD = 50
 

@@ -204,17 +204,19 @@ ORACLE_SQL = {
 # -- drawings -------------------------------------------------------------------------------------------------------
 _DECOR = "(bg_color IS NOT NULL OR border_color IS NOT NULL) AND w >= 6 AND h >= 6 AND NOT (bg_color IS NOT NULL AND border_color IS NULL AND NOT framed AND tag = 'body')"
 _OF_SCREENS = _ELEMENTS.replace("FROM documents", "FROM (SELECT conv_id * 1000 + turn AS doc_id FROM conversations)")
-_DRAWN = f"""SELECT page_id, 0 AS layer, 0 AS part, ord, x, y, w, h, NULL::VARCHAR AS text, 'decor' AS role, NULL::VARCHAR AS reason, NULL::VARCHAR AS kind, NULL::INT AS table_id, NULL::INT AS col
+_DRAWN = f"""SELECT page_id, 0 AS layer, 0 AS part, ord, x, y, w, h, NULL::VARCHAR AS text, 'decor' AS role, NULL::VARCHAR AS reason, NULL::VARCHAR AS kind, NULL::INT AS table_id, NULL::INT AS col, bg_color AS fill, border_color AS line
         FROM ({ORACLE_SQL["decor_regions"].replace(_ELEMENTS, _OF_SCREENS)})
-    UNION ALL SELECT page_id, 1, 0, ord, x, y, w, h, NULL, 'icon', NULL, kind, NULL, NULL FROM ({ORACLE_SQL["icon_regions"].replace(_ELEMENTS, _OF_SCREENS)})
-    UNION ALL SELECT page_id, 2, 0, NULL, x, y, w, h, text, 'text', NULL, kind, table_id, col FROM ({ORACLE_SQL["text_run_merge"]})
-    UNION ALL SELECT conv_id * 1000 + turn, 2, 1, ord, x, y, w, h, text, 'revealed', reason, kind, table_id, col FROM ({ORACLE_SQL["screen_masks"]}) WHERE reason = 'dom-data' AND text <> ''
-    UNION ALL SELECT conv_id * 1000 + turn, 3, 0, ord, x, y, w, h, NULL, 'masked', reason, kind, table_id, col FROM ({ORACLE_SQL["screen_masks"]}) WHERE reason <> 'dom-data'"""
+    UNION ALL SELECT page_id, 1, 0, ord, x, y, w, h, NULL, 'icon', NULL, kind, NULL, NULL, 'data:image/png;' || ord, NULL FROM ({ORACLE_SQL["icon_regions"].replace(_ELEMENTS, _OF_SCREENS)})
+    UNION ALL SELECT page_id, 2, 0, NULL, x, y, w, h, text, 'text', NULL, kind, table_id, col, NULL, NULL FROM ({ORACLE_SQL["text_run_merge"]})
+    UNION ALL SELECT conv_id * 1000 + turn, 2, 1, ord, x, y, w, h, text, 'revealed', reason, kind, table_id, col, NULL, NULL FROM ({ORACLE_SQL["screen_masks"]}) WHERE reason = 'dom-data' AND text <> ''
+    UNION ALL SELECT conv_id * 1000 + turn, 3, 0, ord, x, y, w, h, NULL, 'masked', reason, kind, table_id, col, NULL, NULL FROM ({ORACLE_SQL["screen_masks"]}) WHERE reason <> 'dom-data'"""
 _NAMED_ID = lambda prefix, n: f"'m2g-' || {prefix} || '-' || lpad(lower(to_base({n}, 36)), 4, '0')"
-ORACLE_SQL["wireframe_elements"] = f"""WITH drawn AS ({_DRAWN}), numbered AS (SELECT *, CAST(sum(CASE layer WHEN 1 THEN 2 ELSE 1 END) OVER (PARTITION BY page_id
-        ORDER BY layer, part, ord NULLS LAST, y, x, w, h, kind <> 'bg-image' NULLS FIRST, kind NULLS FIRST, text NULLS FIRST, reason NULLS FIRST ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS n FROM drawn)
-    SELECT page_id, n, {_NAMED_ID("['d', 'i', 't', 'm'][layer + 1]", "n")} AS id, CASE WHEN layer = 1 THEN {_NAMED_ID("'f'", "n - 1")} END AS file_id, layer, role, reason, nullif(kind, '') AS kind,
-        CASE WHEN col IS NOT NULL THEN table_id END AS table_id, CASE WHEN table_id IS NOT NULL THEN col END AS col, x, y, w, h, text, CASE WHEN layer = 2 THEN greatest(9, CAST(floor(h / 1.25 + 0.5) AS INT)) END AS font_size FROM numbered"""
+_NUMBERED = f"""WITH drawn AS ({_DRAWN}), numbered AS (SELECT *, CAST(sum(CASE layer WHEN 1 THEN 2 ELSE 1 END) OVER (PARTITION BY page_id
+        ORDER BY layer, part, ord NULLS LAST, y, x, w, h, kind <> 'bg-image' NULLS FIRST, kind NULLS FIRST, text NULLS FIRST, reason NULLS FIRST ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS n FROM drawn),
+    named AS (SELECT page_id, n, {_NAMED_ID("['d', 'i', 't', 'm'][layer + 1]", "n")} AS id, CASE WHEN layer = 1 THEN {_NAMED_ID("'f'", "n - 1")} END AS file_id, layer, role, reason, nullif(kind, '') AS kind,
+        CASE WHEN col IS NOT NULL THEN table_id END AS table_id, CASE WHEN table_id IS NOT NULL THEN col END AS col, x, y, w, h, text, CASE WHEN layer = 2 THEN greatest(9, CAST(floor(h / 1.25 + 0.5) AS INT)) END AS font_size,
+        fill, line FROM numbered)"""
+ORACLE_SQL["wireframe_elements"] = _NUMBERED + " SELECT * EXCLUDE (fill, line) FROM named"
 ORACLE_SQL["wireframe_layers"] = f"""SELECT page_id, role, count(*) AS n, min(n) AS "first", max(n) AS "last" FROM ({ORACLE_SQL["wireframe_elements"]}) GROUP BY ALL"""
 _CROWDED = _ELEMENTS.replace("WITH e AS (", "WITH own AS (").replace("seen AS (SELECT * FROM e", f"e AS (SELECT page_id // {S.CROWD} AS page_id, CAST(page_id % {S.CROWD} * 30 + ord AS BIGINT) AS ord, * EXCLUDE (page_id, ord) FROM own),\n    seen AS (SELECT * FROM e")
 ORACLE_SQL["crowded_decor"] = _CROWDED + f" SELECT page_id, ord, x, y, w, h, bg_color, border_color FROM seen WHERE {_DECOR} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ord) <= 600"
@@ -237,3 +239,24 @@ _RECT_LOG = f"""{_MASKS}, logged AS (SELECT k1, k2, list(text || '=' || CASE WHE
         stay AS (SELECT k1, k2, list({{text: text, reason: reason}} ORDER BY unit_idx) AS kept FROM decided WHERE NOT mask GROUP BY ALL)"""
 ORACLE_SQL["decision_logs"] = _RECT_LOG + """ SELECT k1 AS conv_id, k2 AS turn, to_json({route: 'DOM', summary: summary, masks: coalesce(masks, []), kept: coalesce(kept, []), decisions: decisions})::VARCHAR AS json
         FROM logged LEFT JOIN summed USING (k1, k2) LEFT JOIN painted USING (k1, k2) LEFT JOIN stay USING (k1, k2)"""
+
+
+def _object(**fields: str) -> str:
+    """A JSON object without the fields that are null."""
+    parts = ", ".join(f"""'"{name}":' || to_json({value})::VARCHAR""" for name, value in fields.items())
+    return f"'{{' || array_to_string(list_filter([{parts}], lambda p: p IS NOT NULL), ',') || '}}'"
+
+
+_BOXED, _AT = "CASE WHEN layer IN (0, 3) THEN 1 END", lambda *of: f"[{', '.join(of)}][layer + 1]"
+_OPAQUE = "coalesce(starts_with(reason, 'opaque'), false)"
+_ELEMENT = _object(
+    id="id", type=_AT("'rectangle'", "'image'", "'text'", "'rectangle'"), x="x", y="y", width="w", height="h", fillStyle=_AT("'solid'", "NULL", "NULL", f"CASE WHEN {_OPAQUE} THEN 'cross-hatch' ELSE 'hachure' END"),
+    backgroundColor=_AT("coalesce(fill, 'transparent')", "NULL", "NULL", f"CASE WHEN {_OPAQUE} THEN '#dee2e6' ELSE '#ced4da' END"), strokeColor=_AT("coalesce(line, 'transparent')", "'transparent'", "'#1e1e1e'", "'#868e96'"),
+    strokeWidth=_BOXED, roughness=_BOXED, fileId="file_id", status="CASE WHEN layer = 1 THEN 'saved' END", scale="CASE WHEN layer = 1 THEN [1, 1] END", text="text", originalText="text", fontSize="font_size",
+    textAlign="CASE WHEN layer = 2 THEN 'left' END", verticalAlign="CASE WHEN layer = 2 THEN 'top' END", groupIds="CASE WHEN layer >= 2 THEN ['block-' || page_id % 1000] ELSE [] END",
+    customData=f"({_object(m2g='(' + _object(v='1', role='role', reason='reason', kind='kind', tableId='table_id', col='col') + ')::JSON')})::JSON",
+)
+_FILE = _object(mimeType="'image/png'", id="file_id", dataURL="fill", created="0", lastRetrieved="0")
+ORACLE_SQL["wireframe_json"] = _NUMBERED + f""", listed AS (SELECT page_id, string_agg({_ELEMENT}, ',' ORDER BY n) AS es, coalesce(string_agg(CASE WHEN layer = 1 THEN '"' || file_id || '":' || {_FILE} END, ',' ORDER BY file_id), '') AS fs
+        FROM named GROUP BY page_id)
+    SELECT page_id, '{{"type":"excalidraw","version":2,"elements":[' || es || '],"appState":{{"viewBackgroundColor":"#ffffff"}},"files":{{' || fs || '}}}}' AS json FROM listed"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import vocab as V
+from ..cluster import kept
 from ..functions import text as T
 from ..functions.geometry import to_rect
 from ..operators import regions
@@ -238,7 +239,7 @@ def text_run_merge(spark, sf_dir):
 
 
 def _drawn(spark, sf_dir):
-    decided = _decided(spark, sf_dir)
+    decided = kept(_decided(spark, sf_dir))  # read for texts and masks, twice each
     screen = samples.screen_elements(_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")))
     runs = text_runs(_page(kept_of(decided, SCREEN_KEYS)).withColumn("ord", F.col("unit_idx").cast("long")))
     masks = _page(_masks(decided))
@@ -264,7 +265,7 @@ def wireframe_json(spark, sf_dir):
 
 def decision_logs(spark, sf_dir):
     """What was decided on each screen, for its reviewer."""
-    decided = _decided(spark, sf_dir)
+    decided = kept(_decided(spark, sf_dir))  # read for decisions, masks and texts
     return decision_log(decided, _masks(decided), kept_of(decided, SCREEN_KEYS), SCREEN_KEYS, ("unit_idx",))
 
 

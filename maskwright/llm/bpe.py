@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .arrow_rows import with_column
 
 #: Distinct words whose ids a worker remembers; beyond this it starts afresh.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 50_000
 #: Symbols that are merged together in one flat array.
 ROUND_SYMBOLS = 1 << 18
 NO_RANK = np.iinfo(np.int64).max
@@ -290,5 +290,5 @@ def bpe_round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: st
         return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(model.decode(packed), pa.binary()).cast(pa.string())], names=["ids", "decoded"])
 
     kept = [c for c in df.columns if c not in (ids_col, decoded_col, "_coded") and not (drop and c == text_col)]
-    coded = with_column(df.select(*kept, *([text_col] if text_col not in kept else [])), text_col, "_coded", "struct<ids:binary,decoded:string>", both, drop=drop, limit=1 << 20)
+    coded = with_column(df.select(*kept, *([text_col] if text_col not in kept else [])), text_col, "_coded", "struct<ids:binary,decoded:string>", both, drop=drop, limit=1 << 18)
     return coded.select(*kept, coded["_coded.ids"].alias(ids_col), coded["_coded.decoded"].alias(decoded_col))

@@ -264,7 +264,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     asked = parsed.select("conv_id", "turn", "rid", F.explode("quotes").alias("q")).select("conv_id", "turn", "rid", "q.level", "q.size", "q.hash")
     # only passages that somebody quotes need their first message
     wanted = asked.select("conv_id", "hash").distinct()
-    wrote = parsed.select("conv_id", F.explode("passages").alias("hash"), "turn").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")).join(wanted, ["conv_id", "hash"], "left_semi")
+    wrote = parsed.select("conv_id", F.explode("passages").alias("hash"), "turn").join(wanted, ["conv_id", "hash"], "left_semi")
+    wrote = wrote.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     linked = cut(asked.join(wrote, ["conv_id", "hash"]).where("origin < turn"))
     best = linked.groupBy("conv_id", "turn").agg(F.min_by("origin", F.struct("level", -F.col("size"), "origin")).alias("explicit"))
     per_row = linked.groupBy("rid").agg(F.collect_list(F.when(F.col("level") == 1, F.col("hash"))).alias("hashes"), F.count("*").alias("linked_quotes"))

@@ -68,3 +68,15 @@ def test_long_sparse_and_repeated_messages(spark):
     found = got.collect()
     assert len(found) == len(rows) and sorted(r.position for r in found if r.conv_id == 1) == list(range(302))
     assert [r.text for r in found if r.turn == 10**12 * 301] == ["yes"] and {r.text for r in found if (r.conv_id, r.turn) == (2, 1)} == {"no"}
+
+
+def test_no_messages_and_clashing_columns(spark):
+    """An empty table, nulls in every column, and other columns of names that are used inside."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, "user", "A passage that is said first."), (1, 1, "bot", "> A passage that is said first.\n\nAnd answered."), (1, None, None, None), (None, 0, "user", ""), (None, 1, "user", "> nobody said this")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("rid", "hash", "quotes", "passages", "thread", "position", "depth", "explicit", "origin", "linked_quotes")})
+    got = {(r.conv_id, r.turn): r for r in link_quotes(df).collect()}
+    assert len(got) == 5 and got[1, 1].reply_to == 0 and got[1, 1].text == "And answered." and got[1, 1].linked_quotes == 1
+    assert got[None, 1].text == "> nobody said this" and got[1, None].text == "" and got[None, 0].role == "user"
+    assert link_quotes(df.where("false")).count() == 0

@@ -4,7 +4,7 @@ Vectors are dealt into shards of bounded size, each sent to one task once; every
 behind the shard's vectors, so that a task holds one shard and a slice of queries. A shard keeps, for every projection
 of a random rotation, its vectors sorted by that projection. A query's window lies around its own projection in each
 sorted array and widens level by level (virtual rehashing: only the places that a wider window adds are read). A vector
-that falls into half of the windows is verified, by its exact inner product; a query stops when its k-th best lies well
+that falls into half of the windows is verified, by its inner product (the best ones' in double precision); a query stops when its k-th best lies well
 within the distance at which half of the windows collide. The last level's windows hold everything, so a shard of few
 vectors gives all of them.
 
@@ -25,14 +25,17 @@ from .arrow_rows import in_arrow
 from .spark_util import small_side
 
 #: Neighbours of a query; vectors of a shard at most about, and at least where more shards keep more cores busy.
-NEAREST, SHARD, LEAST_SHARD = 20, 1 << 15, 1 << 12
+NEAREST, SHARD, LEAST_SHARD = 20, 1 << 15, 1 << 14
+#: Vectors beyond the k best whose exact products are taken: short numbers order the verified ones first.
+SPARE = 44
 #: Queries that are searched together.
 BLOCK = 1 << 10
-#: Projections; the first window's half width in standard deviations of a projection, and its growth per level.
-PROJECTIONS, FIRST, GROWTH = 48, 0.04, 1.35
+#: Projections; the first window's half width in standard deviations of a projection, and its growth per level: small
+#: up to ``NEAR`` deviations, where most queries stop, so that they read no more than they need, and larger beyond.
+PROJECTIONS, FIRST, GROWTH, NEAR, FAR_GROWTH = 48, 0.5, 1.12, 2.0, 1.5
 #: Share of windows that a vector must fall into. A window of half width w holds a vector at distance s with
 #: probability 1/2 if w is QUARTILE * s; a query stops when its k-th best is MARGIN times nearer than that.
-SHARE, QUARTILE, MARGIN = 0.5, 0.6745, 1.3
+SHARE, QUARTILE, MARGIN = 0.5, 0.6745, 1.2
 
 
 @lru_cache(maxsize=64)
@@ -45,7 +48,7 @@ class Shard:
     """Sorted projections of vectors of at most length ``longest``."""
 
     def __init__(self, vectors: np.ndarray, longest: float, projections: int = PROJECTIONS):
-        self.vectors = vectors
+        self.vectors, self.short = vectors, (vectors / longest).astype(np.float32)
         norms = (vectors.astype(np.float64) ** 2).sum(1)
         full = np.hstack([vectors, np.sqrt(np.maximum(longest**2 - norms, 0))[:, None]]) / longest
         # as many rotations as give the projections
@@ -64,9 +67,10 @@ class Shard:
         n, dims = len(self.vectors), self.axes.shape[1]
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         at = np.hstack([unit, np.zeros((len(unit), 1))]) @ self.axes.T
-        widths, sigma = [], 1 / np.sqrt(dims)
-        while not widths or widths[-1] < 2:
-            widths.append(FIRST * sigma * GROWTH ** len(widths))
+        sigma = 1 / np.sqrt(dims)
+        widths = [FIRST * sigma]
+        while widths[-1] < 2:
+            widths.append(widths[-1] * (GROWTH if widths[-1] < NEAR * sigma else FAR_GROWTH))
         bounds = np.empty((2, len(widths), len(self.axes), len(queries)), np.int32)
         for j, row in enumerate(self.sorted):
             for i, w in enumerate(widths):
@@ -74,38 +78,37 @@ class Shard:
                 bounds[1, i, j] = np.searchsorted(row, at[:, j] + w, "right")
         bounds[0, -1], bounds[1, -1] = 0, n  # the last level holds all
         need, out = int(np.ceil(SHARE * len(self.axes))), []
-        vectors = self.vectors
+        vectors, short = self.vectors, unit.astype(np.float32)
         for q in range(len(queries)):
-            counts, lows, highs = np.zeros(n, np.int8), bounds[0, :, :, q], bounds[1, :, :, q]
-            places, scores = np.zeros(0, np.int64), np.zeros(0)
+            counts, lows, highs = np.zeros(n, np.int64), bounds[0, :, :, q], bounds[1, :, :, q]
+            places, scores = np.zeros(0, np.int64), np.zeros(0, np.float32)
             fresh = np.ones(n, bool)
             fresh[names == own[q]] = False
-            last = [(0, 0)] * len(self.axes)
+            was_low = was_high = lows[0].tolist()
             for level, w in enumerate(widths):
-                low, high, now = lows[level].tolist(), highs[level].tolist(), []
-                for order, a, b, (c, d) in zip(self.order, low, high, last, strict=True):
-                    if c == d:
-                        counts[order[a:b]] += 1
-                    else:
-                        counts[order[a:c]] += 1
-                        counts[order[d:b]] += 1
-                    now.append((a, b))
-                last = now
+                low, high = lows[level].tolist(), highs[level].tolist()
+                # what this level's windows add on either side of the last one's
+                added = [row[a:c] for row, a, c in zip(self.order, low, was_low, strict=True)]
+                added += [row[d:b] for row, d, b in zip(self.order, was_high, high, strict=True)]
+                counts += np.bincount(np.concatenate(added), minlength=n)
+                was_low, was_high = low, high
                 found = np.flatnonzero((counts >= need) & fresh)
                 if len(found):
                     fresh[found] = False
                     places = np.append(places, found)
-                    scores = np.append(scores, (vectors[found] * queries[q]).sum(1))
-                    if len(places) > 4 * k:
-                        best = np.lexsort((names[places], -scores))[:k]
+                    scores = np.append(scores, np.einsum("ij,j->i", self.short[found], short[q]))
+                    if len(places) > 4 * (k + SPARE):
+                        best = np.lexsort((names[places], -scores))[: k + SPARE]
                         places, scores = places[best], scores[best]
                 if len(places) >= k:
                     kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    distance = np.sqrt(max(0.0, 2 - 2 * kth / (np.linalg.norm(queries[q]) * self.longest)))
+                    distance = np.sqrt(max(0.0, 2 - 2 * float(kth)))
                     if distance * sigma * MARGIN * QUARTILE <= w:
                         break
-            best = np.lexsort((names[places], -scores))[:k]
-            out.append((places[best], scores[best]))
+            best = places[np.lexsort((names[places], -scores))[: k + SPARE]]
+            exact = (vectors[best] * queries[q]).sum(1)
+            first = np.lexsort((names[best], -exact))[:k]
+            out.append((best[first], exact[first]))
         return out
 
 

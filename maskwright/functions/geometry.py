@@ -23,10 +23,6 @@ def around(a: Column, b: Column) -> Column:
     return box(F.least(a["x0"], b["x0"]), F.least(a["y0"], b["y0"]), F.greatest(a["x1"], b["x1"]), F.greatest(a["y1"], b["y1"]))
 
 
-def scaled(b: Column, sx: Column | float, sy: Column | float) -> Column:
-    return box(b["x0"] * sx, b["y0"] * sy, b["x1"] * sx, b["y1"] * sy)
-
-
 def shared_height(a: Column, b: Column) -> Column:
     """How far two boxes overlap from top to bottom; negative where they do not."""
     return F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])

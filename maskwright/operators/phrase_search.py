@@ -3,14 +3,19 @@
 The phrases form an automaton after Aho and Corasick in flat arrays. A text is cut into lanes that all move one character
 at a time; a lane starts as many characters early as the longest phrase has, and so is never in another state than one
 reader of the whole text would be.
+
+Phrases that one automaton cannot hold are joined: hashes of their beginnings and of themselves lie in one array of bits,
+by which a slice of blocks finds the texts that may be phrases; a join tells which of these are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,6 +25,11 @@ from ..cluster import kept, ship
 from . import spans as S
 from .trie import Trie
 
+#: Bits of a sieve for each phrase or beginning, and in all, at most; how many of them a text sets.
+SIEVE_BITS, MOST_BITS, SIEVE_HASHES = 16, 1 << 30, 2
+#: Lengths of the beginnings of phrases that are looked for first, then each twice as long as the one before.
+FIRST_HEAD = 4
+
 #: Characters of phrases in one automaton (each is a node of about 24 bytes at most), and of a lane, at least.
 AUTOMATON_CHARS, LANE_CHARS = 1 << 21, 256
 
@@ -99,23 +109,25 @@ def with_phrases(blocks: DataFrame, phrases: DataFrame, full: bool = False, flag
     blocks; occurrences may overlap. Units without characters in that form are never covered. Null units are empty; a
     null block has a null flag. A column named ``flag`` is replaced. Without phrases nothing is covered.
 
-    One automaton is broadcast at a time. Where phrases need several, each passes over the blocks in turn and leaves
-    the places that it covers for the next.
+    Phrases of up to ``most`` characters are broadcast as an automaton. More of them are sieved and joined
+    (``_sieved``): the blocks are read and shuffled once, however many phrases there are.
     """
     spark = blocks.sparkSession
     ship(spark)
     held = "_held"
-    while held in blocks.columns:
+    while any(c in blocks.columns for c in (held, held + "_slice", held + "_texts")):
         held += "_"
     blocks = blocks.drop(flag)
-    found = blocks
-    for automaton in automata(phrases, term, most):
-        if held in found.columns:
-            found = kept(found)
-        found = _searched(found, spark.sparkContext.broadcast(automaton), held)
-    if found is blocks:
-        return blocks.withColumn(flag, F.transform("units", lambda u: F.lit(False)))
-    return _flagged(found, held, full, flag)
+    terms = phrases.where(F.col(term).isNotNull()).select(F.col(term).alias("term"))
+    # repeated phrases count each time here, so a table within the bound is small without a shuffle
+    if terms.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0] > most:
+        sieved = _sieved(blocks, _forms_of(terms), held)
+        if sieved is not None:
+            return _judged(*sieved, held, full, flag)
+    else:
+        for automaton in automata(phrases, term, most):
+            return _flagged(_searched(blocks, spark.sparkContext.broadcast(automaton), held), held, full, flag)
+    return blocks.withColumn(flag, F.transform("units", lambda u: F.lit(False)))
 
 
 def _joined(batch: pa.RecordBatch) -> tuple[S.Joined, np.ndarray]:
@@ -125,9 +137,8 @@ def _joined(batch: pa.RecordBatch) -> tuple[S.Joined, np.ndarray]:
 
 
 def _searched(blocks: DataFrame, shared, held: str) -> DataFrame:
-    """``blocks`` with the places (start, end, .. in the block's joined text) that ``shared`` finds added to ``held``."""
-    had = held in blocks.columns
-    schema = blocks.schema if had else StructType([*blocks.schema.fields, StructField(held, ArrayType(LongType()))])
+    """``blocks`` with the places (start, end, .. in the block's joined text) that ``shared`` finds as ``held``."""
+    schema = StructType([*blocks.schema.fields, StructField(held, ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
@@ -140,14 +151,8 @@ def _searched(blocks: DataFrame, shared, held: str) -> DataFrame:
                 found = found - begins[block][:, None]
                 ends = np.searchsorted(block, np.arange(len(begins)), "right")
                 lists = [found[a:b].ravel() for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
-                if had:
-                    before = batch.column(batch.schema.get_field_index(held)).to_pylist()
-                    lists = [np.append(np.array(b or [], np.int64), own) for b, own in zip(before, lists, strict=True)]
-                columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != held]
-                columns.append(pa.array([x.tolist() for x in lists], out.field(held).type))
-                names = [*(f.name for f in batch.schema if f.name != held), held]
-                made = dict(zip(names, columns, strict=True))
-                yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in out], schema=out)
+                columns = [*(batch.column(i) for i in range(batch.num_columns)), pa.array([x.tolist() for x in lists], out.field(held).type)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     return blocks.mapInArrow(run, schema)
 
@@ -173,3 +178,180 @@ def _flagged(found: DataFrame, held: str, full: bool, flag: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return found.mapInArrow(run, schema)
+
+
+def _forms_of(terms: DataFrame) -> DataFrame:
+    """``p``: the distinct forms in which phrases are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = S.phrase_forms(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({p for p in forms if p and S.MARK not in p}), pa.string())], names=["p"])
+
+    return kept(terms.select("term").mapInArrow(run, "p string").distinct())
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number, in 64 bits."""
+    out = np.full(n + 1, 0x9E3779B97F4A7C15, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _prefixes(codes: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Sums by which the hash of any part of a text is told: a part's is its difference over the power at its start."""
+    own = (codes.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93)
+    return np.append(np.uint64(0), np.cumsum((own ^ (own >> np.uint64(29))) * powers[: len(codes)], dtype=np.uint64))
+
+
+def _mixed(sums: np.ndarray, start: np.ndarray, size: int | np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """The hashes of the parts of a text from ``start``, of ``size`` characters."""
+    mixed = (sums[start + size] - sums[start]) * inverse[start] + np.uint64(0xA0761D6478BD642F) * np.asarray(size, np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xE7037ED1A0B428DB)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _again(mixed: np.ndarray) -> np.ndarray:
+    return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
+def _inverses(n: int) -> np.ndarray:
+    """Powers of the inverse of that odd number."""
+    out = np.full(n + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _heads(longest: int) -> list[int]:
+    out, size = [], FIRST_HEAD
+    while size < longest:
+        out.append(size)
+        size *= 2
+    return out
+
+
+class Sieve:
+    """Bits of phrases and of their beginnings, and the phrases' lengths."""
+
+    def __init__(self, bits: int, sizes: list[int]):
+        self.bits, self.sizes, self.heads = bits, sorted(sizes), _heads(max(sizes))
+        self.held = np.zeros(bits // 8, np.uint8)
+
+    def words_of(self, phrases: list[str]) -> np.ndarray:
+        """The bits that phrases and their beginnings set."""
+        text, size = _codes("".join(phrases)), np.fromiter(map(len, phrases), np.int64, len(phrases))
+        start = np.cumsum(size) - size
+        sums, inverse = _prefixes(text, _powers(len(text))), _inverses(len(text))
+        found = []
+        for mixed in (_mixed(sums, start, size, inverse), *(_mixed(sums, start[size > head], head, inverse) for head in self.heads)):
+            for _ in range(SIEVE_HASHES):
+                found.append((mixed & np.uint64(self.bits - 1)).astype(np.int64))
+                mixed = _again(mixed)
+        return np.unique(np.concatenate(found))
+
+    def _may(self, sums: np.ndarray, start: np.ndarray, size: int, inverse: np.ndarray) -> np.ndarray:
+        """Those of the starts from which ``size`` characters may be a phrase or a beginning of one."""
+        mixed = _mixed(sums, start, size, inverse)
+        for _ in range(SIEVE_HASHES):
+            at = (mixed & np.uint64(self.bits - 1)).astype(np.int64)
+            yes = np.flatnonzero((self.held[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            start, mixed = start[yes], _again(mixed[yes])
+        return start
+
+    def spans(self, text: str) -> np.ndarray:
+        """Rows of start and end of all parts of a text that may be phrases: those that are, and few others."""
+        codes = _codes(text)
+        sums, inverse = _prefixes(codes, _powers(len(codes))), _inverses(len(codes))
+        start, heads, found = np.arange(len(codes)), self.heads[:], [np.zeros((0, 2), np.int64)]
+        for size in self.sizes:
+            while heads and heads[0] < size:
+                head = heads.pop(0)
+                start = self._may(sums, start[start + head <= len(codes)], head, inverse)
+            at = self._may(sums, start[start + size <= len(codes)], size, inverse)
+            found.append(np.stack([at, at + size], axis=1))
+        return np.concatenate(found)
+
+
+def _sieved(blocks: DataFrame, forms: DataFrame, held: str) -> tuple[DataFrame, DataFrame] | None:
+    """``blocks`` with the places that may be phrases and the number of their slice, and the slices' texts that are."""
+    spark = blocks.sparkSession
+    sizes = forms.groupBy(F.length("p").alias("size")).agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return None
+    heads = _heads(max(r["size"] for r in sizes))
+    items = sum(r["n"] * (1 + sum(h < r["size"] for h in heads)) for r in sizes)
+    bits = 1 << 13
+    while bits < min(items * SIEVE_BITS, MOST_BITS):
+        bits *= 2
+    sieve = Sieve(bits, [r["size"] for r in sizes])
+
+    def set_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(sieve.bits // 8, np.uint8)
+        for batch in batches:
+            at = sieve.words_of(batch.column(0).to_pylist())
+            np.bitwise_or.at(mine, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        words = mine.view(np.uint64)
+        at = np.flatnonzero(words)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(words[at[k : k + (1 << 16)]].view(np.int64))], names=["at", "word"])
+
+    words = forms.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(set_by, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    table = words.toArrow()
+    sieve.held.view(np.int64)[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(sieve)
+    more = StructType.fromDDL(f"{held} array<int>, {held}_slice string, {held}_texts array<string>").fields
+    schema = StructType([*blocks.schema.fields, *more])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
+        for whole in batches:
+            for batch in S.slices_of(whole):
+                joined, offsets = _joined(batch)
+                begins = joined.block_starts(offsets)
+                found = shared.value.spans(joined.text)
+                found = found[np.argsort(found[:, 0], kind="stable")]
+                block = np.searchsorted(begins, found[:, 0], "right") - 1
+                texts = sorted({t for a, b in found.tolist() if S.MARK not in (t := joined.text[a:b])})
+                ends = np.append(0, np.searchsorted(block, np.arange(len(begins)), "right"))
+                inside = (found - begins[block][:, None]).astype(np.int32).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(ends * 2, pa.int32()), pa.array(inside))
+                name = uuid.uuid4().hex
+                columns = [*(batch.column(i) for i in range(batch.num_columns)), lists, pa.array([name] * batch.num_rows), pa.array([texts, *[None] * (batch.num_rows - 1)], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    found = kept(blocks.mapInArrow(run, schema))
+    texts = found.where(F.col(f"{held}_texts").isNotNull()).select(f"{held}_slice", F.explode(f"{held}_texts").alias("p"))
+    # a slice names each text once, so a frequent one has as many rows as there are slices, at most
+    true = texts.join(forms.hint("shuffle_hash"), "p", "left_semi").groupBy(F.col(f"{held}_slice").alias("of")).agg(F.collect_list("p").alias("p"))
+    return found.drop(f"{held}_texts"), true
+
+
+def _judged(found: DataFrame, true: DataFrame, held: str, full: bool, flag: str) -> DataFrame:
+    """The blocks of each slice with ``flag``, by the places whose texts are phrases."""
+    name = f"{held}_slice"
+    fields = [f for f in found.schema.fields if f.name not in (held, name)]
+    schema = StructType([*fields, StructField(flag, ArrayType(BooleanType()))])
+
+    def run(blocks: pa.Table, true: pa.Table) -> pa.Table:
+        out = to_arrow_schema(schema)
+        if not blocks.num_rows:
+            return out.empty_table()
+        phrases = {p for ps in true.column("p").to_pylist() for p in ps}
+        batch = blocks.combine_chunks().to_batches()[0]
+        joined, offsets = _joined(batch)
+        begins = joined.block_starts(offsets)
+        column = batch.column(batch.schema.get_field_index(held))
+        count = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        spans = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2) + np.repeat(begins, count // 2)[:, None]
+        spans = spans[np.fromiter((joined.text[a:b] in phrases for a, b in spans.tolist()), bool, len(spans))]
+        covered = joined.covered(spans)
+        flags = (covered == joined.sizes) & (covered > 0) if full else covered > 0
+        null = batch.column(batch.schema.get_field_index("units")).is_null().to_numpy(zero_copy_only=False)
+        columns = [batch.column(batch.schema.get_field_index(f.name)).cast(out.field(f.name).type) for f in fields]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([*columns, S.per_unit(flags, offsets, null, out.field(flag).type)], schema=out)])
+
+    return found.groupBy(name).cogroup(true.groupBy("of")).applyInArrow(run, schema)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from maskwright.operators import spans as S
-from maskwright.operators.phrase_search import Automaton, automata, with_phrases
+from maskwright.operators.phrase_search import Automaton, Sieve, automata, with_phrases
 from maskwright.operators.spans import with_spans
 from maskwright.vocab import Rules
 
@@ -87,3 +87,30 @@ def test_slices_of_blocks(spark):
     parts = list(S.slices_of(batch, 8000))
     assert [b for p in parts for b in p.column(0).to_pylist()] == [b for b, _ in rows]
     assert all(p.num_rows == 1 or sum(len(u) for us in p.column(1).to_pylist() for u in us) <= 8000 for p in parts) and len(parts) > 10
+
+
+def test_phrases_beyond_one_automaton(spark):
+    """However many phrases there are, blocks are read once: by sieve and join the same flags as one after another."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 3, 5, 9, 40])))
+    words = [word() for _ in range(60)]
+    rows = [(i, [rng.choice(words) for _ in range(rng.randrange(15))]) for i in range(80)]
+    terms = [f"{rng.choice(words)} {rng.choice(words)}" for _ in range(400)] + ["", "日本 語", "a"]
+    df = spark.createDataFrame(rows, "b int, units array<string>").repartition(3)
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    for full in (False, True):
+        got = {r.b: r.user_kept for r in with_phrases(df, table, full, most=100).collect()}
+        for b, units in rows:
+            breaks = np.append(1, np.zeros(max(len(units) - 1, 0), np.int64))[: len(units)]
+            assert got[b] == S.protected(units, S._phrases(tuple(terms)), full, breaks).tolist()
+
+
+def test_sieve_misses_nothing():
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcd日😀") for _ in range(5000))
+    phrases = sorted({text[a : a + n] for a in range(0, 4900, 7) for n in (1, 2, 4, 5, 8, 9, 33)[: 1 + a % 7]} | {"zzzzzzzz"})
+    sieve = Sieve(1 << 20, [len(p) for p in phrases])
+    at = sieve.words_of(phrases)
+    np.bitwise_or.at(sieve.held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    found, true = set(map(tuple, sieve.spans(text).tolist())), set(map(tuple, S.one_by_one(text, phrases).tolist()))
+    assert true <= found and len(found - true) < len(true) / 10 and len(sieve.spans("")) == 0

@@ -226,6 +226,12 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _hashes(text: str, spans: np.ndarray) -> np.ndarray:
+    """Hashes of parts of a text, rows of start and end; by them the texts of one slice are told apart."""
+    codes = _codes(text)
+    return _mixed(_prefixes(codes, _powers(len(codes))), spans[:, 0], spans[:, 1] - spans[:, 0], _inverses(len(codes)))
+
+
 def _heads(longest: int) -> list[int]:
     out, size = [], FIRST_HEAD
     while size < longest:
@@ -315,7 +321,8 @@ def _sieved(blocks: DataFrame, forms: DataFrame, held: str) -> tuple[DataFrame,
                 found = shared.value.spans(joined.text)
                 found = found[np.argsort(found[:, 0], kind="stable")]
                 block = np.searchsorted(begins, found[:, 0], "right") - 1
-                texts = sorted({t for a, b in found.tolist() if S.MARK not in (t := joined.text[a:b])})
+                _, first = np.unique(_hashes(joined.text, found), return_index=True)
+                texts = [t for a, b in found[first].tolist() if S.MARK not in (t := joined.text[a:b])]
                 ends = np.append(0, np.searchsorted(block, np.arange(len(begins)), "right"))
                 inside = (found - begins[block][:, None]).astype(np.int32).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(ends * 2, pa.int32()), pa.array(inside))
@@ -340,14 +347,15 @@ def _judged(found: DataFrame, true: DataFrame, held: str, full: bool, flag: str)
         out = to_arrow_schema(schema)
         if not blocks.num_rows:
             return out.empty_table()
-        phrases = {p for ps in true.column("p").to_pylist() for p in ps}
+        phrases = [p for ps in true.column("p").to_pylist() for p in ps]
         batch = blocks.combine_chunks().to_batches()[0]
         joined, offsets = _joined(batch)
         begins = joined.block_starts(offsets)
         column = batch.column(batch.schema.get_field_index(held))
         count = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         spans = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2) + np.repeat(begins, count // 2)[:, None]
-        spans = spans[np.fromiter((joined.text[a:b] in phrases for a, b in spans.tolist()), bool, len(spans))]
+        ends = np.cumsum(np.fromiter(map(len, phrases), np.int64, len(phrases)))
+        spans = spans[np.isin(_hashes(joined.text, spans), _hashes("".join(phrases), np.stack([np.append(0, ends)[:-1], ends], axis=1)))]
         covered = joined.covered(spans)
         flags = (covered == joined.sizes) & (covered > 0) if full else covered > 0
         null = batch.column(batch.schema.get_field_index("units")).is_null().to_numpy(zero_copy_only=False)

@@ -31,6 +31,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Rows of an Arrow batch where rows are wide (a page, a screen with the rows of its units).
+WIDE_ROWS = 1000
+
+
+def wide_rows(spark: SparkSession) -> None:
+    """Batches of fewer rows for Python, unless the user has set how many: a worker holds a whole batch, several times over,
+    and Spark's default of 10,000 rows lets its memory grow with the rows of a task up to that."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(WIDE_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

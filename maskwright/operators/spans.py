@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .. import vocab as V
-from ..cluster import ship
+from ..cluster import ship, wide_rows
 from ..vocab import Rules
 
 _PY = lambda p: re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", p)
@@ -176,6 +176,7 @@ def with_spans(blocks: DataFrame, rules: Rules = Rules(), flags: tuple[str, ...]
     are empty; a null block has null flags. Columns named like a flag are replaced.
     """
     ship(blocks.sparkSession)
+    wide_rows(blocks.sparkSession)
     from .phrase_search import Automaton
 
     terms, labels = _phrases(rules.terms), _phrases(rules.labels)

@@ -101,3 +101,15 @@ def test_long_runs():
     for text in ("x" * 30_000, "漢" * 5_000, "あ" * 5_000):
         assert "".join(t["surface_form"] for t in Dictionary().tokenize(text)) == text
     assert len({k.name for k in KINDS}) == len(KINDS)
+
+
+def test_together_and_once(spark):
+    """Texts looked up together are parted as each alone; a query that filters by its tokens parts them once."""
+    d = Dictionary(WORDS, COSTS)
+    texts = ["東京都に住む", None, "", "山田太郎", "京", "都に東", "x" * 70_000, "山田さん"]
+    assert list(d.tokenize_all(texts)) == [d.tokenize(t or "") for t in texts] and list(d.tokenize_all([])) == []
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, line string")
+    parted = with_dictionary_tokens(lines, d, F.col("line")).select("id", F.transform("tokens", lambda t: t["surface_form"]).alias("units")).where(F.size("units") > 0)
+    plan = parted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r.id: r.units for r in parted.collect()} == {i: [w["surface_form"] for w in d.tokenize(t)] for i, t in enumerate(texts) if t}

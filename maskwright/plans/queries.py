@@ -238,6 +238,15 @@ def text_run_merge(spark, sf_dir):
     return text_runs(_page(kept_of(_decided(spark, sf_dir), SCREEN_KEYS)).withColumn("ord", F.col("unit_idx").cast("long")))
 
 
+#: Drawings of one task.
+TASK_PAGES = 2000
+
+
+def _page_parts(spark, pages):
+    """So many tasks for drawings that one holds no more of them in a larger table than in a small one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pages // TASK_PAGES))
+
+
 def _drawn(spark, sf_dir):
     decided = kept(_decided(spark, sf_dir))  # read for texts and masks, twice each
     screen = samples.screen_elements(_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")))
@@ -245,7 +254,8 @@ def _drawn(spark, sf_dir):
     masks = _page(_masks(decided))
     removed = masks.where("reason = 'dom-data'")
     pictures = regions.icons(screen, ["page_id"]).withColumn("data_url", F.concat(F.lit("data:image/png;"), "ord"))
-    return elements(masks.where("reason != 'dom-data'"), runs, removed, regions.decor(screen, ["page_id"]), pictures), regions.page_ground(screen, ["page_id"])
+    parts = _page_parts(spark, _table(spark, sf_dir, "conversations").count())
+    return elements(masks.where("reason != 'dom-data'"), runs, removed, regions.decor(screen, ["page_id"]), pictures, parts_of_pages=parts), regions.page_ground(screen, ["page_id"])
 
 
 def wireframe_elements(spark, sf_dir):

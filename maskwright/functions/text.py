@@ -9,13 +9,21 @@ from .. import vocab as V
 
 
 def fold(text: Column) -> Column:
-    """Full-width letters, digits and @ to half width, then lower case."""
-    return F.lower(F.translate(text, V.WIDE, V.NARROW))
+    """Full-width letters, digits and @ to half width, then lower case. Most texts hold none of these, which is told
+    faster than they are changed."""
+    wide = (F.octet_length(text) != F.length(text)) & text.rlike(f"[{V.WIDE}]")
+    return F.lower(F.when(wide, F.translate(text, V.WIDE, V.NARROW)).otherwise(text))
+
+
+def _stands(text: Column) -> Column:
+    """Whether a text begins with a character that is surely no white space."""
+    between = lambda low, high: (text >= low) & (text < high)
+    return between("!", "\u00a0") | between("\u00a1", "\u1680")
 
 
 def trim(text: Column) -> Column:
     """The text without Unicode white space at its ends."""
-    return F.btrim(text, F.lit(V.SPACES))
+    return F.when(_stands(text) & _stands(F.substring(text, -1, 1)), text).otherwise(F.btrim(text, F.lit(V.SPACES)))
 
 
 def normalize(text: Column) -> Column:
@@ -35,7 +43,9 @@ def utf16_length(text: Column) -> Column:
 def is_long(norm: Column) -> Column:
     """Whether a text has ``LONG_TEXT`` UTF-16 units or more; most texts are decided by their characters alone."""
     chars = F.length(norm)
-    return (chars >= V.LONG_TEXT) | ((2 * chars >= V.LONG_TEXT) & (utf16_length(norm) >= V.LONG_TEXT))
+    # a character of two units has four bytes
+    pairs = F.octet_length(norm) - chars >= 3 * (V.LONG_TEXT - chars)
+    return (chars >= V.LONG_TEXT) | ((2 * chars >= V.LONG_TEXT) & pairs & (utf16_length(norm) >= V.LONG_TEXT))
 
 
 #: Reasons that keep a text; all others mask it. So do reasons that begin with one of the second.
@@ -59,7 +69,7 @@ def word_reason(norm: Column, raw: Column, labels: tuple[str, ...] = V.LABELS) -
         .when(norm.rlike("[0-9]"), "digit")
         .when(is_long(norm), "long-text")
         .when(norm.isin(*labels), "allowlist")
-        .when(raw.rlike(V.NAME_LIKE.replace("$", "\\z")), "jp-name-like")
+        .when((raw >= "\u3005") & raw.rlike(V.NAME_LIKE.replace("$", "\\z")), "jp-name-like")
         .when(raw.rlike(V.ASCII_WORD.replace("$", "\\z")), "ascii-word")
         .otherwise("unknown")
     )
@@ -99,14 +109,17 @@ def judge_token(token: Column, labels: tuple[str, ...] = V.LABELS) -> Column:
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with ``columns``, each computed once: projections are not merged over the generator between them."""
+    """``df`` with ``columns``, each computed once: projections are not merged over the generator between them.
+
+    Where one column is made from another that is used in it several times, two calls keep the generated code short
+    enough to be compiled (the virtual machine interprets methods of more than 8,000 bytes)."""
     made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
     return df.select(*(c for c in df.columns if c not in columns), made)
 
 
 def judged(df: DataFrame, text: str, labels: tuple[str, ...] = V.LABELS) -> DataFrame:
     """``df`` with the ``reason`` of the raw word in ``text``."""
-    forms = once(df, _norm=normalize(F.col(text)), _raw=trim(F.col(text)))
+    forms = once(once(df, _raw=trim(F.col(text))), _norm=fold(F.col("_raw")))
     return once(forms, reason=word_reason(F.col("_norm"), F.col("_raw"), labels)).drop("_norm", "_raw")
 
 

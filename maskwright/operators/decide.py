@@ -36,40 +36,39 @@ def decide(units: DataFrame, rules: Rules = Rules()) -> DataFrame:
     forms of a text, its own reason and the final one are each computed once, whatever is asked of the result.
     """
     names = [c for c in units.columns if c not in ("mask", "reason")]
-    units = with_missing(units, DEFAULTS)
+    if "token" in units.columns:  # Spark's pruning below a generator loses columns where constants stand beside tokens
+        units = with_missing(units, DEFAULTS)
+    # what is missing is a constant, which rules over it drop out with
+    there = set(units.columns)
+    given = lambda c: F.col(c) if c in there else F.lit(None).cast(DEFAULTS[c])
     said = F.coalesce("text", F.lit(""))
-    forms = {"_raw": trim(said)}
-    if "token" in units.columns:
-        surface = F.coalesce(F.col("token")["surface_form"], said)
-        forms["_norm"] = fold(trim(F.when(F.col("token").isNotNull(), surface).otherwise(said)))
-    else:
-        forms["_norm"] = fold(forms["_raw"])
-    units = once(units, **forms)
+    said = {"_raw": trim(said)} | ({"_surface": trim(F.coalesce(F.col("token")["surface_form"], said))} if "token" in units.columns else {})
+    units = once(once(units, **said), _norm=fold(F.col(list(said)[-1])))
     own = word_reason(F.col("_norm"), F.col("_raw"), rules.labels)
     if "token" in units.columns:
         own = F.when(F.col("token").isNotNull(), token_reason(F.col("_norm"), F.col("token"), rules.labels)).otherwise(own)
-    units = once(units, _own=F.coalesce("line_reason", own))
+    units = once(units, _own=F.coalesce(given("line_reason"), own))
 
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    place = lambda p: F.coalesce(F.col("semantic") == p, F.lit(False))
-    line, data, label = F.col("line_reason").isNotNull(), place("data"), place("label")
+    yes = lambda c: F.coalesce(given(c), F.lit(False))
+    place = lambda p: F.coalesce(given("semantic") == p, F.lit(False))
+    line, data, label = given("line_reason").isNotNull(), place("data"), place("label")
     masked = line | masks(F.col("_own"))
-    faint = F.coalesce(F.col("confidence") < rules.noise, F.lit(False))
+    faint = F.coalesce(given("confidence") < rules.noise, F.lit(False))
     data_like = F.col("_own").isin("digit", "at-mark") | line | data
-    metric = yes("unit_metric") & ~data & ~F.coalesce(F.col("line_reason").startswith("email"), F.lit(False))
+    metric = yes("unit_metric") & ~data & ~F.coalesce(given("line_reason").startswith("email"), F.lit(False))
     reason = (
         F.when(yes("user_kept"), "user")
         .when(metric, "unit-metric")
         .when(~masked & data, "dom-data")
-        .when(~masked & F.col("name_run").isNotNull() & ~label & ~yes("label_kept") & ~faint, F.col("name_run"))
+        .when(~masked & given("name_run").isNotNull() & ~label & ~yes("label_kept") & ~faint, given("name_run"))
         .when(~masked, F.col("_own"))
         .when(~data_like & label, "dom-label")
         .when(~data_like & yes("label_kept"), "label")
-        .when(faint & ~data_like, F.concat(F.lit("noise("), F.floor(F.col("confidence") + 0.5).cast("string"), F.lit(")")))
+        .when(faint & ~data_like, F.concat(F.lit("noise("), F.floor(given("confidence") + 0.5).cast("string"), F.lit(")")))
         .otherwise(F.col("_own"))
     )
     decided = once(units, reason=reason)
-    extra = [c for c in DEFAULTS if c not in names]
+    extra = [given(c).alias(c) for c in DEFAULTS if c not in names]
     return decided.select(*names, *extra, masks(F.col("reason")).alias("mask"), "reason")
 
 

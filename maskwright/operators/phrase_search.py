@@ -132,8 +132,8 @@ def with_phrases(blocks: DataFrame, phrases: DataFrame, full: bool = False, flag
 
 def _joined(batch: pa.RecordBatch) -> tuple[S.Joined, np.ndarray]:
     """The units of a slice one after another, folded, and where each block's units begin."""
-    units, offsets, _ = S.units_of_batch(batch)
-    return S.Joined(S.phrase_forms(units), S.block_breaks(offsets)), offsets
+    offsets, column = S.offsets_of_batch(batch)
+    return S.Joined(S.Units.of_array(column.flatten()).phrases, S.block_breaks(offsets)), offsets
 
 
 def _searched(blocks: DataFrame, shared, held: str) -> DataFrame:

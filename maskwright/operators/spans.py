@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -29,7 +30,11 @@ ALNUM = set("abcdefghijklmnopqrstuvwxyz0123456789")
 LOCAL = ALNUM | set("._%+-")
 METRIC = re.compile(V.METRIC_BEFORE + V.METRIC + r"(?![^\W_])")
 DROP = re.compile(f"[{_PY(V.PHRASE_DROP)}]+")
-WIDTH = str.maketrans(V.WIDE, V.NARROW)
+WIDTH, WIDE_RUN = str.maketrans(V.WIDE, V.NARROW), re.compile(f"[{V.WIDE}]+")
+#: What ``DIGIT_RUN`` holds between its first sign and its last.
+RUN_CHAR = V.DIGIT_RUN[V.DIGIT_RUN.index("[0-9]") + 5 : V.DIGIT_RUN.index("*")]
+#: Reasons of line patterns by number.
+REASONS = [None, "email-frag", "email", "digit-run"]
 #: Stands between blocks; no pattern, phrase or measure holds it.
 MARK = "\0"
 #: Bytes of units that are joined at once; a longer block is a slice of its own.
@@ -40,25 +45,105 @@ FLAGS = {"line_reason": "array<string>", "unit_metric": "array<boolean>", "user_
 
 
 def fold(text: str) -> str:
-    return text.translate(WIDTH).lower()
-
-
-def _each(units: list[str], change) -> list[str]:
-    """``change`` of every unit, made on all of them at once where no unit holds the mark."""
-    out = change(MARK.join(units)).split(MARK)
-    return out if len(out) == len(units) else [change(u).replace(MARK, " ") for u in units]
+    return (text if text.isascii() else WIDE_RUN.sub(lambda m: m.group().translate(WIDTH), text)).lower()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _class(chars: str) -> np.ndarray:
+    """Which code points up to U+FFFF are among ``chars``; the last stands for all beyond."""
+    found = np.zeros(1 << 16, bool)
+    found[_codes(chars)] = True
+    return found
+
+
+_ALL = "".join(map(chr, range((1 << 16) - 1)))
+DROPPED, IS_ALNUM, IS_JOINT = _class("".join(DROP.findall(_ALL))), _class("".join(ALNUM)), _class("._%+-")
+IS_DIGIT, IN_RUN = _class("0123456789"), _class("".join(re.findall(RUN_CHAR, _ALL)))
+#: Bytes that part words.
+GAPS = np.isin(np.arange(256), np.frombuffer(b" \t\r\x0b\f", np.uint8))
+
+
+class Units:
+    """Units as one ``text`` with how many characters each has (``sizes``), and their forms, each made once."""
+
+    def __init__(self, text: str, sizes: np.ndarray):
+        self.text, self.sizes = text, sizes
+
+    @classmethod
+    def of(cls, units: list[str]) -> Units:
+        return cls("".join(units), np.fromiter(map(len, units), np.int64, len(units)))
+
+    @classmethod
+    def of_array(cls, units: pa.Array) -> Units:
+        """Null units are empty."""
+        at, held = _bytes_of(units)
+        text = held.tobytes().decode()
+        if len(text) == len(held):
+            return cls(text, np.diff(at))
+        return cls(text, np.diff(np.append(0, np.cumsum((held & 0xC0) != 0x80))[at]))
+
+    @cached_property
+    def folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of the folded units, and how many each has."""
+        text, sizes = fold(self.text), self.sizes
+        # a sigma's small form depends on what stands beside it, and some small letters are two characters
+        if len(text) != len(self.text) or "Σ" in self.text:
+            ends = np.cumsum(sizes)
+            units = [fold(self.text[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            text, sizes = "".join(units), np.fromiter(map(len, units), np.int64, len(units))
+        return _codes(text), sizes
+
+    @cached_property
+    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same without white space and punctuation."""
+        if "Σ" in self.text:  # what stands beside a sigma is dropped first
+            ends = np.cumsum(self.sizes)
+            bare = Units.of([DROP.sub("", self.text[a:b]) for a, b in zip((ends - self.sizes).tolist(), ends.tolist(), strict=True)])
+            return bare.folded
+        codes, sizes = self.folded
+        stays = ~DROPPED[np.minimum(codes, 0xFFFF)]
+        upto, ends = np.append(0, np.cumsum(stays)), np.cumsum(sizes)
+        return codes[stays], upto[ends] - upto[ends - sizes]
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins (and the last ends) in the bytes of all, and these. Null texts are empty."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, at, held = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return at - at[0], np.frombuffer(held or b"", np.uint8)[at[0] : at[-1]]
+
+
+def words_of(lines: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all lines, one after another, and where each line's begin (and the last's end)."""
+    at, held = _bytes_of(lines)
+    gap = np.append(GAPS[held], True)
+    edge = np.zeros(len(held) + 1, bool)
+    edge[at] = True
+    starts = np.flatnonzero(~gap[:-1] & (np.append(True, gap[:-2]) | edge[:-1])) if len(held) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(~gap[:-1] & (gap[1:] | edge[1:])) + 1
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(held[~gap[:-1]].tobytes()))
+    return words, np.searchsorted(starts, at)
 
 
 def phrase_forms(units: list[str]) -> list[str]:
     """Units folded, without white space and punctuation."""
-    return _each(units, lambda t: fold(DROP.sub("", t)))
+    codes, sizes = Units.of(units).phrases
+    text, ends = np.where(codes == 0, 32, codes).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass"), np.cumsum(sizes)
+    return [text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
 
-def units_of_batch(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, pa.Array]:
-    """The units of all blocks of a batch, where each block's begin (and the end of the last), and the column itself."""
+def offsets_of_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """Where the units of each block begin in those of all (and the last end), and the column of them."""
     column = batch.column(batch.schema.get_field_index("units")).cast(pa.large_list(pa.string()))
     sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return [u or "" for u in column.flatten().to_pylist()], np.append(0, np.cumsum(sizes)), column
+    return np.append(0, np.cumsum(sizes)), column
 
 
 def block_breaks(offsets: np.ndarray) -> np.ndarray:
@@ -68,12 +153,16 @@ def block_breaks(offsets: np.ndarray) -> np.ndarray:
     return breaks[:-1]
 
 
-def slices_of(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in order, cut between blocks where the bytes of their units would exceed ``limit``."""
-    column = batch.column(batch.schema.get_field_index("units")).cast(pa.large_list(pa.string()))
-    count = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    size = np.append(0, np.cumsum(pc.binary_length(column.flatten()).fill_null(0).to_numpy(zero_copy_only=False)))
-    upto = size[np.cumsum(count)]
+def slices_of(batch: pa.RecordBatch, limit: int = SLICE_BYTES, column: str = "units") -> Iterator[pa.RecordBatch]:
+    """``batch`` in order, cut between blocks where the bytes of their units (or of a ``column`` of texts) would exceed ``limit``."""
+    held = batch.column(batch.schema.get_field_index(column))
+    length = lambda texts: pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if column == "units":
+        held = held.cast(pa.large_list(pa.string()))
+        count = pc.list_value_length(held).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.append(0, np.cumsum(length(held.flatten())))[np.cumsum(count)]
+    else:
+        upto = np.cumsum(length(held))
     start = 0
     while start < batch.num_rows:
         before = upto[start - 1] if start else 0
@@ -82,19 +171,30 @@ def slices_of(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Re
         start = end
 
 
-def per_unit(values: np.ndarray, offsets: np.ndarray, null: np.ndarray, kind: pa.DataType) -> pa.Array:
+def per_unit(values: np.ndarray | pa.Array, offsets: np.ndarray, null: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Values of units as one list for each block; null blocks have a null list."""
     at = pa.array(offsets, pa.int32(), mask=np.append(null, False))
-    return pa.ListArray.from_arrays(at, pa.array(values, kind.value_type)).cast(kind)
+    return pa.ListArray.from_arrays(at, values if isinstance(values, pa.Array) else pa.array(values, kind.value_type)).cast(kind)
 
 
 class Joined:
-    """Units one after another, with a mark before each that ``breaks`` names."""
-
-    def __init__(self, parts: list[str], breaks: np.ndarray):
-        self.text = "".join([MARK + p if b else p for p, b in zip(parts, breaks.tolist(), strict=True)])
-        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.starts = np.cumsum(self.sizes + breaks) - self.sizes
+    """Units (texts, or the characters of all and how many each has) one after another, with a mark before each that
+    ``breaks`` names, and, where there are ``gaps``, white space before the others."""
+
+    def __init__(self, parts: list[str] | tuple[np.ndarray, np.ndarray], breaks: np.ndarray, gaps: bool = False):
+        codes, self.sizes = (_codes("".join(parts)), Units.of(parts).sizes) if isinstance(parts, list) else parts
+        marked = np.ones(len(breaks), bool) if gaps else breaks.astype(bool)
+        self.starts = np.cumsum(self.sizes + marked) - self.sizes
+        at = self.starts[marked] - 1
+        self.codes, own = np.zeros(len(codes) + len(at), np.uint32), np.ones(len(codes) + len(at), bool)
+        own[at] = False
+        self.codes[own] = np.where(codes == 0, 32, codes)
+        self.codes[at] = np.where(breaks[marked], 0, 32)
+        self.text = self.codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+    def among(self, chars: np.ndarray) -> np.ndarray:
+        """Which characters are of a class."""
+        return chars[np.minimum(self.codes, 0xFFFF)]
 
     def block_starts(self, offsets: np.ndarray) -> np.ndarray:
         """Where each block's text begins; a block without units begins where the next one does."""
@@ -128,20 +228,69 @@ def _emails(text: str) -> np.ndarray:
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def line_reasons(units: list[str], breaks: np.ndarray) -> np.ndarray:
-    """The reason of the last pattern that covers a part of each unit, or None."""
-    joined, out = Joined(_each(units, fold), breaks), np.full(len(units), None, object)
-    text = joined.text
+def _heads(joined: Joined) -> np.ndarray:
+    """What ``HEAD`` finds: it is tried only where letters or digits stand on both sides of two joints in a row."""
+    alnum = joined.among(IS_ALNUM)
+    joints = np.flatnonzero(joined.among(IS_JOINT)[1:-1] & alnum[:-2] & alnum[2:]) + 1
+    others = np.flatnonzero(~alnum)
+    nth = np.searchsorted(others, joints)
+    first = np.flatnonzero(np.diff(nth) == 1)  # nothing but letters and digits up to the next joint
+    found, last = [], 0
+    for start in np.append(-1, others)[nth[first]] + 1:
+        if start >= last and (m := HEAD.match(joined.text, start)):
+            found.append(m.span())
+            last = m.end()
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of True start and end."""
+    change = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+    return change[::2], change[1::2]
+
+
+def _digit_runs(joined: Joined) -> np.ndarray:
+    """What ``DIGIT_RUN`` finds: it is tried only in runs of its characters with two digits, one match in each."""
+    starts, ends = _runs(joined.among(IN_RUN))
+    upto = np.append(0, np.cumsum(joined.among(IS_DIGIT)))
+    many = upto[ends] - upto[starts] > 1
+    found = (DIGIT_RUN.search(joined.text, max(a - 1, 0), b + 1) for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True))
+    return _spans(m for m in found if m)
+
+
+def _metrics(joined: Joined) -> np.ndarray:
+    """What ``METRIC`` finds: it is tried only at runs of digits and at signs before them. Matches never overlap, as none
+    starts behind a character of another."""
+    text, found = joined.text, []
+    for a in _runs(joined.among(IS_DIGIT))[0].tolist():
+        m = METRIC.match(text, a) or (METRIC.match(text, a - 1) if a else None)
+        if m:
+            found.append(m.span())
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def _reasons(joined: Joined) -> np.ndarray:
+    """The number in ``REASONS`` of the last pattern that covers a part of each unit."""
+    out = np.zeros(len(joined.sizes), np.int8)
     # in the order of LINE_PATTERNS
-    for reason, found in (("email-frag", _spans(TAIL.finditer(text))), ("email-frag", _spans(HEAD.finditer(text))), ("email", _emails(text)), ("digit-run", _spans(DIGIT_RUN.finditer(text)))):
-        out[joined.covered(found) > 0] = reason
+    for reason, found in ((1, _spans(TAIL.finditer(joined.text))), (1, _heads(joined)), (2, _emails(joined.text)), (3, _digit_runs(joined))):
+        if len(found):
+            out[joined.covered(found) > 0] = reason
     return out
 
 
+def _measured(joined: Joined) -> np.ndarray:
+    return (joined.covered(_metrics(joined)) == joined.sizes) & (joined.sizes > 0)
+
+
+def line_reasons(units: list[str], breaks: np.ndarray) -> np.ndarray:
+    """The reason of the last pattern that covers a part of each unit, or None."""
+    return np.array(REASONS, object)[_reasons(Joined(Units.of(units).folded, breaks))]
+
+
 def metric_units(units: list[str], breaks: np.ndarray) -> np.ndarray:
     """Units of which measures cover every character; ``breaks`` part visual lines."""
-    joined = Joined(_each(units, fold), breaks)
-    return (joined.covered(_spans(METRIC.finditer(joined.text))) == joined.sizes) & (joined.sizes > 0)
+    return _measured(Joined(Units.of(units).folded, breaks))
 
 
 def one_by_one(text: str, phrases: list[str]) -> np.ndarray:
@@ -155,20 +304,49 @@ def one_by_one(text: str, phrases: list[str]) -> np.ndarray:
     return np.array(found, np.int64).reshape(-1, 2)
 
 
+def _held(joined: Joined, phrases: list[str], full: bool, automaton=None) -> np.ndarray:
+    held = joined.covered(one_by_one(joined.text, phrases) if automaton is None else automaton.spans(joined.text))
+    return (held == joined.sizes) & (held > 0) if full else held > 0
+
+
 def protected(units: list[str], phrases: list[str], full: bool, breaks: np.ndarray, automaton=None) -> np.ndarray:
     """Units that phrases cover, in part or (``full``) wholly; occurrences may overlap. ``automaton`` of the same phrases
     finds them all at once."""
     if not phrases:
         return np.zeros(len(units), bool)
-    joined = Joined(phrase_forms(units), breaks)
-    held = joined.covered(one_by_one(joined.text, phrases) if automaton is None else automaton.spans(joined.text))
-    return (held == joined.sizes) & (held > 0) if full else held > 0
+    return _held(Joined(Units.of(units).phrases, breaks), phrases, full, automaton)
 
 
 def _phrases(terms: tuple[str, ...]) -> list[str]:
     return sorted({p for p in (fold(DROP.sub("", t)) for t in terms) if p and MARK not in p})
 
 
+class _Flags:
+    """What finds ``flags`` by ``rules``; phrases beyond ``FEW`` are shared as an automaton."""
+
+    def __init__(self, spark: SparkSession, rules: Rules, names: tuple[str, ...]):
+        from .phrase_search import Automaton
+
+        self.names, self.phrases = names, {"user_kept": _phrases(rules.terms), "label_kept": _phrases(rules.labels)}
+        self.shared = {n: spark.sparkContext.broadcast(Automaton(p)) for n, p in self.phrases.items() if n in names and len(p) > FEW}
+
+    def of(self, units: Units, breaks: np.ndarray, lines: np.ndarray, gaps: bool = False) -> dict[str, pa.Array]:
+        """Values of each flag for all units. ``breaks`` begin blocks, ``lines`` visual lines."""
+        out, folded, phrases = {}, None, None
+        for name in self.names:
+            if name in self.phrases:
+                wanted, shared = self.phrases[name], self.shared.get(name)
+                phrases = phrases or (wanted and Joined(units.phrases, breaks))
+                out[name] = pa.array(_held(phrases, wanted, name == "label_kept", shared and shared.value) if wanted else np.zeros(len(breaks), bool))
+                continue
+            folded = folded or Joined(units.folded, breaks, gaps)
+            if name == "line_reason":
+                out[name] = pa.array(REASONS, pa.string()).take(pa.array(_reasons(folded)))
+            else:
+                out[name] = pa.array(_measured(folded if lines is breaks else Joined(units.folded, lines, gaps)))
+        return out
+
+
 def with_spans(blocks: DataFrame, rules: Rules = Rules(), flags: tuple[str, ...] = tuple(FLAGS)) -> DataFrame:
     """``blocks`` (with ``units array<string>``) with one value for each unit in each of ``flags``.
 
@@ -177,38 +355,56 @@ def with_spans(blocks: DataFrame, rules: Rules = Rules(), flags: tuple[str, ...]
     """
     ship(blocks.sparkSession)
     wide_rows(blocks.sparkSession)
-    from .phrase_search import Automaton
-
-    terms, labels = _phrases(rules.terms), _phrases(rules.labels)
-    found = {n: blocks.sparkSession.sparkContext.broadcast(Automaton(p)) if n in flags and len(p) > FEW else None for n, p in (("user_kept", terms), ("label_kept", labels))}
+    found = _Flags(blocks.sparkSession, rules, flags)
     kept = [f for f in blocks.schema.fields if f.name not in flags]
     schema = StructType([*kept, *(StructField(n, _parse_datatype_string(FLAGS[n])) for n in flags)])
     has_lines = "visual" in blocks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
-        automata = {n: b and b.value for n, b in found.items()}
         for batch in (part for whole in batches for part in slices_of(whole)):
-            units, offsets, column = units_of_batch(batch)
-            breaks = block_breaks(offsets)
-            lines = breaks
+            offsets, column = offsets_of_batch(batch)
+            lines = breaks = block_breaks(offsets)
             if has_lines:
-                number = np.array(batch.column(batch.schema.get_field_index("visual")).flatten().to_pylist(), np.int64)
-                lines = breaks | np.append(1, number[1:] != number[:-1])[: len(units)]
-            made = {
-                "line_reason": lambda: line_reasons(units, breaks),  # noqa: B023
-                "unit_metric": lambda: metric_units(units, lines),  # noqa: B023
-                "user_kept": lambda: protected(units, terms, False, breaks, automata["user_kept"]),  # noqa: B023
-                "label_kept": lambda: protected(units, labels, True, breaks, automata["label_kept"]),  # noqa: B023
-            }
+                number = batch.column(batch.schema.get_field_index("visual")).flatten().to_numpy(zero_copy_only=False)
+                lines = breaks | np.append(1, number[1:] != number[:-1])[: len(breaks)]
+            made = found.of(Units.of_array(column.flatten()), breaks, lines)
             null = column.is_null().to_numpy(zero_copy_only=False)
             columns = [batch.column(batch.schema.get_field_index(f.name)).cast(out.field(f.name).type) for f in kept]
-            columns += [per_unit(made[name](), offsets, null, out.field(name).type) for name in flags]
+            columns += [per_unit(made[name], offsets, null, out.field(name).type) for name in flags]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return blocks.select(*(f.name for f in kept)).mapInArrow(run, schema)
 
 
+def spanned_words(lines: DataFrame, rules: Rules = Rules(), flags: tuple[str, ...] = tuple(FLAGS), gaps: bool = False) -> DataFrame:
+    """One row for each word of ``lines`` (with ``line``): its other columns, ``unit_idx, text`` and ``flags``.
+
+    With ``gaps`` white space stands between words and counts in ``unit_idx``, as in ``spaced_blocks``; without, words
+    stand side by side, as in ``word_blocks``. The rows are those of ``spread_units(with_spans(..))`` over these blocks;
+    a line's come one after another in order.
+    """
+    ship(lines.sparkSession)
+    wide_rows(lines.sparkSession)
+    found = _Flags(lines.sparkSession, rules, flags)
+    others = [f for f in lines.schema.fields if f.name not in ("line", *flags)]
+    value = {n: _parse_datatype_string(FLAGS[n]).elementType for n in flags}
+    schema = StructType([*others, *StructType.fromDDL("unit_idx int, text string").fields, *(StructField(n, value[n]) for n in flags)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
+        for batch in (part for whole in batches for part in slices_of(whole, column="line")):
+            words, offsets = words_of(batch.column(batch.schema.get_field_index("line")))
+            breaks, counts = block_breaks(offsets), np.diff(offsets)
+            of_line = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            nth = (np.arange(len(words)) - np.repeat(offsets[:-1], counts)) * (2 if gaps else 1)
+            made = found.of(Units.of_array(words), breaks, breaks, gaps)
+            columns = [*(batch.column(batch.schema.get_field_index(f.name)).take(of_line) for f in others), pa.array(nth), words, *(made[n] for n in flags)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return lines.select(*(f.name for f in others), "line").mapInArrow(run, schema)
+
+
 def spread_units(spanned: DataFrame, along: tuple[str, ...] = ()) -> DataFrame:
     """One row per unit: the block's other columns, ``unit_idx, text``, the flags that there are, ``token`` of
     ``tokens``, and each of ``along`` (arrays with one value for each unit)."""

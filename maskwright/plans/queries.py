@@ -11,10 +11,10 @@ from ..functions.geometry import to_rect
 from ..operators import regions
 from ..operators.decide import decide, kept_of, mask_text, masks_of, merge_ordered_runs
 from ..operators.names import with_name_runs
-from ..operators.spans import FLAGS, spread_units, with_spans
+from ..operators.spans import FLAGS, spanned_words, spread_units, with_spans
 from ..sources import phrases
 from ..sources.pages import page_lines
-from ..sources.units import blocks_of, choose_route, glyph_lines, line_units, lines_of, long_blocks, own_units, read_ocr, spaced_blocks, spread, token_units, units_of, with_tokens, word_blocks
+from ..sources.units import blocks_of, choose_route, glyph_lines, line_units, lines_of, long_blocks, own_units, read_ocr, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
 from . import edit_queries, oracle, page_queries, phrase_queries, picture_queries, samples, token_queries
 from .page_queries import decide_pages, table_link
@@ -73,8 +73,8 @@ def line_reason_units(spark, sf_dir):
 
 
 def line_pattern_units(spark, sf_dir):
-    blocks = word_blocks(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
-    return spread_units(with_spans(blocks, flags=("line_reason",))).where("line_reason IS NOT NULL").select(F.col("id").alias("doc_id"), "block_id", "unit_idx", "text", "line_reason")
+    words = spanned_words(lines_of(_table(spark, sf_dir, "documents"), "doc_id"), flags=("line_reason",))
+    return words.where("line_reason IS NOT NULL").select(F.col("id").alias("doc_id"), "block_id", "unit_idx", "text", "line_reason")
 
 
 def decide_masks(spark, sf_dir):
@@ -91,13 +91,18 @@ def decision_summary(spark, sf_dir):
 
 def cascade_units(spark, sf_dir):
     """Every unit of the documents through the whole cascade: patterns, measures and labels over its line."""
-    blocks = spaced_blocks(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
-    units = spread_units(with_spans(blocks)).where("unit_idx % 2 = 0").withColumnRenamed("id", "doc_id")
-    return decide(units).select("doc_id", "block_id", "unit_idx", "text", "mask", "reason")
+    return _cascade(lines_of(_table(spark, sf_dir, "documents"), "doc_id")).select("doc_id", "block_id", "unit_idx", "text", "mask", "reason")
+
+
+def _cascade(lines):
+    units = spanned_words(lines, flags=("line_reason", "unit_metric", "label_kept"), gaps=True)
+    return decide(units).withColumnRenamed("id", "doc_id")
 
 
 def cascade_summary(spark, sf_dir):
-    return cascade_units(spark, sf_dir).groupBy("doc_id", "mask", "reason").agg(F.count("*").alias("n"))
+    # the reason alone says whether a unit is masked
+    counted = _cascade(lines_of(_table(spark, sf_dir, "documents"), "doc_id").select("id", "line")).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
+    return counted.select("doc_id", T.masks(F.col("reason")).alias("mask"), "reason", "n")
 
 
 def _phrases(spark, sf_dir, flag, rules):
@@ -115,8 +120,7 @@ def label_phrase_protect(spark, sf_dir):
 
 def run_merge(spark, sf_dir):
     """Masked units of documents, read word by word without spaces, and their runs."""
-    blocks = word_blocks(lines_of(_table(spark, sf_dir, "documents"), "doc_id"))
-    units = spread_units(with_spans(blocks, flags=("line_reason", "unit_metric", "label_kept")))
+    units = spanned_words(lines_of(_table(spark, sf_dir, "documents"), "doc_id"), flags=("line_reason", "unit_metric", "label_kept"))
     return merge_ordered_runs(decide(units), ["id", "block_id"]).select(F.col("id").alias("doc_id"), "block_id", "start", "end", "reason", "text")
 
 

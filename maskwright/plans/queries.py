@@ -14,7 +14,7 @@ from ..operators.names import with_name_runs
 from ..operators.spans import FLAGS, spanned_words, spread_units, with_spans
 from ..sources import phrases
 from ..sources.pages import page_lines
-from ..sources.units import blocks_of, choose_route, glyph_lines, line_units, lines_of, long_blocks, own_units, read_ocr, spread, token_units, units_of, with_tokens, word_blocks
+from ..sources.units import blocks_of, choose_route, glyph_lines, line_units, lines_of, long_lines, own_units, read_ocr, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
 from . import edit_queries, oracle, page_queries, phrase_queries, picture_queries, samples, token_queries
 from .page_queries import decide_pages, table_link
@@ -132,8 +132,8 @@ def long_line_units(spark, sf_dir):
     """Every unit of the documents, each document one line: patterns, measures and phrases over lines that are cut in pieces."""
     whole = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("block_id"), F.translate("text", "\n", " ").alias("line"))
     rules = Rules(terms=LONG_TERMS)
-    blocks = long_blocks(whole, max(map(len, LONG_TERMS)), LONG_LINE)
-    units = own_units(spread_units(with_spans(blocks, rules, ("line_reason", "unit_metric", "user_kept"))))
+    pieces = long_lines(whole, max(map(len, LONG_TERMS)), LONG_LINE)
+    units = own_units(spanned_words(pieces, rules, ("line_reason", "unit_metric", "user_kept"), gaps=True))
     flagged = units.where("line_reason IS NOT NULL OR unit_metric OR user_kept")
     return flagged.select(F.col("id").alias("doc_id"), "unit_idx", "text", "line_reason", "unit_metric", "user_kept")
 

@@ -48,6 +48,8 @@ def word_blocks(lines: DataFrame) -> DataFrame:
 
 #: Characters of a line that stay together; longer lines are cut.
 PIECE_CHARS = 1 << 18
+#: Characters of pieces that a task holds before it passes them on.
+HELD_CHARS = 1 << 20
 _CUT = re.compile("[ \\t\\r\\x0b\\f]+")
 
 
@@ -87,37 +89,54 @@ def _words_in(text: str) -> list[str]:
     return [w for w in _CUT.split(text) if w]
 
 
-def long_blocks(lines: DataFrame, reach: int = 0, limit: int = PIECE_CHARS) -> DataFrame:
-    """``spaced_blocks`` of lines of any length: ``id, block_id, skip, size, first, units``.
+def long_lines(lines: DataFrame, reach: int = 0, limit: int = PIECE_CHARS) -> DataFrame:
+    """Lines of any length in pieces: ``id, block_id, skip, size, first, line``.
 
-    A long line becomes several rows, dealt to all tasks. Of a row's units those from ``skip`` on, ``size`` of them, are its
-    own; the others are neighbours' and only let phrases reach over the cut. ``first`` is the ``unit_idx`` of the first own
-    one. ``reach`` is the length of the longest phrase. Lines without words give no rows; a word is never cut.
+    A long line becomes several rows, dealt to all tasks. Of the units of a row's words and the white space behind each,
+    those from ``skip`` on, ``size`` of them, are its own; the others are neighbours' and only let phrases reach over the
+    cut. ``first`` is the ``unit_idx`` of the first own one. ``reach`` is the length of the longest phrase. A word is never cut.
     """
     ship(lines.sparkSession)
     own = lines.select("id", "block_id", "line")
-    short = spaced_blocks(own.where(F.length("line") <= limit))
-    short = short.select("id", "block_id", F.lit(0).alias("skip"), F.size("units").alias("size"), F.lit(0).alias("first"), "units")
+    short = own.where(F.length("line") <= limit)
+    # a short line is all its own
+    short = short.select("id", "block_id", F.lit(0).alias("skip"), F.lit((1 << 31) - 1).alias("size"), F.lit(0).alias("first"), "line")
     long = own.where(F.length("line") > limit)
-    kind = StructType([*long.select("id", "block_id").schema.fields, *StructType.fromDDL("skip int, tail int, first int, line string").fields])
+    kind = StructType([*long.select("id", "block_id").schema.fields, *StructType.fromDDL("skip int, size int, first int, line string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(kind)
+
+        def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            of, *values = zip(*rows, strict=True)
+            columns = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), *map(pa.array, values)]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
         for batch in batches:
+            rows, chars = [], 0
             for i in range(batch.num_rows):
                 for text, skip, tail, first in pieces_of(batch.column(2)[i].as_py(), limit, reach):
-                    columns = [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *(pa.array([v]) for v in (skip, tail, first, text))]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+                    size = len(_words_in(text)) - skip - tail
+                    rows.append((i, 2 * skip, 2 * size, 2 * first, text))
+                    chars += len(text)
+                    if chars >= HELD_CHARS:
+                        yield made(batch, rows)
+                        rows, chars = [], 0
+            if rows:
+                yield made(batch, rows)
 
-    pieces = long.mapInArrow(run, kind).repartition(lines.sparkSession.sparkContext.defaultParallelism * 4)
+    return short.unionByName(long.mapInArrow(run, kind).repartition(lines.sparkSession.sparkContext.defaultParallelism * 4))
+
+
+def long_blocks(lines: DataFrame, reach: int = 0, limit: int = PIECE_CHARS) -> DataFrame:
+    """``spaced_blocks`` of ``long_lines``: their columns with ``units`` in place of ``line``. Lines without words give no rows."""
     cut = F.flatten(F.transform(_WORDS("line"), lambda w: F.array(w, F.lit(" "))))
-    pieces = pieces.withColumn("units", cut).where(F.size("units") > 2 * (F.col("skip") + F.col("tail")))
-    pieces = pieces.select("id", "block_id", (2 * F.col("skip")).alias("skip"), (F.size("units") - 2 * (F.col("skip") + F.col("tail"))).alias("size"), (2 * F.col("first")).alias("first"), "units")
-    return short.unionByName(pieces)
+    pieces = long_lines(lines, reach, limit).withColumn("units", cut).where((F.size("units") > 0) & (F.col("size") > 0))
+    return pieces.select("id", "block_id", "skip", F.least("size", F.size("units")).alias("size"), "first", "units")
 
 
 def own_units(spread: DataFrame) -> DataFrame:
-    """The units of ``long_blocks`` that are a row's own, numbered as in the uncut line."""
+    """The units of ``long_lines`` or ``long_blocks`` that are a row's own, numbered as in the uncut line."""
     inside = (F.col("unit_idx") >= F.col("skip")) & (F.col("unit_idx") < F.col("skip") + F.col("size"))
     return spread.where(inside).withColumn("unit_idx", F.col("unit_idx") - F.col("skip") + F.col("first")).drop("skip", "size", "first")
 

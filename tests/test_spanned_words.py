@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import text as T
 from maskwright.operators.decide import decide
 from maskwright.operators.spans import FLAGS, spanned_words, spread_units, with_spans
-from maskwright.sources.units import spaced_blocks, word_blocks
+from maskwright.sources.units import long_lines, own_units, spaced_blocks, word_blocks
 from maskwright.vocab import SPACES, Rules
 
 PARTS = [*"aZ019.,-_%+@(〒＋－件％：ΣİＡ＠é😀\0#", "ms", "no", "sa", "ve", "ann@x.org", "a.b.c", "1,234%", " ", "\t", "　", "  "]
@@ -43,3 +43,15 @@ def test_missing_columns_are_no_evidence(spark):
     nulls = units.selectExpr("*", "CAST(NULL AS BOOLEAN) user_kept", "CAST(NULL AS DOUBLE) confidence", "CAST(NULL AS STRING) semantic")
     columns = ["text", "mask", "reason", "confidence", "semantic", "name_run"]
     assert decide(units).select(columns).collect() == decide(nulls).select(columns).collect()
+
+
+def test_pieces_of_long_lines_come_many_at_a_time(spark):
+    """Words of pieces, which a task hands on many at a time, are those of the line."""
+    lines = spark.range(30).selectExpr("id", "0 AS block_id", "repeat(concat('the word', id, ' '), 100) AS line").coalesce(1)
+    pieces = long_lines(lines, 6, 50)
+    rules, flags = Rules(terms=("word7the",)), ("line_reason", "user_kept")
+    columns = ["id", "unit_idx", "text", *flags]
+    got = own_units(spanned_words(pieces, rules, flags, gaps=True)).select(columns)
+    want = spanned_words(lines, rules, flags, gaps=True).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.where("user_kept").count() == 198
+    assert pieces.count() > 600

@@ -16,6 +16,7 @@ from ..cluster import ship
 from ..functions.geometry import BOX, around, on_one_line, to_rect
 from ..functions.text import fold, masks, once, token_reason, trim, word_reason
 from ..vocab import Rules
+from .spans import same_block
 
 DEFAULTS = {"line_reason": "string", "unit_metric": "boolean", "user_kept": "boolean", "label_kept": "boolean", "name_run": "string", "semantic": "string", "confidence": "double"}
 #: What masks and kept texts carry along from their unit.
@@ -141,12 +142,7 @@ def _run_starts(table: pa.Table, keys: list[str], idx: str) -> np.ndarray:
     n = table.num_rows
     if n == 0:
         return np.zeros(0, bool)
-    same = np.ones(n - 1, bool)
-    for k in keys:
-        column = table.column(k).combine_chunks()
-        before, after = column.slice(0, n - 1), column.slice(1)
-        equal = pc.or_kleene(pc.equal(before, after), pc.and_(before.is_null(), after.is_null())) if not pa.types.is_nested(column.type) else pa.array([a == b for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True)])
-        same &= equal.fill_null(False).to_numpy(zero_copy_only=False)
+    same = same_block(table, keys)
     at, merges = table.column(idx).to_numpy(), table.column("merges").to_numpy()
     if (same & (at[1:] <= at[:-1])).any():
         raise ValueError("units of a block must come in order")

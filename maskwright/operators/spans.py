@@ -405,6 +405,84 @@ def spanned_words(lines: DataFrame, rules: Rules = Rules(), flags: tuple[str, ..
     return lines.select(*(f.name for f in others), "line").mapInArrow(run, schema)
 
 
+def same_block(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """For each row but the first, whether it has the ``keys`` of the row before; nulls are alike."""
+    n = table.num_rows
+    same = np.ones(max(n - 1, 0), bool)
+    for k in keys if n else ():
+        column = table.column(k).combine_chunks()
+        before, after = column.slice(0, n - 1), column.slice(1)
+        equal = pc.or_kleene(pc.equal(before, after), pc.and_(before.is_null(), after.is_null())) if not pa.types.is_nested(column.type) else pa.array([a == b for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True)], pa.bool_())
+        same &= equal.fill_null(False).to_numpy(zero_copy_only=False)
+    return same
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that come block by block as tables of whole blocks, and where each block begins (and the last ends)."""
+    held: list[pa.RecordBatch] = []  # the last block so far, which may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*(h.slice(h.num_rows - 1) for h in held[-1:]), batch])
+        starts = np.flatnonzero(~same_block(table, keys)) + 1 - len(held[-1:])
+        if len(starts):
+            last = int(starts[-1])
+            sizes = sum(h.num_rows for h in held)
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]), np.append(0, starts + sizes)
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held), np.array([0, sum(h.num_rows for h in held)])
+
+
+def on_one_line(boxes: pa.ChunkedArray) -> np.ndarray:
+    """``geometry.on_one_line`` of each box but the first and the one before it; sides that are null are left out, and NaN
+    is beyond all numbers, as in Spark."""
+    y0, y1 = (pc.struct_field(boxes, side).cast(pa.float64()).fill_null(beyond).to_numpy() for side, beyond in (("y0", -np.inf), ("y1", np.inf)))
+    with np.errstate(invalid="ignore"):
+        return ~(np.fmin(y1[1:], y1[:-1]) - np.maximum(y0[1:], y0[:-1]) <= 0)
+
+
+def spanned_units(units: DataFrame, keys: list[str], rules: Rules = Rules(), flags: tuple[str, ...] = tuple(FLAGS), idx: str = "unit_idx") -> DataFrame:
+    """``units`` (``keys, text``, in a block by ``idx``) with ``flags``, all other columns as they are.
+
+    The flags are those of ``with_spans(blocks_of(units, keys))``: where there is ``bbox``, measures do not reach over
+    units of different visual lines. Rows are sorted within their block and never gathered to lists; a task holds a
+    block and a batch of rows at a time.
+    """
+    ship(units.sparkSession)
+    has_lines = "bbox" in units.columns
+    found = _Flags(units.sparkSession, rules, flags)
+    others = [f for f in units.schema.fields if f.name not in flags]
+    schema = StructType([*others, *(StructField(n, _parse_datatype_string(FLAGS[n]).elementType) for n in flags)])
+    names = [f.name for f in others]
+    rows = units.select(*names).repartition(*keys).sortWithinPartitions(*keys, idx)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
+        for table, offsets in _whole_blocks(batches, keys):
+            bytes_ = np.append(0, np.cumsum(pc.binary_length(table.column("text")).fill_null(0).to_numpy().astype(np.int64)))[offsets]
+            start = 0
+            while start < len(offsets) - 1:
+                end = max(start + 1, int(np.searchsorted(bytes_, bytes_[start] + SLICE_BYTES, "right")) - 1)
+                own = offsets[start : end + 1] - offsets[start]
+                part = table.slice(offsets[start], own[-1]).combine_chunks()
+                lines = breaks = block_breaks(own)
+                at = part.column(idx).to_numpy()
+                if ((at[1:] < at[:-1]) & (breaks[1:] == 0)).any():
+                    raise ValueError("units of a block must come in order")
+                if has_lines:
+                    lines = breaks | np.append(1, ~on_one_line(part.column("bbox")))
+                text = part.column("text").combine_chunks()
+                made = found.of(Units.of_array(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)), breaks, lines)
+                columns = [*(part.column(n) for n in names), *(made[n] for n in flags)]
+                yield from pa.table([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out).to_batches()
+                start = end
+
+    return rows.mapInArrow(run, schema)
+
+
 def spread_units(spanned: DataFrame, along: tuple[str, ...] = ()) -> DataFrame:
     """One row per unit: the block's other columns, ``unit_idx, text``, the flags that there are, ``token`` of
     ``tokens``, and each of ``along`` (arrays with one value for each unit)."""

@@ -11,10 +11,10 @@ from ..functions.geometry import to_rect
 from ..operators import regions
 from ..operators.decide import decide, kept_of, mask_text, masks_of, merge_ordered_runs
 from ..operators.names import with_name_runs
-from ..operators.spans import FLAGS, spanned_words, spread_units, with_spans
+from ..operators.spans import FLAGS, spanned_units, spanned_words, spread_units, with_spans
 from ..sources import phrases
 from ..sources.pages import page_lines
-from ..sources.units import blocks_of, choose_route, glyph_lines, line_units, lines_of, long_lines, own_units, read_ocr, spread, token_units, units_of, with_tokens, word_blocks
+from ..sources.units import choose_route, glyph_lines, line_units, lines_of, long_lines, own_units, read_ocr, spread, token_units, units_of, with_tokens, word_blocks
 from ..vocab import Rules
 from . import edit_queries, oracle, page_queries, phrase_queries, picture_queries, samples, token_queries
 from .page_queries import decide_pages, table_link
@@ -187,8 +187,7 @@ SCREEN_KEYS = ["conv_id", "turn"]
 
 def _screen(spark, sf_dir):
     """Units of screens with their spans, which reach over units and not over visual lines where measures are concerned."""
-    blocks = blocks_of(samples.screen_units(_table(spark, sf_dir, "conversations")), SCREEN_KEYS)
-    return spread_units(with_spans(blocks, SCREEN_RULES), along=("row",)).select("*", "row.*").drop("row", "visual")
+    return spanned_units(samples.screen_units(_table(spark, sf_dir, "conversations")), SCREEN_KEYS, SCREEN_RULES)
 
 
 def screen_flags(spark, sf_dir):

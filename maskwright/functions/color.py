@@ -44,12 +44,15 @@ def with_color(df: DataFrame, source: str, out: str) -> DataFrame:
     """
     names = [c for c in df.columns if c != out]
     plain = F.lower(F.btrim(F.col(source)))
+    # what a colour's form rules out is not looked for
+    called, hexes = plain.contains("("), plain.startswith("#")
+    space = F.when(plain.startswith("color("), F.regexp_extract(plain, "^color\\(\\s*([a-z0-9-]+)", 1)).otherwise("")
     forms = once(
         df,
         _plain=plain,
-        _name=F.concat_ws(" ", F.regexp_extract(plain, "^([a-z]+)\\(", 1), F.regexp_extract(plain, "^color\\(\\s*([a-z0-9-]+)", 1)),
-        _parts=F.filter(F.split(F.regexp_extract(plain, "^[a-z]+\\(\\s*(?:srgb\\s|display-p3\\s)?([^)]*)\\)\\z", 1), "[\\s,/]+"), lambda p: p != ""),
-        _hex=F.when(plain.rlike("^#[0-9a-f]{3,4}\\z"), F.regexp_replace(plain, "([0-9a-f])", "$1$1")).otherwise(plain),
+        _name=F.when(called, F.concat_ws(" ", F.regexp_extract(plain, "^([a-z]+)\\(", 1), space)),
+        _parts=F.when(called, F.array_remove(F.split(F.regexp_extract(plain, "^[a-z]+\\(\\s*(?:srgb\\s|display-p3\\s)?([^)]*)\\)\\z", 1), "[\\s,/]+"), "")),
+        _hex=F.when(hexes, F.when(plain.rlike("^#[0-9a-f]{3,4}\\z"), F.regexp_replace(plain, "([0-9a-f])", "$1$1")).when(plain.rlike("^#(?:[0-9a-f]{6}|[0-9a-f]{8})\\z"), plain)),
     )
     #: A percentage is a share of a whole that depends on the notation and the place.
     whole = {"rgb": (255.0,) * 3, "rgba": (255.0,) * 3, "oklab": (1.0, 0.4, 0.4), "oklch": (1.0, 0.4, 360.0), "lab": (100.0, 125.0, 125.0), "lch": (100.0, 150.0, 360.0)}
@@ -82,7 +85,7 @@ def with_color(df: DataFrame, source: str, out: str) -> DataFrame:
     mixed = [F.when(ok, a).when(lab, b).when(p3, c) for a, b, c in zip(*(_times(m, three) for m in (LMS_RGB, XYZ50_RGB, P3_RGB)), strict=True)]
     linear = once(lights, **{f"_m{i}": F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))) for i, v in enumerate(mixed)})
     hexed = lambda i: F.conv(F.substring("_hex", i, 2), 16, 10).cast("double")
-    is_hex = F.col("_hex").rlike("^#(?:[0-9a-f]{6}|[0-9a-f]{8})\\z")
+    is_hex = F.col("_hex").isNotNull()
     value = lambda i: F.when(is_hex, hexed(2 + 2 * i)).when(is_("rgb ", "rgba "), given[i]).when(is_("color srgb"), given[i] * 255).otherwise(_gamma(F.col(f"_m{i}")))
     opaque = F.when(is_hex, F.when(F.length("_hex") == 9, hexed(8) / 255).otherwise(1.0)).otherwise(F.col("_alpha"))
     colors = once(linear, _red=value(0), _green=value(1), _blue=value(2), _opaque=opaque)

@@ -87,8 +87,13 @@ def icons(elements: DataFrame, keys: list[str], limit: int = ICON_LIMIT) -> Data
     ``bg-image`` (first, where an element is both). Icons measure 8 to 64 pixels on both sides; a page gives at most
     ``limit``. Once a page has all its decoration, pictures behind elements count no more.
     """
-    before = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = _decorated(elements).withColumn("decorated", F.coalesce(F.sum(F.col("decorates").cast("int")).over(before), F.lit(0)))
+    page = Window.partitionBy(*keys).orderBy("ord")
+    before = page.rowsBetween(Window.unboundedPreceding, -1)
+    # pages of no more elements than they may have boxes are not short of them, so their colours are not read
+    many = F.count("*").over(page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > DECOR_LIMIT
+    counted = elements.withColumn("_many", many)
+    counted = counted.withColumns({c: F.when(F.col("_many"), F.col(c)) for c in ("background_color", "border_color")})
+    rows = _decorated(counted).withColumn("decorated", F.coalesce(F.sum(F.col("decorates").cast("int")).over(before), F.lit(0)))
     small = F.col("tag").isin(*OPAQUE_TAGS) & ~is_large(elements)
     behind = F.when(F.col("background_image") & (F.col("decorated") < DECOR_LIMIT), "bg-image")
     own = F.when(small, F.col("tag")).when(drawn_text(F.col("text")), "glyph")

@@ -254,7 +254,7 @@ def _drawn(spark, sf_dir):
     decided = kept(_decided(spark, sf_dir))  # read for texts and masks, twice each
     screen = samples.screen_elements(_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")))
     runs = text_runs(_page(kept_of(decided, SCREEN_KEYS)).withColumn("ord", F.col("unit_idx").cast("long")))
-    masks = _page(_masks(decided))
+    masks = kept(_page(_masks(decided)))  # read for those that stay and those taken away
     removed = masks.where("reason = 'dom-data'")
     pictures = regions.icons(screen, ["page_id"]).withColumn("data_url", F.concat(F.lit("data:image/png;"), "ord"))
     parts = _page_parts(spark, _table(spark, sf_dir, "conversations").count())

@@ -35,12 +35,20 @@ def ship(spark: SparkSession) -> None:
 WIDE_ROWS = 1000
 
 
+#: Bytes of such a batch, where single rows are large.
+WIDE_BYTES = 8 << 20
+#: Spark's own limits, which are replaced.
+DEFAULT_ROWS, DEFAULT_BYTES = "10000", "67108864b"
+
+
 def wide_rows(spark: SparkSession) -> None:
-    """Batches of fewer rows for Python, unless the user has set how many: a worker holds a whole batch, several times over,
-    and Spark's default of 10,000 rows lets its memory grow with the rows of a task up to that."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(WIDE_ROWS))
+    """Batches of fewer rows and bytes for Python, unless the user has set how many: a worker holds a whole batch, several
+    times over, and Spark's defaults of 10,000 rows and 64 MB let its memory grow with a task up to that."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == DEFAULT_ROWS:
+        spark.conf.set(rows, str(WIDE_ROWS))
+    if spark.conf.get(size, DEFAULT_BYTES) == DEFAULT_BYTES:
+        spark.conf.set(size, str(WIDE_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -10,9 +10,10 @@ share one of their rarest shingles are joined into clusters (no linked pair lies
 Clusters are the first regions. In each, some sets become pivots, every set of the region measures its distance to
 them, and sets within reach are linked. Pivots have met all of their region then and leave it. Where the
 triangle-inequality windows replicate few sets, the region is divided into the pivots' Voronoi regions, which go on by
-themselves in the same way. Regions that fit a task do so within one, larger ones round by round over many tasks. Sets
-that are already connected need no comparison, so a group of thousands of near copies costs one or two rounds and never
-all its pairs.
+themselves in the same way. Regions that fit a task do so within one, larger ones over many tasks: in a few turns pivots are
+drawn, then all sets that are not yet connected are pivots of a last turn, dealt in pairs of chunks, so turns do not grow
+with a region. Sets that are already connected need no comparison, so a group of thousands of near copies never costs all
+its pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SHINGLE, NUM, DEN = 5, 80, 100
 LOCAL_SETS, LOCAL_SHINGLES = 1 << 13, 4 << 20
 #: Pivots of a round in one region, and their shingles, at most.
 PIVOTS, PIVOT_SHINGLES = 40, 8 << 20
+#: Turns in which pivots are drawn from regions beyond one task; the turn after them is the last.
+TURNS = 2
 #: A region is divided when its windows hold each set at most so many times.
 REPLICATION = 2.0
 #: Shingles in a block, in a range of hashes, and rarest shingles in a bucket, about; bits of a cell within its range.
@@ -313,6 +316,71 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
 
+def _from_middle(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """By what each set differs from the middle one, which holds what more than half of the sets do, as sorted numbers from
+    one on; zero is in all. Near copies differ from it by little, and their intersections follow from that."""
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(s) for s in sets])
+    middle = 2 * np.bincount(number) > len(sets)
+    inner = np.flatnonzero(middle)
+    return [np.concatenate([[0], 1 + np.sort(np.concatenate([own[~middle[own]], np.setdiff1d(inner, own, True)]))]) for own in np.split(number, ends[:-1])]
+
+
+def _join_chunks(sets: list[np.ndarray], side: np.ndarray, comps: np.ndarray, main: int, limit: Limit) -> np.ndarray:
+    """Label of each set's component by the links between the sets of two sides, or within a single one.
+
+    Sets outside the component ``main`` are pivots in turn: they meet all of the other side that was no pivot yet. One
+    that a link brought into it need be none: those outside meet it as pivots themselves.
+    """
+    names, label = np.unique(comps, return_inverse=True)
+    start = np.flatnonzero(comps == main)[:1]
+    sizes, apart = np.array([len(s) for s in sets], np.int64), _from_middle(sets)
+    differ, met, single = np.array([len(d) for d in apart], np.int64) - 1, np.zeros(len(sets), bool), len(np.unique(side)) == 1
+    for one in np.unique(side).tolist():
+        while True:
+            able = (side == one) & ~met
+            some = np.flatnonzero(able & (label != label[start[0]]) if len(start) else able)[:PIVOTS]
+            if not len(some):
+                break
+            met[some] = True
+            others = ~met & ((side != one) | single)
+            others[some] = single
+            others = np.flatnonzero(others)
+            if not len(others):
+                continue
+            shared = _to_pivots([apart[i] for i in some], [apart[i] for i in others]) - 1
+            # what two sets do not share is what they differ by from any third, less twice what they differ by alike
+            total = sizes[others][:, None] + sizes[some][None, :]
+            both = (total - differ[others][:, None] - differ[some][None, :]) // 2 + shared
+            linked = limit.den * both >= limit.num * (total - both)
+            for j, i in enumerate(some):
+                _merge(label, np.append(others[linked[:, j]], i))
+    first = np.full(len(names), len(sets))
+    np.minimum.at(first, label, np.arange(len(sets)))
+    return first[label]
+
+
+def _compare_chunks(members: DataFrame, limit: Limit) -> DataFrame:
+    """Links of regions beyond one task, as edges ``a, b``, with all sets outside the main component as pivots.
+
+    A region's sets are dealt into chunks of half of what a task may hold; a task has two of them, or one by itself.
+    ``members`` has the region's ``sets``, ``all_n`` and ``main`` as well.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, packed = table["node"].to_pylist(), table["shingles"].to_pylist()
+        sets = [np.frombuffer(p, np.uint64) for p in packed]
+        label = _join_chunks(sets, table["chunk"].to_numpy(), table["comp"].to_numpy(), table["main"][0].as_py(), limit)
+        found = _edge_batch([(nodes[i], nodes[r]) for i, r in enumerate(label.tolist()) if r != i])
+        return pa.Table.from_batches([found])
+
+    chunks = F.ceil(F.greatest(2 * F.col("sets") / LOCAL_SETS, 2 * F.col("all_n") / LOCAL_SHINGLES))
+    dealt = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), "chunks"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    pairs = pairs.select("region", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "shingles", "comp", "main")
+    return pairs.groupBy("region", "i", "j").applyInArrow(frugal(run), _EDGES)
+
+
 _MEMBER = "region long, node long, n long, shingles binary, comp long"
 
 
@@ -356,7 +424,7 @@ def _fits() -> Column:
 
 
 def _pivot_rounds(members: DataFrame, limit: Limit) -> list[DataFrame]:
-    """Edges that join the linked sets of all regions; see the module's text."""
+    """Edges that join the linked sets of all regions, in a few turns; see the module's text."""
     found: list[DataFrame] = []
     turn = 0
     while True:
@@ -372,6 +440,8 @@ def _pivot_rounds(members: DataFrame, limit: Limit) -> list[DataFrame]:
         large = cut(joined.where(~little))
         if large.isEmpty():
             return found
+        if turn == TURNS:
+            return [*found, cut(_compare_chunks(large, limit))]
         want = F.greatest(F.lit(1), F.least(F.lit(PIVOTS), (PIVOT_SHINGLES * F.col("sets") / F.col("all_n")).cast("int")))
         dice = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         able = large.where(F.col("comp") != F.col("main")).withColumn("dice", dice).withColumn("want", want)

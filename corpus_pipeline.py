@@ -32,15 +32,22 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(small_side(kept), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``gone`` (``gone_id``). Few go: their ids are broadcast, and texts stay where
+    they are, when those that stay are far too many for that."""
+    return docs.join(small_side(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that of the largest id. Null texts are empty, null ids the least; of equal
     rows one stays."""
-    found = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    judged = exact_dedup(docs)
+    found = judged.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
     counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     several = small_side(counts.where("n > 1").select(F.col("doc_id").alias("several_id")))
     same = F.col("doc_id").eqNullSafe(F.col("several_id"))
     if several.isEmpty():
-        return _only(docs, found.select("keep_id"))
+        return _without(docs, judged.where("not kept").select(F.col("doc_id").alias("gone_id")))
     # an id that several rows have does not tell which of them is kept; their texts do
     single = _only(docs.join(several, same, "left_anti"), found.select("keep_id"))
     sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
@@ -57,8 +64,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("n > 1 OR doc_id IS NULL").isEmpty():
-        found = jaccard_join(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id"))
-        return _only(docs, found.select(F.col("doc_id").alias("keep_id")))
+        found = jaccard_join(docs.select("doc_id", "text")).where(F.col("doc_id") != F.col("component_id"))
+        return _without(docs, found.select(F.col("doc_id").alias("gone_id")))
     rows = cut(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid")))
     place = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("id"), "rid")
     found = jaccard_join(rows.select(place.alias("doc_id"), F.col("row.text").alias("text"))).where(F.col("doc_id") == F.col("component_id"))

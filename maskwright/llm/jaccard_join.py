@@ -23,14 +23,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..cluster import ship
 from .arrow_rows import flat_bytes, frugal, in_arrow, slices
 from .components import connected_components
-from .spark_util import cut, small_side, with_value
+from .spark_util import cut, is_small, small_side, with_value
 from .substring_dedup import answer, by_range, pack, range_of, unpack
 from .words import Words, mix
 
@@ -110,16 +111,31 @@ def _codes(shingles: np.ndarray, ranges: int) -> np.ndarray:
     return (range_of(shingles, ranges) << np.uint64(CELL_BITS)) | (mix(shingles) >> np.uint64(64 - CELL_BITS))
 
 
-def _named_sets(table: pa.Table, size: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Nodes and sets of ``table`` slice by slice; rows whose text is not the node's are left out, as hashes may collide."""
+def _named_sets(table: pa.Table, size: int, wanted: set[int] | None = None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Nodes and sets of ``table`` slice by slice; rows whose text is not the node's are left out, as hashes may collide.
+
+    With ``wanted`` the rows have no nodes, and the first row of each wanted one stands for it.
+    """
+    left = None if wanted is None else set(wanted)
     for batch in table.to_batches():
         for part in slices(batch, "text"):
-            nodes = part.column(part.schema.get_field_index("node")).to_pylist()
             sets = shingle_sets(part, size)
-            held = [i for i, s in enumerate(sets) if identity(s)[0] == nodes[i]]
+            if left is None:
+                nodes = part.column(part.schema.get_field_index("node")).to_pylist()
+                held = [i for i, s in enumerate(sets) if identity(s)[0] == nodes[i]]
+            else:
+                nodes, held = [identity(s)[0] if len(s) else None for s in sets], []
+                for i, node in enumerate(nodes):
+                    if node in left:
+                        left.remove(node)
+                        held.append(i)
             yield [nodes[i] for i in held], [sets[i] for i in held]
 
 
+def _wanted(table: pa.Table) -> set[int]:
+    return {n for r, p in zip(table["range"].to_pylist(), table["packed"].to_pylist(), strict=True) if r < 0 for n in np.frombuffer(p, np.int64).tolist()}
+
+
 def _rarest(sets: list[np.ndarray], classes: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
     """The rarest shingles of which linked sets share one, and the set of each; ``classes`` are those of all shingles.
 
@@ -155,20 +171,30 @@ def _to_buckets(keys: np.ndarray, nodes: np.ndarray, n_buckets: int) -> pa.Table
     return pa.Table.from_arrays([pa.array(np.append(found, own), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], schema=_SENT)
 
 
-def _candidates(texts: DataFrame, size: int, limit: Limit, total: int) -> DataFrame:
+def _least_parts(spark: SparkSession) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+def _blocks(spark: SparkSession, total: int) -> int:
+    """Blocks into which sets of ``total`` shingles are dealt."""
+    return max(_least_parts(spark), -(-total // BLOCK_SHINGLES))
+
+
+def _candidates(texts: DataFrame, size: int, limit: Limit, total: int, wanted: DataFrame | None = None) -> DataFrame:
     """Edges ``a, b`` between sets that share one of their rarest shingles; they connect every linked pair of sets.
 
-    ``texts`` holds ``doc_id, node, text``, each set once; ``total`` is the number of their shingles. The answers to
+    ``texts`` holds ``block, node, text``, each set once, or ``block, text`` of all rows and ``wanted`` the ``block, node`` of
+    each set, whose row is then found within the block; ``total`` is the number of their shingles. The answers to
     all blocks together have at most as many rows as there are shingles; at far larger inputs raise BLOCK_SHINGLES and
     RANGE_SHINGLES, so that blocks x ranges stays well below that.
     """
-    least = 4 * texts.sparkSession.sparkContext.defaultParallelism
-    n_blocks, n_ranges = max(least, -(-total // BLOCK_SHINGLES)), max(least, -(-total // RANGE_SHINGLES))
+    least, n_blocks = _least_parts(texts.sparkSession), _blocks(texts.sparkSession, total)
+    n_ranges = max(least, -(-total // RANGE_SHINGLES))
     n_buckets = max(least, int(total * (limit.den - limit.num) / limit.den) // BUCKET_KEYS)
-    sent = "range long, block long, packed binary"
+    sent, apart = "range long, block long, packed binary", wanted is not None
 
-    def touch(key: tuple, table: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.uint64), *(_codes(s, n_ranges) for _, sets in _named_sets(table, size) for s in sets)]
+    def touch(key: tuple, table: pa.Table, own: set[int] | None = None) -> pa.Table:
+        found = [np.zeros(0, np.uint64), *(_codes(s, n_ranges) for _, sets in _named_sets(table, size, own) for s in sets)]
         codes, times = np.unique(np.concatenate(found), return_counts=True)
         cells, times = (codes & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32), np.minimum(times, 255).astype(np.uint8)
         return by_range(key[0].as_py(), codes, codes >> np.uint64(CELL_BITS), lambda a, b: pack(cells[a:b]) + times[a:b].tobytes())
@@ -189,6 +215,8 @@ def _candidates(texts: DataFrame, size: int, limit: Limit, total: int) -> DataFr
 
     def rarest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         codes, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        of = _wanted(right) if apart else None
+        right = right.filter(pc.greater_equal(right["range"], 0))
         for r, packed in zip(right["range"].to_pylist(), right["packed"].to_pylist(), strict=True):
             n = len(packed) // 5
             codes.append(unpack(packed[: 4 * n], np.uint32).astype(np.uint64) | np.uint64(r << CELL_BITS))
@@ -197,7 +225,7 @@ def _candidates(texts: DataFrame, size: int, limit: Limit, total: int) -> DataFr
         order = np.argsort(codes)
         codes, kinds = codes[order], kinds[order]
         keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for names, sets in _named_sets(left, size) if len(codes) else ():
+        for names, sets in _named_sets(left, size, of) if len(codes) else ():
             own = _codes(np.concatenate([np.zeros(0, np.uint64), *sets]), n_ranges)
             at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
             k, o = _rarest(sets, np.where(codes[at] == own, kinds[at], 0), limit)
@@ -212,8 +240,17 @@ def _candidates(texts: DataFrame, size: int, limit: Limit, total: int) -> DataFr
         edges = np.unique(edges, axis=0) if len(edges) else edges
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
-    blocks = texts.select(F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("block"), "node", "text").groupBy("block")
-    classes = blocks.applyInArrow(frugal(touch), sent).groupBy("range").applyInArrow(frugal(classify), sent)
+    blocks = texts.groupBy("block")
+    if not apart:
+        touched = blocks.applyInArrow(frugal(lambda key, rows: touch(key, rows)), sent)
+    else:
+        # a row of range -1 names a block's sets
+        named = wanted.groupBy("block").applyInArrow(lambda key, t: by_range(key[0].as_py(), np.full(1, -1), np.full(1, -1), lambda a, b: t["node"].to_numpy().tobytes()), sent)
+        named = cut(named)
+        touched = blocks.cogroup(named.groupBy("block")).applyInArrow(frugal(lambda key, rows, of: touch(key, rows, _wanted(of))), sent)
+    classes = touched.groupBy("range").applyInArrow(frugal(classify), sent)
+    if apart:
+        classes = classes.unionByName(named)
     keys = blocks.cogroup(classes.groupBy("block")).applyInArrow(frugal(rarest), "bucket long, keys binary, nodes binary, edges binary")
     return keys.groupBy("bucket").applyInArrow(frugal(join), _EDGES)
 
@@ -507,7 +544,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_id = F.min("doc_id").alias("least_id")
     chosen = cut(named.where("n_shingles > 0").groupBy("node").agg(least_row.alias("of"), of_id, F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
     total = chosen.agg(F.sum("n")).first()[0] or 0
-    clusters = connected_components(_candidates(texts(chosen.select("of", "node")), shingle, limit, total))
+    n_blocks = _blocks(docs.sparkSession, total)
+    nodes = chosen.select("of", "node")
+    if repeat or is_small(nodes):
+        block = F.pmod(F.xxhash64("node"), F.lit(n_blocks)).alias("block")
+        edges = _candidates(texts(nodes).select(block, "node", "text"), shingle, limit, total)
+    else:
+        # a join would shuffle all texts once more, and sort them: each block finds its sets' rows by itself
+        block = lambda of: F.pmod(F.xxhash64(f"{of}doc_id", f"{of}said"), F.lit(n_blocks)).alias("block")
+        edges = _candidates(rows.select(block(""), "text"), shingle, limit, total, nodes.select(block("of."), "node"))
+    clusters = connected_components(edges)
     placed = chosen.join(clusters.withColumnRenamed("component", "region"), "node")
     sizes = placed.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("all_n"))
     placed = cut(placed.join(sizes, "region").select("of", "node", "region", _fits().alias("fits")))

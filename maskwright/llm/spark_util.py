@@ -36,12 +36,16 @@ def _held_bytes(df: DataFrame) -> Column:
     return F.coalesce(F.sum(sizes), F.lit(0))
 
 
+def is_small(kept: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    rows, size = kept.agg(F.count("*"), _held_bytes(kept)).first()
+    return rows <= max_rows and size <= BROADCAST_BYTES
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` cut and, if its counted rows and the bytes of all its values are few, marked for broadcast; else joined by
     a shuffle."""
     kept = cut(df)
-    rows, size = kept.agg(F.count("*"), _held_bytes(kept)).first()
-    return F.broadcast(kept) if rows <= max_rows and size <= BROADCAST_BYTES else kept
+    return F.broadcast(kept) if is_small(kept, max_rows) else kept
 
 
 #: Keys that more than one in so many rows have are joined by broadcast; there are at most so many of them.

@@ -54,3 +54,23 @@ def test_chunks_find_all_links(monkeypatch, seed):
                 want[want == want[a]] = want[b]
     got = module._join_chunks(sets, side, comps, main, limit)
     assert len({*zip(got.tolist(), want.tolist(), strict=True)}) == len({*got.tolist()}) == len({*want.tolist()}) < 40
+
+
+@pytest.mark.parametrize("most", [500_000, 10])
+def test_texts_are_shuffled_once(spark, monkeypatch, most):
+    """Nodes beyond a broadcast: blocks find their sets' rows without a join of texts, with the same result."""
+    from maskwright.llm import spark_util
+
+    monkeypatch.setattr(spark_util.is_small, "__defaults__", (most,))
+    plans, deal = [], module._candidates
+
+    def seen(texts, *rest):
+        plans.append(texts._jdf.queryExecution().optimizedPlan().toString())
+        return deal(texts, *rest)
+
+    monkeypatch.setattr(module, "_candidates", seen)
+    rows = _near_copies(60, 8, 5) + [(None, "no id but a text"), (None, "no id but another text"), (99, None), (100, "w1"), (101, "w1")]
+    rows += [(200 + i, t) for i, t in rows[:30]]
+    got = Counter(tuple(x) for x in module.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, num=80).collect())
+    assert got == _jaccard(rows, 2, 80, 100)
+    assert ("Join" in plans[0]) == (most > 10)

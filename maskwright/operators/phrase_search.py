@@ -4,8 +4,10 @@ The phrases form an automaton after Aho and Corasick in flat arrays. A text is c
 at a time; a lane starts as many characters early as the longest phrase has, and so is never in another state than one
 reader of the whole text would be.
 
-Phrases that one automaton cannot hold are joined: hashes of their beginnings and of themselves lie in one array of bits,
-by which a slice of blocks finds the texts that may be phrases; a join tells which of these are.
+Phrases that one automaton cannot hold are sieved: hashes of their beginnings and of themselves lie in one array of bits,
+by which a slice of blocks finds the texts that may be phrases. The distinct ones of these that are none, by a join with
+the phrases, are few: they are broadcast, and the blocks are read again without them. Where they are many, blocks are
+written with their places and joined with the phrases found.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from ..cluster import kept, ship
 from . import spans as S
 from .trie import Trie
 
-#: Bits of a sieve for each phrase or beginning, and in all, at most; how many of them a text sets.
-SIEVE_BITS, MOST_BITS, SIEVE_HASHES = 16, 1 << 30, 2
+#: Bits of a sieve for each phrase or beginning, and in all, at most; how many of them a beginning and a phrase set.
+SIEVE_BITS, MOST_BITS, SIEVE_HASHES, PHRASE_HASHES = 16, 1 << 30, 2, 6
+#: Texts that the sieve lets through though they are no phrases, and their characters, that are broadcast at most.
+FALSE_TEXTS, FALSE_CHARS = 1 << 19, 1 << 24
 #: Lengths of the beginnings of phrases that are looked for first, then each twice as long as the one before.
 FIRST_HEAD = 4
 
@@ -110,7 +114,8 @@ def with_phrases(blocks: DataFrame, phrases: DataFrame, full: bool = False, flag
     null block has a null flag. A column named ``flag`` is replaced. Without phrases nothing is covered.
 
     Phrases of up to ``most`` characters are broadcast as an automaton. More of them are sieved and joined
-    (``_sieved``): the blocks are read and shuffled once, however many phrases there are.
+    (``_sieve_of``): the blocks are read twice, however many phrases there are, and neither written nor shuffled as long
+    as the sieve lets few other texts through.
     """
     spark = blocks.sparkSession
     ship(spark)
@@ -121,9 +126,14 @@ def with_phrases(blocks: DataFrame, phrases: DataFrame, full: bool = False, flag
     terms = phrases.where(F.col(term).isNotNull()).select(F.col(term).alias("term"))
     # repeated phrases count each time here, so a table within the bound is small without a shuffle
     if terms.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0] > most:
-        sieved = _sieved(blocks, _forms_of(terms), held)
-        if sieved is not None:
-            return _judged(*sieved, held, full, flag)
+        forms = _forms_of(terms)
+        sieve = _sieve_of(forms)
+        if sieve is not None:
+            shared = spark.sparkContext.broadcast(sieve)
+            none = _no_phrases(blocks, shared, forms)
+            if none is None:
+                return _judged(*_sieved(blocks, shared, forms, held), held, full, flag)
+            return _passed(blocks, shared, spark.sparkContext.broadcast(none), full, flag)
     else:
         for automaton in automata(phrases, term, most):
             return _flagged(_searched(blocks, spark.sparkContext.broadcast(automaton), held), held, full, flag)
@@ -170,12 +180,7 @@ def _flagged(found: DataFrame, held: str, full: bool, flag: str) -> DataFrame:
                 begins = joined.block_starts(offsets)
                 places = batch.column(batch.schema.get_field_index(held)).to_pylist()
                 spans = [np.array(p or [], np.int64).reshape(-1, 2) + b for p, b in zip(places, begins, strict=True)]
-                covered = joined.covered(np.concatenate([np.zeros((0, 2), np.int64), *spans]))
-                flags = (covered == joined.sizes) & (covered > 0) if full else covered > 0
-                null = batch.column(batch.schema.get_field_index("units")).is_null().to_numpy(zero_copy_only=False)
-                columns = [batch.column(batch.schema.get_field_index(f.name)).cast(out.field(f.name).type) for f in kept_fields]
-                columns.append(S.per_unit(flags, offsets, null, out.field(flag).type))
-                yield pa.RecordBatch.from_arrays(columns, schema=out)
+                yield _with_flags(batch, joined, offsets, np.concatenate([np.zeros((0, 2), np.int64), *spans]), full, flag, out)
 
     return found.mapInArrow(run, schema)
 
@@ -253,16 +258,17 @@ class Sieve:
         start = np.cumsum(size) - size
         sums, inverse = _prefixes(text, _powers(len(text))), _inverses(len(text))
         found = []
-        for mixed in (_mixed(sums, start, size, inverse), *(_mixed(sums, start[size > head], head, inverse) for head in self.heads)):
-            for _ in range(SIEVE_HASHES):
+        whole = (_mixed(sums, start, size, inverse), PHRASE_HASHES)
+        for mixed, times in (whole, *((_mixed(sums, start[size > head], head, inverse), SIEVE_HASHES) for head in self.heads)):
+            for _ in range(times):
                 found.append((mixed & np.uint64(self.bits - 1)).astype(np.int64))
                 mixed = _again(mixed)
         return np.unique(np.concatenate(found))
 
-    def _may(self, sums: np.ndarray, start: np.ndarray, size: int, inverse: np.ndarray) -> np.ndarray:
+    def _may(self, sums: np.ndarray, start: np.ndarray, size: int, inverse: np.ndarray, times: int) -> np.ndarray:
         """Those of the starts from which ``size`` characters may be a phrase or a beginning of one."""
         mixed = _mixed(sums, start, size, inverse)
-        for _ in range(SIEVE_HASHES):
+        for _ in range(times):
             at = (mixed & np.uint64(self.bits - 1)).astype(np.int64)
             yes = np.flatnonzero((self.held[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             start, mixed = start[yes], _again(mixed[yes])
@@ -276,15 +282,14 @@ class Sieve:
         for size in self.sizes:
             while heads and heads[0] < size:
                 head = heads.pop(0)
-                start = self._may(sums, start[start + head <= len(codes)], head, inverse)
-            at = self._may(sums, start[start + size <= len(codes)], size, inverse)
+                start = self._may(sums, start[start + head <= len(codes)], head, inverse, SIEVE_HASHES)
+            at = self._may(sums, start[start + size <= len(codes)], size, inverse, PHRASE_HASHES)
             found.append(np.stack([at, at + size], axis=1))
         return np.concatenate(found)
 
 
-def _sieved(blocks: DataFrame, forms: DataFrame, held: str) -> tuple[DataFrame, DataFrame] | None:
-    """``blocks`` with the places that may be phrases and the number of their slice, and the slices' texts that are."""
-    spark = blocks.sparkSession
+def _sieve_of(forms: DataFrame) -> Sieve | None:
+    spark = forms.sparkSession
     sizes = forms.groupBy(F.length("p").alias("size")).agg(F.count("*").alias("n")).collect()
     if not sizes:
         return None
@@ -308,7 +313,64 @@ def _sieved(blocks: DataFrame, forms: DataFrame, held: str) -> tuple[DataFrame,
     words = forms.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(set_by, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
     table = words.toArrow()
     sieve.held.view(np.int64)[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    shared = spark.sparkContext.broadcast(sieve)
+    return sieve
+
+
+def _places(text: str, sieve: Sieve) -> tuple[np.ndarray, list[str]]:
+    """The places in a slice's text that may be phrases, by their start, and their texts, each once."""
+    found = sieve.spans(text)
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    _, first = np.unique(_hashes(text, found), return_index=True)
+    return found, [t for a, b in found[first].tolist() if S.MARK not in (t := text[a:b])]
+
+
+def _no_phrases(blocks: DataFrame, shared, forms: DataFrame) -> list[str] | None:
+    """The texts of the blocks that the sieve lets through though they are no phrases; None if they are too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in S.slices_of(whole):
+                yield pa.RecordBatch.from_arrays([pa.array(_places(_joined(batch)[0].text, shared.value)[1], pa.string())], names=["p"])
+
+    none = kept(blocks.select("units").mapInArrow(run, "p string").distinct().join(forms, "p", "left_anti"))
+    n, chars = none.agg(F.count("*"), F.coalesce(F.sum(F.length("p")), F.lit(0))).first()
+    return [r.p for r in none.collect()] if n <= FALSE_TEXTS and chars <= FALSE_CHARS else None
+
+
+def _passed(blocks: DataFrame, shared, none, full: bool, flag: str) -> DataFrame:
+    """``blocks`` with ``flag`` by the places that the sieve lets through, without the texts that are no phrases."""
+    schema = StructType([*blocks.schema.fields, StructField(flag, ArrayType(BooleanType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, others = to_arrow_schema(schema), set(none.value)
+        ends = np.cumsum(np.fromiter(map(len, none.value), np.int64, len(none.value)))
+        hashes = np.unique(_hashes("".join(none.value), np.stack([ends - np.fromiter(map(len, none.value), np.int64, len(ends)), ends], axis=1)))
+        for whole in batches:
+            for batch in S.slices_of(whole):
+                joined, offsets = _joined(batch)
+                spans = shared.value.spans(joined.text)
+                marks = np.append(0, np.cumsum(_codes(joined.text) == ord(S.MARK)))
+                spans = spans[marks[spans[:, 0]] == marks[spans[:, 1]]]
+                # a hash only says where texts are to be compared
+                true = np.ones(len(spans), bool)
+                for i in np.flatnonzero(np.isin(_hashes(joined.text, spans), hashes)).tolist():
+                    true[i] = joined.text[spans[i, 0] : spans[i, 1]] not in others
+                yield _with_flags(batch, joined, offsets, spans[true], full, flag, out)
+
+    return blocks.mapInArrow(run, schema)
+
+
+def _with_flags(batch: pa.RecordBatch, joined: S.Joined, offsets: np.ndarray, spans: np.ndarray, full: bool, flag: str, out: pa.Schema) -> pa.RecordBatch:
+    """The columns of ``out``: those of ``batch`` and the units' flags by the spans of their slice."""
+    covered = joined.covered(spans)
+    flags = (covered == joined.sizes) & (covered > 0) if full else covered > 0
+    null = batch.column(batch.schema.get_field_index("units")).is_null().to_numpy(zero_copy_only=False)
+    columns = [batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in out if f.name != flag]
+    return pa.RecordBatch.from_arrays([*columns, S.per_unit(flags, offsets, null, out.field(flag).type)], schema=out)
+
+
+def _sieved(blocks: DataFrame, shared, forms: DataFrame, held: str) -> tuple[DataFrame, DataFrame]:
+    """``blocks`` with the places that may be phrases and the number of their slice, and the slices' texts that are."""
     more = StructType.fromDDL(f"{held} array<int>, {held}_slice string, {held}_texts array<string>").fields
     schema = StructType([*blocks.schema.fields, *more])
 
@@ -318,11 +380,8 @@ def _sieved(blocks: DataFrame, forms: DataFrame, held: str) -> tuple[DataFrame,
             for batch in S.slices_of(whole):
                 joined, offsets = _joined(batch)
                 begins = joined.block_starts(offsets)
-                found = shared.value.spans(joined.text)
-                found = found[np.argsort(found[:, 0], kind="stable")]
+                found, texts = _places(joined.text, shared.value)
                 block = np.searchsorted(begins, found[:, 0], "right") - 1
-                _, first = np.unique(_hashes(joined.text, found), return_index=True)
-                texts = [t for a, b in found[first].tolist() if S.MARK not in (t := joined.text[a:b])]
                 ends = np.append(0, np.searchsorted(block, np.arange(len(begins)), "right"))
                 inside = (found - begins[block][:, None]).astype(np.int32).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(ends * 2, pa.int32()), pa.array(inside))
@@ -356,10 +415,6 @@ def _judged(found: DataFrame, true: DataFrame, held: str, full: bool, flag: str)
         spans = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 2) + np.repeat(begins, count // 2)[:, None]
         ends = np.cumsum(np.fromiter(map(len, phrases), np.int64, len(phrases)))
         spans = spans[np.isin(_hashes(joined.text, spans), _hashes("".join(phrases), np.stack([np.append(0, ends)[:-1], ends], axis=1)))]
-        covered = joined.covered(spans)
-        flags = (covered == joined.sizes) & (covered > 0) if full else covered > 0
-        null = batch.column(batch.schema.get_field_index("units")).is_null().to_numpy(zero_copy_only=False)
-        columns = [batch.column(batch.schema.get_field_index(f.name)).cast(out.field(f.name).type) for f in fields]
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([*columns, S.per_unit(flags, offsets, null, out.field(flag).type)], schema=out)])
+        return pa.Table.from_batches([_with_flags(batch, joined, offsets, spans, full, flag, out)])
 
     return found.groupBy(name).cogroup(true.groupBy("of")).applyInArrow(run, schema)

@@ -28,7 +28,7 @@ from . import spans as S
 from .trie import Trie
 
 #: Bits of a sieve for each phrase or beginning, and in all, at most; how many of them a beginning and a phrase set.
-SIEVE_BITS, MOST_BITS, SIEVE_HASHES, PHRASE_HASHES = 16, 1 << 30, 2, 6
+SIEVE_BITS, MOST_BITS, SIEVE_HASHES, PHRASE_HASHES = 16, 1 << 30, 2, 10
 #: Texts that the sieve lets through though they are no phrases, and their characters, that are broadcast at most.
 FALSE_TEXTS, FALSE_CHARS = 1 << 19, 1 << 24
 #: Lengths of the beginnings of phrases that are looked for first, then each twice as long as the one before.
